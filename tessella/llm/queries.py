@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.llm.contamination import contamination_report, find_contamination
 from tessella.llm.langid import language_report
 from tessella.llm.lines import line_report
+from tessella.llm.mixing import BAD, GOOD, UNKNOWN, mix_plan
 from tessella.llm.simhash import near_duplicates
 from tessella.llm.tokens import token_shards
 
@@ -27,6 +28,11 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3)
 
@@ -46,6 +52,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_shards": op2_token_shards,
+    "op3_mixing": op3_mixing,
     "op5_simhash": op5_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
@@ -53,4 +60,34 @@ QUERIES = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": rf"""
+        WITH quality AS (SELECT doc_id AS k, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        rows AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(16**13)!r}::DOUBLE)
+                    / CASE q WHEN 1 THEN {GOOD}::DOUBLE WHEN 0 THEN {BAD}::DOUBLE ELSE {UNKNOWN}::DOUBLE END AS draw
+            FROM documents LEFT JOIN quality ON doc_id = k),
+        sizes AS (SELECT source, sum(size)::BIGINT AS size FROM rows GROUP BY source),
+        ranked AS (
+            SELECT *, 3 * size AS cap,
+                CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
+                row_number() OVER (ORDER BY source NULLS LAST) AS rank
+            FROM sizes),
+        filling AS (
+            SELECT *, ((SELECT sum(size) FROM ranked) - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                / (sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+            FROM ranked),
+        aims AS (
+            SELECT source, size AS source_size,
+                CASE WHEN cap <= level * weight THEN cap::DOUBLE
+                    ELSE (SELECT max(level) FROM filling WHERE NOT cap <= level * weight) * weight END AS target
+            FROM filling),
+        parts AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+                coalesce(sum(size) OVER (PARTITION BY rows.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+            FROM rows JOIN aims ON rows.source IS NOT DISTINCT FROM aims.source)
+        SELECT doc_id, size, source_size, target,
+            size * (epochs + CASE WHEN target - epochs * source_size > 0 AND before + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END)::BIGINT AS taken
+        FROM parts""",
+}
