@@ -1,6 +1,6 @@
 """SimHash near-duplicates through an embedding of segment bit counts.
 
-A 64-bit fingerprint is cut into 16 segments of 4 bits and mapped to the vector
+A 64-bit fingerprint is cut into 32 segments of 2 bits and mapped to the vector
 of their bit counts.  The Manhattan distance of two such vectors is never above
 the Hamming distance of the fingerprints.  The grid range-join puts every
 fingerprint into the cells within distance 1 of its own vector: two vectors at
@@ -15,6 +15,7 @@ fingerprint, however many copies or neighbours it has.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from tessella.llm.common import binary_views, materialize, prepare, utf8
 from tessella.llm.components import components
 
 SEED = 42
-SEGMENTS, WIDTH = 16, 4
+SEGMENTS, WIDTH = 32, 2
 #: What the grid and the verification are made for.
 MAX_BITS = 2
 #: For each byte value, which of its 8 bits are set.
@@ -61,13 +62,21 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words_p
     return df.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text")).mapInArrow(run, "key long, fp long")
 
 
-def _cells(fp: Column) -> Column:
-    """The grid cells within Manhattan distance 1 of a fingerprint's bit counts, 3 bits to a segment."""
-    counts = [F.bit_count(F.shiftrightunsigned(fp, WIDTH * i).bitwiseAND(F.lit(2**WIDTH - 1).cast("long"))) for i in range(SEGMENTS)]
-    own = sum((F.shiftleft(c.cast("long"), 3 * i) for i, c in enumerate(counts[1:], 1)), counts[0].cast("long"))
-    more = [F.when(c < WIDTH, own + F.lit(1 << 3 * i).cast("long")) for i, c in enumerate(counts)]
-    less = [F.when(c > 0, own - F.lit(1 << 3 * i).cast("long")) for i, c in enumerate(counts)]
-    return F.filter(F.array(own, *more, *less), lambda x: x.isNotNull())
+def _counts(fp: Column) -> Column:
+    """The bit counts of the segments, 2 bits to a count."""
+    counts = (F.bit_count(F.shiftrightunsigned(fp, WIDTH * i).bitwiseAND(F.lit(3).cast("long"))) for i in range(SEGMENTS))
+    return reduce(Column.bitwiseOR, (F.shiftleft(c.cast("long"), WIDTH * i) for i, c in enumerate(counts)))
+
+
+def _cells(own: Column) -> Column:
+    """The grid cells within Manhattan distance 1 of the counts ``own``.
+
+    A step between the counts 0 and 1 turns the lower of the two bits, one between 1 and 2 both.
+    """
+    mask = lambda bits, i: F.shiftleft(F.lit(bits).cast("long"), WIDTH * i)
+    low = [F.when(own.bitwiseAND(mask(2, i)) == 0, own.bitwiseXOR(mask(1, i))) for i in range(SEGMENTS)]
+    high = [F.when(own.bitwiseAND(mask(3, i)) != 0, own.bitwiseXOR(mask(3, i))) for i in range(SEGMENTS)]
+    return F.filter(F.array(own, *low, *high), lambda x: x.isNotNull())
 
 
 def _ball(fp: Column) -> Column:
@@ -81,7 +90,7 @@ def links(nodes: DataFrame) -> DataFrame:
     def shared(rows: DataFrame) -> DataFrame:
         return rows.groupBy("at").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("at", "low")
 
-    cells = nodes.select("fp", F.explode(_cells(F.col("fp"))).alias("at"))
+    cells = nodes.withColumn("own", _counts(F.col("fp"))).select("fp", F.explode(_cells(F.col("own"))).alias("at"))
     crowded = materialize(shared(cells).select("at"), "cells")
     near = materialize(cells.join(crowded, "at", "left_semi").select("fp").distinct(), "near")
     balls = near.select("fp", F.explode(_ball(F.col("fp"))).alias("at"))
