@@ -10,6 +10,7 @@ from tessella.llm.html import extract_text
 from tessella.llm.langid import language_report
 from tessella.llm.lines import line_report
 from tessella.llm.mixing import BAD, GOOD, UNKNOWN, mix_plan
+from tessella.llm.paragraphs import passage_report
 from tessella.llm.simhash import near_duplicates
 from tessella.llm.tokens import token_shards
 from tessella.llm.topk import top_k
@@ -44,6 +45,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3)
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_token_shards": op2_token_shards,
     "op3_mixing": op3_mixing,
+    "op4_passages": op4_passages,
     "op5_simhash": op5_simhash,
     "op6_html_text": op6_html_text,
     "op7_decontamination": op7_decontamination,
