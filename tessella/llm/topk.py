@@ -40,8 +40,8 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     size = a.shape[-1] * max(np.abs(a).max(initial=0), 1) * max(np.abs(b).max(initial=0), 1)
     if size < 2**53:
         return (a @ b).astype(np.int64)
-    whole = a.astype(object) @ b.astype(object)
-    return np.array(whole, np.int64)
+    whole = lambda m: np.array([int(x) for x in m.ravel().tolist()], object).reshape(m.shape)
+    return np.array(whole(a) @ whole(b), np.int64)
 
 
 class Blocks:
