@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary_views, materialize, prepare, utf8
+from tessella.llm.common import binary_views, materialize, mix, prepare, utf8
 from tessella.llm.components import components
 
 SEED = 42
 SEGMENTS, WIDTH = 32, 2
-#: What the grid and the verification are made for.
-MAX_BITS = 2
+#: MinHash bands and rows a band of the shingle sets, and the most texts whose keys are broadcast.
+BANDS, ROWS, MAX_BROADCAST = 16, 4, 500_000
 #: For each byte value, which of its 8 bits are set.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -98,9 +98,97 @@ def links(nodes: DataFrame) -> DataFrame:
     return balls.join(centres, "at").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3) -> DataFrame:
+def _shingle_set(words: list[bytes], n: int) -> np.ndarray:
+    """The distinct hashes of the shingles of ``n`` words; of all words if they are fewer."""
+    n = min(n, len(words))
+    if not n:
+        return np.zeros(0, np.uint64)
+    each = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        out = mix(out ^ each[i : i + len(out)])
+    return np.unique(out)
+
+
+def _signatures(df: DataFrame, key: str, text: str, words_per_shingle: int) -> DataFrame:
+    """Rows (key, fp, words, bands): besides the fingerprint a hash of all words, and MinHash bands of the shingles."""
+    odd = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def bands(shingles: np.ndarray) -> list[int]:
+        with np.errstate(over="ignore"):
+            least = np.array([(shingles * m).min() for m in odd], np.uint64).reshape(BANDS, ROWS)
+        out = np.arange(BANDS, dtype=np.uint64)
+        for i in range(ROWS):
+            out = mix(out ^ least[:, i])
+        return out.view(np.int64).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, same, found = [], [], []
+            for t in binary_views(batch.column(1)):
+                words = t.lower().split()
+                fps.append(fingerprint(t, words_per_shingle))
+                same.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                found.append(bands(_shingle_set(words, words_per_shingle)) if words else [])
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(fps), signed(same), pa.array(found, pa.list_(pa.int64()))], names=["key", "fp", "words", "bands"])
+
+    rows = df.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text"))
+    return rows.mapInArrow(run, "key long, fp long, words long, bands array<long>")
+
+
+def _alike(df: DataFrame, signatures: DataFrame, key: str, text: str, words_per_shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between fingerprints of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Texts with equal words stand for each other.  Each text is verified against
+    the first of every band it shares, so no group is expanded into pairs.
+    """
+    one = signatures.groupBy("words").agg(F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    one = materialize(one.where("key is not null"), "distinct-texts")
+    banded = one.select("words", F.explode("bands").alias("band"))
+    first = materialize(banded.groupBy("band").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low < high").select("band", "low"), "first")
+    pairs = materialize(banded.join(first, "band").where("words <> low").select("words", "low").distinct(), "pairs")
+    needed = pairs.select("words").union(pairs.select("low")).distinct()
+    needed = materialize(needed.join(one, "words").select(F.col("key").alias("_key"), F.col("words").alias("_words")), "needed")
+    keys = F.broadcast(needed) if needed.count() <= MAX_BROADCAST else needed
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for t, wanted in zip(binary_views(batch.column(0)), batch.column(1).to_pylist()):
+                words = t.lower().split()
+                own = xxhash.xxh3_64_intdigest(b" ".join(words))
+                if own - (own >> 63 << 64) == wanted:
+                    ids.append(wanted)
+                    found.append(np.unique((_shingle_set(words, words_per_shingle) >> np.uint64(32)).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["words", "shingles"])
+
+    texts = df.join(keys, df[key] == keys["_key"]).select(utf8(df[text]).alias("text"), "_words")
+    held = materialize(texts.mapInArrow(sets, "words long, shingles binary").dropDuplicates(["words"]), "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(binary_views(batch.column(2)), binary_views(batch.column(3))):
+                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["words", "low"]).filter(pa.array(keep, pa.bool_()))
+
+    other = held.select(F.col("words").alias("low"), F.col("shingles").alias("others"))
+    checked = pairs.join(held, "words").join(other, "low").select("words", "low", "shingles", "others").mapInArrow(verify, "words long, low long")
+    prints = one.select("words", "fp")
+    found = checked.join(prints, "words").withColumnRenamed("fp", "a").join(prints.toDF("low", "b"), "low")
+    return found.where("a <> b").select("a", "b")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """Rows (key, fingerprint, component_id), one per row of ``df``.
 
+    With ``similarity``, texts whose shingle sets have at least that Jaccard
+    similarity are linked too: fingerprints of texts with a few changed words in
+    a hundred differ in more bits than the grid can search.
+
     ``component_id`` is the smallest key that can be reached over links of at
     most two differing bits, the row's own key included.  A null text has no
     words; texts without words have fingerprint 0 and are linked like others.
@@ -108,9 +196,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     smallest key (null only where the whole component has null keys).  Extra
     columns are ignored.
     """
-    rows = materialize(fingerprints(df, key, text, words_per_shingle), "fingerprints")
+    prepare(df.sparkSession)
+    make = fingerprints if similarity is None else _signatures
+    rows = materialize(make(df, key, text, words_per_shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    linked = materialize(components(links(nodes)), "linked")
+    edges = links(nodes)
+    if similarity is not None:
+        edges = edges.union(_alike(df, rows, key, text, words_per_shingle, similarity))
+    linked = materialize(components(edges), "linked")
     members = materialize(linked.join(nodes, linked.node == nodes.fp).select("fp", "root", "least"), "members")
     roots = materialize(members.groupBy("root").agg(F.min("least").alias("component")), "roots")
     far = members.join(roots, "root").select("fp", "component")
@@ -118,13 +211,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return rows.join(known, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest key stays.
 
     Of several rows with that key one stays.  Rows with a null key stay, as
     nothing tells them apart.
     """
-    found = near_duplicates(df, key, text, words_per_shingle).select(F.col(key).alias("_key"), "component_id")
+    found = near_duplicates(df, key, text, words_per_shingle, similarity).select(F.col(key).alias("_key"), "component_id")
     found = materialize(found.where("_key is not null"), "components")
     gone = found.where("_key <> component_id").select("_key").distinct()
     repeated = found.groupBy("_key").count().where("count > 1").select("_key")

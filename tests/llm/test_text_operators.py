@@ -159,10 +159,33 @@ def test_simhash(spark):
     least = {r: min((d for (d, _), q in zip(rows, roots) if q == r and d is not None), default=None) for r in roots}
     want = norm((d, f"{f:016x}", least[r]) for (d, _), f, r in zip(rows, fps, roots))
     assert norm(tuple(r) for r in simhash.near_duplicates(df).collect()) == want
-    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(df, words_per_shingle=3).collect()]
+    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(df, words_per_shingle=3, similarity=None).collect()]
     assert sorted(d for d in kept if d is not None) == sorted({c for d, _, c in want if d is not None and d == c}) and kept.count(None) == 2
 
 
+def test_similar_texts(spark):
+    rng, rows = np.random.default_rng(8), []
+    for g in range(12):
+        base = words(100 + g, 300).split()
+        rows.append((10 * g, " ".join(base)))
+        for i, changes in enumerate((3, 6, 40), 1):
+            own = list(base)
+            for at in rng.choice(300, changes, replace=False):
+                own[at] = "changed"
+            rows.append((10 * g + i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    sets = {d: shingles(t) for d, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all((d in kept) == (d % 10 == 0 or like(d, d - d % 10) < 0.8) for d in sets)
+    assert 0 < len(kept) < len(rows)
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=3)), min_size=1, max_size=12))
 def test_links_reach_what_brute_force_reaches(spark, seeds):
