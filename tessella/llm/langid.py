@@ -27,8 +27,8 @@ from tessella.llm.common import prepare, utf8
 #: Bytes of context, and the bound on the labelled documents of a language that the trees are fitted on.
 ORDER, SAMPLE_DOCS = 3, 1_500
 UNDETERMINED = "und"
-#: Bytes that are scored at once.
-SLICE_BYTES = 4 << 20
+#: Bytes that are scored at once, at about 100 bytes of memory each.
+SLICE_BYTES = 1 << 20
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else 32 if c < 65 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256)], np.uint8)
 
@@ -190,13 +190,13 @@ def identify(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFram
     prepare(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(trees)
     fields = df.columns
-    flag, data = "__letters", "__bytes"
+    flag = "__letters"
 
     def predict(batch: pa.RecordBatch) -> tuple[list[str], list[float]]:
         model = held.value
         names, scores = [UNDETERMINED] * len(batch), [0.0] * len(batch)
         live = np.flatnonzero(batch.column(batch.schema.get_field_index(flag)).to_numpy(zero_copy_only=False))
-        texts = batch.column(batch.schema.get_field_index(data)).take(pa.array(live))
+        texts = batch.column(batch.schema.get_field_index(text)).take(pa.array(live)).cast(pa.binary())
         folded, starts = _texts(texts)
         at = 0
         while at < len(live):
@@ -218,7 +218,7 @@ def identify(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFram
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return df.withColumn(flag, letters).withColumn(data, utf8(text)).mapInArrow(run, schema)
+    return df.withColumn(flag, letters).mapInArrow(run, schema)
 
 
 def language_report(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
