@@ -82,11 +82,11 @@ def unique_answer(evaluations: DataFrame, by: list[str], choice: str = "choice")
 
 
 def citations(refs: Column, visible: Column) -> Column:
-    """Cited tiles that are visible and that are not, each once and in order, and whether all are."""
+    """Cited tiles that are visible and that are not, each once and in order, and whether there are some and all are visible."""
     known = lambda r: F.coalesce(F.array_contains(visible, r), F.lit(False))
     refs = F.coalesce(refs, F.array().cast("array<string>"))
     valid, invalid = F.array_distinct(F.filter(refs, known)), F.filter(refs, lambda r: ~known(r))
-    return F.struct(valid.alias("valid"), invalid.alias("invalid"), (F.size(invalid) == 0).alias("all_valid"))
+    return F.struct(valid.alias("valid"), invalid.alias("invalid"), ((F.size(valid) > 0) & (F.size(invalid) == 0)).alias("all_valid"))
 
 
 def strictly_supported(all_valid: Column, from_visible: Column, from_cited: Column, candidate: Column) -> Column:

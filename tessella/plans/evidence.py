@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions import pixels
 from tessella.functions import text as T
 from tessella.functions.negation import states
 from tessella.functions.policy import sampling
-from tessella.operators import contract, decisions, evidence, joins
+from tessella.operators import calls, contract, decisions, evidence, joins, review
 from tessella.plans.registry import query, table
 
 _TEXT = "coalesce(text, '')"
@@ -152,7 +153,7 @@ _WORDS = r"regexp_split_to_array(coalesce(text, ''), ' ')"
 
 @query(f"""WITH w AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations), r AS (SELECT conv_id, turn, w AS refs, list_filter(w, lambda x, i: i % 3 <> 0) AS visible FROM w)
     SELECT conv_id, turn, array_to_string(list_filter(refs, lambda x, i: list_position(refs, x) = i AND list_contains(visible, x)), '|') AS valid,
-        array_to_string(list_filter(refs, lambda x: NOT list_contains(visible, x)), '|') AS invalid, len(list_filter(refs, lambda x: NOT list_contains(visible, x))) = 0 AS all_valid FROM r""")
+        array_to_string(list_filter(refs, lambda x: NOT list_contains(visible, x)), '|') AS invalid, len(visible) > 0 AND len(list_filter(refs, lambda x: NOT list_contains(visible, x))) = 0 AS all_valid FROM r""")
 def citation_partition(spark, sf_dir):
     """Words as refs; two of three places are visible."""
     refs = F.split(F.coalesce("text", F.lit("")), " ", -1)
@@ -239,3 +240,41 @@ def final_answers(spark, sf_dir):
     raw = F.when(i % 3 == 0, whole).when(i % 3 == 1, F.lit('{"answer":"view", "why": "cut')).otherwise(F.lit("{"))
     choices = F.array(F.lit("view"), F.lit("Insufficient evidence"), F.lit("click"))
     return table(spark, sf_dir, "events").select(i, decisions.final_answer(raw, choices).alias("f")).select("event_id", "f.answer", "f.status")
+
+
+@query("""SELECT doc_id, sha256('{"document":' || doc_id || CASE WHEN lang IS NULL THEN '' ELSE ',"lang":"' || lang || '"' END || CASE WHEN source IS NULL THEN '' ELSE ',"source":"' || source || '"' END || '}') AS cache_key,
+    CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'known' END AS cached FROM documents""")
+def description_cache(spark, sf_dir):
+    """Cache keys of requests; the labelled documents are known."""
+    fields = {"source": F.col("source"), "document": F.col("doc_id"), "lang": F.col("lang")}
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").withColumn("cache_key", calls.cache_key(fields))
+    known = d.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("cache_key", F.lit("known").alias("reply"))
+    return calls.with_cache(d, known).select("doc_id", "cache_key", "cached")
+
+
+@query("""SELECT source, avg((r + g + b >= 720 AND s <= 15)::INT::DOUBLE) AS white FROM (SELECT *, CASE WHEN greatest(r, g, b) > 0 THEN floor((greatest(r, g, b) - least(r, g, b)) * 255.0::DOUBLE / greatest(r, g, b)) ELSE 0 END AS s
+    FROM (SELECT user_id AS source, 230 + event_id % 26 AS r, 235 + event_id * 7 % 21 AS g, 228 + event_id * 3 % 28 AS b FROM events)) GROUP BY source""")
+def white_fraction(spark, sf_dir):
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), (230 + i % 26).alias("r"), (235 + i * 7 % 21).alias("g"), (228 + i * 3 % 28).alias("b"))
+    return e.groupBy("source").agg(pixels.white_fraction(F.col("r"), F.col("g"), F.col("b")).alias("white"))
+
+
+@query(f"""WITH {_TILES}, v AS (SELECT * FROM tiles), c AS (SELECT source, count(*) FILTER (clean = 1 AND f = 0) AS n0, count(*) FILTER (clean = 1 AND f = 2) AS n2 FROM v WHERE doc_id % 2 = 0 GROUP BY source),
+    a AS (SELECT source, count(*) FILTER (clean = 1 AND f = 0) AS v0, count(*) FILTER (clean = 1 AND f = 2) AS v2 FROM v GROUP BY source),
+    j AS (SELECT a.source AS s, coalesce(n0, 0) >= 2 AS c0, coalesce(n2, 0) >= 2 AS c2, v0 >= 2 AS p0, v2 >= 2 AS p2, coalesce(n0, 0) > 0 AS d0, coalesce(n0, 0) + coalesce(n2, 0) > 0 AS any_match, c.source IS NOT NULL AS cited FROM a LEFT JOIN c ON a.source = c.source)
+    SELECT s AS question_id, cited AS citation_valid, p0 OR p2 AS evidence_found, cited AND c0 AND NOT c2 AND p0 AND NOT p2 AS strict, cited AND any_match AS candidate_evidence_found, cited AND (d0 OR any_match) AS ready,
+        concat_ws('|', CASE WHEN p0 THEN 'glandular' END, CASE WHEN p2 THEN 'solid' END) AS visible_passing, concat_ws('|', CASE WHEN c0 THEN 'glandular' END, CASE WHEN c2 THEN 'solid' END) AS cited_passing FROM j""")
+def evidence_state(spark, sf_dir):
+    """Each source is a question on all its documents; the even documents are cited."""
+    tiles = _tiles(spark, sf_dir).withColumnRenamed("source", "question_id")
+    visible = tiles.groupBy("question_id").agg(F.array_sort(F.collect_list("patch_id")).alias("visible"))
+    q = visible.withColumns({
+        "question_type": F.lit("structure"), "choices": F.array(F.lit("glandular"), F.lit("solid")), "candidate": F.lit("glandular"), "tier": F.lit("strict"),
+        "refs": F.filter("visible", lambda p: p.cast("long") % 2 == 0), "ranked": F.array(F.lit("solid")),
+    })
+    concepts = spark.createDataFrame([("structure", "c0", "glandular"), ("structure", "c1", "solid")], "question_type string, concept string, display string")
+    none = spark.createDataFrame([], "concept string, support string, needs_zoom boolean")
+    rules = {"c0": _RULE | {"minimum_feature_groups_per_patch": 2}, "c1": {"feature_groups": [["solid growth"]], "minimum_clean_evidence_patches": 2, "required_anywhere_groups": [0]}}
+    out = review.evaluate(q, tiles, concepts, none, rules)
+    return out.select("question_id", "citation_valid", "evidence_found", "strict", "candidate_evidence_found", "ready", F.array_join("visible_passing", "|").alias("visible_passing"), F.array_join("cited_passing", "|").alias("cited_passing"))
