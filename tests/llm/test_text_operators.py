@@ -327,13 +327,14 @@ PAGES = [
     (4, "http://b.example.com/x/2", "<body><div>Shop name</div><p>Second story</p><p>More of it</p><p>Call us</p>"),
     (5, None, None), (6, "no host", ""), (7, "http://c.example.com/", "<p>Alone"), (8, "http://b.example.com/x/3", "<form>ask</form><div id='cookie-notice'>we use</div><p>Third<p>Call us"),
     (None, "http://d.example.com/a", "plain text &lt;b&gt;"), (5, None, None),
+    (9, "http://e.example.com/", "<head><meta x><body><main><ul><li class='sponsored'>buy<li>kept</ul><ol class=commentlist><li>me too</ol><p hidden>no<p>Yes"),
 ]
 
 
 def test_pages(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("text", F.lit("clash")).repartition(3)
     got = norm((r["page_id"], r["url"], r["text"]) for r in html.extract_text(df).collect())
-    texts = ["Head\nOne & two three\nFour", "First story", "Second story\nMore of it", "Second story\nMore of it", "", "", "Alone", "Third", "plain text <b>", ""]
+    texts = ["Head\nOne & two three\nFour", "First story", "Second story\nMore of it", "Second story\nMore of it", "", "", "Alone", "Third", "plain text <b>", "", "kept\nYes"]
     assert got == norm((p[0], p[1], t) for p, t in zip(PAGES, texts))
     assert all(r["n_chars"] == len(r["text"]) for r in html.extract_text(df).collect())
 
