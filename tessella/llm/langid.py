@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessella.llm.common import prepare, utf8
+from tessella.llm.common import free_name, prepare, utf8
 
 #: Bytes of context, and the bound on the labelled documents of a language that the trees are fitted on.
 ORDER, SAMPLE_DOCS = 3, 1_500
@@ -174,23 +174,21 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return Trees([languages[x] for x in present], counts["gram"].to_numpy(), owner, counts["n"].to_numpy().astype(float))
 
 
-def identify(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``.
+def identify(df: DataFrame, trees: Trees | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``df`` with the columns ``pred`` and ``score``, in the place of any with these names.
 
     ``score`` is the share of the predicted language in the sum of 2 to the power
     of minus the code length.  A text that is null or has no letter is ``und``
     with score 0, and so is every text if there is nothing to learn from.  Equal
     code lengths go to the language whose name is smaller.
     """
-    taken = {"lang_pred", "score"} & set(df.columns)
-    if taken:
-        df = df.drop(*taken)
+    df = df.drop(*(c for c in df.columns if c in (pred, score)))
     if trees is None:
-        return df.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
+        return df.withColumn(pred, F.lit(UNDETERMINED)).withColumn(score, F.lit(0.0))
     prepare(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(trees)
     fields = df.columns
-    flag = "__letters"
+    flag = free_name(df, "letters")
 
     def predict(batch: pa.RecordBatch) -> tuple[list[str], list[float]]:
         model = held.value
@@ -214,10 +212,10 @@ def identify(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFram
         for batch in batches:
             names, scores = predict(batch)
             kept = [batch.column(batch.schema.get_field_index(c)) for c in fields]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*fields, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*fields, pred, score])
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*df.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
     return df.withColumn(flag, letters).mapInArrow(run, schema)
 
 
@@ -232,5 +230,6 @@ def language_report(documents: DataFrame, key: str = "doc_id", text: str = "text
 def keep_identified(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
     """The rows of ``documents`` whose language is identified with a score of ``least`` or more."""
     trees = fit(documents.where(~held_out(key) & F.col(key).isNotNull()), text, lang, key)
-    found = identify(documents.select(*documents.columns), trees, text)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*documents.columns)
+    pred, score = free_name(documents, "lang_pred"), free_name(documents, "score")
+    found = identify(documents, trees, text, pred, score)
+    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least)).select(*documents.columns)

@@ -286,6 +286,9 @@ def test_languages(spark):
     assert len(odd) == 21 and all(r["lang_pred"] == "und" and r["score"] == 0 for r in odd if r["doc_id"] in (4, 5, 6))
     assert {r["lang_pred"] for r in odd if r["doc_id"] in (1, 15)} == {"en"} and all(0 <= r["score"] <= 1 for r in odd)
     held = {r["doc_id"]: r["held_out"] for r in odd}
+    named = documents(spark).withColumn("score", F.lit(7)).withColumn("letters", F.lit("l"))
+    kept = langid.keep_identified(named)
+    assert kept.columns == named.columns and {r["score"] for r in kept.collect()} == {7} and {4, 5, 6}.isdisjoint(r["doc_id"] for r in kept.collect())
     assert all(held[d] == (zlib.crc32(str(d).encode()) % 4 == 2) for d in held if d is not None) and held[None] is False
 
 
