@@ -24,6 +24,9 @@ import tessella
 #: too much memory where texts are long.
 TEXT_BATCH_ROWS = 2_000
 
+#: Rows of a table of a few numbers that may be broadcast: about 24 MB.
+MAX_BROADCAST_ROWS = 1_000_000
+
 #: The characters that end a word: the ASCII white space of Python's
 #: ``bytes.split`` and of the pattern ``[\x20\x09-\x0D]``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +65,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` (written, a few numbers a row) marked for broadcast if it has at most ``most`` rows; larger ones are joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` made."""
     spark = df.sparkSession

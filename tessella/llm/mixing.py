@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, materialize
+from tessella.llm.common import WORD, broadcast_if_few, materialize
 
 #: Weights of the sources in code-point order, repeating; and how many times its size a source may give.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -106,6 +106,6 @@ def mix_plan(documents: DataFrame, labels: DataFrame | None = None, key: str = "
 def mixed_documents(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``documents``, each as often as the mix takes it.  Rows with equal (or null) keys are taken equally often."""
     plan = mix_plan(documents, labels, key, text, source).groupBy(F.col(key).alias("_key")).agg(F.max("copies").alias("_copies"))
-    plan = materialize(plan.where("_copies > 0"), "copies")
+    plan = broadcast_if_few(materialize(plan.where("_copies > 0"), "copies"))
     taken = documents.join(plan, documents[key].eqNullSafe(F.col("_key")))
     return taken.select(*(documents[c] for c in documents.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
