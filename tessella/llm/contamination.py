@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary_views, materialize, prepare, utf8
+from tessella.llm.common import binary_views, broadcast_if_few, materialize, prepare, utf8
 
 WINDOW = 10
 #: Benchmark words in one block, document words in one shard, and the distance of sampled suffix positions.
@@ -310,4 +310,4 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "do
     """The rows of ``documents`` whose text holds no window of the benchmark.  Rows with equal or null keys are judged together."""
     found = find_contamination(documents, benchmark, key, text, **options)
     bad = found.where(F.size("spans") > 0).select(F.col(key).alias("_bad")).distinct()
-    return documents.join(materialize(bad, "contaminated"), documents[key].eqNullSafe(F.col("_bad")), "left_anti")
+    return documents.join(broadcast_if_few(materialize(bad, "contaminated")), documents[key].eqNullSafe(F.col("_bad")), "left_anti")

@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary_views, materialize, mix, prepare, utf8
+from tessella.llm.common import binary_views, broadcast_if_few, materialize, mix, prepare, utf8
 from tessella.llm.components import components
 
 SEED = 42
 SEGMENTS, WIDTH = 32, 2
-#: MinHash bands and rows a band of the shingle sets, and the most texts whose keys are broadcast.
-BANDS, ROWS, MAX_BROADCAST = 16, 4, 500_000
+#: MinHash bands and rows a band of the shingle sets.
+BANDS, ROWS = 16, 4
 #: For each byte value, which of its 8 bits are set.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -150,7 +150,7 @@ def _alike(df: DataFrame, signatures: DataFrame, key: str, text: str, words_per_
     pairs = materialize(banded.join(first, "band").where("words <> low").select("words", "low").distinct(), "pairs")
     needed = pairs.select("words").union(pairs.select("low")).distinct()
     needed = materialize(needed.join(one, "words").select(F.col("key").alias("_key"), F.col("words").alias("_words")), "needed")
-    keys = F.broadcast(needed) if needed.count() <= MAX_BROADCAST else needed
+    keys = broadcast_if_few(needed)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,8 +219,8 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     """
     found = near_duplicates(df, key, text, words_per_shingle, similarity).select(F.col(key).alias("_key"), "component_id")
     found = materialize(found.where("_key is not null"), "components")
-    gone = found.where("_key <> component_id").select("_key").distinct()
-    repeated = found.groupBy("_key").count().where("count > 1").select("_key")
+    gone = broadcast_if_few(materialize(found.where("_key <> component_id").select("_key").distinct(), "gone"))
+    repeated = broadcast_if_few(materialize(found.groupBy("_key").count().where("count > 1").select("_key"), "repeated"))
     kept = df.join(gone, df[key] == gone["_key"], "left_anti")
     once = kept.join(repeated, kept[key] == repeated["_key"], "left_anti")
     again = kept.join(repeated, kept[key] == repeated["_key"], "left_semi").dropDuplicates([key])
