@@ -107,6 +107,16 @@ def prepare(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+#: What operators keep in a Python worker from task to task.
+worker_caches: list[dict] = []
+
+
+def forget() -> None:
+    """Give back what other operators keep in this Python worker."""
+    for cache in worker_caches:
+        cache.clear()
+
+
 def utf8(text: Column | str) -> Column:
     """The bytes of a text; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

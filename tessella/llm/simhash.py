@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary_views, broadcast_if_few, materialize, mix, prepare, utf8
+from tessella.llm.common import binary_views, broadcast_if_few, forget, materialize, mix, prepare, utf8
 from tessella.llm.components import components
 
 SEED = 42
@@ -123,6 +123,7 @@ def _signatures(df: DataFrame, key: str, text: str, words_per_shingle: int) -> D
         return out.view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             fps, same, found = [], [], []
             for t in binary_views(batch.column(1)):

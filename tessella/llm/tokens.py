@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import file_system, fresh_path, mix, read_file, prepare, utf8, write_file
+from tessella.llm.common import file_system, fresh_path, mix, read_file, prepare, utf8, worker_caches, write_file
 from tessella.llm.mphf import MinimalPerfectHash
 
 MANIFEST = "range int, file int, name string, docs long, tokens long, width int, null_keys long, min_key long, max_key long"
@@ -117,6 +117,7 @@ def drops_white_space(spec: dict) -> bool:
 
 
 _encoders: dict[str, Encoder] = {}
+worker_caches.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:
