@@ -30,6 +30,8 @@ SEED = 42
 SEGMENTS, WIDTH = 32, 2
 #: MinHash bands and rows a band of the shingle sets.
 BANDS, ROWS = 16, 4
+#: Bytes of shingle hashes in a block of a band's texts.
+BLOCK_BYTES = 2 << 20
 #: For each byte value, which of its 8 bits are set.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -138,19 +140,21 @@ def _signatures(df: DataFrame, key: str, text: str, words_per_shingle: int) -> D
     return rows.mapInArrow(run, "key long, fp long, words long, bands array<long>")
 
 
-def _alike(df: DataFrame, signatures: DataFrame, key: str, text: str, words_per_shingle: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between fingerprints of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+def _buckets(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (words, key, fp, bands), and rows (band, words) of the bands that two or more of them share.
 
-    Texts with equal words stand for each other.  Each text is verified against
-    the first of every band it shares, so no group is expanded into pairs.
+    Texts with equal words stand for each other.
     """
     one = signatures.groupBy("words").agg(F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
     one = materialize(one.where("key is not null"), "distinct-texts")
     banded = one.select("words", F.explode("bands").alias("band"))
-    first = materialize(banded.groupBy("band").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low < high").select("band", "low"), "first")
-    pairs = materialize(banded.join(first, "band").where("words <> low").select("words", "low").distinct(), "pairs")
-    needed = pairs.select("words").union(pairs.select("low")).distinct()
-    needed = materialize(needed.join(one, "words").select(F.col("key").alias("_key"), F.col("words").alias("_words")), "needed")
+    sizes = materialize(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    return one, materialize(banded.join(sizes, "band").select("band", "words", "n"), "buckets")
+
+
+def _shingles(df: DataFrame, one: DataFrame, buckets: DataFrame, key: str, text: str, words_per_shingle: int) -> DataFrame:
+    """Rows (words, shingles) of the texts in ``buckets``: the sorted hashes of their shingles, 4 bytes each."""
+    needed = materialize(buckets.select("words").distinct().join(one, "words").select(F.col("key").alias("_key"), F.col("words").alias("_words")), "needed")
     keys = broadcast_if_few(needed)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +169,15 @@ def _alike(df: DataFrame, signatures: DataFrame, key: str, text: str, words_per_
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["words", "shingles"])
 
     texts = df.join(keys, df[key] == keys["_key"]).select(utf8(df[text]).alias("text"), "_words")
-    held = materialize(texts.mapInArrow(sets, "words long, shingles binary").dropDuplicates(["words"]), "shingles")
+    return materialize(texts.mapInArrow(sets, "words long, shingles binary").dropDuplicates(["words"]), "shingles")
+
+
+def _central(one: DataFrame, buckets: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between fingerprints of texts and of the most central text of a band they share, where they are alike.
+
+    A text is the more central the more texts its bands hold: the original of
+    many copies that were edited apart shares most bands with most of them.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,19 +188,76 @@ def _alike(df: DataFrame, signatures: DataFrame, key: str, text: str, words_per_
                 keep.append(both >= similarity * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["words", "low"]).filter(pa.array(keep, pa.bool_()))
 
+    weights = materialize(buckets.groupBy("words").agg(F.sum("n").alias("weight")), "weights")
+    first = buckets.join(weights, "words").groupBy("band").agg(F.max_by("words", F.struct("weight", "words")).alias("low"))
+    pairs = buckets.join(materialize(first, "first"), "band").where("words <> low").select("words", "low").distinct()
     other = held.select(F.col("words").alias("low"), F.col("shingles").alias("others"))
-    checked = pairs.join(held, "words").join(other, "low").select("words", "low", "shingles", "others").mapInArrow(verify, "words long, low long")
+    checked = materialize(pairs, "pairs").join(held, "words").join(other, "low").select("words", "low", "shingles", "others").mapInArrow(verify, "words long, low long")
     prints = one.select("words", "fp")
     found = checked.join(prints, "words").withColumnRenamed("fp", "a").join(prints.toDF("low", "b"), "low")
     return found.where("a <> b").select("a", "b")
 
 
+def _overlaps(sets: list[np.ndarray], classes: np.ndarray, sides: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places that link all classes of ``classes`` with alike sets (without repeats); if there are two ``sides``, pairs across them."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    held, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token))])
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    label, out = np.unique(classes, return_inverse=True)[1], []
+    asked = np.full(len(sets), sides.min() == sides.max()) | (sides == sides.max())
+    for i in np.flatnonzero(sides == sides.min()).tolist():
+        if (label[asked] == label[i]).all():
+            continue
+        own = token[begins[i] : begins[i + 1]]
+        counts = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        both = np.bincount(held[at], minlength=len(sets))
+        for j in np.flatnonzero((both >= similarity * (sizes + sizes[i] - both)) & asked & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _rest(one: DataFrame, buckets: DataFrame, held: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between the classes of alike texts that share a band; ``classes`` (fp, class) are those linked so far.
+
+    Every pair of different classes in a band is looked at.  The texts of a band
+    are dealt to blocks of about ``BLOCK_BYTES`` bytes of shingles, and each pair of
+    blocks is a group of its own, so no task holds a whole band.
+    """
+    labelled = one.select("words", "fp").join(classes, "fp", "left").select("words", F.coalesce("class", "fp").alias("class"))
+    sized = held.select("words", F.length("shingles").cast("long").alias("bytes")).join(labelled, "words")
+    members = materialize(buckets.select("band", "words").join(materialize(sized, "classes"), "words"), "members")
+    mixed = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("words").cast("decimal(38,0)")).alias("set"))
+    mixed = mixed.where("low < high").groupBy("n", "bytes", "set").agg(F.min("band").alias("band"))
+    blocks = materialize(mixed.select("band", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "blocks")
+    dealt = members.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("words", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("words", "class", "band", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        found, classes = [], group["class"].to_numpy()
+        if len(group) > 1 and (classes != classes[0]).any():
+            found = _overlaps([np.frombuffer(x, "<u4") for x in group["shingles"].to_pylist()], classes, group["own"].to_numpy(), similarity)
+        ends = [pa.array(np.array([classes[p[side]] for p in found], np.int64)) for side in (0, 1)]
+        return pa.Table.from_arrays(ends, names=["a", "b"])
+
+    pairs = materialize(dealt, "dealt").join(held, "words").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+    return pairs.where("a <> b").distinct()
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """Rows (key, fingerprint, component_id), one per row of ``df``.
 
     With ``similarity``, texts whose shingle sets have at least that Jaccard
     similarity are linked too: fingerprints of texts with a few changed words in
-    a hundred differ in more bits than the grid can search.
+    a hundred differ in more bits than the grid can search.  Texts that share a
+    MinHash band are verified against its most central text, and then all pairs
+    of a band that this has not put into one class.
 
     ``component_id`` is the smallest key that can be reached over links of at
     most two differing bits, the row's own key included.  A null text has no
@@ -202,9 +271,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     rows = materialize(make(df, key, text, words_per_shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     edges = links(nodes)
-    if similarity is not None:
-        edges = edges.union(_alike(df, rows, key, text, words_per_shingle, similarity))
-    linked = materialize(components(edges), "linked")
+    if similarity is None:
+        linked = materialize(components(edges), "linked")
+    else:
+        one, buckets = _buckets(rows)
+        held = _shingles(df, one, buckets, key, text, words_per_shingle)
+        edges = materialize(edges.union(_central(one, buckets, held, similarity)), "first-edges")
+        linked = materialize(components(edges), "linked")
+        more = materialize(_rest(one, buckets, held, linked.select(F.col("node").alias("fp"), F.col("root").alias("class")), similarity), "more-edges")
+        linked = materialize(components(edges.union(more)), "linked")
     members = materialize(linked.join(nodes, linked.node == nodes.fp).select("fp", "root", "least"), "members")
     roots = materialize(members.groupBy("root").agg(F.min("least").alias("component")), "roots")
     far = members.join(roots, "root").select("fp", "component")

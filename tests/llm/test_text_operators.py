@@ -186,6 +186,29 @@ def test_similar_texts(spark):
     assert 0 < len(kept) < len(rows)
 
 
+def edited(rng, base, changes):
+    own = list(base)
+    for at in rng.choice(len(base), changes, replace=False):
+        own[at] = f"changed{rng.integers(10**9)}"
+    return own
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_BYTES, 20_000])
+def test_similar_texts_that_their_band_does_not_begin_with(spark, monkeypatch, block):
+    """Copies that are like their original alone, and chains of which each text is like the next one alone."""
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(11)
+    base = words(500, 300).split()
+    texts = [base, *(edited(rng, base, 6) for _ in range(1000))]
+    for g in range(3):
+        texts.append(words(600 + g, 300).split())
+        for _ in range(40):
+            texts.append(edited(rng, texts[-1], 6))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, words_per_shingle=5, similarity=0.8).collect()}
+    assert found == {i: 0 if i <= 1000 else i - (i - 1001) % 41 for i in range(len(texts))}
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=3)), min_size=1, max_size=12))
 def test_links_reach_what_brute_force_reaches(spark, seeds):
