@@ -26,10 +26,9 @@ from tessella.llm.common import binary_views, materialize, mix, prepare, utf8
 from tessella.llm.components import components
 
 #: Words of a shingle and of a piece, places of which the smallest hash begins a piece, and bands.
-SHINGLE, PIECE, SPAN, BANDS = 5, 22, 18, 2
+#: A common passage of ``SPAN + PIECE - 1`` = 51 words has a whole window of places that begin a piece inside it, so it shares a piece.
+SHINGLE, PIECE, SPAN, BANDS = 5, 34, 18, 2
 SIMILARITY = 0.8
-#: Repeated words in a row that make a repeat; every common passage of 51 words or more has so many.
-LEAST_WORDS = 34
 #: Document keys and places that are broadcast at most; more are joined.
 MAX_BROADCAST_BYTES = 32 << 20
 
@@ -156,14 +155,14 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         grown = F.struct(last["first"].alias("first"), F.greatest(last["end"], x["pos"] + PIECE).alias("end"), (last["stays"] & x["stays"]).alias("stays"))
         return F.when((F.size(out) > 0) & (last["end"] >= x["pos"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(new)))
 
-    spans = F.filter(F.aggregate("at", zero, step), lambda s: s["end"] - s["first"] >= LEAST_WORDS)
+    spans = F.aggregate("at", zero, step)
     return listed.select(F.col("key").alias(key), spans.alias("spans")).where(F.size("spans") > 0)
 
 
 def passage_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, repeated, n_spans, n_repeated, n_removed), one per row of ``df``.
 
-    A repeat is at least ``LEAST_WORDS`` words in a row that, piece by piece,
+    A repeat is at least ``PIECE`` words in a row that, piece by piece,
     another document has with a similarity of 0.8 or more.  ``n_removed`` counts
     the words of repeats that stay in a smaller document key.  Null, empty and
     short texts have no repeats; rows with equal keys are one document, and a

@@ -235,6 +235,15 @@ def test_passages(spark):
     assert texts[13] == whole[13] and texts[15] == whole[15] and len(texts[14].split()) == len(whole[14].split()) - out[14]["n_removed"]
 
 
+def test_every_passage_of_51_words_is_found(spark):
+    rows = []
+    for i in range(400):
+        passage = words(10_000 + i, 51)
+        rows += [(2 * i + side, f"{words(20_000 + 2 * i + side, 30)} {passage} {words(30_000 + 2 * i + side, 30)}") for side in (0, 1)]
+    out = paragraphs.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["repeated"] for r in out) == len(rows) == 800
+
+
 def benchmark(spark):
     base = words(1, 120).split()
     items = [(1, " ".join(base[10:25])), (2, " ".join(base[30:45]).upper()), (3, "one"), (4, None), (5, ""), (6, "!!"), (10, words(6, 12)), (7, words(10, 4000)[5000:5200]), (None, " ".join(base[60:75])), (1, " ".join(base[12:26]))]
