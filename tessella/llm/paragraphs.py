@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import binary_views, materialize, mix, prepare, utf8
@@ -118,11 +118,31 @@ def _linked(pieces: DataFrame) -> DataFrame:
     return out
 
 
+def merged_spans(pieces: list[tuple[int, bool]]) -> list[list]:
+    """Disjoint spans [first, end, stays] of the words under ``pieces`` (place, whether it stays), in order.
+
+    A word under a piece that stays, stays, also where one that goes covers it.
+    """
+    out: list[list] = []
+    for at, stays in sorted(pieces):
+        end, last = at + PIECE, out[-1] if out else None
+        if stays and last and not last[2] and last[1] > at:
+            last[1] = at
+            if last[0] >= at:
+                out.pop()
+            last = out[-1] if out else None
+        if last and last[1] >= at and last[2] == stays:
+            last[1] = end
+        elif not last or last[1] < end:
+            out.append([max(at, last[1]) if last else at, end, stays])
+    return out
+
+
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, spans): for each document with pieces that repeat in another one, the merged word spans and whether each stays.
+    """Rows (key, spans): for each document with pieces that repeat in another one, the disjoint word spans and whether each stays.
 
-    ``spans`` holds first word, word after the last, and ``stays``: whether all
-    its pieces have their cluster's smallest key here.  Equal pieces stand for
+    ``spans`` holds first word, word after the last, and ``stays``: whether it is
+    under pieces that have their cluster's smallest key here.  Equal pieces stand for
     each other; only distinct pieces that share their first shingle are compared.
     """
     prepare(df.sparkSession)
@@ -146,31 +166,37 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     clusters = member.groupBy("root").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("root", "least")
     kept = member.join(materialize(clusters, "clusters"), "root").select("piece", "least").distinct()
     placed = places.join(materialize(kept, "kept"), "piece").select("key", "pos", (F.col("key") == F.col("least")).alias("stays"))
-    listed = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "stays"))).alias("at"))
-    zero = F.array().cast("array<struct<first:int,end:int,stays:boolean>>")
+    listed = placed.groupBy("key").agg(F.collect_list(F.struct("pos", "stays")).alias("at"))
+    spans = "array<struct<first:int,end:int,stays:boolean>>"
 
-    def step(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        new = F.struct(x["pos"].alias("first"), (x["pos"] + PIECE).alias("end"), x["stays"].alias("stays"))
-        grown = F.struct(last["first"].alias("first"), F.greatest(last["end"], x["pos"] + PIECE).alias("end"), (last["stays"] & x["stays"]).alias("stays"))
-        return F.when((F.size(out) > 0) & (last["end"] >= x["pos"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(new)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends, at = np.cumsum(lists.value_lengths().to_numpy()), lists.flatten()
+            pos, stays = (np.split(at.field(i).to_numpy(zero_copy_only=False), ends[:-1]) for i in (0, 1))
+            merged = [merged_spans(list(zip(p.tolist(), s.tolist()))) for p, s in zip(pos, stays)]
+            first, end, keep = (pa.array([x[i] for own in merged for x in own], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_())))
+            offsets = pa.array(np.cumsum([0, *map(len, merged)]).astype(np.int32))
+            spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([first, end, keep], names=["first", "end", "stays"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["key", "spans"])
 
-    spans = F.aggregate("at", zero, step)
-    return listed.select(F.col("key").alias(key), spans.alias("spans")).where(F.size("spans") > 0)
+    return listed.mapInArrow(run, f"key long, spans {spans}").withColumnRenamed("key", key)
 
 
 def passage_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, repeated, n_spans, n_repeated, n_removed), one per row of ``df``.
 
-    A repeat is at least ``PIECE`` words in a row that, piece by piece,
-    another document has with a similarity of 0.8 or more.  ``n_removed`` counts
-    the words of repeats that stay in a smaller document key.  Null, empty and
+    A repeat is at least ``PIECE`` words in a row that, piece by piece, another
+    document has with a similarity of 0.8 or more.  ``n_spans`` counts runs of
+    such words.  ``n_removed`` counts the words of repeats that stay in a smaller
+    document key, and under no piece that stays here.  Null, empty and
     short texts have no repeats; rows with equal keys are one document, and a
     null key has none.  Extra columns are ignored.
     """
     found = materialize(repeated_passages(df, key, text), "repeats")
     words = lambda cond: F.aggregate(F.filter("spans", cond), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
-    found = found.select(F.col(key).alias("__key"), F.size("spans").cast("long").alias("n_spans"), words(lambda s: F.lit(True)).alias("n_repeated"), words(lambda s: ~s["stays"]).alias("n_removed"))
+    runs = F.size(F.filter("spans", lambda s, i: (i == 0) | (F.get("spans", i - 1)["end"] < s["first"])))
+    found = found.select(F.col(key).alias("__key"), runs.cast("long").alias("n_spans"), words(lambda s: F.lit(True)).alias("n_repeated"), words(lambda s: ~s["stays"]).alias("n_removed"))
     out = df.select(key).join(found, F.col(key) == F.col("__key"), "left").drop("__key").na.fill(0, ["n_spans", "n_repeated", "n_removed"])
     return out.select(key, (F.col("n_spans") > 0).alias("repeated"), "n_spans", "n_repeated", "n_removed")
 

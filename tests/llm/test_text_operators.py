@@ -244,6 +244,28 @@ def test_every_passage_of_51_words_is_found(spark):
     assert sum(r["repeated"] for r in out) == len(rows) == 800
 
 
+def test_overlapping_passages_of_different_lengths_survive_once(spark):
+    text = words(40, 120).split()
+    docs = {1: text[:60], 2: text, 3: text[40:]}
+    df = spark.createDataFrame([(i, f"{words(50 + i, 20)} {' '.join(t)} {words(60 + i, 20)}") for i, t in docs.items()], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in paragraphs.drop_passages(df).collect()}
+    report = {r["doc_id"]: r["n_removed"] for r in paragraphs.passage_report(df).collect()}
+    assert out[1] == df.where("doc_id = 1").first()["text"] and report[1] == 0 < min(report[2], report[3])
+    kept = {tuple(w[i : i + 5]) for w in (t.split() for t in out.values()) for i in range(len(w) - 4)}
+    assert {tuple(text[i : i + 5]) for i in range(116)} <= kept
+    assert all(len(out[d].split()) == 40 + len(docs[d]) - report[d] for d in docs)
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 200), st.booleans()), max_size=12))
+def test_words_under_a_piece_that_stays_stay(pieces):
+    under = lambda keep: {w for at, stays in pieces if stays == keep for w in range(at, at + paragraphs.PIECE)}
+    spans = paragraphs.merged_spans(pieces)
+    for keep, want in ((True, under(True)), (False, under(False) - under(True))):
+        found = [w for first, end, stays in spans if stays == keep for w in range(first, end)]
+        assert sorted(want) == found
+
+
 def benchmark(spark):
     base = words(1, 120).split()
     items = [(1, " ".join(base[10:25])), (2, " ".join(base[30:45]).upper()), (3, "one"), (4, None), (5, ""), (6, "!!"), (10, words(6, 12)), (7, words(10, 4000)[5000:5200]), (None, " ".join(base[60:75])), (1, " ".join(base[12:26]))]
