@@ -1,23 +1,27 @@
 """The main text of web pages by differencing each page with its nearest neighbour.
 
-A page is cut into blocks.  Blocks in navigation, headers, footers, asides,
-forms, adverts, notices, comments and the like are dropped for what their
-elements say.  What is left is loose (outside any ``article`` or ``main``) or
-belongs to the content.  Loose blocks are what templates put around it: within
+A page is cut into blocks, and every block is a line of the comparison.  Within
 each host, every URL path is paired with the path beside it in sorted order that
-shares the longer prefix; the loose lines of the two pages are aligned by their
-longest common subsequence, and shared lines are deleted.  Where a page has a
-content element, its loose lines go altogether, and its content is never
-differenced, as articles may quote the same lines.
+shares the longer prefix, and the lines of the two pages are aligned by their
+longest common subsequence.  Shared lines are template and go.
 
-Only hashes of loose lines are shuffled, for pages without a content element.
+Elements break the ties that two pages leave.  Lines in an ``article`` or
+``main`` are aligned like all others but stay, as articles quote the same lines;
+lines that differ from page to page go where their elements say that they are
+menus, headers, footers, sidebars, notices, adverts, forms or comments.  What is
+then left outside content elements stays only on pages whose content elements
+hold the minor part of the text, or that have none: see ``kept_lines``.
+
+Only hashes and sizes of lines are shuffled.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -27,110 +31,224 @@ from pyspark.sql import functions as F
 from tessella.llm.common import binary_views, materialize, prepare, utf8
 from tessella.llm.urls import url_host, url_path
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|option|title|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
-_ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.IGNORECASE)
+_MARKUP = re.compile(r"<(?:(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)|(?P<comment>!--)|[!?/])")
+_TAG_END = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![\w:-])([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
-#: Elements that hold no article text.
-DROPPED = frozenset("nav footer aside form button input label head dialog menu audio video".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Elements whose content is not markup; an end tag of the same name ends them.
+_RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements that hold no article text wherever they stand, and those that hold none unless the page stands in them.
+DROPPED = frozenset("nav footer aside button input label head dialog menu audio video noscript template svg object canvas math select option datalist".split())
+WRAPPERS = frozenset(("form",))
 #: Elements that end a block where they begin and end.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Elements that the next one of their kind ends.
-_SIBLINGS = frozenset("li dt dd tr td th".split())
+_SIBLINGS = frozenset("li dt dd tr td th option".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CONTENT = frozenset(("article", "main"))
-#: Words in class, id or role that mark what is not the article, and beginnings of such words.
+CONTENT_ELEMENTS = frozenset(("article", "main"))
+#: Class and id names made of these words, and of words that may stand beside them, mark what is not the article.
 MARKS = frozenset(
-    "ad ads adbox consent copyright disclaimer disqus gdpr header login menu modal nav navbar notice overlay pager pagination related replies reply respond "
-    "search share sharing signup skip social tags teaser toolbar topbar widget widgets".split()
+    "ad ads adbox adsense advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright "
+    "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter newsletters notice notices overlay pager pagination popup popups promo "
+    "promos promotion promotions related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription "
+    "tags teaser teasers toolbar topbar widget widgets".split()
 )
-MARK_STEMS = ("advert", "banner", "breadcrumb", "comment", "cookie", "footer", "masthead", "navigation", "newsletter", "popup", "promo", "sidebar", "sponsor", "subscri")
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+BESIDE_MARKS = frozenset(
+    "area article articles aside bar block bottom box button buttons card col container content footer form global group icon icons inner item items left link links list "
+    "main module more news outer page panel policy post posts primary right row secondary section site slot sticky stories story text title top unit user users wrap wrapper zone".split()
+)
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Bytes of the rows of one alignment, and of kept line numbers that are broadcast at most.
+ROW_BYTES, MAX_BROADCAST_BYTES = 32 << 20, 16 << 20
+#: Depth of inline elements that a new paragraph looks through.
+_INLINE = 64
+
+#: Kinds of lines: marked as not the article; outside of content elements; paragraphs in a form outside of them; in one.
+#: From ``WRAPPED`` on: in the first, second ... content element that is marked, or stands in a marked element.
+MARKED, LOOSE, FORMED, CONTENT, WRAPPED = range(5)
+
+
+def _is_mark(name: str) -> bool:
+    """Whether a class or id name is of marking words alone; ``search-page`` or ``with-sidebar`` say something of the page."""
+    own = [w.lower() for w in _WORDS.findall(name)]
+    return any(w in MARKS for w in own) and own[-1] != "page" and all(w in MARKS or w in BESIDE_MARKS or w.isdigit() for w in own)
+
+
+def _attributes(name: str, rest: str) -> tuple[bool, bool, bool]:
+    """Whether a tag is marked, hidden, or has the role of a content element."""
+    marked = hidden = main = False
+    for attribute, *values in _ATTRIBUTE.findall(rest):
+        attribute, value = attribute.lower(), "".join(values)
+        if attribute == "class" or attribute == "id" and name not in _PROSE:
+            marked = marked or any(map(_is_mark, value.split()))
+        elif attribute == "role":
+            marked, main = marked or value.lower() in ROLES, main or value.lower() == "main"
+        elif attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true" or attribute == "style" and "display:none" in value.replace(" ", "").lower():
+            hidden = True
+    return marked, hidden, main
+
+
+class _Page:
+    """A page's text and where its tags end, in time linear in its length."""
+
+    def __init__(self, text: str):
+        self.text, self.lower, self.last, self.unpaired = text, text.lower(), {}, set()
+
+    def tag_end(self, at: int) -> int:
+        """The place after the ``>`` of the tag whose attributes begin at ``at``; -1 if there is none.  A quote that nothing closes is a plain character."""
+        while m := _TAG_END.search(self.text, at):
+            if (quote := m[0]) == ">":
+                return m.end()
+            at = m.end()
+            if self.text[m.start() - 1] in "= " and quote not in self.unpaired:
+                close = self.text.find(quote, at)
+                if close < 0:
+                    self.unpaired.add(quote)
+                else:
+                    at = close + 1
+        return -1
+
+    def closes(self, name: str, at: int) -> bool:
+        """Whether an end tag of ``name`` follows ``at``."""
+        if name not in self.last:
+            self.last[name] = self.lower.rfind(f"</{name}")
+        return self.last[name] >= at
 
 
-def _marked(rest: str) -> bool:
-    for name, *values, hidden in _ATTRIBUTE.findall(rest):
-        if hidden:
-            return True
-        name, value = name.lower(), "".join(values)
-        if name in ("class", "id", "role") and any(w in MARKS or w.startswith(MARK_STEMS) for w in map(str.lower, _WORDS.findall(value))):
-            return True
-        if name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+class _Element(NamedTuple):
+    """What an open element says of the text in it."""
 
+    name: str = ""
+    dropped: bool = False  #: no article text wherever it stands
+    skipped: bool = False  #: an inline element that is dropped: its text is no line of its own
+    marked: bool = False
+    content: int = 0  #: number of the outermost content element, from 1
+    form: bool = False
+    prose: bool = False
 
-def blocks(page: str) -> list[tuple[bool, str]]:
-    """The blocks of a page that may be article text: whether each is in a content element, and its text."""
-    out: list[tuple[bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, content
+
+def blocks(page: str) -> list[tuple[int, str]]:
+    """The blocks of a page in order: their kind and their text, with white space and character references resolved."""
+    out: list[tuple[int, str]] = []
+    stack: list[_Element] = []
+    open_names: Counter = Counter()
     parts: list[str] = []
-    dropped = content = False
+    held, elements, at, now = _Page(page), 0, 0, _Element()
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((content, text))
+                if now.dropped or now.marked and not now.content:
+                    kind = MARKED
+                elif now.content:
+                    kind = WRAPPED + now.content - 1 if now.marked or now.form else CONTENT
+                else:
+                    kind = LOOSE if not now.form else FORMED if now.prose else MARKED
+                out.append((kind, text))
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not dropped:
+    def cut(depth: int) -> None:
+        nonlocal now
+        while len(stack) > depth:
+            open_names[stack.pop().name] -= 1
+        now = stack[-1] if stack else _Element()
+
+    while m := _MARKUP.search(page, at):
+        if m.start() > at and not now.skipped:
             parts.append(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
+        name = (m["name"] or "").lower()
         if not name:
+            end = page.find("-->" if m["comment"] else ">", m.end())
+            at = len(page) if end < 0 else end + (3 if m["comment"] else 1)
             continue
-        name = name.lower()
+        end = held.tag_end(m.end())
+        if end < 0:  # no tag, but text with a less-than sign
+            at = m.start()
+            break
+        rest, at = page[m.end() : end - 1], end
         if name == "br":
             parts.append(" ")
             continue
-        if name in BLOCKS:
-            flush()
+        inline = name not in BLOCKS
         if m["close"]:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
-                dropped, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            if not inline:
+                flush()
+            if open_names[name]:
+                depth = len(stack) - 1
+                while stack[depth].name != name:
+                    depth -= 1
+                cut(depth)
+            continue
+        if name in _RAW:
+            if held.closes(name, at):
+                at = held.lower.index(f"</{name}", at)
+            elif name in ("script", "style"):
+                at = len(page)
+            continue
+        if not inline:
+            flush()
+            if name == "body" or now.name == "head":
+                cut(0)
+            depth, least = len(stack) - 1, max(0, len(stack) - _INLINE)
+            while depth >= least and stack[depth].name not in BLOCKS:
+                depth -= 1
+            if depth >= least and (stack[depth].name == "p" or stack[depth].name == name and name in _SIBLINGS):
+                cut(depth)
+        if name in _VOID or rest.endswith("/") and name not in CONTENT_ELEMENTS and (inline or not held.closes(name, at)):
             continue
-        if name in BLOCKS:
-            if name == "body":
-                stack.clear()
-            while stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in _SIBLINGS):
-                stack.pop()
-            dropped, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        rest = m["rest"]
-        if name in _VOID or rest.endswith("/") and name not in BLOCKS:
+        marked, hidden, main = _attributes(name, rest) if rest.strip() and name not in ("html", "body") else (False, False, False)
+        drops = hidden or name in DROPPED or name == "header" and not now.content
+        if inline:
+            if (drops or marked or now.skipped and open_names[name]) and held.closes(name, at):
+                stack.append(now._replace(name=name, skipped=True))
+                open_names[name] += 1
+                now = stack[-1]
             continue
-        marked = bool(rest.strip()) and name not in ("html", "body") and _marked(rest)
-        if name in BLOCKS or name in DROPPED or marked or dropped:
-            own = dropped or marked and name not in CONTENT or name in DROPPED or name == "header" and not content
-            stack.append((name, own, content or name in CONTENT))
-            dropped, content = own, stack[-1][2]
-    if at < len(page) and not dropped:
+        is_content = (name in CONTENT_ELEMENTS or main) and not now.content
+        elements += is_content
+        inner = bool(now.content) and (marked or name in WRAPPERS)
+        stack.append(
+            _Element(name, now.dropped or drops or inner, now.skipped, now.marked or marked, now.content or (elements if is_content else 0), now.form or name in WRAPPERS, now.prose or name in _PROSE)
+        )
+        open_names[name] += 1
+        now = stack[-1]
+    if at < len(page) and not now.skipped:
         parts.append(page[at:])
     flush()
     return out
 
 
-def shared(a: list[int], b: list[int]) -> list[int]:
+def kept_lines(kinds: list[int], sizes: list[int], gone: set[int]) -> list[int]:
+    """The numbers of the lines of the main text, from their kinds and sizes and the numbers of those that the neighbour shares.
+
+    A marked content element that holds more than all else that may stay is the
+    article in a marked wrapper, and so are paragraphs of a form that do.  Lines
+    outside of content elements stay where they hold more than twice the text in
+    these.
+    """
+    total: Counter = Counter()
+    for i, (kind, size) in enumerate(zip(kinds, sizes)):
+        total[kind] += size if kind == CONTENT or kind >= WRAPPED or i not in gone else 0
+    inside, outside = {CONTENT}, {LOOSE}
+    main = max((k for k in total if k >= WRAPPED), key=lambda k: (total[k], -k), default=None)
+    if main is not None and 2 * total[main] > sum(total[k] for k in total if k >= CONTENT) + total[LOOSE]:
+        inside.add(main)
+    if total[FORMED] > total[LOOSE] + sum(total[k] for k in inside):
+        outside.add(FORMED)
+    if sum(total[k] for k in outside) <= 2 * sum(total[k] for k in inside):
+        outside = set()
+    return [i for i, kind in enumerate(kinds) if kind in inside or kind in outside and i not in gone]
+
+
+def _lcs(a: list[int], b: list[int]) -> list[int]:
     """Places in ``a`` of a longest common subsequence with ``b``, by bit-parallel rows."""
-    masks: dict[int, int] = {}
-    for j, x in enumerate(b):
-        masks[x] = masks.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    rows = [full]
-    for x in a:
-        v = rows[-1]
-        hit = v & masks.get(x, 0)
-        rows.append(((v + hit) | (v - hit)) & full)
+    rows = _rows(a, b)
     length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
     i, j, out = len(a), len(b), []
     while i and j:
@@ -145,6 +263,56 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _rows(a: list[int], b: list[int], last: bool = False) -> list[int]:
+    """The bit vector of each row (or of the last one); a place of ``b`` where the length grows has a 0."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for x in a:
+        v = rows[-1]
+        hit = v & masks.get(x, 0)
+        rows.append(((v + hit) | (v - hit)) & full)
+        if last:
+            del rows[0]
+    return rows
+
+
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """The length of the longest common subsequence of ``a`` with each prefix of ``b``."""
+    row, out = bin(_rows(a, b, last=True)[0] | 1 << len(b))[:2:-1], [0]
+    for bit in row:
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def shared(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``.
+
+    Common ends go first, and lines that the other page does not have.  Where
+    the rows would take over ``ROW_BYTES``, ``a`` is halved and ``b`` cut where the
+    two halves reach the longest sum.
+    """
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    in_a, in_b = set(a[low : len(a) - high]), set(b[low : len(b) - high])
+    places = [i for i in range(low, len(a) - high) if a[i] in in_b]
+    left, right = [a[i] for i in places], [x for x in b[low : len(b) - high] if x in in_a]
+    if len(left) < 2 or len(left) * len(right) // 8 <= ROW_BYTES:
+        middle = _lcs(left, right)
+    else:
+        half = len(left) // 2
+        sums = [x + y for x, y in zip(_lengths(left[:half], right), reversed(_lengths(left[:half - 1 : -1], right[::-1])))]
+        split = sums.index(max(sums))
+        middle = shared(left[:half], right[:split]) + [half + i for i in shared(left[half:], right[split:])]
+    return [*range(low), *(places[i] for i in middle), *range(len(a) - high, len(a))]
+
+
 def line_hashes(lines: list[str]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) for x in lines]
 
@@ -152,6 +320,8 @@ def line_hashes(lines: list[str]) -> list[int]:
 def _beside(paths: DataFrame) -> DataFrame:
     """``paths`` (host, path, lines; distinct host and path) with ``other``, the lines of the nearest path of the host.
 
+    The path before and the path after are looked at; one with the same lines is
+    a copy and no neighbour.
     The paths are sorted over ranges; the rows at the ends of a range are shown
     to the ranges beside it, so no host has to fit in one task.
     """
@@ -168,42 +338,49 @@ def _beside(paths: DataFrame) -> DataFrame:
     def common(side: str) -> Column:
         p, q = F.split(F.col("path"), ""), F.split(F.col(f"{side}.path"), "")
         same = F.aggregate(F.zip_with(p, q, lambda x, y: x.eqNullSafe(y)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, e: F.struct((s["n"] + (s["on"] & e).cast("int")).alias("n"), (s["on"] & e).alias("on")))
-        return F.when(F.col(f"{side}.host") == F.col("host"), same["n"]).otherwise(-1)
+        return F.when((F.col(f"{side}.host") == F.col("host")) & (F.col(f"{side}.lines") != F.col("lines")), same["n"]).otherwise(-1)
 
     near = both.withColumn("p", F.coalesce(common("prev"), F.lit(-1))).withColumn("n", F.coalesce(common("next"), F.lit(-1)))
     other = F.when((F.col("p") >= F.col("n")) & (F.col("p") >= 0), F.col("prev.lines")).when(F.col("n") >= 0, F.col("next.lines"))
     return near.select("host", "path", other.alias("other")).where("other is not null")
 
 
-def template_lines(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Rows (page_key, gone): the numbers of the loose lines that a page shares with its nearest neighbour.
-
-    ``page_key`` is a digest of URL and HTML.  Pages with equal host and path
-    are differenced with the same neighbour, not with each other.
-    """
+def parsed(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Rows (page_key, host, path, lines, kinds, sizes) of the distinct pages: a hash, the kind and the code points of each line."""
     prepare(pages.sparkSession)
+    kind = "page_key string, host string, path string, lines array<long>, kinds array<int>, sizes array<int>"
 
-    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for page in binary_views(batch.column(3)):
-                got = blocks(page.decode("utf-8", "replace"))
-                found.append([] if any(x for x, _ in got) else line_hashes([t for _, t in got]))
-            lines = pa.array(found, pa.list_(pa.int64()))
-            keep = pa.array([bool(x) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lines], names=["page_key", "host", "path", "lines"]).filter(keep)
+            found = [blocks(page.decode("utf-8", "replace")) for page in binary_views(batch.column(3))]
+            lines = pa.array([line_hashes([t for _, t in x]) for x in found], pa.list_(pa.int64()))
+            kinds, sizes = (pa.array([[value(x) for x in own] for own in found], pa.list_(pa.int32())) for value in (lambda x: x[0], lambda x: len(x[1])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lines, kinds, sizes], names=[x.split()[0] for x in kind.split(", ")])
 
     rows = pages.select(page_key(url, html), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), utf8(html).alias("html"))
-    rows = materialize(rows.mapInArrow(loose, "page_key string, host string, path string, lines array<long>").distinct(), "loose")
+    return rows.mapInArrow(run, kind).dropDuplicates(["page_key"])
+
+
+def differenced(rows: DataFrame) -> DataFrame:
+    """Rows (page_key, gone, kept) for the pages of ``rows`` (as ``parsed`` gives them) that share lines with their nearest neighbour.
+
+    ``gone`` are the numbers of the shared lines and ``kept`` those of the main
+    text, null where the elements alone would have kept the same.  Pages with
+    equal host and path are differenced with the same neighbour, not with each other.
+    """
     other = materialize(_beside(rows.groupBy("host", "path").agg(F.min("lines").alias("lines"))), "beside")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [shared(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["page_key", "gone"])
+            gone, kept = [], []
+            for a, kinds, sizes, b in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                gone.append(shared(a, b))
+                own = kept_lines(kinds, sizes, set(gone[-1]))
+                kept.append(own if own != kept_lines(kinds, sizes, set()) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in (gone, kept))], names=["page_key", "gone", "kept"])
 
-    pairs = rows.join(other, ["host", "path"]).select("page_key", "lines", "other")
-    return pairs.mapInArrow(align, "page_key string, gone array<int>").where(F.size("gone") > 0)
+    pairs = rows.join(other, ["host", "path"]).select("page_key", "lines", "kinds", "sizes", "other")
+    return pairs.mapInArrow(align, "page_key string, gone array<int>, kept array<int>").where(F.size("gone") > 0)
 
 
 def page_key(url: str, html: str) -> Column:
@@ -217,24 +394,24 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     Blocks are joined by one newline; character references are decoded, white
     space inside a block becomes one space.  Null or empty HTML, and pages
     without article text, give an empty text.  Null URLs share the empty host.
-    A page whose host has no other path is not differenced.  Extra columns are
-    ignored.
+    A page whose host has no other path, or only copies beside it, is not
+    differenced.  Extra columns are ignored.
     """
-    gone = materialize(template_lines(pages, url, html), "template")
+    differing = differenced(materialize(parsed(pages, url, html), "lines")).where("kept is not null").select("page_key", "kept")
+    differing = materialize(differing, "differing")
+    n, numbers = differing.agg(F.count("*"), F.coalesce(F.sum(F.size("kept")), F.lit(0))).first()
+    differing = F.broadcast(differing) if 50 * n + 4 * numbers <= MAX_BROADCAST_BYTES else differing
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), utf8(html).alias("html"), page_key(url, html))
-    rows = rows.join(gone, "page_key", "left").select("key", "url", "html", "gone")
+    rows = rows.join(differing, "page_key", "left").select("key", "url", "html", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, drop in zip(binary_views(batch.column(2)), batch.column(3).to_pylist()):
-                got = blocks(page.decode("utf-8", "replace"))
-                if any(x for x, _ in got):
-                    lines = [t for inside, t in got if inside]
-                else:
-                    out = set(drop or ())
-                    lines = [t for i, (_, t) in enumerate(got) if i not in out]
-                texts.append("\n".join(lines))
+            for page, kept in zip(binary_views(batch.column(2)), batch.column(3).to_pylist()):
+                found = blocks(page.decode("utf-8", "replace"))
+                if kept is None:
+                    kept = kept_lines([x for x, _ in found], [len(t) for _, t in found], set())
+                texts.append("\n".join(found[i][1] for i in kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)[key]
