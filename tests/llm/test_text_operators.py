@@ -444,7 +444,7 @@ def test_broken_pages_take_linear_time():
 
 def _expected_pages(pages):
     """Differencing by the definition: a quadratic table for each page and the neighbour that brute force names."""
-    place = lambda u: (m[1].lower(), m[2]) if (m := re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")) else ("", "")
+    place = lambda u: (lower(m[1]), m[2]) if (m := re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")) else ("", "")
     cut = {(p["url"], p["html"]): html.blocks(p["html"] or "") for p in pages}
     first = {}
     for (u, h), found in cut.items():
@@ -507,25 +507,60 @@ def test_urls(spark):
     assert judged.where("not bad and verdict = 'block'").count() <= 0.02 * judged.count()
 
 
-def test_url_scores_equal_brute_force(spark):
-    rows = [("ab.c", False), ("abab", False), ("zz-z9", True), ("Éz", True)]
-    known = spark.createDataFrame(rows, "t string, rejected boolean").select(urls.symbols(F.col("t")).alias("numbers"), "rejected")
-    model = urls.ratio_model(known).first()["model"]
-    assert len(model) == urls.SYMBOLS**3
-    number = lambda c: urls.ALPHABET.find("0" if c.isdigit() else c.lower()) + 1
-    count = {True: collections.Counter(), False: collections.Counter()}
-    for t, bad in rows:
-        s = [0, 0, *map(number, t)]
-        count[bad].update(tuple(s[i : i + 3]) for i in range(len(t)))
-
-    def p(bad, a, b, c):
-        n = lambda f: sum(v for k, v in count[bad].items() if f(k))
-        one = (n(lambda k: k[2] == c) + 1) / (n(lambda k: True) + urls.SYMBOLS)
-        two = (n(lambda k: k[1:] == (b, c)) + 4 * one) / (n(lambda k: k[1] == b) + 4)
-        return (count[bad][a, b, c] + 4 * two) / (n(lambda k: k[:2] == (a, b)) + 4)
-
-    for a, b, c in [(0, 0, 1), (1, 2, 1), (26, 26, 29), (5, 6, 7)]:
-        assert model[(a * urls.SYMBOLS + b) * urls.SYMBOLS + c] == pytest.approx(np.log(p(True, a, b, c) / p(False, a, b, c)))
+def _judged(pages, words):
+    """Verdicts by the definition: for each URL, contexts counted in all URLs of other folds, looked up one character at a time."""
+    place = lambda u: (lower(m[1]), m[2]) if (m := re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")) else ("", "")
+    number = lambda c: urls.ALPHABET.find("0" if c in "0123456789" else lower(c)) + 1
+    numbers = lambda t: [number(c) for c in t]
+    fold = lambda host: zlib.crc32(host.encode()) % urls.FOLDS
+    rejected = lambda host: any(w in words for w in re.split(r"[.\-_]", host))
+    rows = [(i, *place(u)) for i, u in pages]
+    examples = [(fold(h), rejected(h), numbers(h + p)) for _, h, p in rows if h] + [(None, True, numbers(w)) for w in words]
+    models = []
+    for f in range(urls.FOLDS):
+        models.append({c: collections.defaultdict(collections.Counter) for c in (False, True)})
+        for of, c, s in (x for x in examples if x[0] != f):
+            padded = [0] * urls.ORDER + s
+            for i in range(urls.ORDER, len(padded)):
+                for k in range(urls.ORDER + 1):
+                    models[f][c][tuple(padded[i - k : i])][padded[i]] += 1
+
+    def p(model, context, x):
+        shorter = p(model, context[1:], x) if context else 1 / urls.SYMBOLS
+        followers = model.get(context, {})
+        n = sum(followers.values())
+        return (followers.get(x, 0) + len(followers) * shorter) / (n + len(followers)) if n else shorter
+
+    def score(f, s):
+        padded = [0] * urls.ORDER + s
+        ratio = lambda i: np.log(p(models[f][True], tuple(padded[i - urls.ORDER : i]), padded[i]) / p(models[f][False], tuple(padded[i - urls.ORDER : i]), padded[i]))
+        return sum(map(ratio, range(urls.ORDER, len(padded)))) / len(s) if s else 0.0
+
+    known = [(c, int(np.floor(score(f, s) * urls.STEPS))) for f, c, s in examples if f is not None]
+    order = sorted({-1, *(x for _, x in known)})
+    share = lambda c, test: sum(test(x) for y, x in known if y == c) / max(1, sum(y == c for y, _ in known))
+    costs = [(round(share(True, lambda x: x <= step) + urls.CAUTION * share(False, lambda x: x > step), 12), step - after, step, after) for step, after in zip(order, [*order[1:], order[-1] + 2])]
+    _, _, step, after = min(costs)
+    limit = max((step + 1 + after) / (2 * urls.STEPS), 0)
+    return {i: (s := score(fold(h), numbers(h + q)), "block" if s > limit else "allow", rejected(h)) for i, h, q in rows}
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    """Also for hosts that look like rejected ones without a word of the list, and for clean ones with such a word."""
+    hosts = [f"{a}{b}.example.org" for a in ("north", "river", "stone", "light") for b in ("house", "field", "works", "Water")]
+    hosts += [f"{a}-{b}.example.com" for a in ("casino", "spam", "poker", "cheap") for b in ("jackpot", "slots", "pills", "winner")]
+    hosts += ["casinos-jackpots.example.com", "pokerslots-cheappills.example.com", "free.lightworks.example.org", "Éa_b.example.org", "win"]
+    pages = [(i, f"https://{h}/{'ab'[i % 2]}/{i * 37}.html?x") for i, h in enumerate(hosts * 3 + hosts[:16] * 20)] + [(900, None), (901, "no scheme"), (902, "http:///path"), (903, "")]
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string").repartition(4), {}).collect()}
+    want = _judged(pages, urls.REJECTED_WORDS)
+    assert {i: r["score"] for i, r in got.items()} == pytest.approx({i: x[0] for i, x in want.items()}, abs=1e-5)
+    assert {i: r["verdict"] for i, r in got.items()} == {i: x[1] for i, x in want.items()}
+    differ = {hosts[i] for i, x in want.items() if i < len(hosts) and (x[1] == "block") != x[2]}
+    assert differ >= {"casinos-jackpots.example.com", "pokerslots-cheappills.example.com", "free.lightworks.example.org"}
+    clean = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts[:16])], "page_id long, url string")
+    assert {r["verdict"] for r in urls.judge_urls(clean, {}).collect()} == {"allow"}
+    few = urls.judge_urls(clean, {}, words=()).collect()
+    assert len(few) == 16 and {r["verdict"] for r in few} == {"allow"}
 
 
 def test_top_k(spark):
