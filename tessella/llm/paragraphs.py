@@ -1,15 +1,20 @@
-"""Repeated passages by MinHash over paragraph pieces.
-
-The words of a text are cut into overlapping pieces of ``PIECE`` words that
-begin where the content says: at every place whose 5-word shingle has the
-smallest hash of some ``SPAN`` places in a row.  That smallest hash is the
-MinHash of the places around it, so two texts that share ``SPAN`` shingles in a
-row share a piece, wherever in their lines the passage stands.  Pieces whose
-first shingle is in one document only are done.  The others are banded by that
-shingle and one more MinHash of the piece, per band; pieces that collide are
-verified against the first piece of their band by the exact Jaccard similarity
-of their shingles.  Verified pieces are clustered by connected components; a
-cluster stays in its smallest document key and is removed from the others.
+"""Repeated passages by MinHash over paragraphs, and over pieces of them.
+
+Paragraphs are lines of at least ``LEAST`` words.  Their 5-word shingles are
+MinHashed in bands, paragraphs that collide are verified by the exact Jaccard
+similarity of their shingles (see ``similar``), and alike ones are clustered by
+connected components.
+
+A passage may also stand in the middle of paragraphs that are otherwise unlike.
+So texts are cut into overlapping pieces of ``PIECE`` words that begin where the
+content says: at every place whose 5-word shingle has the smallest hash of some
+``SPAN`` places in a row.  That smallest hash is the MinHash of the places around
+it, so two texts that share ``SPAN`` shingles in a row share such places, wherever
+in their lines the passage stands, and equal pieces are a cluster.
+
+A cluster stays in its smallest document key and is removed from the others.
+The texts are read twice by Python: once for all paragraphs and pieces, and once
+for the shingles of the paragraphs that collide.
 """
 
 from __future__ import annotations
@@ -18,195 +23,213 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary_views, materialize, mix, prepare, utf8
-from tessella.llm.components import components
+from tessella.llm import similar
+from tessella.llm.common import WORD, free_name, materialize, mix, prepare, utf8
+from tessella.llm.similar import Words, alike, candidates, minhash_bands, packed_set, slices, spread
 
-#: Words of a shingle and of a piece, places of which the smallest hash begins a piece, and bands.
+#: Words of a shingle, of a piece, and of the shortest paragraph; and places of which the smallest hash begins a piece.
 #: A common passage of ``SPAN + PIECE - 1`` = 51 words has a whole window of places that begin a piece inside it, so it shares a piece.
-SHINGLE, PIECE, SPAN, BANDS = 5, 34, 18, 2
+SHINGLE, PIECE, LEAST, SPAN = 5, 34, 34, 18
 SIMILARITY = 0.8
-#: Document keys and places that are broadcast at most; more are joined.
-MAX_BROADCAST_BYTES = 32 << 20
-
-
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """A hash of every 5 words in a row."""
-    if len(words) < SHINGLE:
-        return np.zeros(0, np.uint64)
-    each = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    n = len(words) - SHINGLE + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        out = mix(out ^ each[i : i + n])
-    return out
-
+#: Text bytes that are cut at once, and document keys and paragraphs that are broadcast at most.
+SLICE_BYTES, MAX_BROADCAST_BYTES = 4 << 20, 32 << 20
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """Places that have the smallest hash of some ``SPAN`` places in a row (the last of equal ones) and a whole piece after them."""
-    if len(hashes) < SPAN:
-        return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], SPAN)
-    at = np.arange(len(windows)) + windows.argmin(axis=1)
-    places = np.unique(len(hashes) - 1 - at)
-    return places[places <= len(hashes) - (PIECE - SHINGLE + 1)]
 
+def anchors(shingles: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Places that have the smallest hash of some ``SPAN`` places in a row of a text (the last of equal ones) and a whole piece after them.
 
-def piece_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    ``texts`` has the first word of each text and the number of all words.
+    """
+    n = len(shingles)
+    if n < SPAN + SHINGLE - 1:
+        return np.zeros(0, np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    least = (shingles & ~low) | (low - np.arange(n, dtype=np.uint64))
+    width = 1
+    while 2 * width <= SPAN:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    if width < SPAN:
+        least = np.minimum(least[: width - SPAN], least[SPAN - width :])
+    end = np.repeat(texts[1:], np.diff(texts))
+    begins = np.arange(len(least))
+    places = np.unique((low - (least[begins + SPAN + SHINGLE - 1 <= end[: len(least)]] & low)).astype(np.int64))
+    return places[places + PIECE <= end[places]]
+
+
+def piece_hashes(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of all words of each piece, from shingles that cover it."""
     out = np.zeros(len(at), np.uint64)
     for i in (*range(0, PIECE - SHINGLE, SHINGLE), PIECE - SHINGLE):
-        out = mix(out ^ hashes[at + i])
+        out = mix(out ^ shingles[at + i])
     return out
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Rows (anchor, piece, key, pos) of ``rows`` (key, text): where its pieces begin."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, pieces, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
-            for text in binary_views(batch.column(1)):
-                hashes = shingle_hashes(text.lower().split())
-                at = anchors(hashes)
-                found.append(hashes[at])
-                pieces.append(piece_hashes(hashes, at))
-                places.append(at)
-            owner = pa.array(np.repeat(np.arange(len(places)), [len(p) for p in places]))
-            signed = lambda x: pa.array(np.concatenate(x).view(np.int64))
-            pos = pa.array(np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([signed(found), signed(pieces), batch.column(0).take(owner), pos], names=["anchor", "piece", "key", "pos"])
-
-    return rows.mapInArrow(run, "anchor long, piece long, key long, pos int")
+def paragraph_hashes(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of all words of each paragraph: of their sum, each weighed by its place."""
+    out = np.zeros(len(first), np.uint64)
+    if len(first):
+        place = spread(np.zeros(len(first), np.int64), size).astype(np.uint64)
+        out = mix(np.add.reduceat(mix(words[spread(first, size)] ^ mix(place + np.uint64(1))), np.cumsum(size) - size) ^ size.astype(np.uint64))
+    return out
 
 
-def _banded(rows: DataFrame) -> DataFrame:
-    """Rows (piece, bands, shingles) for the places ``at`` of ``rows`` (text, at); the same piece may come more than once."""
-    width = PIECE - SHINGLE + 1
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows (item, key, first, size, bands) of ``rows`` (key, text): its pieces, without bands, and its paragraphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces, bands, parts = [np.zeros(0, np.uint64)], [np.zeros((0, BANDS), np.uint64)], [np.zeros((0, width), np.uint64)]
-            for text, at in zip(binary_views(batch.column(0)), batch.column(1).to_pylist()):
-                hashes = shingle_hashes(text.lower().split())
-                at = np.array([p for p in at if p <= len(hashes) - width], np.int64)
-                own = hashes[at[:, None] + np.arange(width)]
-                pieces.append(piece_hashes(hashes, at))
-                parts.append(own)
-                if len(at):
-                    bands.append(np.stack([mix(mix(own ^ np.uint64(j + 1)).min(axis=1) ^ own[:, 0]) for j in range(BANDS)], axis=1))
-            piece = np.concatenate(pieces)
-            lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(0, len(piece) * n + 1, n, dtype=np.int32)), pa.array(np.concatenate(x).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(piece.view(np.int64)), lists(bands, BANDS), lists(parts, width)], names=["piece", "bands", "shingles"])
-
-    return rows.mapInArrow(run, "piece long, bands array<long>, shingles array<long>")
-
-
-def _linked(pieces: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct pieces that collide in a band and are alike."""
-    out = None
-    for band in range(BANDS):
-        rows = pieces.select("piece", "shingles", F.col("bands")[band].alias("band"))
-        first = rows.groupBy("band").agg(F.min_by("shingles", "piece").alias("others"), F.min("piece").alias("low"), F.max("piece").alias("high"))
-        first = materialize(first.where("low < high").drop("high"), "first")
-        alike = F.size(F.array_intersect("shingles", "others")) / F.size(F.array_union("shingles", "others")) >= SIMILARITY
-        part = rows.join(first, "band").where((F.col("piece") != F.col("low")) & alike).select(F.col("piece").alias("a"), F.col("low").alias("b"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def merged_spans(pieces: list[tuple[int, bool]]) -> list[list]:
-    """Disjoint spans [first, end, stays] of the words under ``pieces`` (place, whether it stays), in order.
-
-    A word under a piece that stays, stays, also where one that goes covers it.
+            for at, texts in slices(batch.column(1), SLICE_BYTES):
+                words = Words(texts)
+                shingles = words.shingles(SHINGLE)
+                size = np.diff(words.lines)
+                long = size >= LEAST
+                paragraphs, size = words.lines[:-1][long], size[long]
+                pieces = anchors(shingles, words.texts)
+                first = np.concatenate([paragraphs, pieces])
+                owner = np.searchsorted(words.texts, first, "right") - 1
+                item = np.concatenate([paragraph_hashes(words.hashes, paragraphs, size), piece_hashes(shingles, pieces)])
+                bands = minhash_bands(shingles[spread(paragraphs, size - SHINGLE + 1)], size - SHINGLE + 1)
+                ends = np.minimum(np.arange(len(first) + 1), len(paragraphs)) * similar.BANDS
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bands.view(np.int64).ravel()))
+                sizes = np.concatenate([size, np.full(len(pieces), PIECE)]).astype(np.int32)
+                columns = [pa.array(item.view(np.int64)), batch.column(0).take(pa.array(at + owner)), pa.array((first - words.texts[owner]).astype(np.int32)), pa.array(sizes), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["item", "key", "first", "size", "bands"])
+
+    return rows.mapInArrow(run, "item long, key long, first int, size int, bands array<long>")
+
+
+def _held(rows: DataFrame, paragraphs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows (item, shingles) of the paragraphs (item, key, first, size) in ``buckets``."""
+    wanted = buckets.select("item").distinct().join(paragraphs, "item").groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("item", "first", "size")).alias("at"))
+    wanted = materialize(wanted, "wanted")
+    n, places = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    wanted = F.broadcast(wanted) if 8 * n + 16 * places <= MAX_BROADCAST_BYTES else wanted
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch.column(0), SLICE_BYTES):
+                words = Words(texts)
+                shingles = words.shingles(SHINGLE)
+                lists = batch.column(1).slice(at, len(texts))
+                owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+                item, first, size = (lists.flatten().field(i).to_numpy() for i in range(3))
+                first = words.texts[owner] + first
+                there = first + size <= words.texts[owner + 1]  # another row with the same key may have another text
+                item, first, size = item[there], first[there], size[there].astype(np.int64)
+                same = paragraph_hashes(words.hashes, first, size) == item.view(np.uint64)
+                found = [packed_set(shingles[a : a + n - SHINGLE + 1]) for a, n in zip(first[same].tolist(), size[same].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(item[same]), pa.array(found, pa.binary())], names=["item", "shingles"])
+
+    texts = rows.join(wanted, F.col("key") == F.col("of")).select("text", "at")
+    return materialize(texts.mapInArrow(sets, "item long, shingles binary").dropDuplicates(["item"]), "shingles")
+
+
+def merged_spans(spans: list[tuple[int, int, bool]]) -> list[list]:
+    """Disjoint spans [first, end, stays] of the words under ``spans`` (first word, word after the last, whether it stays), in order.
+
+    A word under a span that stays, stays, also where one that goes covers it.
     """
     out: list[list] = []
-    for at, stays in sorted(pieces):
-        end, last = at + PIECE, out[-1] if out else None
-        if stays and last and not last[2] and last[1] > at:
-            last[1] = at
-            if last[0] >= at:
-                out.pop()
-            last = out[-1] if out else None
-        if last and last[1] >= at and last[2] == stays:
-            last[1] = end
-        elif not last or last[1] < end:
-            out.append([max(at, last[1]) if last else at, end, stays])
-    return out
+    kept: list[list] = []
+    for first, end, stays in sorted(spans):
+        if stays:
+            if kept and kept[-1][1] >= first:
+                kept[-1][1] = max(kept[-1][1], end)
+            else:
+                kept.append([first, end, True])
+    gone = sorted((a, b) for a, b, stays in spans if not stays)
+    edge, at = 0, 0
+    for first, end in gone:
+        first = max(first, edge)
+        while at < len(kept) and kept[at][1] <= first:
+            at += 1
+        k = at
+        while first < end:
+            until = min(end, kept[k][0]) if k < len(kept) else end
+            if first < until:
+                if out and out[-1][1] == first:
+                    out[-1][1] = until
+                else:
+                    out.append([first, until, False])
+            if k == len(kept):
+                break
+            first, k = max(first, kept[k][1]), k + 1
+        edge = max(edge, end)
+    return sorted(out + kept)
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, spans): for each document with pieces that repeat in another one, the disjoint word spans and whether each stays.
+    """Rows (key, spans): for each document with passages that repeat in another one, the disjoint word spans and whether each stays.
 
     ``spans`` holds first word, word after the last, and ``stays``: whether it is
-    under pieces that have their cluster's smallest key here.  Equal pieces stand for
-    each other; only distinct pieces that share their first shingle are compared.
+    under a paragraph or piece that has its cluster's smallest key here.
     """
     prepare(df.sparkSession)
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), utf8(text).alias("text"))
-    found = _placed(rows)
-    shared = found.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor")
-    shared = materialize(shared, "shared")
-    places = materialize(found.join(shared, "anchor", "left_semi"), "places")
-    distinct = places.groupBy("anchor", "piece").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min_by("pos", "key").alias("pos"))
-    distinct = materialize(distinct, "distinct")
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    compared = distinct.join(materialize(several, "several"), "anchor", "left_semi")
-    wanted = materialize(compared.groupBy(F.col("low").alias("_key")).agg(F.collect_set("pos").alias("at")), "wanted")
-    n, positions = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
-    wanted = F.broadcast(wanted) if 8 * n + 4 * positions <= MAX_BROADCAST_BYTES else wanted
-    pieces = _banded(rows.join(wanted, F.col("key") == F.col("_key")).select("text", "at"))
-    pieces = materialize(pieces.dropDuplicates(["piece"]), "pieces")
-    roots = materialize(components(materialize(_linked(pieces), "links")), "components")
-    member = distinct.join(roots, distinct["piece"] == roots["node"], "left").select("piece", F.coalesce("root", "piece").alias("root"), "low", "high")
-    member = materialize(member, "members")
-    clusters = member.groupBy("root").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("root", "least")
-    kept = member.join(materialize(clusters, "clusters"), "root").select("piece", "least").distinct()
-    placed = places.join(materialize(kept, "kept"), "piece").select("key", "pos", (F.col("key") == F.col("least")).alias("stays"))
-    listed = placed.groupBy("key").agg(F.collect_list(F.struct("pos", "stays")).alias("at"))
-    spans = "array<struct<first:int,end:int,stays:boolean>>"
+    cut = materialize(_cut(rows), "cut")
+    is_piece = F.size("bands") == 0
+    several = lambda low, high: F.col(low) < F.col(high)
+    pieces = cut.where(is_piece).select("item", "key", "first")
+    clusters = materialize(pieces.groupBy("item").agg(F.min("key").alias("least"), F.max("key").alias("most")).where(several("least", "most")).drop("most"), "pieces")
+    spans = pieces.join(clusters, "item").select("key", "first", (F.col("first") + PIECE).alias("end"), (F.col("key") == F.col("least")).alias("stays"))
+
+    lines = cut.where(~is_piece)
+    one = lines.groupBy("item").agg(F.min(F.struct("key", "first", "size")).alias("at"), F.max("key").alias("most"), F.any_value("bands").alias("bands"))
+    one = materialize(one.select("item", F.col("at.key").alias("key"), F.col("at.first").alias("first"), F.col("at.size").alias("size"), "most", "bands"), "paragraphs")
+    buckets = candidates(one)
+    held = _held(rows, one.select("item", "key", "first", "size"), buckets)
+    linked = materialize(alike(one.select("item", F.col("item").alias("node")), buckets, held, SIMILARITY), "linked")
+    members = one.select("item", "key", "most").join(linked, one["item"] == linked["node"], "left").select("item", F.coalesce("root", "item").alias("root"), "key", "most")
+    members = materialize(members, "members")
+    roots = members.groupBy("root").agg(F.min("key").alias("least"), F.max("most").alias("last")).where(several("least", "last")).select("root", "least")
+    known = materialize(members.join(materialize(roots, "roots"), "root").select("item", "least"), "repeated")
+    whole = lines.join(known, "item").select("key", "first", (F.col("first") + F.col("size")).alias("end"), (F.col("key") == F.col("least")).alias("stays"))
+
+    listed = spans.unionByName(whole).groupBy("key").agg(F.collect_list(F.struct("first", "end", "stays")).alias("at"))
+    kind = "array<struct<first:int,end:int,stays:boolean>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             ends, at = np.cumsum(lists.value_lengths().to_numpy()), lists.flatten()
-            pos, stays = (np.split(at.field(i).to_numpy(zero_copy_only=False), ends[:-1]) for i in (0, 1))
-            merged = [merged_spans(list(zip(p.tolist(), s.tolist()))) for p, s in zip(pos, stays)]
+            columns = (np.split(at.field(i).to_numpy(zero_copy_only=False), ends[:-1]) for i in range(3))
+            merged = [merged_spans(list(zip(*(c.tolist() for c in own)))) for own in zip(*columns)]
             first, end, keep = (pa.array([x[i] for own in merged for x in own], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_())))
             offsets = pa.array(np.cumsum([0, *map(len, merged)]).astype(np.int32))
             spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([first, end, keep], names=["first", "end", "stays"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["key", "spans"])
 
-    return listed.mapInArrow(run, f"key long, spans {spans}").withColumnRenamed("key", key)
+    return listed.mapInArrow(run, f"key long, spans {kind}").withColumnRenamed("key", key)
 
 
 def passage_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, repeated, n_spans, n_repeated, n_removed), one per row of ``df``.
 
-    A repeat is at least ``PIECE`` words in a row that, piece by piece, another
-    document has with a similarity of 0.8 or more.  ``n_spans`` counts runs of
-    such words.  ``n_removed`` counts the words of repeats that stay in a smaller
-    document key, and under no piece that stays here.  Null, empty and
-    short texts have no repeats; rows with equal keys are one document, and a
-    null key has none.  Extra columns are ignored.
+    A repeat is a paragraph of at least ``LEAST`` words that another document has
+    with a similarity of 0.8 or more, or ``PIECE`` words in a row that another
+    document has word for word.  ``n_spans`` counts runs of such words.
+    ``n_removed`` counts the words of repeats that stay in a smaller document key,
+    and in none that stays here.  Null, empty and short texts have no repeats;
+    rows with equal keys are one document, and a null key has none.  Extra columns
+    are ignored.
     """
     found = materialize(repeated_passages(df, key, text), "repeats")
     words = lambda cond: F.aggregate(F.filter("spans", cond), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     runs = F.size(F.filter("spans", lambda s, i: (i == 0) | (F.get("spans", i - 1)["end"] < s["first"])))
-    found = found.select(F.col(key).alias("__key"), runs.cast("long").alias("n_spans"), words(lambda s: F.lit(True)).alias("n_repeated"), words(lambda s: ~s["stays"]).alias("n_removed"))
-    out = df.select(key).join(found, F.col(key) == F.col("__key"), "left").drop("__key").na.fill(0, ["n_spans", "n_repeated", "n_removed"])
-    return out.select(key, (F.col("n_spans") > 0).alias("repeated"), "n_spans", "n_repeated", "n_removed")
+    found = found.select(F.col(key).alias("_own"), runs.cast("long").alias("n_spans"), words(lambda s: F.lit(True)).alias("n_repeated"), words(lambda s: ~s["stays"]).alias("n_removed"))
+    out = df.select(F.col(key).alias("_key")).join(found, F.col("_key") == F.col("_own"), "left").na.fill(0, ["n_spans", "n_repeated", "n_removed"])
+    return out.select(F.col("_key").alias(key), (F.col("n_spans") > 0).alias("repeated"), "n_spans", "n_repeated", "n_removed")
 
 
 def drop_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` with the words of removed repeats taken out of ``text``; texts without any stay as they are."""
     found = materialize(repeated_passages(df, key, text), "repeats")
-    found = found.select(F.col(key).alias("__key"), F.filter("spans", lambda s: ~s["stays"]).alias("__gone"))
-    joined = df.join(found, df[key] == found["__key"], "left")
-    words = F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ")
-    kept = F.filter(words, lambda w, i: ~F.exists("__gone", lambda s: (i >= s["first"]) & (i < s["end"])))
-    cut = F.when(F.size("__gone") > 0, F.array_join(kept, " ")).otherwise(F.col(text))
+    own, gone = free_name(df, "key"), free_name(df, "gone")
+    found = found.select(F.col(key).alias(own), F.filter("spans", lambda s: ~s["stays"]).alias(gone)).where(F.size(gone) > 0)
+    joined = df.join(found, df[key] == found[own], "left")
+    kept = F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})")), lambda w, i: ~F.exists(gone, lambda s: (i >= s["first"]) & (i < s["end"])))
+    cut = F.when(F.col(gone).isNotNull(), F.array_join(kept, " ")).otherwise(F.col(text))
     return joined.withColumn(text, cut).select(*df.columns)

@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary_views, broadcast_if_few, forget, materialize, mix, prepare, utf8
+from tessella.llm import similar
+from tessella.llm.common import binary_views, broadcast_if_few, forget, free_name, materialize, prepare, utf8
 from tessella.llm.components import components
+from tessella.llm.similar import Words, alike, candidates, packed_set, slices, spread
 
 SEED = 42
 SEGMENTS, WIDTH = 32, 2
-#: MinHash bands and rows a band of the shingle sets.
-BANDS, ROWS = 16, 4
-#: Bytes of shingle hashes in a block of a band's texts.
-BLOCK_BYTES = 2 << 20
+#: Text bytes whose shingles are made at once.
+SLICE_BYTES = 4 << 20
 #: For each byte value, which of its 8 bits are set.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -53,15 +53,19 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """Rows (key, fp), fp as a signed 64-bit number with the bits of the fingerprint."""
+    """Rows (key, text_hash, fp), fp as a signed 64-bit number with the bits of the fingerprint."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words_per_shingle) for t in binary_views(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["key", "fp"])
+            found = np.array([fingerprint(t, words_per_shingle) for t in binary_views(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], names=["key", "text_hash", "fp"])
 
-    return df.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text")).mapInArrow(run, "key long, fp long")
+    return _rows(df, key, text).mapInArrow(run, "key long, text_hash long, fp long")
+
+
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), utf8(text).alias("text"))
 
 
 def _counts(fp: Column) -> Column:
@@ -100,154 +104,81 @@ def links(nodes: DataFrame) -> DataFrame:
     return balls.join(centres, "at").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
 
 
-def _shingle_set(words: list[bytes], n: int) -> np.ndarray:
-    """The distinct hashes of the shingles of ``n`` words; of all words if they are fewer."""
-    n = min(n, len(words))
-    if not n:
-        return np.zeros(0, np.uint64)
-    each = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        out = mix(out ^ each[i : i + len(out)])
-    return np.unique(out)
-
-
 def _signatures(df: DataFrame, key: str, text: str, words_per_shingle: int) -> DataFrame:
-    """Rows (key, fp, words, bands): besides the fingerprint a hash of all words, and MinHash bands of the shingles."""
-    odd = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-
-    def bands(shingles: np.ndarray) -> list[int]:
-        with np.errstate(over="ignore"):
-            least = np.array([(shingles * m).min() for m in odd], np.uint64).reshape(BANDS, ROWS)
-        out = np.arange(BANDS, dtype=np.uint64)
-        for i in range(ROWS):
-            out = mix(out ^ least[:, i])
-        return out.view(np.int64).tolist()
+    """Rows (key, text_hash, fp, words, bands): besides the fingerprint a hash of all words, and MinHash bands of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            fps, same, found = [], [], []
-            for t in binary_views(batch.column(1)):
-                words = t.lower().split()
-                fps.append(fingerprint(t, words_per_shingle))
-                same.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                found.append(bands(_shingle_set(words, words_per_shingle)) if words else [])
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(fps), signed(same), pa.array(found, pa.list_(pa.int64()))], names=["key", "fp", "words", "bands"])
-
-    rows = df.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text"))
-    return rows.mapInArrow(run, "key long, fp long, words long, bands array<long>")
-
-
-def _buckets(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (words, key, fp, bands), and rows (band, words) of the bands that two or more of them share.
-
-    Texts with equal words stand for each other.
-    """
-    one = signatures.groupBy("words").agg(F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
-    one = materialize(one.where("key is not null"), "distinct-texts")
-    banded = one.select("words", F.explode("bands").alias("band"))
-    sizes = materialize(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
-    return one, materialize(banded.join(sizes, "band").select("band", "words", "n"), "buckets")
+            for at, texts in slices(batch.column(2), SLICE_BYTES):
+                fps = [fingerprint(t, words_per_shingle) for t in binary_views(texts)]
+                same, _, shingles, count = shingle_sets(texts, words_per_shingle)
+                bands = np.zeros((len(texts), similar.BANDS), np.uint64)
+                bands[count > 0] = similar.minhash_bands(shingles, count[count > 0])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, similar.BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
+                columns = [*(c.slice(at, len(texts)) for c in batch.columns[:2]), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(same), lists, pa.array(count > 0)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "text_hash", "fp", "words", "bands", "some"])
+
+    found = _rows(df, key, text).mapInArrow(run, "key long, text_hash long, fp long, words long, bands array<long>, some boolean")
+    return found.withColumn("bands", F.when(F.col("some"), F.col("bands")).otherwise(F.array().cast("array<long>"))).drop("some")
+
+
+def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray]:
+    """A hash of all words of each text (as signed numbers), its words, and its shingles of ``n`` words (all words, if fewer) and their number."""
+    words = Words(texts)
+    first, size = words.texts[:-1], np.diff(words.texts)
+    count = np.where(size >= n, size - n + 1, (size > 0).astype(size.dtype))
+    shingles = words.shingles(n)[spread(first, count)]
+    short = np.flatnonzero((size > 0) & (size < n))
+    starts = np.cumsum(count) - count
+    same = np.array([xxhash.xxh3_64_intdigest(words.hashes[a : a + k].tobytes()) for a, k in zip(first.tolist(), size.tolist())], np.uint64)
+    shingles[starts[short]] = same[short]
+    return same.view(np.int64), words, shingles, count
+
+
+def _distinct(signatures: DataFrame) -> DataFrame:
+    """Distinct texts (item, key, node, bands); texts with equal words stand for each other."""
+    one = signatures.groupBy(F.col("words").alias("item")).agg(F.min("key").alias("key"), F.any_value("fp").alias("node"), F.any_value("bands").alias("bands"))
+    return materialize(one.where("key is not null"), "distinct-texts")
 
 
 def _shingles(df: DataFrame, one: DataFrame, buckets: DataFrame, key: str, text: str, words_per_shingle: int) -> DataFrame:
-    """Rows (words, shingles) of the texts in ``buckets``: the sorted hashes of their shingles, 4 bytes each."""
-    needed = materialize(buckets.select("words").distinct().join(one, "words").select(F.col("key").alias("_key"), F.col("words").alias("_words")), "needed")
-    keys = broadcast_if_few(needed)
+    """Rows (item, shingles) of the texts in ``buckets``: the packed sets of their shingles."""
+    needed = materialize(buckets.select("item").distinct().join(one, "item").select(F.col("key").alias("_key"), F.col("item").alias("_item")), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for t, wanted in zip(binary_views(batch.column(0)), batch.column(1).to_pylist()):
-                words = t.lower().split()
-                own = xxhash.xxh3_64_intdigest(b" ".join(words))
-                if own - (own >> 63 << 64) == wanted:
-                    ids.append(wanted)
-                    found.append(np.unique((_shingle_set(words, words_per_shingle) >> np.uint64(32)).astype("<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["words", "shingles"])
-
-    texts = df.join(keys, df[key] == keys["_key"]).select(utf8(df[text]).alias("text"), "_words")
-    return materialize(texts.mapInArrow(sets, "words long, shingles binary").dropDuplicates(["words"]), "shingles")
+            for at, texts in slices(batch.column(0), SLICE_BYTES):
+                same, _, shingles, count = shingle_sets(texts, words_per_shingle)
+                wanted = batch.column(1).slice(at, len(texts)).to_numpy() == same
+                ends = np.cumsum(count)
+                found = [packed_set(shingles[ends[i] - count[i] : ends[i]]) for i in np.flatnonzero(wanted).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(same[wanted]), pa.array(found, pa.binary())], names=["item", "shingles"])
 
+    texts = df.select(F.col(key).alias("_own"), utf8(text).alias("_text")).join(broadcast_if_few(needed), F.col("_own") == F.col("_key")).select("_text", "_item")
+    return materialize(texts.mapInArrow(sets, "item long, shingles binary").dropDuplicates(["item"]), "shingles")
 
-def _central(one: DataFrame, buckets: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between fingerprints of texts and of the most central text of a band they share, where they are alike.
-
-    A text is the more central the more texts its bands hold: the original of
-    many copies that were edited apart shares most bands with most of them.
-    """
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(binary_views(batch.column(2)), binary_views(batch.column(3))):
-                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["words", "low"]).filter(pa.array(keep, pa.bool_()))
-
-    weights = materialize(buckets.groupBy("words").agg(F.sum("n").alias("weight")), "weights")
-    first = buckets.join(weights, "words").groupBy("band").agg(F.max_by("words", F.struct("weight", "words")).alias("low"))
-    pairs = buckets.join(materialize(first, "first"), "band").where("words <> low").select("words", "low").distinct()
-    other = held.select(F.col("words").alias("low"), F.col("shingles").alias("others"))
-    checked = materialize(pairs, "pairs").join(held, "words").join(other, "low").select("words", "low", "shingles", "others").mapInArrow(verify, "words long, low long")
-    prints = one.select("words", "fp")
-    found = checked.join(prints, "words").withColumnRenamed("fp", "a").join(prints.toDF("low", "b"), "low")
-    return found.where("a <> b").select("a", "b")
-
-
-def _overlaps(sets: list[np.ndarray], classes: np.ndarray, sides: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of places that link all classes of ``classes`` with alike sets (without repeats); if there are two ``sides``, pairs across them."""
-    sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    held, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token))])
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    label, out = np.unique(classes, return_inverse=True)[1], []
-    asked = np.full(len(sets), sides.min() == sides.max()) | (sides == sides.max())
-    for i in np.flatnonzero(sides == sides.min()).tolist():
-        if (label[asked] == label[i]).all():
-            continue
-        own = token[begins[i] : begins[i + 1]]
-        counts = starts[own + 1] - starts[own]
-        at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        both = np.bincount(held[at], minlength=len(sets))
-        for j in np.flatnonzero((both >= similarity * (sizes + sizes[i] - both)) & asked & (label != label[i])).tolist():
-            if label[j] != label[i]:
-                out.append((i, j))
-                label[label == label[j]] = label[i]
-    return out
-
-
-def _rest(one: DataFrame, buckets: DataFrame, held: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between the classes of alike texts that share a band; ``classes`` (fp, class) are those linked so far.
-
-    Every pair of different classes in a band is looked at.  The texts of a band
-    are dealt to blocks of about ``BLOCK_BYTES`` bytes of shingles, and each pair of
-    blocks is a group of its own, so no task holds a whole band.
-    """
-    labelled = one.select("words", "fp").join(classes, "fp", "left").select("words", F.coalesce("class", "fp").alias("class"))
-    sized = held.select("words", F.length("shingles").cast("long").alias("bytes")).join(labelled, "words")
-    members = materialize(buckets.select("band", "words").join(materialize(sized, "classes"), "words"), "members")
-    mixed = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("words").cast("decimal(38,0)")).alias("set"))
-    mixed = mixed.where("low < high").groupBy("n", "bytes", "set").agg(F.min("band").alias("band"))
-    blocks = materialize(mixed.select("band", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "blocks")
-    dealt = members.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("words", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("words", "class", "band", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        found, classes = [], group["class"].to_numpy()
-        if len(group) > 1 and (classes != classes[0]).any():
-            found = _overlaps([np.frombuffer(x, "<u4") for x in group["shingles"].to_pylist()], classes, group["own"].to_numpy(), similarity)
-        ends = [pa.array(np.array([classes[p[side]] for p in found], np.int64)) for side in (0, 1)]
-        return pa.Table.from_arrays(ends, names=["a", "b"])
-
-    pairs = materialize(dealt, "dealt").join(held, "words").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
-    return pairs.where("a <> b").distinct()
+def _grouped(df: DataFrame, key: str, text: str, words_per_shingle: int, similarity: float | None) -> DataFrame:
+    """Rows (key, text_hash, fp, first), one per row of ``df``; ``first`` (null_key, key, text_hash) is the least row of its component, null keys last."""
+    prepare(df.sparkSession)
+    make = fingerprints if similarity is None else _signatures
+    rows = materialize(make(df, key, text, words_per_shingle), "fingerprints")
+    least = F.min(F.struct(F.col("key").isNull().alias("null_key"), "key", "text_hash")).alias("least")
+    nodes = materialize(rows.groupBy("fp").agg(least), "nodes")
+    edges = links(nodes)
+    if similarity is None:
+        linked = materialize(components(edges), "linked")
+    else:
+        one = _distinct(rows)
+        buckets = candidates(one)
+        held = _shingles(df, one, buckets, key, text, words_per_shingle)
+        linked = materialize(alike(one.select("item", "node"), buckets, held, similarity, edges), "linked")
+    members = materialize(linked.join(nodes, linked.node == nodes.fp).select("fp", "root", "least"), "members")
+    roots = materialize(members.groupBy("root").agg(F.min("least").alias("first")), "roots")
+    far = members.join(roots, "root").select("fp", "first")
+    known = materialize(nodes.join(far, "fp", "left").select("fp", F.coalesce("first", "least").alias("first")), "known")
+    return rows.select("key", "text_hash", "fp").join(known, "fp")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3, similarity: float | None = None) -> DataFrame:
@@ -256,8 +187,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     With ``similarity``, texts whose shingle sets have at least that Jaccard
     similarity are linked too: fingerprints of texts with a few changed words in
     a hundred differ in more bits than the grid can search.  Texts that share a
-    MinHash band are verified against its most central text, and then all pairs
-    of a band that this has not put into one class.
+    MinHash band are verified, see ``similar``.
 
     ``component_id`` is the smallest key that can be reached over links of at
     most two differing bits, the row's own key included.  A null text has no
@@ -266,38 +196,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     smallest key (null only where the whole component has null keys).  Extra
     columns are ignored.
     """
-    prepare(df.sparkSession)
-    make = fingerprints if similarity is None else _signatures
-    rows = materialize(make(df, key, text, words_per_shingle), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    edges = links(nodes)
-    if similarity is None:
-        linked = materialize(components(edges), "linked")
-    else:
-        one, buckets = _buckets(rows)
-        held = _shingles(df, one, buckets, key, text, words_per_shingle)
-        edges = materialize(edges.union(_central(one, buckets, held, similarity)), "first-edges")
-        linked = materialize(components(edges), "linked")
-        more = materialize(_rest(one, buckets, held, linked.select(F.col("node").alias("fp"), F.col("root").alias("class")), similarity), "more-edges")
-        linked = materialize(components(edges.union(more)), "linked")
-    members = materialize(linked.join(nodes, linked.node == nodes.fp).select("fp", "root", "least"), "members")
-    roots = materialize(members.groupBy("root").agg(F.min("least").alias("component")), "roots")
-    far = members.join(roots, "root").select("fp", "component")
-    known = materialize(nodes.join(far, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "known")
-    return rows.join(known, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _grouped(df, key, text, words_per_shingle, similarity)
+    return found.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.key").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest key stays.
 
-    Of several rows with that key one stays.  Rows with a null key stay, as
-    nothing tells them apart.
+    Rows are told apart by key and text: rows that share a key alone are judged
+    each by its own text, and a null key is larger than all others.  Of several
+    rows with that key the one whose text has the smallest hash stays, and of rows
+    that share the text as well the one with the smallest hash of all columns.
     """
-    found = near_duplicates(df, key, text, words_per_shingle, similarity).select(F.col(key).alias("_key"), "component_id")
-    found = materialize(found.where("_key is not null"), "components")
-    gone = broadcast_if_few(materialize(found.where("_key <> component_id").select("_key").distinct(), "gone"))
-    repeated = broadcast_if_few(materialize(found.groupBy("_key").count().where("count > 1").select("_key"), "repeated"))
-    kept = df.join(gone, df[key] == gone["_key"], "left_anti")
-    once = kept.join(repeated, kept[key] == repeated["_key"], "left_anti")
-    again = kept.join(repeated, kept[key] == repeated["_key"], "left_semi").dropDuplicates([key])
-    return once.unionByName(again)
+    found = materialize(_grouped(df, key, text, words_per_shingle, similarity).select("key", "text_hash", "first"), "groups")
+    names = {x: free_name(df, x) for x in ("key", "text_hash")}
+    named = lambda rows: broadcast_if_few(materialize(rows.select(*(F.col(x).alias(n) for x, n in names.items())).distinct(), "rows"))
+    first = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gone = named(found.where(~first))
+    repeated = named(found.where(first).groupBy("key", "text_hash").count().where("count > 1"))
+    hashed = F.xxhash64(df[text])
+    same = lambda rows: df[key].eqNullSafe(rows[names["key"]]) & (hashed == rows[names["text_hash"]])
+    once = df.join(gone, same(gone), "left_anti").join(repeated, same(repeated), "left_anti")
+    again = df.join(repeated, same(repeated), "left_semi").groupBy(key, F.xxhash64(text)).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("row"))
+    return once.unionByName(again.select("row.*"))
