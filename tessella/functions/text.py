@@ -130,10 +130,19 @@ def is_report_only(question: Column) -> Column:
     return F.coalesce(question.rlike(REPORT_ONLY), F.lit(False))
 
 
-def insufficient_choice(choices: Column) -> Column:
-    """The first choice that says that the evidence does not suffice, or else a constant."""
-    fits = F.filter(choices, lambda c: F.lower(c).contains("insufficient") | c.contains("证据不足"))
-    return F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit("Insufficient evidence"))
+#: Fixed value: the choice where none says that the evidence does not suffice.
+INSUFFICIENT = "Insufficient evidence"
+
+
+def insufficient_in(choices: Column) -> Column:
+    """The first choice that says that the evidence does not suffice, or null."""
+    return F.try_element_at(F.filter(choices, lambda c: F.lower(c).contains("insufficient") | c.contains("证据不足")), F.lit(1))
+
+
+def insufficient_choice(choices: Column, multiple: bool = False) -> Column:
+    """The choice that says that the evidence does not suffice, or else a constant; a list of it where answers are lists."""
+    one = F.coalesce(insufficient_in(choices), F.lit(INSUFFICIENT))
+    return F.array(one) if multiple else one
 
 
 def fallback_choice(choices: Column) -> Column:

@@ -209,37 +209,97 @@ def rollout_sampling(spark, sf_dir):
     return b.withColumn("s", sampling(F.col("rollout"), seed=11)).select("item_id", "rollout", "s.temperature", "s.top_p", "s.seed")
 
 
-_KINDS = ("answer", "retrieve", "zoom", "abstain", "dance")
-
-
-@query("""WITH e AS (SELECT event_id, event_id % 7 = 0 AS broken, event_id % 3 = 0 AS sufficient, ['answer', 'retrieve', 'zoom', 'abstain', 'dance'][1 + event_id % 5] AS kind, event_id % 11 = 0 AS report, event_id % 4 = 0 AS odd FROM events),
-    a AS (SELECT *, CASE WHEN broken THEN 'abstain' WHEN kind = 'dance' THEN CASE WHEN sufficient THEN 'answer' ELSE 'abstain' END ELSE kind END AS first_, NOT broken AND kind <> 'dance' AS valid FROM e),
-    b AS (SELECT *, first_ = 'answer' AND NOT sufficient AS unsupported, first_ IN ('retrieve', 'zoom') AND NOT sufficient AND report AS rep FROM a),
-    c AS (SELECT *, CASE WHEN unsupported OR rep THEN 'abstain' ELSE first_ END AS action, concat_ws(',', CASE WHEN odd AND NOT broken THEN 'invalid_ranked_differential_entries_removed' END,
-        CASE WHEN unsupported THEN 'unsupported_answer_changed_to_abstain' END, CASE WHEN rep THEN 'report_only_search_changed_to_abstain' END) AS repairs FROM b)
-    SELECT event_id, CASE WHEN broken THEN 'A' ELSE 'B' END AS answer, CASE WHEN broken THEN '' WHEN odd THEN 'AC' ELSE 'A' END AS differential, action, sufficient AND NOT broken AND action <> 'abstain' AS sufficient, repairs,
-        CASE WHEN NOT valid THEN 'invalid_action_json' WHEN repairs <> '' THEN 'normalized_action_json' ELSE 'valid_action_json' END AS parse_status FROM c""")
-def decision_normalize(spark, sf_dir):
-    """A decision of the model made from each event, checked and repaired."""
+# Parts of replies; each event has one of each, so that sound and unsound parts meet.
+_REPLY = {
+    "prov": (4, 1, ['"provisional_recommendation":"B"', '"provisional_recommendation":"Z"', '"provisional_recommendation":null,"benchmark_answer":"C"', '"provisional_recommendation":5']),
+    "ranked": (5, 4, ['"ranked_differential":["A","B","x","A","C"]', '"ranked_differential":["A"]', '"ranked_differential":"A"', '"ranked_differential":null', '"ranked_differential":[1,"D",null]']),
+    "enough": (4, 3, ['"evidence_sufficient":true', '"evidence_sufficient":false', '"evidence_sufficient":"true"', '"evidence_sufficient":1']),
+    "act": (7, 5, ['"next_action":{"type":" Answer "}', '"next_action":"retrieve"', '"next_action":{"type":"zoom","query":" look ","magnification":15,"target_patches":["t1",2,"t2"]}', '"next_action":{"type":"abstain"}', '"next_action":{"type":"dance"}', '"next_action":7', '"next_action":{"type":"inspect","target_patches":"t"}']),
+    "stop": (3, 7, ['"abstain_recommended":true', '"abstain_recommended":"true"', '"unsupported_answer_reason":" why "']),
+    "state": (2, 1, ['"advisory_evidence_state":{"candidate_evidence_found":true,"ready_for_pathologist_review":"true"}', '"advisory_evidence_state":[]']),
+    "lacks": (3, 2, ['"missing_evidence":"necrosis"', '"missing_evidence":""', '"missing_evidence":null']),
+    "refs": (3, 11, ['"evidence_refs":["t1","t2"]', '"evidence_refs":"t1"', '"evidence_refs":[]']),
+}
+_PICKED = " || ',' || ".join(f"[{', '.join(repr(x) for x in parts)}][1 + (event_id // {step}) % {n}]" for n, step, parts in _REPLY.values())
+
+
+def _replies(spark, sf_dir):
+    """Each event as a reply: JSON, JSON in other text, or none."""
     i = F.col("event_id")
-    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (i % 5 + 1).cast("int"))
-    ranked = F.when(i % 4 == 0, F.lit('["A","B","x","A","C"]')).otherwise(F.lit('["A"]'))
-    sound = F.concat(F.lit('Decision: {"provisional_recommendation":"B","ranked_differential":'), ranked, F.lit(',"evidence_sufficient":'), (i % 3 == 0).cast("string"), F.lit(',"next_action":{"type":" '), F.initcap(kind), F.lit('"}} end'))
-    raw = F.when(i % 7 == 0, F.lit("{")).otherwise(sound)
+    picked = [F.element_at(F.array(*map(F.lit, parts)), (F.floor(i / step) % n + 1).cast("int")) for n, step, parts in _REPLY.values()]
+    body = F.concat(F.lit("{"), F.concat_ws(",", *picked), F.lit("}"))
+    raw = F.when(i % 13 == 0, F.lit("{")).when(i % 13 == 1, F.concat(F.lit("Decision: "), body, F.lit(" end { "))).when(i % 13 == 2, F.lit("[1]")).otherwise(body)
     asked = F.when(i % 11 == 0, "What is the size of the primary invasive carcinoma?").otherwise("Which structure is seen?")
-    e = table(spark, sf_dir, "events").select(i, raw.alias("raw"), F.array(*map(F.lit, "ABCD")).alias("choices"), asked.alias("question"))
-    out = decisions.normalize(e)
-    return out.select("event_id", "answer", F.array_join("differential", "").alias("differential"), "action", "sufficient", F.array_join("repairs", ",").alias("repairs"), "parse_status")
+    return table(spark, sf_dir, "events").select(i, raw.alias("raw"), F.array(*map(F.lit, "ABCD")).alias("choices"), asked.alias("question"))
+
+
+_PARSED = f"""body AS (SELECT event_id, '{{' || {_PICKED} || '}}' AS b FROM events),
+    raws AS (SELECT event_id, CASE event_id % 13 WHEN 0 THEN '{{' WHEN 1 THEN 'Decision: ' || b || ' end {{ ' WHEN 2 THEN '[1]' ELSE b END AS raw FROM body),
+    tried AS (SELECT *, CASE WHEN json_valid(raw) THEN raw ELSE nullif(regexp_extract(raw, '\\{{[^{{}}]*(?:\\{{[^{{}}]*\\}}[^{{}}]*)*\\}}'), '') END AS t FROM raws),
+    j AS (SELECT event_id, CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' THEN t::JSON END AS j FROM tried)"""
+
+
+@query(f"""WITH {_PARSED},
+    a AS (SELECT *, CASE WHEN coalesce(json_type(j, '$.provisional_recommendation'), 'NULL') <> 'NULL' THEN CASE WHEN json_type(j, '$.provisional_recommendation') = 'VARCHAR' THEN j ->> '$.provisional_recommendation' END
+            WHEN json_type(j, '$.benchmark_answer') = 'VARCHAR' THEN j ->> '$.benchmark_answer' END AS said,
+        coalesce(json_type(j, '$.evidence_sufficient') = 'BOOLEAN' AND (j ->> '$.evidence_sufficient') = 'true', false) AS enough,
+        lower(trim(coalesce(CASE json_type(j, '$.next_action') WHEN 'OBJECT' THEN j ->> '$.next_action.type' WHEN 'VARCHAR' THEN j ->> '$.next_action' END, ''))) AS kind,
+        CASE WHEN json_type(j, '$.ranked_differential') = 'ARRAY' THEN list_transform(json_extract(j, '$.ranked_differential[*]'), lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' END) ELSE []::VARCHAR[] END AS listed FROM j),
+    b AS (SELECT *, coalesce(list_contains(['A', 'B', 'C', 'D'], said), false) AS known, kind IN ('answer', 'retrieve', 'inspect', 'zoom', 'abstain') AS legal FROM a),
+    c AS (SELECT *, CASE WHEN known THEN said ELSE 'A' END AS answer, CASE WHEN j IS NULL THEN 'abstain' WHEN legal THEN kind WHEN enough THEN 'answer' ELSE 'abstain' END AS asked FROM b),
+    d AS (SELECT *, list_filter(listed, lambda x, i: x IS NOT NULL AND list_contains(['A', 'B', 'C', 'D'], x) AND x <> answer AND list_position(listed, x) = i) AS good,
+        asked = 'answer' AND NOT enough AS unsupported, asked IN ('retrieve', 'inspect', 'zoom') AND NOT enough AND event_id % 11 = 0 AS report FROM c),
+    e AS (SELECT *, CASE WHEN unsupported OR report THEN 'abstain' ELSE asked END AS action, trim(coalesce(j ->> '$.unsupported_answer_reason', '')) AS why,
+        concat_ws(',', CASE WHEN json_type(j, '$.ranked_differential') NOT IN ('NULL', 'ARRAY') THEN 'invalid_ranked_differential_changed_to_empty' END, CASE WHEN len(listed) > len(good) THEN 'invalid_ranked_differential_entries_removed' END,
+            CASE WHEN unsupported THEN 'unsupported_answer_changed_to_abstain' END, CASE WHEN report THEN 'report_only_search_changed_to_abstain' END) AS repairs FROM d)
+    SELECT event_id, answer, array_to_string(good[1:3], '') AS differential, action, enough AND action <> 'abstain' AS sufficient,
+        action = 'abstain' OR coalesce(json_type(j, '$.abstain_recommended') = 'BOOLEAN' AND (j ->> '$.abstain_recommended') = 'true', false) AS abstain_recommended,
+        CASE WHEN j IS NULL THEN '{decisions.UNPARSED_REASON}' WHEN report AND why = '' THEN '{decisions.REPORT_ONLY_REASON}' ELSE why END AS reason,
+        coalesce(json_type(j, '$.advisory_evidence_state.candidate_evidence_found') = 'BOOLEAN', false) AS found, false AS ready, enough AS strict,
+        CASE WHEN j IS NULL THEN '{decisions.UNPARSED_MISSING}' ELSE trim(coalesce(nullif(CASE WHEN json_type(j, '$.next_action') = 'OBJECT' THEN j ->> '$.next_action.query' END, ''), j ->> '$.missing_evidence', '')) END AS query,
+        CASE WHEN json_type(j, '$.next_action.target_patches') = 'ARRAY' THEN 't1,t2' ELSE '' END AS targets, CASE WHEN json_type(j, '$.next_action') = 'OBJECT' THEN j ->> '$.next_action.magnification' END AS magnification,
+        CASE WHEN json_type(j, '$.evidence_refs') = 'ARRAY' THEN array_to_string(list_transform(json_extract(j, '$.evidence_refs[*]'), lambda x: x ->> '$'), ',') ELSE '' END AS refs, repairs,
+        CASE WHEN NOT (j IS NOT NULL AND known AND legal) THEN 'invalid_action_json' WHEN repairs <> '' THEN 'normalized_action_json' ELSE 'valid_action_json' END AS parse_status FROM e""")
+def decision_normalize(spark, sf_dir):
+    """A reply of the model made from each event, checked and repaired."""
+    out, joined = decisions.normalize(_replies(spark, sf_dir)), lambda c, by=",": F.array_join(c, by).alias(c)
+    return out.select(
+        "event_id", "answer", joined("differential", ""), "action", "sufficient", "abstain_recommended", F.col("unsupported_reason").alias("reason"), F.col("advisory.candidate_evidence_found").alias("found"), "advisory.ready", "advisory.strict",
+        "query", joined("targets"), "magnification", joined("refs"), joined("repairs"), "parse_status",
+    )
+
+
+@query(f"""WITH {_PARSED}, a AS (SELECT *, lower(trim(coalesce(CASE json_type(j, '$.next_action') WHEN 'OBJECT' THEN j ->> '$.next_action.type' WHEN 'VARCHAR' THEN j ->> '$.next_action' END, ''))) AS kind FROM j),
+    b AS (SELECT *, kind IN ('answer', 'retrieve', 'inspect', 'zoom', 'abstain') AS legal FROM a)
+    SELECT event_id, CASE WHEN j IS NULL THEN 'Insufficient evidence' END AS answer, CASE WHEN j IS NULL THEN 'abstain' WHEN legal THEN kind ELSE 'abstain' END AS action,
+        CASE WHEN j IS NULL THEN '{decisions.UNPARSED_MISSING}' ELSE trim(coalesce(nullif(CASE WHEN json_type(j, '$.next_action') = 'OBJECT' THEN j ->> '$.next_action.query' END, ''), j ->> '$.missing_evidence', '')) END AS query,
+        CASE WHEN json_type(j, '$.evidence_refs') = 'ARRAY' THEN len(json_extract(j, '$.evidence_refs[*]')) ELSE 0 END::BIGINT AS n_refs,
+        CASE WHEN coalesce(legal, false) AND j IS NOT NULL THEN 'valid_action_json' ELSE 'invalid_action_json' END AS parse_status FROM b""")
+def domain_decisions(spark, sf_dir):
+    """The same replies by the rules of the domain protocol."""
+    out = decisions.normalize_domain(_replies(spark, sf_dir))
+    return out.select("event_id", "answer", "action", "query", F.size("refs").cast("long").alias("n_refs"), "parse_status")
+
+
+_RAWS = ['x {"answer":"zzz","explanation":" why "}', '{"answer":"view"} then {"a":1}', '{"answer":["view","nope","click"],"evidence_refs":["a",5]}', '{"answer":"view", "why": "cut', "{", '{"answer":"search","confidence":0.5}', '{"answer":" click ", "x": {"y":1}} ', "", '{"answer":"click"} {broken}']
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN 'view' ELSE 'Insufficient evidence' END AS answer,
-    CASE event_id % 3 WHEN 0 THEN 'parsed' WHEN 1 THEN 'recovered_exact_choice' ELSE 'safe_fallback' END AS status FROM events""")
+@query(f"""WITH r AS (SELECT event_id, event_id % 7 < 3 AS multiple, ['view', 'Insufficient evidence', 'click'] AS c, [{", ".join(repr(x) for x in _RAWS)}][1 + event_id % {len(_RAWS)}] AS raw FROM events),
+    k AS (SELECT *, list_filter(regexp_extract_all(raw, '(?s)\\{{.*?\\}}'), lambda x: json_valid(x))[-1]::JSON AS j, trim(regexp_extract(raw, '"answer"\\s*:\\s*"([^"]+)"', 1)) AS exact FROM r),
+    f AS (SELECT *, trim(coalesce(j ->> '$.answer', '')) AS said, CASE WHEN list_contains(c, exact) THEN exact END AS recovered FROM k)
+    SELECT event_id, CASE WHEN j IS NULL THEN coalesce(recovered, 'Insufficient evidence')
+            WHEN multiple THEN array_to_string(list_filter(CASE json_type(j, '$.answer') WHEN 'ARRAY' THEN list_transform(json_extract(j, '$.answer[*]'), lambda x: x ->> '$') ELSE [j ->> '$.answer'] END, lambda x: coalesce(list_contains(c, x), false)), '|')
+            WHEN list_contains(c, said) THEN said ELSE 'Insufficient evidence' END AS answer,
+        CASE WHEN j IS NOT NULL THEN coalesce(nullif(trim(coalesce(j ->> '$.explanation', '')), ''), '{decisions.UNEXPLAINED}') WHEN recovered IS NOT NULL THEN '{decisions.RECOVERED}' ELSE '{decisions.UNRECOVERED}' END AS explanation,
+        CASE WHEN json_type(j, '$.evidence_refs') = 'ARRAY' THEN 'a' ELSE '' END AS refs, CASE WHEN j IS NULL THEN 0.0::DOUBLE ELSE (j ->> '$.confidence')::DOUBLE END AS confidence,
+        CASE WHEN j IS NOT NULL THEN 'valid_json' WHEN recovered IS NOT NULL THEN 'recovered_exact_choice' ELSE 'safe_fallback' END AS status FROM f""")
 def final_answers(spark, sf_dir):
+    """Replies of every form for single and multiple choice."""
     i = F.col("event_id")
-    whole = F.concat(F.lit('x {"a":1} then {"answer":"'), "event_type", F.lit('"} done'))
-    raw = F.when(i % 3 == 0, whole).when(i % 3 == 1, F.lit('{"answer":"view", "why": "cut')).otherwise(F.lit("{"))
+    raw = F.element_at(F.array(*map(F.lit, _RAWS)), (i % len(_RAWS) + 1).cast("int"))
     choices = F.array(F.lit("view"), F.lit("Insufficient evidence"), F.lit("click"))
-    return table(spark, sf_dir, "events").select(i, decisions.final_answer(raw, choices).alias("f")).select("event_id", "f.answer", "f.status")
+    found = table(spark, sf_dir, "events").select(i, decisions.final_answer(raw, choices, i % 7 < 3).alias("f"))
+    return found.select("event_id", F.array_join("f.answer", "|").alias("answer"), "f.explanation", F.array_join("f.refs", ",").alias("refs"), "f.confidence", "f.status")
 
 
 @query("""SELECT doc_id, sha256('{"document":' || doc_id || CASE WHEN lang IS NULL THEN '' ELSE ',"lang":"' || lang || '"' END || CASE WHEN source IS NULL THEN '' ELSE ',"source":"' || source || '"' END || '}') AS cache_key,

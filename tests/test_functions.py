@@ -104,9 +104,16 @@ def test_coordinates(spark):
 
 
 def test_final_answers(spark):
-    found = lambda t: tuple(one(spark, decisions.final_answer(F.col("t"), F.col("c")), t=t, c=["Demonstrated", "Not demonstrated", "Insufficient evidence"]))
-    assert found('{"answer":"Not demonstrated","why": "cut') == ("Not demonstrated", "recovered_exact_choice")
-    assert found("{") == ("Insufficient evidence", "safe_fallback")
+    options = ["Demonstrated", "Not demonstrated", "Insufficient evidence"]
+    found = lambda t, multiple=False, c=options: (r := one(spark, decisions.final_answer(F.col("t"), F.col("c"), multiple), t=t, c=c))["answer"] + [r["status"]]
+    assert found('{"answer":"Not demonstrated","why": "cut') == ["Not demonstrated", "recovered_exact_choice"]
+    assert found("{") == ["Insufficient evidence", "safe_fallback"]
+    assert found('x {"answer":"zzz"}') == ["Insufficient evidence", "valid_json"]
+    assert found('{"answer":"Demonstrated"} then {"a":1}') == ["Insufficient evidence", "valid_json"]
+    assert found('{"answer":["Demonstrated","zzz"]}', True) == ["Demonstrated", "valid_json"]
+    assert found('{"answer":[]}', True) == ["valid_json"]
+    assert found('{"answer":"证"}', c=["a", "证据不足", "b"]) == ["证据不足", "valid_json"]
+    assert found("nothing", c=["a", "b"]) == ["b", "safe_fallback"]
 
 
 def test_decisions(spark):
@@ -120,6 +127,11 @@ def test_decisions(spark):
     assert (out["answer"], out["parse_status"]) == ("A", "invalid_action_json")
     out = act('{"provisional_recommendation":"A","next_action":{"type":"retrieve"}}', "What is the size of the primary invasive carcinoma?")
     assert (out["action"], out["repairs"]) == ("abstain", ["report_only_search_changed_to_abstain"])
+    out = act('{"provisional_recommendation":"A","evidence_sufficient":"true","next_action":{"type":"answer"}}')
+    assert (out["action"], out["sufficient"], out["abstain_recommended"]) == ("abstain", False, True)
+    out = act('so {"provisional_recommendation":"A","evidence_sufficient":true,"next_action":{"type":"answer"}} {')
+    assert (out["action"], out["sufficient"], out["parse_status"]) == ("answer", True, "valid_action_json")
+    assert [one(spark, decisions.focus_magnification(F.col("m")), m=m) for m in ("10", "20.0", "15", "x", None)] == [10, 20, 20, 20, 20]
     assert act(None)["parse_status"] == act("[1]")["parse_status"] == "invalid_action_json"
     refs = decisions.visible_refs(F.array(*map(F.lit, ("a", "b_invisible", "a"))), F.array(F.lit("a")))
     assert one(spark, refs, z=0).asDict() == {"refs": ["a"], "dropped": ["b_invisible"]}
