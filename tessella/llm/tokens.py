@@ -20,6 +20,7 @@ import json
 import os
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,7 +114,9 @@ def drops_white_space(spec: dict) -> bool:
     first = pre["pretokenizers"][0] if pre["type"] == "Sequence" else pre
     if first["type"] in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer"):
         return True
-    return first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and "[^\\s\\p{L}\\p{N}]+" in first["pattern"].get("Regex", "")
+    pattern = first["pattern"].get("Regex", "") if first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] else ""
+    rest = pattern.replace("[^\\s\\p{L}\\p{N}]", "")  # what is left may match or look at white space in none of these ways
+    return rest != pattern and not any(x in rest for x in (" ", ".", "[^", "\\s", "\\S", "\\r", "\\n", "\\t", "\\P", "\\W", "\\D", "\\Z", "\\b", "\\x", "\\u", "$", "^"))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -251,20 +254,25 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every document from the files: key, start, n_tokens, ids_crc32, name, slot-checked through the index."""
+    """Every document from the files: key, start, n_tokens, ids_crc32 and shard.
+
+    Each distinct key is looked up in its shard's index, and the documents are
+    read at the offsets that the index gives.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 index = ShardIndex(read_file(f"{path}/{row['name']}.idx"))
                 ids = np.frombuffer(read_file(f"{path}/{row['name']}.ids"), f"<u{row['width']}")
-                first, count = index.find(index.keys, index.null)
-                place = np.arange(index.docs)
-                if not ((first <= place) & (place < first + count)).all():
+                head = np.flatnonzero(np.concatenate([[True], (index.keys[1:] != index.keys[:-1]) | (index.null[1:] != index.null[:-1])]))
+                first, count = index.find(index.keys[head], index.null[head])
+                place = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                if len(place) != index.docs:
                     raise ValueError(f"{path}/{row['name']}.idx does not fit its shard")
-                at = index.offsets
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                columns = [pa.array(index.keys, mask=index.null), pa.array(at[:-1] + row["start"]), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array([row["name"]] * len(crc), pa.string())]
+                begin, end = index.offsets[place], index.offsets[place + 1]
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begin.tolist(), end.tolist())]
+                columns = [pa.array(index.keys[place], mask=index.null[place]), pa.array(begin + row["start"]), pa.array(end - begin), pa.array(crc, pa.int64()), pa.array([row["name"]] * len(crc), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids_crc32", "shard"])
 
     files = manifest(spark, path).select("name", "width", "number", "start")
@@ -273,26 +281,56 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 class TokenStore:
-    """Keyed access from one process: the ids of a document without a scan."""
+    """Keyed access from one process: the ids of a document without a scan.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.path = path
-        self.files = sorted(manifest(spark, path).collect(), key=lambda r: (r["range"], r["file"]))
+    The file is found by binary search over the key ranges of the files.  Of its
+    index only the hash is read, once; a look-up reads the slot's fingerprint and
+    place, two offsets and the ids, each at its own place in the files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, remembered: int = 64):
+        self.path, self.remembered = path, remembered
+        rows = sorted(manifest(spark, path).collect(), key=lambda r: (r["range"], r["file"]))
+        self.with_null = [r for r in rows if r["null_keys"]]
+        self.files = [r for r in rows if r["min_key"] is not None]
+        self.ends = [r["max_key"] for r in self.files]
+        self.hashes: dict[str, tuple] = {}
+
+    @staticmethod
+    def _at(file, kind: str, place: int, n: int = 1) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        file.seek(place)
+        return np.frombuffer(file.read(size * n), kind)
+
+    def _hash(self, name: str, file) -> tuple:
+        if name not in self.hashes:
+            if len(self.hashes) >= self.remembered:
+                self.hashes.pop(next(iter(self.hashes)))
+            docs, distinct, code = self._at(file, "<u8", 0, 3).tolist()
+            self.hashes[name] = (docs, distinct, 24 + code, MinimalPerfectHash.from_bytes(self._at(file, "u1", 24, code).tobytes()))
+        return self.hashes[name]
+
+    def _get(self, row, key: int | None) -> list[list[int]]:
+        fs, path = file_system(f"{self.path}/{row['name']}.idx")
+        a, b = np.array([key or 0], np.int64).view(np.uint64), np.array([key is None], np.uint64)
+        with fs.open_input_file(path) as file:
+            docs, distinct, at, table = self._hash(row["name"], file)
+            slot = int(table.slots(a, b)[0])
+            if slot < 0 or self._at(file, "<u4", at + 4 * slot)[0] != fingerprint(a, b)[0]:
+                return []
+            first, count = (int(self._at(file, "<u4", at + 4 * (distinct * i + slot))[0]) for i in (1, 2))
+            offsets = self._at(file, "<u8", at + 12 * distinct + 8 * docs + -(-docs // 8) + 8 * first, count + 1).tolist()
+        fs, path = file_system(f"{self.path}/{row['name']}.ids")
+        with fs.open_input_file(path) as file:
+            return [self._at(file, f"<u{row['width']}", i * row["width"], j - i).tolist() for i, j in zip(offsets, offsets[1:])]
 
     def get(self, key: int | None) -> list[list[int]]:
-        """The ids of each document with this key, in file order."""
-        out = []
-        for r in self.files:
-            if not (r["null_keys"] if key is None else r["min_key"] is not None and r["min_key"] <= key <= r["max_key"]):
-                continue
-            index = ShardIndex(read_file(f"{self.path}/{r['name']}.idx"))
-            first, count = index.find(np.array([key or 0]), np.array([key is None]))
-            fs, path = file_system(f"{self.path}/{r['name']}.ids")
-            with fs.open_input_file(path) as f:
-                for d in range(first[0], first[0] + count[0]):
-                    a, b = index.offsets[d : d + 2].tolist()
-                    f.seek(a * r["width"])
-                    out.append(np.frombuffer(f.read((b - a) * r["width"]), f"<u{r['width']}").tolist())
+        """The ids of each document with this key, in file order; a document of one key may go on in the next file."""
+        out, at = [], 0
+        rows = self.with_null if key is None else self.files[bisect_left(self.ends, key) :]
+        while at < len(rows) and (key is None or rows[at]["min_key"] <= key):
+            out += self._get(rows[at], key)
+            at += 1
         return out
 
 
