@@ -8,8 +8,8 @@ largest document key.  Documents probe these arrays; lines are not joined.
 
 The arrays of all common keys are broadcast while they are few (``max_broadcast``
 keys at 24 bytes).  Beyond that only the keys with the most documents are
-broadcast, whose number the counts bound, and the lines with other keys are sent
-to the shard of their hash, without a hot shard, and their verdicts come back.
+broadcast, whose number the counts bound, and only lines that these do not decide
+on are sent to the shard of their hash, so no shard is hot; their verdicts come back.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,16 +99,22 @@ def _columns(rows: DataFrame) -> tuple[np.ndarray, ...]:
     return high.view(np.uint64), low.view(np.uint64), docs, last
 
 
-def _routed(rows: DataFrame, keys: DataFrame, shards: int, min_chars: int) -> DataFrame:
-    """Rows (row_id, gone): the line numbers that the shards of ``keys`` drop from each of ``rows`` (key, text, row_id)."""
+def _routed(rows: DataFrame, keys: DataFrame, hot: Broadcast, shards: int, min_chars: int) -> DataFrame:
+    """Rows (row_id, gone): the line numbers that the shards of ``keys`` drop from each of ``rows`` (key, text, row_id).
+
+    Lines whose keys are in the index ``hot`` are not sent: it decides on them where they are.
+    """
     shard = F.pmod(F.col("high"), F.lit(shards)).cast("int")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = LineIndex(*hot.value)
         for batch in batches:
             found = [[(i, h) for i, h in enumerate(hashes_of(t, min_chars)) if h is not None] for t in binary_views(batch.column(1))]
             high, low = _halves([h for hs in found for _, h in hs])
-            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            number = pa.array([i for hs in found for i, _ in hs], pa.int32())
+            sent = index.slots(high, low) < 0
+            high, low = high[sent], low[sent]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])[sent])
+            number = pa.array(np.array([i for hs in found for i, _ in hs], np.int32)[sent])
             yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), batch.column(0).take(at), batch.column(2).take(at), number], names=["high", "low", "key", "row_id", "line"])
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -146,7 +153,7 @@ def drop_common_lines(df: DataFrame, key: str = "doc_id", text: str = "text", mi
     if floor:
         rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "texts")
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
-        back = _routed(rows, found.where(F.col("docs") < floor), max(-(-total // SHARD_KEYS), -(-size // SHARD_BYTES)), min_chars)
+        back = _routed(rows, found.where(F.col("docs") < floor), index, max(-(-total // SHARD_KEYS), -(-size // SHARD_BYTES)), min_chars)
         rows = rows.join(back, "row_id", "left").select("key", "text", F.coalesce("gone", nothing).alias("gone"))
     else:
         rows = rows.withColumn("gone", nothing)
