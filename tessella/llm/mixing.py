@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, broadcast_if_few, materialize
+from tessella.llm.common import WORD, broadcast_if_few, free_name, materialize
 
 #: Weights of the sources in code-point order, repeating; and how many times its size a source may give.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -65,7 +65,7 @@ def quality_weight(quality: Column) -> Column:
 
 
 def mix_plan(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Rows (key, size, source_size, target, taken, source, copies), one per row of ``documents``.
+    """Rows (key, size, source_size, target, taken, source, copies, text_hash), one per row of ``documents``.
 
     ``size`` counts words; ``copies`` says how often the mix takes the document
     and ``taken`` is ``copies * size``.  ``labels`` (the key and ``quality`` 1 or
@@ -76,7 +76,7 @@ def mix_plan(documents: DataFrame, labels: DataFrame | None = None, key: str = "
     place in the order and are taken one after another.  Extra columns are
     ignored.
     """
-    rows = documents.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"))
+    rows = documents.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(text)).alias("text_hash"))
     if labels is None:
         rows = rows.withColumn("quality", F.lit(None).cast("int"))
     else:
@@ -94,18 +94,25 @@ def mix_plan(documents: DataFrame, labels: DataFrame | None = None, key: str = "
     sums = placed.groupBy("source", "range").agg(F.sum("size").alias("sum"))
     below = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("sum").over(below), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "range").orderBy("draw", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("draw", "key", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     ordered = ordered.join(sums, same & (F.col("range") == F.col("at"))).drop("of", "at")
     fits = (F.col("rest") > 0) & (F.col("base") + F.col("before") + F.col("size") / 2 <= F.col("rest"))
     copies = F.col("epochs") + fits.cast("long")
     out = ordered.withColumn("copies", copies).withColumn("taken", copies * F.col("size"))
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", F.col("source").alias(source), "copies")
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", F.col("source").alias(source), "copies", "text_hash")
 
 
 def mixed_documents(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``documents``, each as often as the mix takes it.  Rows with equal (or null) keys are taken equally often."""
-    plan = mix_plan(documents, labels, key, text, source).groupBy(F.col(key).alias("_key")).agg(F.max("copies").alias("_copies"))
-    plan = broadcast_if_few(materialize(plan.where("_copies > 0"), "copies"))
-    taken = documents.join(plan, documents[key].eqNullSafe(F.col("_key")))
-    return taken.select(*(documents[c] for c in documents.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    """The rows of ``documents``, each as often as the mix takes it.
+
+    Rows that share a key (or have none) are told apart by source and text; those
+    that share these as well are taken equally often, as often as the most taken one.
+    """
+    names = {x: free_name(documents, x) for x in ("of_key", "of_source", "of_text", "copies", "copy")}
+    plan = mix_plan(documents, labels, key, text, source)
+    plan = plan.groupBy(F.col(key).alias(names["of_key"]), F.col(source).alias(names["of_source"]), F.col("text_hash").alias(names["of_text"])).agg(F.max("copies").alias(names["copies"]))
+    plan = broadcast_if_few(materialize(plan.where(F.col(names["copies"]) > 0), "copies"))
+    same = documents[key].eqNullSafe(plan[names["of_key"]]) & documents[source].eqNullSafe(plan[names["of_source"]]) & (F.xxhash64(documents[text]) == plan[names["of_text"]])
+    taken = documents.join(plan, same).withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]).cast("int"))))
+    return taken.select(*documents.columns)
