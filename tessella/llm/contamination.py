@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary_views, broadcast_if_few, materialize, prepare, utf8
+from tessella.llm.common import binary_views, broadcast_if_few, forget, free_name, materialize, prepare, utf8
 
 WINDOW = 10
 #: Benchmark words in one block, document words in one shard, and the distance of sampled suffix positions.
@@ -237,13 +237,14 @@ def _spans(df: DataFrame, block: list[tuple[int | None, bytes]], key: str, text:
         return pa.table(columns, names=["key", "n_words", "spans", "items", *extra]).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         kept, documents, size = [], [], 0
         for batch in batches:
             at = 0
             found = [words(t) for t in binary_views(batch.column(1))]
             for i, x in enumerate(found):
                 documents.append(x)
-                size += len(x)
+                size += len(x) + 1
                 if size >= SHARD_WORDS:
                     yield from report([*kept, batch.slice(at, i + 1 - at)], documents)
                     kept, documents, size, at = [], [], 0, i + 1
@@ -268,34 +269,44 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[i
     yield block
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows (key, n_words, spans, items), one per row of ``documents``.
+def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, n_words, spans, items) and the columns ``extra``, one per row of ``documents``.
 
     ``spans`` are the merged word spans inside any occurrence of a window of an
     item: ``window`` consecutive words, or all words of an item that has fewer.
     ``items`` are the ids of the items with an occurring window, in ascending
     order.  Null texts have no words; items without words have no window; a null
     item id is not reported, though its windows count.  Equal items and repeated
-    rows are handled on their own.  Extra columns are ignored.
+    rows are handled on their own.  Other columns are ignored.
     """
     prepare(documents.sparkSession)
+    extra = list(extra)
     blocks = iter(_blocks(benchmark, item, item_text))
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        return _spans(documents, first, key, text, [], window).withColumnRenamed("key", key)
-    rows = materialize(documents.select(key, text, F.monotonically_increasing_id().alias("row_id")), "texts")
+        return _spans(documents, first, key, text, extra, window).withColumnRenamed("key", key)
+    rows = materialize(documents.select(key, text, *extra, F.monotonically_increasing_id().alias("row_id")), "texts")
     found = None
     for block in (b for some in ([first, second], blocks) for b in some):
-        part = materialize(_spans(rows, block, key, text, ["row_id"], window), "spans")
+        part = materialize(_spans(rows, block, key, text, ["row_id", *extra], window), "spans")
         found = part if found is None else found.union(part)
-    ordered = F.array_sort(F.flatten(F.collect_list("spans")))
-    together = F.aggregate(
-        ordered,
-        F.array().cast("array<struct<first:long,end:long>>"),
-        lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= s["first"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["first"].alias("first"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(out, F.array(s))),
-    )
-    by_row = found.groupBy("row_id").agg(F.first("key").alias(key), F.first("n_words").alias("n_words"), together.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return by_row.drop("row_id")
+    by_row = found.groupBy("row_id").agg(
+        F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *(F.first(c).alias(c) for c in extra),
+    )
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(2)
+            owner = np.repeat(np.arange(len(batch)), spans.value_lengths().to_numpy())
+            first, end = (spans.flatten().field(i).to_numpy() for i in (0, 1))
+            owner, first, end = merged(owner, first, end - first)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(batch)))]).astype(np.int32)
+            whole = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(first), pa.array(end)], names=["first", "end"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole, *batch.columns[3:]], names=["key", "n_words", "spans", "items", *extra])
+
+    rows = by_row.drop("row_id")
+    return rows.mapInArrow(together, rows.schema).withColumnRenamed("key", key)
 
 
 def contamination_report(found: DataFrame) -> DataFrame:
@@ -307,7 +318,10 @@ def contamination_report(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``documents`` whose text holds no window of the benchmark.  Rows with equal or null keys are judged together."""
-    found = find_contamination(documents, benchmark, key, text, **options)
-    bad = found.where(F.size("spans") > 0).select(F.col(key).alias("_bad")).distinct()
-    return documents.join(broadcast_if_few(materialize(bad, "contaminated")), documents[key].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``documents`` whose text holds no window of the benchmark.  Rows with equal or null keys are judged each by its own text."""
+    own, hashed = free_name(documents, "own"), free_name(documents, "text_hash")
+    rows = documents.select(key, text, F.xxhash64(F.col(text)).alias("text_hash"))
+    found = find_contamination(rows, benchmark, key, text, extra=("text_hash",), **options)
+    bad = found.where(F.size("spans") > 0).select(F.col(key).alias(own), F.col("text_hash").alias(hashed)).distinct()
+    bad = broadcast_if_few(materialize(bad, "contaminated"))
+    return documents.join(bad, documents[key].eqNullSafe(bad[own]) & (F.xxhash64(documents[text]) == bad[hashed]), "left_anti")
