@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import similar
-from tessella.llm.common import WORD, free_name, materialize, mix, prepare, utf8
+from tessella.llm.common import WORD, broadcast_if_few, free_name, materialize, mix, prepare, utf8
 from tessella.llm.similar import Words, alike, candidates, minhash_bands, packed_set, slices, spread
 
 #: Words of a shingle, of a piece, and of the shortest paragraph; and places of which the smallest hash begins a piece.
@@ -35,7 +35,7 @@ from tessella.llm.similar import Words, alike, candidates, minhash_bands, packed
 SHINGLE, PIECE, LEAST, SPAN = 5, 34, 34, 18
 SIMILARITY = 0.8
 #: Text bytes that are cut at once, and document keys and paragraphs that are broadcast at most.
-SLICE_BYTES, MAX_BROADCAST_BYTES = 4 << 20, 32 << 20
+SLICE_BYTES, MAX_BROADCAST_BYTES = 1 << 20, 32 << 20
 
 
 def anchors(shingles: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -174,19 +174,19 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     several = lambda low, high: F.col(low) < F.col(high)
     pieces = cut.where(is_piece).select("item", "key", "first")
     clusters = materialize(pieces.groupBy("item").agg(F.min("key").alias("least"), F.max("key").alias("most")).where(several("least", "most")).drop("most"), "pieces")
-    spans = pieces.join(clusters, "item").select("key", "first", (F.col("first") + PIECE).alias("end"), (F.col("key") == F.col("least")).alias("stays"))
+    spans = pieces.join(broadcast_if_few(clusters), "item").select("key", "first", (F.col("first") + PIECE).alias("end"), (F.col("key") == F.col("least")).alias("stays"))
 
     lines = cut.where(~is_piece)
     one = lines.groupBy("item").agg(F.min(F.struct("key", "first", "size")).alias("at"), F.max("key").alias("most"), F.any_value("bands").alias("bands"))
     one = materialize(one.select("item", F.col("at.key").alias("key"), F.col("at.first").alias("first"), F.col("at.size").alias("size"), "most", "bands"), "paragraphs")
     buckets = candidates(one)
     held = _held(rows, one.select("item", "key", "first", "size"), buckets)
-    linked = materialize(alike(one.select("item", F.col("item").alias("node")), buckets, held, SIMILARITY), "linked")
+    linked = materialize(alike(None, buckets, held, SIMILARITY), "linked")
     members = one.select("item", "key", "most").join(linked, one["item"] == linked["node"], "left").select("item", F.coalesce("root", "item").alias("root"), "key", "most")
     members = materialize(members, "members")
     roots = members.groupBy("root").agg(F.min("key").alias("least"), F.max("most").alias("last")).where(several("least", "last")).select("root", "least")
-    known = materialize(members.join(materialize(roots, "roots"), "root").select("item", "least"), "repeated")
-    whole = lines.join(known, "item").select("key", "first", (F.col("first") + F.col("size")).alias("end"), (F.col("key") == F.col("least")).alias("stays"))
+    known = materialize(members.join(broadcast_if_few(materialize(roots, "roots")), "root").select("item", "least"), "repeated")
+    whole = lines.join(broadcast_if_few(known), "item").select("key", "first", (F.col("first") + F.col("size")).alias("end"), (F.col("key") == F.col("least")).alias("stays"))
 
     listed = spans.unionByName(whole).groupBy("key").agg(F.collect_list(F.struct("first", "end", "stays")).alias("at"))
     kind = "array<struct<first:int,end:int,stays:boolean>>"

@@ -102,7 +102,7 @@ def candidates(items: DataFrame) -> DataFrame:
     return materialize(banded.join(broadcast_if_few(sizes), "band").select("band", "item", "n"), "buckets")
 
 
-def _central(nodes: DataFrame, buckets: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+def _central(nodes: DataFrame | None, buckets: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between the nodes of alike items, each item against the most central one of a band they share.
 
     An item is the more central the more items its bands hold: the original of
@@ -118,11 +118,13 @@ def _central(nodes: DataFrame, buckets: DataFrame, held: DataFrame, similarity:
                 keep.append(both >= similarity * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["item", "low"]).filter(pa.array(keep, pa.bool_()))
 
-    weights = materialize(buckets.groupBy("item").agg(F.sum("n").alias("weight")), "weights")
+    weights = broadcast_if_few(materialize(buckets.groupBy("item").agg(F.sum("n").alias("weight")), "weights"))
     first = buckets.join(weights, "item").groupBy("band").agg(F.max_by("item", F.struct("weight", "item")).alias("low"))
-    pairs = buckets.join(materialize(first, "first"), "band").where("item <> low").select("item", "low").distinct()
+    pairs = buckets.join(broadcast_if_few(materialize(first, "first")), "band").where("item <> low").select("item", "low").distinct()
     other = held.select(F.col("item").alias("low"), F.col("shingles").alias("others"))
     checked = materialize(pairs, "pairs").join(held, "item").join(other, "low").select("item", "low", "shingles", "others").mapInArrow(verify, "item long, low long")
+    if nodes is None:
+        return checked.toDF("a", "b")
     found = checked.join(nodes, "item").withColumnRenamed("node", "a").join(nodes.toDF("low", "b"), "low")
     return found.where("a <> b").select("a", "b")
 
@@ -150,20 +152,21 @@ def _overlaps(sets: list[np.ndarray], classes: np.ndarray, sides: np.ndarray, si
     return out
 
 
-def _rest(nodes: DataFrame, buckets: DataFrame, held: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+def _rest(nodes: DataFrame | None, buckets: DataFrame, held: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between the classes of alike items that share a band; ``classes`` (node, class) are those linked so far.
 
     Every pair of different classes in a band is looked at.  The items of a band
     are dealt to blocks of about ``BLOCK_BYTES`` bytes of shingles, and each pair of
     blocks is a group of its own, so no task holds a whole band.
     """
-    labelled = nodes.join(classes, "node", "left").select("item", F.coalesce("class", "node").alias("class"))
-    sized = held.select("item", F.length("shingles").cast("long").alias("bytes")).join(labelled, "item")
-    members = materialize(buckets.select("band", "item").join(materialize(sized, "classes"), "item"), "members")
+    sized = held.select("item", F.length("shingles").cast("long").alias("bytes"))
+    sized = sized.withColumn("node", F.col("item")) if nodes is None else sized.join(nodes, "item")
+    sized = sized.join(broadcast_if_few(classes), "node", "left").select("item", "bytes", F.coalesce("class", "node").alias("class"))
+    members = materialize(buckets.select("band", "item").join(broadcast_if_few(materialize(sized, "classes")), "item"), "members")
     mixed = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("set"))
     mixed = mixed.where("low < high").groupBy("n", "bytes", "set").agg(F.min("band").alias("band"))
     blocks = materialize(mixed.select("band", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "blocks")
-    dealt = members.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("item", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = members.join(broadcast_if_few(blocks), "band").withColumn("own", F.pmod(F.xxhash64("item", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("item", "class", "band", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
 
@@ -178,14 +181,18 @@ def _rest(nodes: DataFrame, buckets: DataFrame, held: DataFrame, classes: DataFr
     return pairs.where("a <> b").distinct()
 
 
-def alike(nodes: DataFrame, buckets: DataFrame, held: DataFrame, similarity: float, edges: DataFrame | None = None) -> DataFrame:
+def alike(nodes: DataFrame | None, buckets: DataFrame, held: DataFrame, similarity: float, edges: DataFrame | None = None) -> DataFrame:
     """Rows (node, root) for all nodes that are linked: through alike items that share a band, and over ``edges`` (a, b).
 
     ``nodes`` (item, node) names the node of every item of ``buckets`` (from
-    ``candidates``); ``held`` (item, shingles) has their packed sets.
+    ``candidates``), by default itself; ``held`` (item, shingles) has their packed sets.
     """
     found = _central(nodes, buckets, held, similarity)
-    edges = materialize(found if edges is None else edges.union(found), "first-edges")
-    linked = materialize(components(edges), "linked")
-    more = materialize(_rest(nodes, buckets, held, linked.select("node", F.col("root").alias("class")), similarity), "more-edges")
-    return components(edges.union(more)) if more.head(1) else linked
+    linked = materialize(components(materialize(found if edges is None else edges.union(found), "first-edges")), "linked")
+    classes = linked.select("node", F.col("root").alias("class"))
+    more = materialize(_rest(nodes, buckets, held, classes, similarity), "more-edges")
+    if not more.head(1):
+        return linked
+    joined = materialize(components(more).withColumnRenamed("root", "top"), "joined")  # between classes, each named by its smallest node
+    ends = linked.join(broadcast_if_few(joined.toDF("root", "top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return ends.unionByName(joined.join(linked.select("node"), "node", "left_anti").select("node", F.col("top").alias("root")))
