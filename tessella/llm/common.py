@@ -4,6 +4,9 @@ and small Arrow helpers."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -52,6 +55,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that each application has written, in order.
+_made: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -62,6 +69,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,6 +88,22 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch_mark(spark: SparkSession) -> int:
+    """A mark for ``clear_since``."""
+    return len(_made.get(spark.sparkContext.applicationId, ()))
+
+
+def clear_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete the tables that ``materialize`` has made since ``mark``, but for those that ``keep`` reads.  No other result of that time may still be needed."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
+    for path in made[mark:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            made.remove(path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that this application has put into the shared folder; results that are not yet written elsewhere go with it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
@@ -90,7 +114,10 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make Python workers ready for what follows: send them this package, and keep Arrow batches of whole texts small."""
+    """Make Python workers ready for what follows: send them this package, and keep Arrow batches of whole texts small.
+
+    The size of batches is the session's from then on: results are lazy, so it has to hold until the caller has run them.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH_ROWS:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
@@ -112,9 +139,13 @@ worker_caches: list[dict] = []
 
 
 def forget() -> None:
-    """Give back what other operators keep in this Python worker."""
+    """Give back what other operators keep in this Python worker, to the system where it can take it."""
     for cache in worker_caches:
         cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def utf8(text: Column | str) -> Column:

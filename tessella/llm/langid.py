@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessella.llm.common import free_name, prepare, utf8
+from tessella.llm.common import forget, free_name, prepare, utf8
 
 #: Bytes of context, and the bound on the labelled documents of a language that the trees are fitted on.
 ORDER, SAMPLE_DOCS = 3, 1_500
@@ -209,6 +209,7 @@ def identify(df: DataFrame, trees: Trees | None, text: str = "text", pred: str =
         return names, scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             names, scores = predict(batch)
             kept = [batch.column(batch.schema.get_field_index(c)) for c in fields]

@@ -31,7 +31,7 @@ from tessella.llm.similar import Words, alike, candidates, packed_set, slices, s
 SEED = 42
 SEGMENTS, WIDTH = 32, 2
 #: Text bytes whose shingles are made at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: For each byte value, which of its 8 bits are set.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -147,6 +147,7 @@ def _shingles(df: DataFrame, one: DataFrame, buckets: DataFrame, key: str, text:
     needed = materialize(buckets.select("item").distinct().join(one, "item").select(F.col("key").alias("_key"), F.col("item").alias("_item")), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at, texts in slices(batch.column(0), SLICE_BYTES):
                 same, _, shingles, count = shingle_sets(texts, words_per_shingle)

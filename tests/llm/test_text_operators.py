@@ -84,6 +84,7 @@ def test_tokens_come_back(spark, tmp_path, name):
     assert keys == sorted(keys, key=lambda k: (k is not None, k))
     store = tokens.TokenStore(spark, path)
     assert store.get(16) == [ids(dict(pairs(df))[16])]
+    assert all(store.get(d) == [ids(t)] for d, t in pairs(df) if d in (1, 4, 5, 15, 17))
     assert sorted(store.get(7)) == sorted(ids(t) for d, t in pairs(df) if d == 7) and len(store.get(None)) == 2 and store.get(999) == []
 
 
@@ -102,6 +103,9 @@ def test_chunks_encode_as_whole_texts():
         assert coder.encode(pa.array([text]), 2) == [want]
 
     check()
+    cut = lambda p: {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": p}, "behavior": "Removed", "invert": True}}
+    assert tokens.drops_white_space(cut(r"[\p{L}]+|[^\s\p{L}\p{N}]+"))
+    assert not any(tokens.drops_white_space(cut(p)) for p in (r" ?\p{L}+|[^\s\p{L}\p{N}]+", r"\p{L}+|[^\s\p{L}\p{N}]+[\r\n]*", r"\s+(?!\S)|[^\s\p{L}\p{N}]+", r"[^\s\p{L}\p{N}]+|.", r"\p{L}+"))
 
 
 def test_mix(spark):
@@ -132,6 +136,17 @@ def test_mix(spark):
     assert all(mixed[d] == n for d, n in copies.items()) and mixing.mixed_documents(df).columns == df.columns
 
 
+def test_mixed_rows_are_told_apart_by_source_and_text(spark):
+    rows = [(None, words(1, 40), "a", 1, 2), (None, words(2, 8), "b", 1, 2), (None, words(3, 8), "c", 1, 2), (1, words(4, 9), "a", 1, 2), (1, words(5, 9), "b", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, of_key int")
+    plan = mixing.mix_plan(df).collect()
+    want = collections.Counter()
+    for r in plan:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    mixed = collections.Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in mixing.mixed_documents(df).collect())
+    assert mixed == +want and mixing.mixed_documents(df).columns == df.columns
+
+
 def reachable(fps):
     root = list(range(len(fps)))
 
@@ -355,7 +370,10 @@ def test_contamination(spark, monkeypatch, block):
     assert norm(tuple(r) for r in got) == norm(want)
     kept = contamination.drop_contaminated(df, benchmark(spark))
     bad = {d for d, *_, x in want if x}
-    assert kept.columns == df.columns and norm((r["doc_id"],) for r in kept.collect()) == norm((d,) for d, _ in pairs(df) if d not in bad)
+    found = norm(tuple(r) for r in want if not r[-1])
+    assert kept.columns == df.columns and norm((r["doc_id"],) for r in kept.collect()) == norm((r[0],) for r in found) and None in {r[0] for r in found} & bad
+    named = df.withColumn("own", F.lit(1)).withColumn("text_hash", F.lit(2))
+    assert contamination.drop_contaminated(named, benchmark(spark)).columns == named.columns
 
 
 @settings(max_examples=60, deadline=None)
@@ -623,29 +641,50 @@ def test_url_verdicts_equal_brute_force(spark):
     assert len(few) == 16 and {r["verdict"] for r in few} == {"allow"}
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("chunk", [topk.CHUNK_BYTES, 64])
+def test_top_k(spark, monkeypatch, chunk):
+    monkeypatch.setattr(topk, "CHUNK_BYTES", chunk)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=4).tolist(), "c") for i in range(300)] + [(1000 + i, [0.5, 0.5, 0.5, 0.5], "c") for i in range(40)]
     rows += [(2000, None, "c"), (2001, [1.0, None, 1.0, 1.0], "c"), (2002, [1.0, float("nan"), 1.0, 1.0], "c"), (2003, [float("inf"), 1.0, 1.0, 1.0], "c"), (2050, [1.0, 2.0], "c"), (2051, [1.0, 3.0], "c"), (2100, [], "c"), (None, [1.0] * 4, "c"), (7, rows[7][1], "c")]
+    rows += [(50, rows[50][1], "c"), (100, [9.0, 0.0, 0.0, 0.0], "c")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(4)
     good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in {i: v for i, v in good if i % 50 == 0}.items():
-        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:5]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for n, (q, v) in enumerate(good):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(good) if m != n and len(w) == len(v))[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     out = topk.top_k(df, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)), block=16)
     assert norm(tuple(r)[:4] for r in out.collect()) == norm(want)
 
 
+def test_blocks_scored_where_pruning_matters(spark):
+    """Documents whose keys follow their topics: a query finds its five in the blocks of its own topic."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (np.eye(32)[i // 500] * 4 + np.abs(rng.normal(size=32)) / 40).tolist()) for i in range(16_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    out = topk.top_k(df, F.col("vec_id") % 500 == 7, block=50).where("rank = 1").collect()
+    assert len(out) == 32 and all(r["blocks"] >= 320 and r["blocks_scored"] <= 24 for r in out)
+    whole = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    for r in out:
+        scores = whole @ whole[r["query_id"]]
+        scores[r["query_id"]] = -1
+        assert (r["vec_id"], r["score"]) == (int(scores.argmax()), int(scores.max()))
+
+
 def test_pruning_skips_blocks_and_huge_numbers_stay_exact():
     keys = np.arange(64)
     vectors = np.zeros((64, 2))
     vectors[:, 0] = np.repeat([8.0, 1.0, 2.0, 0.0], 16)
-    held = topk.Blocks(keys, vectors, 16)
+    held = topk.Blocks(keys, keys, vectors)
+    held.cut(16)
     found, scores, scored = held.search(-1, np.array([1.0, 0.0]), held.bounds(np.array([[1.0, 0.0]]))[0], 5)
     assert (found.tolist(), scores.tolist(), scored) == ([0, 1, 2, 3, 4], [8] * 5, 1)
+    assert held.search(-1, np.array([1.0, 0.0]), held.bounds(np.array([[1.0, 0.0]]))[0], 5, least=9)[2] == 0
     big = float(2**40)
-    held = topk.Blocks(keys, vectors * big / 8 + 1.0, 16)
+    held = topk.Blocks(keys, keys, vectors * big / 8 + 1.0)
+    held.cut(16)
     query = np.array([[float(2**20) + 1, 3.0]])
     found, scores, _ = held.search(-1, query[0], held.bounds(query)[0], 2)
     assert scores.tolist() == [(2**40 + 1) * (2**20 + 1) + 3] * 2
