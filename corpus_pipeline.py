@@ -1,15 +1,17 @@
 """A training-corpus pipeline over the ``documents`` table, in five stages.
 
 Each stage takes what the one before it kept.  All but the last return the
-columns of ``documents``.  Rows with null in any column, empty and very long
-texts, repeated rows and empty tables pass as the operators of the stages say.
+columns of ``documents``.  Defined results: null and empty texts have no language
+and go in the first stage; rows that share a key, or have none, are told apart by
+their texts, and exact repeats of a row count as copies; columns of any name pass
+through; an empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import materialize
+from tessella.llm.common import clear_since, materialize, scratch_mark
 from tessella.llm.contamination import drop_contaminated
 from tessella.llm.langid import keep_identified
 from tessella.llm.mixing import mixed_documents
@@ -50,8 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on ``documents``, each written before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages on ``documents``, each written before the next one reads it; what a stage has written on its way is deleted then."""
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear_since(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
