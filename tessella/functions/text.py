@@ -57,12 +57,20 @@ def redact(text: Column, labels: list[str]) -> Column:
     return F.regexp_replace(F.regexp_replace(text, DIAGNOSTIC, LABEL_MARK), ORGAN, ORGAN_MARK)
 
 
-def sanitize(text: Column, labels: list[str] = ()) -> Column:
-    """Redacted sentences without ancillary claims, after a tag."""
+def clean_sentences(text: Column, labels: list[str] = ()) -> Column:
+    """The redacted sentences of a text that make no ancillary claim."""
     clean = redact(F.coalesce(text, F.lit("")), list(labels))
     sentences = F.transform(F.split(clean, SENTENCES), lambda s: F.regexp_replace(s, r"^\s+|\s+\z", ""))
-    kept = F.filter(sentences, lambda s: (s != "") & ~s.rlike(ANCILLARY))
-    return F.concat(F.lit(SANITIZED_TAG), F.array_join(kept, " "))
+    return F.filter(sentences, lambda s: (s != "") & ~s.rlike(ANCILLARY))
+
+
+def tagged(sentences: Column) -> Column:
+    return F.concat(F.lit(SANITIZED_TAG), F.array_join(sentences, " "))
+
+
+def sanitize(text: Column, labels: list[str] = ()) -> Column:
+    """Redacted sentences without ancillary claims, after a tag."""
+    return tagged(clean_sentences(text, labels))
 
 
 def normalize_morphology(text: Column, version: str, labels: list[str] = ()) -> Column:

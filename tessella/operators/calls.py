@@ -40,8 +40,8 @@ def append_description(before: Column, more: Column) -> Column:
 def call(requests: DataFrame, send: Callable[[str], dict], key: str, request: str, attempts: int = 3, backoff: float = 1.0, most_chars: int = MOST_CHARS, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """``requests`` (key, request) answered by ``send``, one row for each.
 
-    A request over ``most_chars`` is not sent (status 413).  Network errors (an
-    exception; status null), 429, 5xx and empty replies are asked again after
+    A request over ``most_chars`` is not sent (status 413).  Network errors and
+    responses of no known shape (an ``OSError`` or ``ValueError``; status null), 429, 5xx and empty replies are asked again after
     ``backoff`` times powers of two.  What ``send`` returns has status, reply and
     token counts.
     """
@@ -53,7 +53,7 @@ def call(requests: DataFrame, send: Callable[[str], dict], key: str, request: st
         for n in range(1, attempts + 1):
             try:
                 got = {**send(text), "attempts": n}
-            except OSError:
+            except (OSError, ValueError):  # no connection, or a response of no known shape
                 got = {"status": None, "attempts": n}
             status = got.get("status")
             again = status is None or status in AGAIN or status >= 500 or status == 200 and not got.get("reply")
@@ -82,6 +82,33 @@ def within_budget(calls: DataFrame, by: list[str], order: list[str], budget: flo
     return out.withColumn("may_go_on", F.col("total") < budget)
 
 
+def call_within(requests: DataFrame, send: Callable[[str], dict], key: str, request: str, budget: float, spent: float = 0.0, waves: int = 10, **options) -> DataFrame:
+    """``call`` in ``waves`` by a hash of the key; once ``budget`` is spent, no further wave is sent (status 402, no attempts).
+
+    The cost of what was sent before is ``spent``.  A budget is passed by one wave at most.
+    """
+    done = None
+    for wave in range(waves):
+        part = requests.where(F.pmod(F.xxhash64(key), F.lit(waves)) == wave)
+        if spent < budget:
+            out = call(part, send, key, request, **options).checkpoint()
+            cost = call_cost(F.col("prompt_tokens"), F.col("hit_tokens"), F.col("miss_tokens"), F.col("completion_tokens"))
+            spent += out.agg(F.coalesce(F.sum(cost), F.lit(0.0))).first()[0]
+        else:
+            nothing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in REPLY.split(", ")}
+            out = part.select(key, *(c.alias(n) for n, c in {**nothing, "status": F.lit(402), "attempts": F.lit(0)}.items()))
+        done = out if done is None else done.unionByName(out)
+    return done
+
+
+def require_one_model(calls: DataFrame, by: list[str], model: str) -> DataFrame:
+    """``calls`` itself, after a look at its models; a group that more than one model answered is an error."""
+    found = drifted(calls, by, model).take(1)
+    if found:
+        raise ValueError(f"more than one model answered {found[0].asDict()}")
+    return calls
+
+
 def drifted(calls: DataFrame, by: list[str], model: str) -> DataFrame:
     """Groups that more than one model answered."""
     return calls.groupBy(*by).agg(F.array_sort(F.collect_set(model)).alias("models")).where(F.size("models") > 1)

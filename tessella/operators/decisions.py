@@ -187,6 +187,29 @@ def normalize_domain(decisions: DataFrame, raw: str = "raw") -> DataFrame:
     return out.drop("json_")
 
 
+# What a step of the chain says where it is no JSON, and the level without one.
+UNCERTAIN, CHAIN_LEVEL = "Uncertain", "5"
+
+
+def chain(answer: Column, enough: Column, more: Column) -> Column:
+    """The three replies of the answer chain: answer, steps, sufficient, and, unless that is yes, what is missing and whether to look closer."""
+    a, b, c = (Fields(parsed(x)) for x in (answer, enough, more))
+    has = lambda f: kind(f.column) == "OBJECT"
+    said = F.when(has(b), F.coalesce(b.text("sufficient"), F.lit(""))).otherwise(UNCERTAIN)
+    end = F.lower(F.trim(said)) == "yes"
+    last = lambda name, absent, otherwise: F.when(~end, F.when(has(c), F.coalesce(F.try_variant_get(c.column, f"$.{name}", "string"), absent)).otherwise(otherwise))
+    none = F.lit(None).cast("string")
+    return F.struct(
+        F.when(has(a), F.coalesce(a.text("answer"), F.lit(UNCERTAIN))).otherwise(UNCERTAIN).alias("answer"),
+        F.when(has(a), F.coalesce(a.text("thinking_steps"), F.lit(""))).otherwise(F.coalesce(answer, F.lit(""))).alias("thinking_steps"),
+        said.alias("sufficient"),
+        last("missing_info", none, F.lit(UNCERTAIN)).alias("missing_info"),
+        last("zoom_recommendation", none, F.lit(UNCERTAIN)).alias("zoom_recommendation"),
+        last("recommended_zoom_level", F.lit(CHAIN_LEVEL), F.lit(UNCERTAIN)).alias("zoom_level"),
+        last("zoom_reason", none, F.coalesce(more, F.lit(""))).alias("zoom_reason"),
+    )
+
+
 def focus_magnification(asked: Column) -> Column:
     """The magnification of a closer look: a whole number that is allowed, else the default."""
     number = F.regexp_extract(F.coalesce(asked, F.lit("")), r"^\s*(\d+)(?:\.\d*)?\s*$", 1).try_cast("int")

@@ -25,6 +25,16 @@ def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return found.select(key, F.when(F.col("l") == 1, "left").otherwise("right").alias("side"))
 
 
+def key_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The keys of either side, each once."""
+    return a.select(key).union(b.select(key)).distinct()
+
+
+def available(features: DataFrame, descriptions: DataFrame, on: list[str]) -> DataFrame:
+    """The features whose tile is described."""
+    return features.join(descriptions.select(*on).distinct(), on, "left_semi")
+
+
 def clean(status: Column, contract_pass: Column, safety_pass: Column, fallback: Column) -> Column:
     """Whether a description may be evidence; what is not known counts against it."""
     yes = lambda c: F.coalesce(c, F.lit(False))

@@ -42,10 +42,30 @@ def top_k(scored: DataFrame, by: list[str], k: int, id: str = "id") -> DataFrame
     return ranked(scored, by, id).where(F.col("rank") <= k)
 
 
+def ranked_to(scored: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
+    """``scored`` (group, id, score) with rank, down to the ``k`` (at least 0) that ``limits`` (group, n, k) gives each group of ``n`` rows.
+
+    Scores are dealt to about sqrt(n) ranges between the group's least and best.
+    The ranges are counted; only the rows of those that begin above the ``k``-th
+    place are ranked, each within its range, and the rows before a range are added.
+    So no task holds a group, however large ``k`` is.
+    """
+    ends = scored.groupBy(*by).agg(F.min("score").alias("low"), F.max("score").alias("high")).join(limits, by)
+    ends = F.broadcast(ends) if limits.count() <= MAX_BROADCAST_QUERIES else ends
+    ranges = F.ceil(F.sqrt("n"))
+    place = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("high") - F.col("score")) / (F.col("high") - F.col("low")) * ranges), ranges - 1)).otherwise(F.lit(0))
+    dealt = scored.join(ends, by).withColumn("range_", place.cast("long"))
+    counts = dealt.groupBy(*by, "range_").agg(F.count("*").alias("in_range"), F.first("k").alias("k"))
+    above = F.coalesce(F.sum("in_range").over(Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = counts.withColumn("above", above).where(F.col("above") < F.col("k")).select(*by, "range_", "above")
+    within = F.row_number().over(Window.partitionBy(*by, "range_").orderBy(F.desc("score"), "id"))
+    out = dealt.join(needed, [*by, "range_"]).withColumn("rank", F.col("above") + within)
+    return out.where(F.col("rank") <= F.col("k")).select(*scored.columns, "rank")
+
+
 def initial(scored: DataFrame, available: DataFrame, by: list[str], ratio: float = INITIAL_RATIO, top_k: int | None = None) -> DataFrame:
     """The first retrieval of each group: ``available`` has the group's columns and ``n``, its number of tiles."""
-    limit = available.withColumn("k", retrieval_count(F.col("n"), ratio, top_k)).drop("n")
-    return ranked(scored, by).join(limit, by).where(F.col("rank") <= F.col("k")).drop("k")
+    return ranked_to(scored, available.select(*by, "n", retrieval_count(F.col("n"), ratio, top_k).alias("k")), by)
 
 
 def replenish(scored: DataFrame, available: DataFrame, seen: DataFrame, by: list[str], ratio: float = REPLENISH_RATIO, top_k: int | None = None) -> DataFrame:

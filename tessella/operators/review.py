@@ -126,16 +126,40 @@ def candidate_record(evaluated: DataFrame, attempt: Column, stability: Column) -
     return evaluated.select("question_id", F.col("candidate").alias("answer"), attempt.alias("attempt"), stability.alias("stability"), "support_score", "citation_score", F.col("valid_refs").alias("refs"), "differential")
 
 
-def public_fields(results: DataFrame) -> DataFrame:
-    """What is shown of a result; a row without an evaluation says so, and strict evidence implies the weaker layers."""
+def public_fields(results: DataFrame, contract_version: str | None = None, schema_version: str | None = None) -> DataFrame:
+    """The 13 fields that are shown of a result, and its evidence_refs; a row without an evaluation says so, and strict evidence implies the weaker layers."""
     absent = F.col("strict").isNull()
     strict = F.coalesce("strict", F.lit(False))
     yes = lambda c: strict | F.coalesce(c, F.lit(False))
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     return results.select(
-        "question_id", F.col("candidate").alias("provisional_recommendation"), F.coalesce("differential", F.array().cast("array<string>")).alias("ranked_differential"),
-        F.coalesce("valid_refs", F.array().cast("array<string>")).alias("evidence_refs"), F.when(absent, F.array(F.lit(NOT_EVALUATED))).otherwise(F.col("missing")).alias("missing_evidence"),
+        "question_id", F.col("candidate").alias("provisional_recommendation"), listed("differential").alias("ranked_differential"), listed("valid_refs").alias("cited_patches"),
+        listed("supporting").alias("supporting_evidence"), listed("opposing").alias("opposing_or_conflicting_evidence"),
+        F.when(absent, F.array(F.lit(NOT_EVALUATED))).otherwise(F.col("missing")).alias("missing_evidence"),
         yes("candidate_evidence_found").alias("candidate_evidence_found"), yes("ready").alias("ready_for_pathologist_review"), strict.alias("strict_evidence_sufficient"),
-        F.lit(True).alias("review_required"), F.lit(REVIEW_REASON).alias("review_reason"),
+        F.lit(True).alias("review_required"), F.lit(REVIEW_REASON).alias("review_reason"), F.lit(contract_version).cast("string").alias("contract_version"),
+        F.lit(schema_version).cast("string").alias("output_schema_version"), listed("valid_refs").alias("evidence_refs"),
+    )
+
+
+# Fixed value: how an answer that is the best candidate so far is marked.
+BEST_CANDIDATE = "contract_v1_best_candidate"
+
+
+def contract_final(results: DataFrame, explanation: Column, stop_reason: Column) -> DataFrame:
+    """The final answer of rollouts that end without a pass: the best candidate's, or the first choice where there is none.
+
+    ``results`` has question_id, choices and ``best`` (answer, attempt, refs,
+    summary, reason, strict, evidence_found, citation_valid and supports_answer).
+    """
+    best, none = F.col("best"), F.array().cast("array<string>")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    first = F.coalesce(F.try_element_at("choices", F.lit(1)), F.lit(""))
+    return results.select(
+        "question_id", F.coalesce(best["answer"], first).alias("answer"), F.coalesce(F.nullif(best["summary"], F.lit("")), explanation).alias("explanation"), F.coalesce(best["refs"], none).alias("evidence_refs"),
+        F.lit(None).cast("double").alias("confidence"), F.lit(BEST_CANDIDATE).alias("parse_status"), no(best["strict"]).alias("evidence_sufficient"), no(best["evidence_found"]).alias("evidence_found"),
+        no(best["citation_valid"]).alias("citation_valid"), no(best["supports_answer"]).alias("citation_supports_answer"), F.lit(True).alias("abstain_recommended"),
+        F.coalesce(F.nullif(best["reason"], F.lit("")), stop_reason).alias("unsupported_answer_reason"), best["attempt"].alias("selected_candidate_attempt"),
     )
 
 

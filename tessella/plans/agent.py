@@ -1,82 +1,86 @@
-"""The bounded decision loop, as one step over all questions and rollouts at a time."""
+"""The decision loop on the standard tables, with replies made from a rule."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.policy import INITIAL_RATIO, REPLENISH_RATIO, retrieval_count
-from tessella.functions.text import fallback_choice, insufficient_choice
-from tessella.operators import decisions
+from tessella.operators import loop, regions
 from tessella.plans.registry import query, table
 
-KEY = ["question_id", "rollout_id"]
-MOST_ATTEMPTS = 5
+_KINDS = ("retrieve", "zoom", "inspect", "answer+", "retrieve", "answer", "abstain", "zoom", "retrieve", "inspect", "retrieve")
+_MAGNIFICATIONS = (10, 20, 15)
 
 
-def replay(questions: DataFrame, ranked: DataFrame, replies: DataFrame, attempts: int = MOST_ATTEMPTS, children: int = 2) -> DataFrame:
-    """Run the loop with given replies; one row per question and rollout with its outcome.
+def _id(vec):
+    return F.lpad(vec.cast("string"), 8, "0")
 
-    ``questions`` has question_id, rollout_id, question and choices; ``ranked``
-    (question_id, ids) lists the tiles of a question best first; ``replies`` has
-    the key, attempt and raw.  A first retrieval takes a tenth of the tiles and
-    each further one a twentieth of all.  Answers need sufficient evidence;
-    one zoom adds ``children`` tiles of its own, and a second one retrieves; a
-    search with nothing left ends on the next attempt; the last attempt answers
-    or abstains.  Each step is one plan over the rows that are still open, cut by
-    a checkpoint.
-    """
-    spark = questions.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "spark-warehouse/checkpoints"))
-    empty = F.array().cast("array<string>")
-    state = questions.join(ranked, "question_id", "left").withColumn("ids", F.coalesce("ids", empty))
-    n = F.size("ids")
-    first = retrieval_count(n, INITIAL_RATIO).cast("int")
-    state = state.withColumns({"taken": first, "extra": F.lit(0), "fresh": first > 0, "focus": F.lit(0), "attempt": F.lit(0), "ending": F.lit(None).cast("string"), "answer": F.lit(None).cast("string"), "repairs": empty})
-    done = None
-    for attempt in range(1, attempts + 1):
-        reply = replies.where(F.col("attempt") == attempt).select(*KEY, "raw").dropDuplicates(KEY)
-        now = decisions.normalize(state.drop("answer").withColumnRenamed("repairs", "before").join(reply, KEY, "left"))
-        left = n - F.col("taken")
-        action = decisions.one_focus(F.col("action"), F.col("focus"), left)
-        now = now.withColumn("step", F.when(~F.col("fresh"), "no_additional_evidence").otherwise(action)).withColumn("attempt", F.lit(attempt))
-        last = F.lit(attempt == attempts)
-        ending = (
-            F.when(F.col("step") == "no_additional_evidence", F.col("step")).when(F.col("step") == "answer", "answered").when(F.col("step") == "abstain", "abstained").when(last, "budget_exhausted")
-        )
-        more = F.least(retrieval_count(n, REPLENISH_RATIO).cast("int"), left)
-        taken = F.when(ending.isNull() & (F.col("step") == "retrieve"), F.col("taken") + more).otherwise(F.col("taken"))
-        zoomed = ending.isNull() & (F.col("step") == "zoom")
-        fresh = F.when(F.col("step") == "retrieve", left > 0).otherwise(True)
-        refused = insufficient_choice(F.col("choices"))
-        answer = F.when(ending == "answered", F.col("answer")).when(ending.isNotNull(), F.when(F.col("step") == "abstain", refused).otherwise(F.coalesce(F.nullif(refused, F.lit("")), fallback_choice(F.col("choices")))))
-        columns = {"ending": ending, "taken": taken, "extra": F.col("extra") + F.when(zoomed, children).otherwise(0), "focus": F.col("focus") + zoomed.cast("int"), "fresh": fresh, "answer": answer, "repairs": F.concat("before", "repairs")}
-        now = now.withColumns(columns).select(*state.columns).checkpoint()
-        ended = now.where("ending is not null")
-        done = ended if done is None else done.unionByName(ended)
-        state = now.where("ending is null")
-        if state.isEmpty():
-            break
-    return done.select(*KEY, F.col("attempt").alias("attempts"), "ending", "answer", (F.col("taken") + F.col("extra")).alias("seen"), "focus", "repairs")
 
+def world(spark, sf_dir):
+    """Questions on the benchmark's items, tiles from the embeddings (a label is a slide), and observations of all their sub-regions by formula."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    n = e.count()
+    i = F.col("vec_id")
+    text = F.when(i % 9 == 0, F.lit("")).otherwise(F.repeat(F.lit("tissue "), (i % 5 + 1).cast("int")))
+    tiles = e.select(F.col("label").alias("slide_id"), _id(i).alias("patch_id"), (i % 64 * 1000).alias("x"), (F.floor(i / 64) * 1000).alias("y"), F.lit(1000).cast("long").alias("w"), F.lit(1000).cast("long").alias("h"), "vector", text.alias("text"), F.lit(True).alias("clean"))
+    parts = regions.children(tiles, 10).unionByName(regions.children(tiles, 20))
+    a, b = F.floor(F.col("x") / 250), F.floor(F.col("y") / 250)
+    seen = parts.withColumns({"tissue": (a + b) % 7 / 40.0, "white": 0.9 + (a + 3 * b) % 11 / 100.0, "padding": F.create_map(F.lit("right"), F.when(a % 13 == 0, 1).otherwise(0)), "of": (a * 3 + b * 5) % n})
+    observations = seen.join(e.select(i.alias("of"), "vector"), "of").withColumns({"text": F.lit("closer"), "clean": F.lit(True)}).drop("of")
+    key = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("rollout_id"))
+    q, r = F.col("question_id"), F.col("rollout_id")
+    slides = e.select(i.alias("of"), F.col("label").alias("slide_id"))
+    questions = key.withColumn("of", q % n).join(slides, "of").select(*loop.KEY, "slide_id", F.lit("Which structure is seen?").alias("question"), F.lit("structure").alias("question_type"), F.lit("strict").alias("tier"), F.array(*map(F.lit, ("A", "B", "Insufficient evidence"))).alias("choices"))
+    asked = key.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(loop.MOST_ATTEMPTS))))
+    k = F.col("attempt")
+    queries = asked.withColumn("of", (q * 7 + k * 13 + r * 29) % n).join(e.select(i.alias("of"), "vector"), "of").drop("of")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), ((q * 5 + r * 3 + k * k) % len(_KINDS) + 1).cast("int"))
+    ids = lambda *of: F.array(*(_id(x % n) for x in of))
+    action = F.struct(F.replace(kind, F.lit("+"), F.lit("")).alias("type"), ids(q * 11 + k).alias("target_patches"), F.element_at(F.array(*map(F.lit, _MAGNIFICATIONS)), (q % 3 + 1).cast("int")).alias("magnification"))
+    raw = F.to_json(F.struct(F.lit("B").alias("provisional_recommendation"), kind.endswith("+").alias("evidence_sufficient"), ids(q * 7 + k * 13, q * 3, q * 3, q + k).alias("evidence_refs"), action.alias("next_action")))
+    loop.need_checkpoints(spark)
+    return questions, loop.World(tiles.checkpoint(), observations.checkpoint(), queries.checkpoint(), asked.where("attempt > 0").select(*loop.KEY, "attempt", raw.alias("raw")))
 
-@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), q AS (SELECT item_id, r, item_id % 4 AS f FROM benchmark, (VALUES (0), (1)) AS g(r))
-    SELECT item_id AS question_id, r AS rollout_id, CASE f WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 5 END::INTEGER AS attempts,
-        CASE f WHEN 0 THEN 'answered' WHEN 1 THEN 'answered' WHEN 2 THEN 'abstained' ELSE 'budget_exhausted' END AS ending,
-        CASE WHEN f <= 1 THEN 'B' ELSE 'Insufficient evidence' END AS answer,
-        (greatest(1, trunc(n * 0.10::DOUBLE)) + CASE f WHEN 0 THEN 0 WHEN 1 THEN greatest(1, trunc(n * 0.05::DOUBLE)) + 2 WHEN 2 THEN 2 + 2 * greatest(1, trunc(n * 0.05::DOUBLE)) ELSE 4 * greatest(1, trunc(n * 0.05::DOUBLE)) END)::INTEGER AS seen,
-        CASE WHEN f IN (1, 2) THEN 1 ELSE 0 END::INTEGER AS focus, CASE WHEN f = 2 THEN 'unsupported_answer_changed_to_abstain' ELSE '' END AS repairs FROM q, n""")
+
+def _step(k: int) -> str:
+    """SQL of one attempt: ``d`` decides, ``p`` and ``z`` take the closer look, ``s`` is the state after it."""
+    last, has, first = k == loop.MOST_ATTEMPTS, lambda x: f"list_contains({x}, t)", f"list_transform([q * 11 + {k}], lambda v: lpad((v % n)::VARCHAR, 8, '0'))"
+    kinds = ", ".join(f"'{x}'" for x in _KINDS)
+    shown = "list_filter(list_concat(acc, kids), lambda t: coalesce(try_cast(t AS BIGINT) % 9 <> 0, true))"
+    cited = f"list_transform([q * 7 + {k * 13}, q * 3, q + {k}], lambda v: lpad((v % n)::VARCHAR, 8, '0'))"
+    return f"""
+    c{k} AS (SELECT s.*, replace(kind, '+', '') AS said, kind LIKE '%+' AS enough, ids, {first} AS targets, {cited} AS cites FROM (SELECT *, [{kinds}][1 + (q * 5 + r * 3 + {k * k}) % {len(_KINDS)}] AS kind FROM s{k - 1} WHERE ending IS NULL) AS s
+        JOIN ranks USING (q, r) WHERE a = {k}),
+    d{k} AS (SELECT *, CASE WHEN len(fresh) = 0 THEN 'no_additional_evidence' WHEN said = 'answer' AND NOT enough THEN 'abstain' WHEN said = 'zoom' AND focus > 0 THEN CASE WHEN len(acc) < len(ids) THEN 'retrieve' ELSE 'abstain' END ELSE said END AS step,
+        list_filter(cites, lambda t, i: {has(shown)} AND list_position(cites, t) = i) AS refs, CASE WHEN said = 'answer' AND NOT enough THEN ['unsupported_answer_changed_to_abstain'] ELSE [] END AS fix,
+        CASE q % 3 WHEN 0 THEN 10 ELSE 20 END AS target, list_filter(ids, lambda t: NOT {has('acc')})[1:greatest(1, trunc(len(ids) * 0.05::DOUBLE))::BIGINT] AS more,
+        CASE WHEN len(list_filter(targets, lambda t: {has('acc')})) > 0 THEN list_filter(targets, lambda t: {has('acc')}) ELSE list_filter(fresh, lambda t: {has('acc')}) END AS parents FROM c{k}),
+    p{k} AS (SELECT *, row_number() OVER (PARTITION BY q, r ORDER BY list_position(ids, id)) AS pr FROM (SELECT q, r, ids, target // 5 AS f, unnest(parents) AS id FROM d{k} WHERE step = 'zoom' {"AND false" if last else ""})),
+    z{k} AS (SELECT q, r, list(child ORDER BY er) FILTER (er <= 2) AS new, count(*) > 0 AS tried FROM (SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY q, r, ok ORDER BY score - 0.05 * risk DESC, score DESC, pr, y, x) ELSE 9 END AS er
+        FROM (SELECT o.*, score(v.embedding, u.embedding) AS score, CASE WHEN kind = 'ambiguous' THEN greatest(least(1, greatest(0, (0.05::DOUBLE - tissue) / 0.04::DOUBLE)), least(1, greatest(0, (white - 0.95::DOUBLE) / 0.03::DOUBLE))) ELSE 0 END AS risk, kind <> 'strict_blank' AND (x // 250) % 13 <> 0 AS ok
+            FROM (SELECT *, CASE WHEN tissue < 0.01::DOUBLE AND white >= 0.98::DOUBLE THEN 'strict_blank' WHEN tissue >= 0.05::DOUBLE AND white < 0.95::DOUBLE THEN 'definite_nonblank' ELSE 'ambiguous' END AS kind,
+                    'x' || x || '_y' || y || '_w' || (1000 // f) || '_h' || (1000 // f) || '_m' || (f * 5) AS child
+                FROM (SELECT *, (x // 250 + y // 250) % 7 / 40.0::DOUBLE AS tissue, 0.9::DOUBLE + (x // 250 + 3 * (y // 250)) % 11 / 100.0::DOUBLE AS white
+                    FROM (SELECT q, r, f, pr, id::BIGINT % 64 * 1000 + i * 1000 // f AS x, id::BIGINT // 64 * 1000 + j * 1000 // f AS y FROM p{k}, generate_series(0, 3) AS g(i), generate_series(0, 3) AS h(j) WHERE pr <= 2 AND i < f AND j < f))) AS o, n
+            JOIN embeddings AS v ON v.vec_id = (x // 250 * 3 + y // 250 * 5) % n JOIN embeddings AS u ON u.vec_id = (q * 7 + {k * 13} + r * 29) % n)) GROUP BY q, r),
+    s{k} AS (SELECT d.q, d.r, d.n, {k} AS attempts, CASE step WHEN 'answer' THEN 'answered' WHEN 'abstain' THEN 'abstained' WHEN 'no_additional_evidence' THEN step {"ELSE 'budget_exhausted'" if last else ""} END AS ending,
+        CASE WHEN step = 'retrieve' {"AND false" if last else ""} THEN list_concat(acc, more) ELSE acc END AS acc, len(acc) + len(kids) AS seen, CASE WHEN step = 'no_additional_evidence' THEN [] WHEN step = 'answer' THEN refs[1:5] ELSE refs END AS cited, step = 'answer' AND enough AS sufficient,
+        CASE WHEN z.new IS NOT NULL THEN list_concat(kids, list_filter(z.new, lambda t: NOT list_contains(kids, t))) ELSE kids END AS kids, focus + coalesce(z.tried, false)::INT AS focus, list_concat(fixed, fix) AS fixed, CASE WHEN step = 'no_additional_evidence' THEN 'A' ELSE 'B' END AS answer,
+        CASE step WHEN 'retrieve' THEN more WHEN 'zoom' THEN coalesce(z.new, []) WHEN 'inspect' THEN CASE WHEN targets[1]::BIGINT % 9 <> 0 AND list_contains(ids, targets[1]) THEN targets ELSE fresh[1:1] END ELSE [] END AS fresh FROM d{k} AS d LEFT JOIN z{k} AS z USING (q, r))"""
+
+
+_STEPS = range(1, loop.MOST_ATTEMPTS + 1)
+_SCORE = "list_dot_product(v::DOUBLE[], list_transform(u, lambda x: x::DOUBLE / sqrt(list_dot_product(u::DOUBLE[], u::DOUBLE[]))))"
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings),
+    qs AS (SELECT item_id AS q, r, e.label AS slide, n FROM benchmark, n, (VALUES (0), (1)) AS g(r) JOIN embeddings AS e ON e.vec_id = item_id % n),
+    ranks AS (SELECT q, r, a, list(lpad(t.vec_id::VARCHAR, 8, '0') ORDER BY {_SCORE.replace("v::", "t.embedding::").replace("(u,", "(u.embedding,").replace("u::", "u.embedding::")} DESC, t.vec_id) AS ids
+        FROM qs, generate_series(0, {loop.MOST_ATTEMPTS}) AS g(a) JOIN embeddings AS u ON u.vec_id = (q * 7 + a * 13 + r * 29) % n JOIN embeddings AS t ON t.label = slide GROUP BY q, r, a),
+    s0 AS (SELECT q, r, n, 0 AS attempts, NULL::VARCHAR AS ending, ids[1:greatest(1, trunc(len(ids) * 0.10::DOUBLE))::BIGINT] AS acc, 0 AS seen, []::VARCHAR[] AS cited, false AS sufficient, []::VARCHAR[] AS kids, 0 AS focus, []::VARCHAR[] AS fixed, '' AS answer,
+        ids[1:greatest(1, trunc(len(ids) * 0.10::DOUBLE))::BIGINT] AS fresh FROM qs JOIN ranks USING (q, r) WHERE a = 0),
+    {",".join(_step(k) for k in _STEPS).replace("score(v.embedding, u.embedding)", "list_cosine_similarity(v.embedding::DOUBLE[], u.embedding::DOUBLE[])")}
+    {" UNION ALL ".join(f"SELECT q AS question_id, r AS rollout_id, attempts, ending, answer, array_to_string(cited, ',') AS refs, sufficient, seen::BIGINT AS seen, focus, array_to_string(fixed, ',') AS repairs FROM s{k} WHERE ending IS NOT NULL" for k in _STEPS)}""")
 def agent_replay(spark, sf_dir):
-    """Scripted replies: an answer at once; retrieve, zoom, answer; two zooms, retrieve, an unsupported answer; retrieve for ever."""
-    e = table(spark, sf_dir, "embeddings")
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"))
-    q = b.withColumn("rollout_id", F.explode(F.array(F.lit(0), F.lit(1))))
-    q = q.withColumn("question", F.lit("Which structure is seen?")).withColumn("choices", F.array(F.lit("A"), F.lit("B"), F.lit("Insufficient evidence")))
-    ids = e.agg(F.array_sort(F.collect_list(F.col("vec_id").cast("string"))).alias("ids"))
-    ranked = b.distinct().withColumn("one", F.lit(1)).join(F.broadcast(ids.withColumn("one", F.lit(1))), "one").drop("one")
-    script = {0: ["answer+"], 1: ["retrieve", "zoom", "answer+"], 2: ["zoom", "zoom", "retrieve", "answer"], 3: ["retrieve"] * 5}
-    text = lambda a: '{"provisional_recommendation":"B","evidence_sufficient":%s,"next_action":{"type":"%s"}}' % ("true" if a.endswith("+") else "false", a.rstrip("+"))
-    rows = [(f, i + 1, text(a)) for f, actions in script.items() for i, a in enumerate(actions)]
-    replies = q.select(*KEY, (F.col("question_id") % 4).cast("int").alias("f")).join(F.broadcast(spark.createDataFrame(rows, "f int, attempt int, raw string")), "f").drop("f")
-    return replay(q, ranked, replies).withColumn("repairs", F.array_join("repairs", ","))
+    """Replies that retrieve, look closer, inspect, answer and abstain in changing order."""
+    outcomes, _ = loop.run(*world(spark, sf_dir))
+    return outcomes.withColumns({"refs": F.array_join("refs", ","), "repairs": F.array_join("repairs", ",")})

@@ -57,10 +57,8 @@ _CLAIMS = "'. The breast shows Carcinoma in situ. KRAS mutation was noted! Solid
 def sanitize_text(spark, sf_dir):
     """Redaction and sentence filter over every document with a few claims put behind it."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(_CLAIMS.strip("'"))).alias("x"))
-    out = d.select("doc_id", T.sanitize(F.col("x"), ["Ringed pattern"]).alias("s"))
-    kept = F.split(T.redact(F.col("x"), ["Ringed pattern"]), T.SENTENCES)
-    n = F.size(F.filter(kept, lambda y: (F.regexp_replace(y, r"^\s+|\s+\z", "") != "") & ~y.rlike(T.ANCILLARY))).cast("long")
-    return out.join(d.select("doc_id", n.alias("sentences")), "doc_id").select("doc_id", F.md5(F.col("s").cast("binary")).alias("digest"), "sentences")
+    kept = d.select("doc_id", T.clean_sentences(F.col("x"), ["Ringed pattern"]).alias("kept"))
+    return kept.select("doc_id", F.md5(T.tagged(F.col("kept")).cast("binary")).alias("digest"), F.size("kept").cast("long").alias("sentences"))
 
 
 @query(rf"SELECT doc_id, md5(regexp_replace({_TEXT}, '^\s+|\s+$', '', 'g')) AS digest FROM documents")

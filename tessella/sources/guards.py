@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,23 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def forbidden_keys(text: str, names: tuple[str, ...]) -> Column:
-    """Which of ``names`` are keys, at any depth, of a JSON text."""
-    has = lambda n: F.col(text).rlike('"' + n + r'"\s*:')
+def forbidden_keys(text: Column | str, names: tuple[str, ...]) -> Column:
+    """Which of ``names`` are keys, at any depth, of a JSON text; none if it is no JSON.
+
+    They are looked for in the text's schema, which holds keys as they are after
+    unescaping, and no values.
+    """
+    schema = F.concat(F.schema_of_variant(F.try_parse_json(F.col(text) if isinstance(text, str) else text)), F.lit(","))
+    has = lambda n: F.coalesce(schema.rlike(rf"(?:<|, )`?{re.escape(n)}`?: "), F.lit(False))
     return F.filter(F.array(*(F.when(has(n), n) for n in names)), lambda x: x.isNotNull())
+
+
+# Fixed value: pixels of a canvas's side.
+CANVAS = 784
+
+
+def frozen(name: str, actual: int, expected: int = CANVAS) -> int:
+    """``actual``, if it is what it is frozen at; anything else is an error."""
+    if int(actual) != expected:
+        raise ValueError(f"{name} is frozen at {expected}, not {actual}")
+    return int(actual)

@@ -97,9 +97,9 @@ def descriptions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (slide_id, patch_id, features) of a Parquet table; a null component is an error."""
+    """Rows (slide_id, patch_id, features) of a Parquet table; a component that is null or not finite is an error."""
     rows = spark.read.parquet(path)
-    sound = F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x))
+    sound = F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.withColumn("features", F.when(sound, F.col("features")).otherwise(F.raise_error(F.lit("features have to be finite"))))
 
 
@@ -112,11 +112,56 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(name.alias("name"), value.alias("value"))
 
 
-def rules(path: str) -> dict:
-    """Contract rules from a JSON file, checked: feature groups are there, and required groups are among them."""
-    held = json.loads(Path(path).read_text(encoding="utf-8"))
-    for name, rule in held["visual_concept_contracts"].items():
-        groups = rule.get("feature_groups") or []
-        if not groups or any(not 0 <= int(g) < len(groups) for g in rule.get("required_anywhere_groups", [])):
-            raise ValueError(f"contract {name} is not well formed")
-    return held
+#: Question types whose choices an ontology has to show.
+QUESTION_TYPES = ("structure", "diagnosis", "differentiation")
+
+
+def policy(contracts: str, ontology: str, versions: dict[str, str] | None = None) -> tuple[dict, dict]:
+    """Contracts and ontology from JSON files, checked.
+
+    ``versions`` are what their ``schema_version`` (keys ``contracts`` and
+    ``ontology``) and ``term_matcher_version`` have to be, where given.  Every
+    question type has concepts; every rule has feature groups that are not empty,
+    a minimum among them, required groups that are there, and at least one tile.
+    """
+    held, shown = (json.loads(Path(p).read_text(encoding="utf-8")) for p in (contracts, ontology))
+    found = {"contracts": held.get("schema_version"), "ontology": shown.get("schema_version"), "term_matcher_version": held.get("term_matcher_version")}
+    for name, version in (versions or {}).items():
+        if found[name] != version:
+            raise ValueError(f"{name} is of version {found[name]}, not {version}")
+    for kind in QUESTION_TYPES:
+        if not ((shown.get("question_types") or {}).get(kind) or {}).get("option_concepts"):
+            raise ValueError(f"the ontology has no concepts for {kind}")
+    for name, rule in (held.get("visual_concept_contracts") or {}).items():
+        groups = rule.get("feature_groups")
+        if not isinstance(groups, list) or not groups or not all(groups):
+            raise ValueError(f"contract {name} has no feature groups, or an empty one")
+        if not 1 <= int(rule.get("minimum_feature_groups_per_patch", 0)) <= len(groups):
+            raise ValueError(f"contract {name} asks for more groups than it has, or for none")
+        if int(rule.get("minimum_clean_evidence_patches", 0)) < 1:
+            raise ValueError(f"contract {name} asks for no tile")
+        if any(not 0 <= int(g) < len(groups) for g in rule.get("required_anywhere_groups", [])):
+            raise ValueError(f"contract {name} requires a group that it does not have")
+    return held, shown
+
+
+def concept_display(*names: Column) -> Column:
+    """The first of a concept's names that is not empty; an empty text if there is none."""
+    return F.coalesce(*(F.nullif(n, F.lit("")) for n in names), F.lit(""))
+
+
+def concepts(spark: SparkSession, ontology: dict) -> DataFrame:
+    """Rows (question_type, concept, display) of the concepts that show the choices of a question type."""
+    rows = [
+        (kind, concept, *((ontology.get("concepts") or {}).get(concept, {}).get(n) for n in ("display_zh", "label_zh", "label")))
+        for kind, of in (ontology.get("question_types") or {}).items() for concept in of.get("option_concepts") or []
+    ]
+    held = spark.createDataFrame(rows, "question_type string, concept string, a string, b string, c string")
+    return held.select("question_type", "concept", concept_display(F.col("a"), F.col("b"), F.col("c")).alias("display")).where("display <> ''")
+
+
+def relations(spark: SparkSession, contracts: dict) -> DataFrame:
+    """Rows (concept, support, needs_zoom): which visual concept supports another one."""
+    held = contracts.get("target_support_contracts") or {}
+    rows = [(name, of.get("visual_support_concept"), bool(of.get("requires_zoom_confirmation", False))) for name, of in held.items()]
+    return spark.createDataFrame(rows, "concept string, support string, needs_zoom boolean")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.streaming.trace import BLIND, documents
+from tessella.sources.guards import forbidden_keys
+from tessella.streaming.trace import BLIND, BUCKETS, bucketed, documents
 
 
 def manifest_hash(manifest: DataFrame) -> str:
@@ -27,12 +28,13 @@ def write_or_verify(manifest: DataFrame, path: str) -> None:
 
 def finalize(events: DataFrame, path: str) -> None:
     """Write one document per trace; traces that hold a forbidden key, or are there already, are errors."""
-    bad = F.lit(False)
-    for name in BLIND:
-        bad = bad | F.coalesce(F.col("document").rlike(r'\\?"' + name + r'\\?"\s*:'), F.lit(False))
     fields = [c for c in events.columns if c not in ("trace_id", "event_id")]
-    docs = documents(events, ["trace_id"], "event_id", fields).select("trace_id", "n_events", "document")
-    checked = docs.withColumn("document", F.when(bad, F.raise_error(F.lit("a trace holds an answer"))).otherwise(F.col("document")))
+    texts = [c for c, kind in events.dtypes if kind == "string" and c in fields]
+    bad = F.exists(F.array(*(F.size(forbidden_keys(c, BLIND)) for c in texts)) if texts else F.array(F.lit(0)), lambda n: n > 0)
+    docs = documents(events.withColumn("bad_", bad), ["trace_id"], "event_id", [*fields, "bad_"])
+    docs = docs.withColumn("document", F.to_json(F.transform("events", lambda e: e.dropFields("bad_"))))
+    held = F.exists("events", lambda e: e["bad_"]) | (F.size(forbidden_keys("document", BLIND)) > 0)
+    checked = docs.select("trace_id", "n_events", F.when(held, F.raise_error(F.lit("a trace holds an answer"))).otherwise(F.col("document")).alias("document"))
     checked.write.mode("errorifexists").parquet(path)
 
 
@@ -41,8 +43,26 @@ def resumable(results: DataFrame, traces: DataFrame, on: list[str]) -> DataFrame
     return results.join(traces.select(*on).distinct(), on, "left_anti")
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    results.write.mode("errorifexists").partitionBy("question_id").json(path)
+def write_results(results: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Results as JSON lines, in a bounded number of folders by a hash of the question; results that are there already are an error."""
+    bucketed(results, "question_id", buckets).write.mode("errorifexists").partitionBy("bucket").json(path)
+
+
+# The fields of a case, in order.
+CASE = ("long_id", "question", "choices", "ground_truth", "pred_answer", "explanation", "process")
+
+
+def write_cases(results: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """One JSON line a case with the fields of ``CASE``; absent ones are null."""
+    held = results.select(*(F.col(c) if c in results.columns else F.lit(None).cast("string").alias(c) for c in CASE))
+    bucketed(held, "long_id", buckets).write.mode("errorifexists").option("ignoreNullFields", False).partitionBy("bucket").json(path)
+
+
+def consistent(results: DataFrame, traces: DataFrame, on: list[str], same: list[str]) -> DataFrame:
+    """Results whose trace says something else in one of the columns ``same``; a run with any may not be resumed."""
+    other = traces.select(*on, *(F.col(c).alias(f"{c}_traced") for c in same))
+    differs = F.exists(F.array(*(~F.col(c).eqNullSafe(F.col(f"{c}_traced")) for c in same)), lambda x: x)
+    return results.join(other, on).where(differs)
 
 
 def summary(results: DataFrame, calls: DataFrame) -> DataFrame:

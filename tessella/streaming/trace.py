@@ -32,8 +32,17 @@ def documents(events: DataFrame, by: list[str], order: str, fields: list[str]) -
     return listed.withColumn("n_events", F.size("events")).withColumn("document", F.to_json("events"))
 
 
-def append(events: DataFrame, path: str) -> None:
-    events.write.mode("append").partitionBy("trace_id").json(path)
+#: Folders that events and results are dealt to.
+BUCKETS = 64
+
+
+def bucketed(rows: DataFrame, by: str, buckets: int = BUCKETS) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+
+
+def append(events: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Append events, in a bounded number of folders by a hash of the trace."""
+    bucketed(events, "trace_id", buckets).write.mode("append").partitionBy("bucket").json(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

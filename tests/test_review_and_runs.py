@@ -64,8 +64,8 @@ def test_choices_need_concepts(spark):
 def test_missing_text_and_public_fields(spark):
     df = spark.createDataFrame([("", '["a", {"text": "b"}, ""]'), (None, " plain "), ("x", "y")], "a string, b string")
     assert [r[0] for r in df.select(review.missing_text(F.col("a"), F.col("b"))).collect()] == ["a; b", "plain", "x"]
-    kinds = "question_id string, candidate string, differential array<string>, valid_refs array<string>, missing array<string>, candidate_evidence_found boolean, ready boolean, strict boolean"
-    out = review.public_fields(spark.createDataFrame([("q", "a", None, None, None, None, None, None), ("r", "a", [], ["p"], [], False, False, True)], kinds)).collect()
+    kinds = "question_id string, candidate string, differential array<string>, valid_refs array<string>, missing array<string>, candidate_evidence_found boolean, ready boolean, strict boolean, supporting array<string>, opposing array<string>"
+    out = review.public_fields(spark.createDataFrame([("q", "a", None, None, None, None, None, None, None, None), ("r", "a", [], ["p"], [], False, False, True, ["p"], [])], kinds)).collect()
     assert out[0]["missing_evidence"] == [review.NOT_EVALUATED] and out[1]["ready_for_pathologist_review"]
 
 
@@ -138,3 +138,25 @@ def test_runs(spark, tmp_path):
     spent = calls.within_budget(spark.createDataFrame([(1, 1000, 400, 600, 100, 200)], "id long, prompt_tokens long, hit_tokens long, miss_tokens long, completion_tokens long, status int"), [], ["id"], 0.0001)
     assert not spent.first()["may_go_on"] and runs.summary(results, spent).first()["cost"] == pytest.approx(0.000808)
     assert runs.resumable(results, results.where("false"), ["question_id"]).count() == 1
+    runs.write_results(results, str(tmp_path / "r"))
+    assert [r["ending"] for r in spark.read.json(str(tmp_path / "r")).collect()] == ["answered"]
+    assert runs.consistent(results, results.withColumn("ending", F.lit("abstained")), ["question_id"], ["ending"]).count() == 1 - runs.consistent(results, results, ["question_id"], ["ending"]).count()
+    runs.write_cases(spark.createDataFrame([("s", "Q?", "a")], "long_id string, question string, pred_answer string"), str(tmp_path / "cases"))
+    assert set(runs.CASE) <= set(spark.read.json(str(tmp_path / "cases")).columns)
+
+
+def test_budget_gates_calls(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(200)], "id long, request string")
+    send = lambda t: {"status": 200, "reply": "yes", "prompt_tokens": 1_000_000}
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    out = calls.call_within(df, send, "id", "request", budget=50.0, sleep=lambda s: None).collect()
+    sent = sum(r["status"] == 200 for r in out)
+    assert len(out) == 200 and 50 <= sent <= 110 and all(r["attempts"] == 0 for r in out if r["status"] == 402)
+    assert all(r["status"] == 402 for r in calls.call_within(df, send, "id", "request", budget=1.0, spent=2.0).collect())
+
+    def shapeless(text):
+        raise ValueError(text)
+
+    assert calls.call(df.limit(1), shapeless, "id", "request", sleep=lambda s: None).first()["attempts"] == 3
+    with pytest.raises(ValueError):
+        calls.require_one_model(spark.createDataFrame([(1, "a"), (1, "b")], "id long, model string"), ["id"], "model")

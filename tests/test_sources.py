@@ -3,7 +3,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.plans.agent import replay
 from tessella.sources import guards, readers
 from tessella.streaming import trace
 
@@ -45,17 +44,46 @@ def test_manifests(spark, tmp_path):
         readers.settings(spark, put(tmp_path / "f.env", "nothing\n")).collect()
 
 
-def test_rules(tmp_path):
-    good = {"visual_concept_contracts": {"c": {"feature_groups": [["a"]], "required_anywhere_groups": [0]}}}
-    assert readers.rules(put(tmp_path / "r.json", json.dumps(good))) == good
-    good["visual_concept_contracts"]["c"]["required_anywhere_groups"] = [3]
+def test_policy(spark, tmp_path):
+    rule = {"feature_groups": [["a"]], "minimum_feature_groups_per_patch": 1, "minimum_clean_evidence_patches": 1, "required_anywhere_groups": [0]}
+    contracts = {"schema_version": "c1", "term_matcher_version": "t1", "visual_concept_contracts": {"x": rule}, "target_support_contracts": {"y": {"visual_support_concept": "x", "requires_zoom_confirmation": True}}}
+    types = {k: {"option_concepts": ["x", "y"]} for k in readers.QUESTION_TYPES}
+    ontology = {"schema_version": "o1", "question_types": types, "concepts": {"x": {"display_zh": "", "label": "X"}, "y": {}}}
+
+    def load(**change):
+        held = json.loads(json.dumps(contracts))
+        held["visual_concept_contracts"]["x"].update(change)
+        return readers.policy(put(tmp_path / "c.json", json.dumps(held)), put(tmp_path / "o.json", json.dumps(ontology)), {"contracts": "c1", "ontology": "o1", "term_matcher_version": "t1"})
+
+    held, shown = load()
+    assert held == contracts
+    assert sorted(tuple(r) for r in readers.concepts(spark, shown).collect()) == sorted((k, "x", "X") for k in readers.QUESTION_TYPES)
+    assert [tuple(r) for r in readers.relations(spark, held).collect()] == [("y", "x", True)]
+    for bad in ({"required_anywhere_groups": [3]}, {"feature_groups": [[]]}, {"feature_groups": []}, {"minimum_feature_groups_per_patch": 2}, {"minimum_clean_evidence_patches": 0}):
+        with pytest.raises(ValueError):
+            load(**bad)
     with pytest.raises(ValueError):
-        readers.rules(put(tmp_path / "s.json", json.dumps(good)))
+        readers.policy(str(tmp_path / "c.json"), str(tmp_path / "o.json"), {"ontology": "o2"})
+    ontology["question_types"].pop("diagnosis")
+    with pytest.raises(ValueError):
+        load()
+
+
+def test_features_are_finite(spark, tmp_path):
+    for name, x in (("good", 1.0), ("nan", float("nan")), ("inf", float("-inf"))):
+        spark.createDataFrame([("s", "p", [0.0, x])], "slide_id string, patch_id string, features array<double>").write.parquet(str(tmp_path / name))
+    assert readers.features(spark, str(tmp_path / "good")).count() == 1
+    for name in ("nan", "inf"):
+        with pytest.raises(Exception, match="finite"):
+            readers.features(spark, str(tmp_path / name)).collect()
+    assert guards.frozen("canvas", 784) == 784
+    with pytest.raises(ValueError):
+        guards.frozen("canvas", 512)
 
 
 def test_forbidden_keys(spark):
-    df = spark.createDataFrame([('{"a": {"ground_truth": 1}}',), ('{"a": "ground_truth"}',)], "t string")
-    assert [r[0] for r in df.select(guards.forbidden_keys("t", trace.BLIND)).collect()] == [["ground_truth"], []]
+    df = spark.createDataFrame([('{"a": {"ground_truth": 1}}',), ('{"a": "ground_truth"}',), ('{"结构化金标": 1}',), ("{",), (None,)], "t string")
+    assert [r[0] for r in df.select(guards.forbidden_keys("t", trace.BLIND)).collect()] == [["ground_truth"], [], ["结构化金标"], [], []]
 
 
 def test_call_stream_equals_table(spark, tmp_path):
@@ -69,11 +97,3 @@ def test_call_stream_equals_table(spark, tmp_path):
     trace.write_stream(calls, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     done = {r["call_id"]: r["latency_ms"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert done["c1"] == 2500
-
-
-def test_replay_without_tiles_or_replies(spark):
-    q = spark.createDataFrame([("q", 0, "Q?", ["A", "Insufficient evidence"])], "question_id string, rollout_id int, question string, choices array<string>")
-    none = spark.createDataFrame([], "question_id string, ids array<string>")
-    replies = spark.createDataFrame([], "question_id string, rollout_id int, attempt int, raw string")
-    out = replay(q, none, replies).first()
-    assert (out["ending"], out["attempts"], out["seen"]) == ("no_additional_evidence", 1, 0)
