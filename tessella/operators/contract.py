@@ -11,6 +11,7 @@ from tessella.functions.text import visible_section
 
 # Magnifications and numbers where a rule names none.
 MAGNIFICATIONS, MOST_TILES, LEAST_LIMITED, LEAST_STRICT = (5,), 4, 1, 1
+NO_ZOOM = "zoom_confirmation_missing"
 
 
 def least_tiles(rule: dict, tier: Column) -> Column:
@@ -20,7 +21,7 @@ def least_tiles(rule: dict, tier: Column) -> Column:
 
 
 def visual_contract(tiles: DataFrame, by: list[str], rule: dict, tier: Column | None = None, needs_zoom: bool = False, most: int = MOST_TILES) -> DataFrame:
-    """One row per group: eligible, support_score, selected, represented, missing, reasons, unclean, misplaced, zoomed.
+    """One row per group: eligible, support_score, the shares of it without the closer look, selected, represented, missing, reasons, unclean, misplaced, zoomed.
 
     ``tiles`` has the group, patch_id, text, clean, magnification, x, y, w and h,
     one row per tile.  Unclean tiles, then those off the rule's magnifications,
@@ -65,14 +66,14 @@ def visual_contract(tiles: DataFrame, by: list[str], rule: dict, tier: Column |
     reasons = [
         F.when(F.size("selected") < F.col("wanted"), F.concat(F.lit("clean_nonoverlapping_patch_count_lt_"), F.col("wanted").cast("string"))),
         F.when(F.size("missing") > 0, "required_visual_feature_group_missing"),
-        F.when(zoom_missing, "zoom_confirmation_missing"),
+        F.when(zoom_missing, NO_ZOOM),
     ]
     out = out.withColumn("reasons", F.filter(F.array(*reasons), lambda r: r.isNotNull())).withColumn("eligible", F.size("reasons") == 0)
     tile_share = F.least(F.size("selected") / F.greatest(F.lit(1), F.col("wanted")), F.lit(1.0))
     group_share = (F.lit(float(len(required))) - F.size("missing")) / len(required) if required else F.lit(1.0)
     zoom_share = F.when(zoom_missing, 0.0).otherwise(1.0)
-    out = out.withColumn("support_score", F.round((tile_share + group_share + zoom_share) / 3.0, 6))
-    return out.select(*by, "eligible", "support_score", "selected", "represented", "missing", "reasons", "unclean", "misplaced", "zoomed")
+    out = out.withColumn("shares", tile_share + group_share).withColumn("support_score", F.round((F.col("shares") + zoom_share) / 3.0, 6))
+    return out.select(*by, "eligible", "support_score", "shares", "selected", "represented", "missing", "reasons", "unclean", "misplaced", "zoomed")
 
 
 def unique_answer(evaluations: DataFrame, by: list[str], choice: str = "choice") -> DataFrame:

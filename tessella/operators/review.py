@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.negation import matching_groups
 from tessella.functions.text import visible_section
-from tessella.operators.contract import MAGNIFICATIONS, citations, differential, strictly_supported, visual_contract
+from tessella.operators.contract import MAGNIFICATIONS, NO_ZOOM, citations, differential, strictly_supported, visual_contract
 
 # Codes of what is missing, and constants of the output.
 NO_CITATION = "valid_visible_citation_required"
@@ -60,6 +60,18 @@ def _matches(scoped: DataFrame, name: str, rule: dict) -> DataFrame:
     return found.where(F.size("groups") > 0).select("question_id", F.lit(name).alias("support"), "patch_id", direct.alias("direct"))
 
 
+def match_records(matches: DataFrame) -> DataFrame:
+    """One row for each cited tile that matches anything: the choices that it matches, their rule, and whether it supports them directly."""
+    return matches.groupBy("question_id", "patch_id").agg(F.array_sort(F.collect_set(F.struct("choice", "support", "direct"))).alias("matches"), F.max("direct").alias("any_direct"))
+
+
+def cited_matches(questions: DataFrame, tiles: DataFrame, concepts: DataFrame, relations: DataFrame, rules: dict[str, dict]) -> DataFrame:
+    """Rows (question_id, patch_id, support, choice, direct): every match of a cited tile with a rule that supports a choice."""
+    asked = questions.withColumn("cites", citations(F.col("refs"), F.col("visible")))
+    found = reduce(DataFrame.unionByName, (_matches(_scopes(asked, tiles), n, r) for n, r in rules.items()))
+    return found.join(supports(option_concepts(questions, concepts), relations).select("question_id", "support", "choice"), ["question_id", "support"])
+
+
 def evaluate(questions: DataFrame, tiles: DataFrame, concepts: DataFrame, relations: DataFrame, rules: dict[str, dict]) -> DataFrame:
     """One row per question with everything that its evidence shows.
 
@@ -74,10 +86,14 @@ def evaluate(questions: DataFrame, tiles: DataFrame, concepts: DataFrame, relati
     options = supports(option_concepts(questions, concepts), relations)
     evaluated = []
     for name, rule in rules.items():
-        for zoom in (False, True):
-            part = visual_contract(scoped, ["question_id", "scope"], rule, F.col("tier"), zoom)
-            evaluated.append(part.select("question_id", "scope", F.lit(name).alias("support"), F.lit(zoom).alias("needs_zoom"), "eligible", "support_score", "reasons"))
-    contracts = reduce(DataFrame.unionByName, evaluated)
+        part = visual_contract(scoped, ["question_id", "scope"], rule, F.col("tier"))
+        evaluated.append(part.select("question_id", "scope", F.lit(name).alias("support"), "eligible", "shares", "reasons", "zoomed"))
+    contracts = reduce(DataFrame.unionByName, evaluated).withColumn("needs_zoom", F.explode(F.array(F.lit(False), F.lit(True))))
+    lacks = F.col("needs_zoom") & (F.size("zoomed") == 0)
+    contracts = contracts.select(
+        "question_id", "scope", "support", "needs_zoom", (F.col("eligible") & ~lacks).alias("eligible"), F.round((F.col("shares") + F.when(lacks, 0.0).otherwise(1.0)) / 3.0, 6).alias("support_score"),
+        F.when(lacks, F.concat("reasons", F.array(F.lit(NO_ZOOM)))).otherwise(F.col("reasons")).alias("reasons"),
+    )
     each = options.withColumn("scope", F.explode(F.array(F.lit("visible"), F.lit("cited"))))
     each = each.join(contracts, ["question_id", "scope", "support", "needs_zoom"], "left")
     none = F.when(F.col("support").isNull(), F.array(F.lit(NO_MAPPING))).otherwise(F.array(F.lit("clean_nonoverlapping_patch_count_lt_1")))
