@@ -12,6 +12,7 @@ from tessella.llm.lines import line_report
 from tessella.llm.mixing import BAD, GOOD, UNKNOWN, mix_plan
 from tessella.llm.paragraphs import passage_report
 from tessella.llm.simhash import near_duplicates
+from tessella.llm.supermin import shingle_duplicates
 from tessella.llm.tokens import token_shards
 from tessella.llm.topk import top_k
 from tessella.llm.urls import judge_urls
@@ -74,6 +75,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2, similarity=0.8)
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_token_shards": op2_token_shards,
@@ -85,10 +90,25 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op13_superminhash": op13_superminhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op13_superminhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM sets AS a JOIN sets AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT a, b FROM pairs JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE 100 * both_have >= 80 * (x.n + y.n - both_have)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (
+            SELECT doc_id AS node, doc_id AS other FROM w
+            UNION SELECT node, b FROM reach JOIN both_ways ON other = a)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+        FROM w LEFT JOIN sizes USING (doc_id) JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) ON node = w.doc_id""",
     "op7_decontamination": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
