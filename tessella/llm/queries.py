@@ -9,6 +9,7 @@ from tessella.llm.contamination import contamination_report, find_contamination
 from tessella.llm.html import extract_text
 from tessella.llm.langid import language_report
 from tessella.llm.lines import line_report
+from tessella.llm.merkle import audit_documents, proof_digest
 from tessella.llm.mixing import BAD, GOOD, UNKNOWN, mix_plan
 from tessella.llm.paragraphs import passage_report
 from tessella.llm.simhash import near_duplicates
@@ -75,6 +76,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = audit_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=2, similarity=0.8)
 
@@ -90,11 +97,54 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op12_merkle": op12_merkle,
     "op13_superminhash": op13_superminhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle": """
+        WITH RECURSIVE fields AS (
+            SELECT doc_id, lang, source, n_chars, text,
+                list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+                    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384::BIGINT) END) AS crc
+            FROM documents),
+        canonical AS (
+            SELECT doc_id, lang, xor(crc, 4294967295::BIGINT) % 7 = 0 AS tampered, n_chars,
+                coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+                coalesce(strlen(text) || ':' || text, '-') AS after
+            FROM fields),
+        leaves AS (
+            SELECT doc_id, coalesce('=' || lang, '-') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+                sha256(before || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || after) AS leaf,
+                CASE WHEN tampered THEN sha256(before || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || after) END AS bent
+            FROM canonical),
+        nodes AS (
+            SELECT tree, 0 AS level, i, n, leaf AS digest FROM leaves
+            UNION ALL
+            SELECT tree, any_value(level) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, i // 2),
+        subroots AS (SELECT tree, digest AS subroot, level AS levels, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        tops AS (
+            SELECT 0 AS level, i, n, subroot AS digest FROM subroots
+            UNION ALL
+            SELECT any_value(level) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY i // 2),
+        paths AS (
+            SELECT l.doc_id, s.level, l.i >> s.level AS place, o.digest AS sibling
+            FROM leaves AS l JOIN nodes AS s ON s.tree = l.tree AND s.n > 1 AND s.i = l.i >> s.level
+            LEFT JOIN nodes AS o ON o.tree = s.tree AND o.level = s.level AND o.i = xor(s.i, 1)
+            UNION ALL
+            SELECT l.doc_id, r.levels + s.level, r.i >> s.level, o.digest
+            FROM leaves AS l JOIN subroots AS r ON r.tree = l.tree JOIN tops AS s ON s.n > 1 AND s.i = r.i >> s.level
+            LEFT JOIN tops AS o ON o.level = s.level AND o.i = xor(s.i, 1)),
+        ways AS (SELECT doc_id, list(struct_pack(place, sibling) ORDER BY level) AS way, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256 FROM paths GROUP BY doc_id),
+        climbs AS (
+            SELECT l.doc_id, coalesce(l.bent, l.leaf) AS digest, 1 AS step, way FROM leaves AS l LEFT JOIN ways AS w ON w.doc_id = l.doc_id
+            UNION ALL
+            SELECT doc_id, sha256(CASE WHEN way[step].place % 2 = 1 THEN way[step].sibling || digest ELSE digest || coalesce(way[step].sibling, '') END), step + 1, way
+            FROM climbs WHERE step <= coalesce(len(way), 0)),
+        ends AS (SELECT doc_id, arg_max(digest, step) AS folded_root FROM climbs GROUP BY doc_id)
+        SELECT l.doc_id, l.leaf, r.subroot, t.digest AS root, coalesce(w.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = t.digest AS verified
+        FROM leaves AS l JOIN subroots AS r ON r.tree = l.tree JOIN tops AS t ON t.n = 1 LEFT JOIN ways AS w ON w.doc_id = l.doc_id JOIN ends AS e ON e.doc_id = l.doc_id""",
     "op13_superminhash": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
