@@ -16,6 +16,7 @@ from tessella.llm.simhash import near_duplicates
 from tessella.llm.supermin import shingle_duplicates
 from tessella.llm.tokens import token_shards
 from tessella.llm.topk import top_k
+from tessella.llm.trie import prefix_trie
 from tessella.llm.urls import judge_urls
 
 #: Path rules of the URL filter.
@@ -76,6 +77,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = audit_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
@@ -97,12 +102,43 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle": op12_merkle,
     "op13_superminhash": op13_superminhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), one) - 1 AS i, one, chars
+            FROM (SELECT conv_id, turn, role, length(coalesce(text, '')) AS chars, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS one FROM conversations WHERE conv_id IS NOT NULL)),
+        convs AS (
+            SELECT conv_id, n, conv_id - conv_id % 100 AS head, xor(4294967295::BIGINT,
+                list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+                    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384::BIGINT) END)) % 6 AS h
+            FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id)),
+        rebuilt AS (
+            SELECT c.conv_id, i + 1 AS depth, one, chars FROM convs AS c JOIN turns AS t ON t.conv_id = c.head AND i < h
+            UNION ALL
+            SELECT c.conv_id, least(h, coalesce(b.n, 0)) + i - h + 1, one, chars FROM convs AS c JOIN turns AS t ON t.conv_id = c.conv_id AND i >= h LEFT JOIN (SELECT conv_id, n FROM convs) AS b ON b.conv_id = c.head),
+        keyed AS (
+            SELECT conv_id, depth, array_to_string(list(one) OVER (PARTITION BY conv_id ORDER BY depth), '') AS prefix, chars FROM rebuilt
+            UNION ALL
+            SELECT conv_id, 0, '', 0 FROM convs),
+        nodes AS (SELECT min(conv_id) AS owner, depth, prefix, count(*) AS n_convs, any_value(chars) AS chars FROM keyed GROUP BY depth, prefix),
+        members AS (SELECT k.conv_id, depth, owner FROM keyed AS k JOIN nodes AS n USING (depth, prefix)),
+        parents AS (SELECT n.owner, n.depth, m.owner AS parent FROM nodes AS n LEFT JOIN members AS m ON m.conv_id = n.owner AND m.depth = n.depth - 1),
+        children AS (SELECT parent AS owner, depth - 1 AS depth, count(*) AS n_children FROM parents WHERE depth > 0 GROUP BY parent, depth),
+        judged AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes AS n LEFT JOIN children USING (owner, depth)),
+        sums AS (
+            SELECT m.owner, m.depth, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.chars)::BIGINT AS saved_tokens
+            FROM judged AS u JOIN members AS m ON m.conv_id = u.owner AND m.depth <= u.depth GROUP BY m.owner, m.depth),
+        ends AS (
+            SELECT owner, depth, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+            FROM members JOIN (SELECT conv_id, max(depth) AS depth FROM keyed GROUP BY conv_id) USING (conv_id, depth) GROUP BY owner, depth)
+        SELECT j.owner AS conv_id, j.depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+        FROM judged AS j JOIN parents USING (owner, depth) JOIN sums USING (owner, depth) LEFT JOIN ends USING (owner, depth)""",
     "op12_merkle": """
         WITH RECURSIVE fields AS (
             SELECT doc_id, lang, source, n_chars, text,
