@@ -12,9 +12,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.checkpoints import need_checkpoints
 from tessella.functions.policy import INITIAL_RATIO, REPLENISH_RATIO, retrieval_count
 from tessella.functions.text import fallback_choice
 from tessella.functions.vectors import dot, unit
@@ -83,15 +84,6 @@ class State:
         return self.tiles.where("pos is not null")
 
 
-def need_checkpoints(spark: SparkSession) -> None:
-    """Point the session's checkpoints to the cluster's shared folder; only a local session may go without one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(path or "spark-warehouse/checkpoints")
-
-
 def _ranked(rollouts: DataFrame, pool: DataFrame, queries: DataFrame, attempt: int) -> DataFrame:
     """``pool`` (key, slide_id, patch_id, vector) of ``rollouts`` with score and rank by the query of ``attempt``."""
     asked = rollouts.select(*KEY).join(queries.where(F.col("attempt") == attempt).select(*KEY, unit(F.col("vector")).alias("asked")), KEY)

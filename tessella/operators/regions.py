@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.checkpoints import cut
 from tessella.functions.geometry import mask_window, overlaps, rectangle
 
 SOURCE_MAGNIFICATION = 5
@@ -52,22 +55,31 @@ def overlapping_pairs(regions: DataFrame, by: list[str], id: str, cell: int) ->
     return pairs.where(first & overlaps(a, b)).select(*by, F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def greedy_nonoverlap(candidates: DataFrame, by: list[str], order: list, id: str, most: int = 4) -> DataFrame:
-    """Each group's candidates (x, y, w, h) taken in order, unless they overlap one taken before, up to ``most``.
+def greedy_nonoverlap(candidates: DataFrame, by: list[str], order: list[Column], id: str, most: int = 4, apart: str | None = None) -> DataFrame:
+    """``candidates`` (``by``, x, y, w, h and others) that are taken, with ``position`` from 1.
 
-    ``order`` are columns that, ascending, give a total order.  A group is what
-    one question and choice see; it is folded within its row.
+    Each group's candidates are taken in ``order``, and by ``id`` if that ties,
+    unless they overlap one taken before, up to ``most``; where the column
+    ``apart`` is false, overlaps do not matter.  Candidates are gone through in
+    rounds, and no group is ever held in one row or task: a round takes the first
+    candidate of every group, which is counted up before the shuffle, and drops
+    what overlaps it.  What is first has been overlapped by nothing taken before,
+    so ``most`` rounds give the same as going through a group one by one.
     """
-    item = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col(id).alias("id"), "x", "y", "w", "h")
-    listed = candidates.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = dict(listed.select(F.col("items")[0].alias("i")).dtypes)["i"]
-
-    def step(taken: Column, x: Column) -> Column:
-        free = ~F.exists(taken, lambda t: overlaps(rectangle(t), rectangle(x)))
-        return F.when((F.size(taken) < most) & free, F.concat(taken, F.array(x))).otherwise(taken)
-
-    taken = F.aggregate("items", F.array().cast(f"array<{kind}>"), step)
-    return listed.select(*by, F.posexplode(taken).alias("pos", "t")).select(*by, (F.col("pos") + 1).alias("position"), F.col("t.id").alias(id))
+    rank, columns = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col(id).alias("id")), candidates.columns
+    left, taken = cut(candidates.withColumn("rank_", rank)), []
+    for position in range(1, most + 1):
+        first = left.groupBy(*by).agg(F.min_by(F.struct(*columns, "rank_"), "rank_").alias("first"))
+        taken.append(first.select(*(F.col(f"first.{c}").alias(c) for c in columns), F.lit(position).alias("position")))
+        if position == most:
+            break
+        same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in by))
+        blocked = overlaps(rectangle(F.struct("x", "y", "w", "h")), rectangle(F.col("first")))
+        blocked = blocked if apart is None else F.col(apart) & blocked
+        left = cut(left.join(first.select("first"), same).where((F.col("rank_") > F.col("first.rank_")) & ~blocked).drop("first"))
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, taken)
 
 
 def summed_area(cells: DataFrame, by: list[str], width: int, height: int) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.negation import matching_groups
-from tessella.functions.text import visible_section
-from tessella.operators.contract import MAGNIFICATIONS, NO_ZOOM, citations, differential, strictly_supported, visual_contract
+from tessella.checkpoints import cut
+from tessella.operators.contract import citations, differential, evidence_of, judged, rule_rows, strictly_supported, tile_matches, zoomed
 
 # Codes of what is missing, and constants of the output.
 NO_CITATION = "valid_visible_citation_required"
@@ -21,18 +18,24 @@ NOT_EVALUATED = "deterministic_evidence_evaluation_unavailable"
 REVIEW_REASON = "research_output_requires_pathologist_review"
 
 
+def one_concept_each(concepts: DataFrame) -> None:
+    """An error if two concepts (question_type, concept, display) of a question type are shown alike; for a policy when it is loaded."""
+    doubled = concepts.groupBy("question_type", "display").count().where("count > 1").take(1)
+    if doubled:
+        raise ValueError(f"two concepts are shown as {doubled[0]['display']}")
+
+
 def option_concepts(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     """Rows (question_id, position, choice, concept): every choice by the concept (question_type, concept, display) that shows it.
 
-    A choice without a concept, and a display with two, are errors.
+    A choice without a concept, and one that two concepts show, are errors when the rows are read.
     """
-    doubled = concepts.groupBy("question_type", "display").count().where("count > 1").take(1)
-    if doubled:
-        raise ValueError(f"two concepts are shown as {doubled[0]['display']}")
+    fail = lambda said: F.raise_error(F.concat(F.lit(said), "choice"))
+    shown = concepts.groupBy("question_type", F.col("display").alias("choice")).agg(F.min("concept").alias("concept"), F.count("*").alias("times"))
     choices = questions.select("question_id", "question_type", F.posexplode("choices").alias("position", "choice"))
-    known = choices.join(concepts.withColumnRenamed("display", "choice"), ["question_type", "choice"], "left")
-    missing = F.raise_error(F.concat(F.lit("a choice has no concept: "), "choice"))
-    return known.select("question_id", "question_type", "position", "choice", F.when(F.col("concept").isNull(), missing).otherwise(F.col("concept")).alias("concept"))
+    known = choices.join(shown, ["question_type", "choice"], "left")
+    concept = F.when(F.col("concept").isNull(), fail("a choice has no concept: ")).when(F.col("times") > 1, fail("two concepts are shown as ")).otherwise(F.col("concept"))
+    return known.select("question_id", "question_type", "position", "choice", concept.alias("concept"))
 
 
 def supports(options: DataFrame, relations: DataFrame) -> DataFrame:
@@ -43,33 +46,34 @@ def supports(options: DataFrame, relations: DataFrame) -> DataFrame:
     return related.withColumn("support", support).withColumn("needs_zoom", ~own & F.coalesce("zoom", F.lit(False))).drop("other", "zoom")
 
 
-def _scopes(questions: DataFrame, tiles: DataFrame) -> DataFrame:
-    """The tiles of each question in the scopes visible and cited, each once."""
-    both = questions.select("question_id", "tier", F.explode(F.create_map(F.lit("visible"), F.array_distinct("visible"), F.lit("cited"), F.col("cites.valid"))).alias("scope", "ids"))
-    return both.select("question_id", "tier", "scope", F.explode("ids").alias("patch_id")).join(tiles, ["question_id", "patch_id"], "left").withColumn("clean", F.coalesce("clean", F.lit(False)))
+def _scopes(asked: DataFrame) -> DataFrame:
+    """Rows (question_id, scope, patch_id): the tiles of each question in the scopes visible and cited, each once."""
+    both = asked.select("question_id", F.explode(F.create_map(F.lit("visible"), F.array_distinct("visible"), F.lit("cited"), F.col("cites.valid"))).alias("scope", "ids"))
+    return both.select("question_id", "scope", F.explode("ids").alias("patch_id"))
 
 
-def _matches(scoped: DataFrame, name: str, rule: dict) -> DataFrame:
-    """Cited tiles that match a group of a rule, and whether they support it directly."""
-    groups = rule.get("feature_groups") or []
-    allowed = [F.lit(int(m)) for m in rule.get("allowed_magnifications", MAGNIFICATIONS)]
-    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
-    usable = F.col("clean") & placed & F.coalesce("magnification", F.lit(5)).isin(*allowed)
-    found = scoped.where(F.col("scope") == "cited").where(usable).withColumn("groups", matching_groups(visible_section(F.col("text")), groups))
-    direct = F.size("groups") >= int(rule.get("minimum_feature_groups_per_patch", len(groups)))
-    return found.where(F.size("groups") > 0).select("question_id", F.lit(name).alias("support"), "patch_id", direct.alias("direct"))
+def _asked(questions: DataFrame) -> DataFrame:
+    return questions.withColumn("cites", citations(F.col("refs"), F.col("visible")))
 
 
-def match_records(matches: DataFrame) -> DataFrame:
-    """One row for each cited tile that matches anything: the choices that it matches, their rule, and whether it supports them directly."""
-    return matches.groupBy("question_id", "patch_id").agg(F.array_sort(F.collect_set(F.struct("choice", "support", "direct"))).alias("matches"), F.max("direct").alias("any_direct"))
+def choice_matches(matches: DataFrame, scopes: DataFrame, options: DataFrame) -> DataFrame:
+    """Rows (question_id, patch_id, support, choice, concept, needs_zoom, groups, direct, x, y, w, h): every match of a cited tile with a rule that supports a choice."""
+    cited = scopes.where("scope = 'cited'").select("question_id", "patch_id")
+    wanted = options.where("support is not null").select("question_id", F.col("support").alias("rule"), "choice", "concept", "needs_zoom")
+    found = matches.join(cited, ["question_id", "patch_id"]).join(wanted, ["question_id", "rule"])
+    return found.select("question_id", "patch_id", F.col("rule").alias("support"), "choice", "concept", "needs_zoom", "groups", "direct", "x", "y", "w", "h")
 
 
 def cited_matches(questions: DataFrame, tiles: DataFrame, concepts: DataFrame, relations: DataFrame, rules: dict[str, dict]) -> DataFrame:
-    """Rows (question_id, patch_id, support, choice, direct): every match of a cited tile with a rule that supports a choice."""
-    asked = questions.withColumn("cites", citations(F.col("refs"), F.col("visible")))
-    found = reduce(DataFrame.unionByName, (_matches(_scopes(asked, tiles), n, r) for n, r in rules.items()))
-    return found.join(supports(option_concepts(questions, concepts), relations).select("question_id", "support", "choice"), ["question_id", "support"])
+    """``choice_matches`` of the questions by a policy's rules."""
+    matches = tile_matches(tiles, ["question_id"], rule_rows(tiles.sparkSession, rules))
+    return choice_matches(matches, _scopes(_asked(questions)), supports(option_concepts(questions, concepts), relations))
+
+
+def match_records(matches: DataFrame) -> DataFrame:
+    """One row for each cited tile that matches anything: the choices that it matches, by which rule and groups, and whether it supports any directly."""
+    said = F.array_sort(F.collect_set(F.struct("choice", "support", "direct", "groups", "needs_zoom")))  # at most one for each choice
+    return matches.groupBy("question_id", "patch_id", "x", "y", "w", "h").agg(said.alias("matches"), F.max("direct").alias("any_direct"))
 
 
 def evaluate(questions: DataFrame, tiles: DataFrame, concepts: DataFrame, relations: DataFrame, rules: dict[str, dict]) -> DataFrame:
@@ -78,27 +82,27 @@ def evaluate(questions: DataFrame, tiles: DataFrame, concepts: DataFrame, relati
     ``questions`` has question_id, question_type, choices, candidate, tier,
     visible, refs and ranked; ``tiles`` question_id, patch_id, text, clean,
     magnification, x, y, w and h; ``relations`` concept, support and needs_zoom.
+    Rules are rows: a tile is searched once for the terms of all of them, and
+    tiles are taken for every question, scope and rule in the same rounds.
     """
-    asked = questions.withColumn("cites", citations(F.col("refs"), F.col("visible")))
+    asked = _asked(questions)
     ranked = F.coalesce("ranked", F.array().cast("array<string>"))
     asked = asked.withColumn("differential", differential(ranked, F.col("choices"), F.col("candidate"), F.greatest(F.lit(0), F.size("choices") - 1)))
-    scoped = _scopes(asked, tiles)
-    options = supports(option_concepts(questions, concepts), relations)
-    evaluated = []
-    for name, rule in rules.items():
-        part = visual_contract(scoped, ["question_id", "scope"], rule, F.col("tier"))
-        evaluated.append(part.select("question_id", "scope", F.lit(name).alias("support"), "eligible", "shares", "reasons", "zoomed"))
-    contracts = reduce(DataFrame.unionByName, evaluated).withColumn("needs_zoom", F.explode(F.array(F.lit(False), F.lit(True))))
-    lacks = F.col("needs_zoom") & (F.size("zoomed") == 0)
-    contracts = contracts.select(
-        "question_id", "scope", "support", "needs_zoom", (F.col("eligible") & ~lacks).alias("eligible"), F.round((F.col("shares") + F.when(lacks, 0.0).otherwise(1.0)) / 3.0, 6).alias("support_score"),
-        F.when(lacks, F.concat("reasons", F.array(F.lit(NO_ZOOM)))).otherwise(F.col("reasons")).alias("reasons"),
-    )
-    each = options.withColumn("scope", F.explode(F.array(F.lit("visible"), F.lit("cited"))))
-    each = each.join(contracts, ["question_id", "scope", "support", "needs_zoom"], "left")
-    none = F.when(F.col("support").isNull(), F.array(F.lit(NO_MAPPING))).otherwise(F.array(F.lit("clean_nonoverlapping_patch_count_lt_1")))
-    each = each.withColumn("eligible", F.coalesce("eligible", F.lit(False))).withColumn("support_score", F.coalesce("support_score", F.lit(0.0))).withColumn("reasons", F.coalesce("reasons", none))
-    each = each.join(asked.select("question_id", "candidate"), "question_id")
+    held, scopes = rule_rows(tiles.sparkSession, rules), cut(_scopes(asked))
+    options = cut(supports(option_concepts(questions, concepts), relations))
+    matches = cut(tile_matches(tiles, ["question_id"], held))
+    wanted = options.select("question_id", F.col("support").alias("rule")).distinct()
+    found = evidence_of(matches.join(scopes, ["question_id", "patch_id"]).join(wanted, ["question_id", "rule"]), ["question_id", "scope", "rule"])
+    closer = scopes.join(tiles.where(zoomed()).select("question_id", "patch_id"), ["question_id", "patch_id"]).groupBy("question_id", "scope").agg(F.lit(True).alias("has_zoom"))
+    each = options.withColumn("scope", F.explode(F.array(F.lit("visible"), F.lit("cited")))).withColumnRenamed("support", "rule")
+    each = each.join(F.broadcast(held.rows), "rule", "left").join(found, ["question_id", "scope", "rule"], "left").join(closer, ["question_id", "scope"], "left")
+    each = judged(each.join(asked.select("question_id", "candidate", "tier"), "question_id"), F.col("tier"), F.col("needs_zoom"), F.col("has_zoom"))
+    unmapped = F.col("rule").isNull()
+    ruled = F.when(unmapped | F.col("least_tiles").isNotNull(), F.col("eligible")).otherwise(F.raise_error(F.concat(F.lit("a concept is supported by a rule that is not there: "), "rule")))
+    each = each.withColumns({
+        "eligible": ~unmapped & ruled, "support_score": F.when(unmapped, 0.0).otherwise(F.col("support_score")),
+        "reasons": F.when(unmapped, F.array(F.lit(NO_MAPPING))).otherwise(F.col("reasons")),
+    })
     own = F.col("choice") == F.col("candidate")
 
     def passing(scope: str) -> Column:
@@ -110,12 +114,11 @@ def evaluate(questions: DataFrame, tiles: DataFrame, concepts: DataFrame, relati
         passing("visible"), passing("cited"), of("visible", "support_score").alias("support_score"), of("cited", "support_score").alias("citation_score"),
         of("cited", "eligible").alias("supports_answer"), of("visible", "reasons").alias("visible_reasons"), of("cited", "reasons").alias("cited_reasons"),
     )
-    matches = reduce(DataFrame.unionByName, (_matches(scoped, n, r) for n, r in rules.items()))
-    matches = matches.join(options.select("question_id", "support", "choice"), ["question_id", "support"]).join(asked.select("question_id", "candidate", "differential"), "question_id")
+    matched = choice_matches(matches, scopes, options).join(asked.select("question_id", "candidate", "differential"), "question_id")
     wanted = F.col("direct") & ((F.col("choice") == F.col("candidate")) | F.array_contains("differential", F.col("choice")))
     against = F.col("direct") & (F.col("choice") != F.col("candidate"))
     tiles_where = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("patch_id"))))
-    layers = matches.groupBy("question_id").agg(F.count("*").alias("matched"), tiles_where(wanted).alias("supporting"), tiles_where(against).alias("opposing"))
+    layers = matched.groupBy("question_id").agg(F.count("*").alias("matched"), tiles_where(wanted).alias("supporting"), tiles_where(against).alias("opposing"))
     out = asked.join(state, "question_id").join(layers, "question_id", "left")
     one = lambda c: F.when(F.size(c) == 1, F.element_at(c, 1))
     out = out.withColumn("citation_valid", F.col("cites.all_valid")).withColumn("unique_visible", one("visible_passing")).withColumn("unique_cited", one("cited_passing"))

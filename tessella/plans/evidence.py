@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import pixels
 from tessella.functions import text as T
-from tessella.functions.negation import states
+from tessella.functions.negation import stated_terms
 from tessella.functions.policy import sampling
 from tessella.operators import calls, contract, decisions, evidence, joins, review
 from tessella.plans.registry import query, table
@@ -87,13 +87,48 @@ STATED = (
 )
 
 
-@query(f"SELECT doc_id, CASE doc_id % {len(STATED)} {' '.join(f'WHEN {i} THEN {str(w).lower()}' for i, (_, _, w) in enumerate(STATED))} END AS stated FROM documents")
+# The terms of the evidence policy, by rule and feature group.
+POLICY = {
+    "growth_infiltrative_glandular": [["infiltrat"], ["gland", "glandular"]],
+    "growth_solid_pseudopapillary": [["solid growth", "solid pattern"], ["pseudopapill", "pseudo-papill"]],
+    "growth_cribriform_intraductal": [["cribriform"], ["intraductal"]],
+    "growth_acinar": [["acinar", "acini"], ["growth", "architecture"]],
+    "morph_intermediate_differentiation": [["gland", "glandular"], ["nuclear atypia", "pleomorphism"], ["mitotic", "mitoses"]],
+    "morph_intermediate_low_differentiation": [["gland", "glandular"], ["nuclear atypia", "pleomorphism"], ["mitotic", "mitoses"], ["necrosis", "necrotic"]],
+}
+TERMS = list(dict.fromkeys(t for groups in POLICY.values() for group in groups for t in group))
+# How a term is spoken of, and whether that states it.
+SAID = (("{} is present.", True), ("No {} is identified.", False), ("Not only {} but more.", True), ("{} growth is absent.", False), ("Without doubt; {} here.", True), ("Free of debris, {} and so on.", False), ("No debris, but {} here.", True))
+_GROUPS = [(r, i, group) for r, groups in POLICY.items() for i, group in enumerate(groups)]
+_SPOKEN = f"""spoken AS (SELECT doc_id, unnest([{', '.join(map(repr, TERMS))}]) AS term, [{', '.join(str(w).lower() for _, w in SAID)}][1 + (doc_id + unnest(generate_series(0, {len(TERMS) - 1}))) % {len(SAID)}] AS stated FROM documents),
+    found AS (SELECT DISTINCT s.doc_id, t.term FROM spoken AS s JOIN (SELECT DISTINCT term FROM spoken) AS t ON s.stated AND contains(s.term, t.term))"""
+
+
+def _spoken(spark, sf_dir):
+    """Every whole document followed by a claim on each term of the policy; one that is part of another is claimed with it."""
+    claims = []
+    for i, term in enumerate(TERMS):
+        said = F.element_at(F.array(*(F.lit(s.format(term)) for s, _ in SAID)), ((F.col("doc_id") + i) % len(SAID) + 1).cast("int"))
+        claims.append(said)
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", F.coalesce("text", F.lit("")), *claims).alias("x"))
+
+
+@query(f"""WITH {_SPOKEN} SELECT d.doc_id, coalesce(string_agg(term, '|' ORDER BY term), '') AS stated FROM documents AS d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id""")
 def positive_terms(spark, sf_dir):
-    """A statement or a negation of a term after every whole document."""
-    i = F.col("doc_id") % len(STATED)
-    claim = F.element_at(F.array(*(F.lit(t) for t, _, _ in STATED)), (i + 1).cast("int"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), claim).alias("x"))
-    return d.select("doc_id", states(F.col("x"), "infiltrat").alias("stated"))
+    """The terms of the whole policy that each document states."""
+    terms = F.array(*map(F.lit, TERMS))
+    found = F.transform(stated_terms(F.col("x"), TERMS), lambda i: F.element_at(terms, i + 1))
+    return _spoken(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(found), "|").alias("stated"))
+
+
+@query(f"""WITH {_SPOKEN}, owners AS (SELECT * FROM (VALUES {', '.join(f"({r!r}, {i}, {t!r})" for r, i, group in _GROUPS for t in group)}) AS v(rule, grp, term)),
+    met AS (SELECT DISTINCT doc_id, rule, grp FROM found JOIN owners USING (term))
+    SELECT doc_id, rule, string_agg(grp::VARCHAR, ',' ORDER BY grp) AS groups FROM met GROUP BY doc_id, rule""")
+def policy_groups(spark, sf_dir):
+    """The feature groups of every rule of the policy that each document matches, by rules as rows."""
+    text = _spoken(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("patch_id"), F.col("x").alias("text"), F.lit(True).alias("clean"), F.lit(5).alias("magnification"), *(F.lit(0).cast("long").alias(c) for c in "xywh"))
+    found = contract.tile_matches(text, ["doc_id"], contract.rule_rows(spark, {r: {"feature_groups": g} for r, g in POLICY.items()}))
+    return found.select("doc_id", "rule", F.array_join("groups", ",").alias("groups"))
 
 
 _RULE = {"feature_groups": [["infiltrat"], ["gland", "glandular"]], "minimum_feature_groups_per_patch": 1, "minimum_clean_evidence_patches": 2, "required_anywhere_groups": [0, 1]}
@@ -132,8 +167,8 @@ def contract_support(spark, sf_dir):
 def contract_unique_answer(spark, sf_dir):
     tiles = _tiles(spark, sf_dir)
     solid = {"feature_groups": [["solid growth"]], "minimum_clean_evidence_patches": 2, "required_anywhere_groups": [0]}
-    each = [contract.visual_contract(tiles, ["source"], r).select("source", F.lit(c).alias("choice"), "eligible") for c, r in (("both", _RULE), ("solid", solid))]
-    out = contract.unique_answer(each[0].union(each[1]), ["source"])
+    each = contract.visual_contracts(tiles, ["source"], {"both": _RULE, "solid": solid})
+    out = contract.unique_answer(each.withColumnRenamed("rule", "choice"), ["source"])
     return out.select("source", F.array_join("passing", ",").alias("passing"), "answer")
 
 
@@ -336,3 +371,47 @@ def evidence_state(spark, sf_dir):
     rules = {"c0": _RULE | {"minimum_feature_groups_per_patch": 2}, "c1": {"feature_groups": [["solid growth"]], "minimum_clean_evidence_patches": 2, "required_anywhere_groups": [0]}}
     out = review.evaluate(q, tiles, concepts, none, rules)
     return out.select("question_id", "citation_valid", "evidence_found", "strict", "candidate_evidence_found", "ready", F.array_join("visible_passing", "|").alias("visible_passing"), F.array_join("cited_passing", "|").alias("cited_passing"))
+
+
+_N_RULES = 50
+_FINDING = "'Finding ' || right('0' || (doc_id % 50), 2) || ' is ' || CASE WHEN doc_id % 7 = 0 THEN 'absent.' ELSE 'present.' END"
+
+
+@query(f"""WITH tiles AS (SELECT source, doc_id, coalesce(quality = 1 AND toxic = 0, false) AS clean, doc_id % 50 AS f, doc_id % 7 <> 0 AS stated, doc_id % 2 = 0 AS cited FROM documents LEFT JOIN labels USING (doc_id)),
+    fits AS (SELECT * FROM tiles WHERE clean AND stated),
+    per AS (SELECT source, f, count(*) AS v, count(*) FILTER (cited) AS c FROM fits GROUP BY source, f),
+    q AS (SELECT source, count(*) FILTER (cited) > 0 AS valid FROM tiles GROUP BY source),
+    s AS (SELECT q.source, valid, coalesce(count(f) FILTER (v >= 2), 0) AS n_visible, coalesce(count(f) FILTER (c >= 2), 0) AS n_cited, coalesce(bool_or(f = 2 AND v >= 2), false) AS own_v, coalesce(bool_or(f = 2 AND c >= 2), false) AS own_c,
+        least(coalesce(max(v) FILTER (f = 2), 0), 2) AS v2, least(coalesce(max(c) FILTER (f = 2), 0), 2) AS c2, coalesce(sum(c), 0)::BIGINT AS matched, coalesce(max(c) FILTER (f = 2), 0) AS mine, coalesce(max(c) FILTER (f = 4), 0) AS other
+        FROM q LEFT JOIN per USING (source) GROUP BY q.source, valid)
+    SELECT source AS question_id, n_visible, n_cited, valid AND own_v AND own_c AND n_visible = 1 AND n_cited = 1 AS strict, valid AND matched > 0 AS found, CASE WHEN valid THEN matched ELSE 0 END AS n_records,
+        CASE WHEN valid THEN mine + other ELSE 0 END AS n_supporting,
+        round((v2 / 2.0 + (v2 > 0)::INT + 1.0) / 3.0, 6)::DOUBLE AS support_score,
+        concat_ws('|', CASE WHEN NOT valid THEN 'valid_visible_citation_required' END, CASE WHEN NOT (valid AND matched > 0) THEN 'clean_localizable_cited_patch_matching_an_allowed_feature_group_required' END,
+            CASE WHEN NOT (valid AND mine + other > 0) THEN 'direct_support_for_provisional_or_ranked_differential_required' END,
+            CASE WHEN v2 < 2 THEN 'visible:clean_nonoverlapping_patch_count_lt_2' END, CASE WHEN v2 = 0 THEN 'visible:required_visual_feature_group_missing' END,
+            CASE WHEN c2 < 2 THEN 'cited:clean_nonoverlapping_patch_count_lt_2' END, CASE WHEN c2 = 0 THEN 'cited:required_visual_feature_group_missing' END,
+            CASE WHEN NOT (valid AND own_v AND own_c AND n_visible = 1 AND n_cited = 1) THEN 'strict_contract_not_satisfied' END) AS missing FROM s""")
+def evidence_rules(spark, sf_dir):
+    """Each source is a question with fifty choices, each with a rule of its own; the even documents are cited."""
+    i = F.col("doc_id")
+    state = F.when(i % 7 == 0, "absent.").otherwise("present.")
+    said = F.concat(F.lit("Finding "), F.lpad((i % _N_RULES).cast("string"), 2, "0"), F.lit(" is "), state)
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    d = joins.with_flag(table(spark, sf_dir, "documents").select("doc_id", "source"), good, ["doc_id"], "clean")
+    tiles = d.select(F.col("source").alias("question_id"), i.cast("string").alias("patch_id"), said.alias("text"), F.col("clean"), F.lit(5).alias("magnification"), (i * 100).alias("x"), *(F.lit(50).cast("long").alias(c) for c in "ywh"))
+    names = [f"choice {n:02d}" for n in range(_N_RULES)]
+    q = tiles.groupBy("question_id").agg(F.array_sort(F.collect_list("patch_id")).alias("visible")).withColumns({
+        "question_type": F.lit("structure"), "choices": F.array(*map(F.lit, names)), "candidate": F.lit(names[2]), "tier": F.lit("strict"),
+        "refs": F.filter("visible", lambda p: p.cast("long") % 2 == 0), "ranked": F.array(F.lit(names[4])),
+    })
+    concepts = spark.createDataFrame([("structure", f"c{n}", name) for n, name in enumerate(names)], "question_type string, concept string, display string")
+    none = spark.createDataFrame([], "concept string, support string, needs_zoom boolean")
+    rules = {f"c{n}": {"feature_groups": [[f"finding {n:02d}"]], "minimum_clean_evidence_patches": 2, "required_anywhere_groups": [0]} for n in range(_N_RULES)}
+    out = review.evaluate(q, tiles, concepts, none, rules)
+    records = review.match_records(review.cited_matches(q, tiles, concepts, none, rules)).groupBy("question_id").agg(F.count("*").alias("n_records"))
+    out = out.join(records, "question_id", "left")
+    return out.select(
+        "question_id", F.size("visible_passing").cast("long").alias("n_visible"), F.size("cited_passing").cast("long").alias("n_cited"), "strict", F.col("candidate_evidence_found").alias("found"),
+        F.when(F.col("citation_valid"), F.coalesce("n_records", F.lit(0))).otherwise(0).cast("long").alias("n_records"), F.size("supporting").cast("long").alias("n_supporting"), "support_score", F.array_join("missing", "|").alias("missing"),
+    )

@@ -109,7 +109,7 @@ def rect_overlap_pairs(spark, sf_dir):
     SELECT slide, unnest(generate_series(1, len(taken)))::INTEGER AS position, unnest(list_transform(taken, lambda t: t.id)) AS id FROM f""")
 def greedy_nonoverlap(spark, sf_dir):
     order = [-(F.col("id") % 5), F.col("id")]
-    return regions.greedy_nonoverlap(_rects(spark, sf_dir), ["slide"], order, "id", most=8)
+    return regions.greedy_nonoverlap(_rects(spark, sf_dir), ["slide"], order, "id", most=8).select("slide", "position", "id")
 
 
 @query(f"""WITH {_RECTS}, cells AS (SELECT user_id % 10 AS slide, event_id % 32 AS i, event_id // 32 % 32 AS j, max((event_type IN ('view', 'click'))::BIGINT) AS v FROM events GROUP BY ALL),

@@ -20,7 +20,8 @@ def tiles(spark, keep=("p1", "p2", "z1"), clean=("p1", "p2")):
 
 def test_contract_passes_and_fails(spark):
     out = contract.visual_contract(tiles(spark), ["q"], RULE).first()
-    assert (out["eligible"], out["support_score"], out["selected"], out["unclean"], out["zoomed"]) == (True, 1.0, ["p1", "p2"], ["z1"], ["z1"])
+    assert (out["eligible"], out["support_score"], out["selected"]) == (True, 1.0, ["p1", "p2"])
+    assert {(r["patch_id"], r["why"]) for r in contract.exclusions(tiles(spark), ["q"], RULE).collect()} == {("z1", "unclean"), ("z1", "zoomed")}
     out = contract.visual_contract(tiles(spark, keep=("p1",)), ["q"], RULE).first()
     assert (out["eligible"], out["support_score"], out["reasons"]) == (False, 0.833333, ["clean_nonoverlapping_patch_count_lt_2"])
     out = contract.visual_contract(tiles(spark, clean=()), ["q"], RULE).first()
@@ -31,6 +32,40 @@ def test_contract_passes_and_fails(spark):
     assert limited["eligible"]
 
 
+def test_rules_are_rows(spark):
+    """A hundred rules give what each gives alone, by a plan of the same size."""
+    rules = {f"r{i}": RULE | {"minimum_clean_evidence_patches": 1 + i % 3, "minimum_feature_groups_per_patch": 1 + i % 2} for i in range(100)}
+    out = {r["rule"]: r for r in contract.visual_contracts(tiles(spark), ["q"], rules).collect()}
+    for name in ("r0", "r1", "r2", "r5"):
+        alone = contract.visual_contract(tiles(spark), ["q"], rules[name]).first().asDict()
+        assert {k: v for k, v in out[name].asDict().items() if k != "rule"} == alone
+    scans = lambda some: contract.tile_matches(tiles(spark), ["q"], contract.rule_rows(spark, some))._jdf.queryExecution().executedPlan().toString().count("Scan")
+    assert scans(rules) == scans({"r0": RULE})
+
+
+def greedy(rects, most):
+    """Ids taken one by one, as (id, x, y, w, h) come."""
+    taken = []
+    for r in rects:
+        free = all(r[1] + r[3] <= t[1] or t[1] + t[3] <= r[1] or r[2] + r[4] <= t[2] or t[2] + t[4] <= r[2] for t in taken)
+        if free and len(taken) < most:
+            taken.append(r)
+    return [t[0] for t in taken]
+
+
+def test_greedy_rounds_equal_the_fold(spark):
+    chain = [(i, 60 * i, 0, 100, 50) for i in range(1000)]
+    pile = [(i, i % 7, i % 5, 90, 90) for i in range(300)]
+    rows = [("chain", *r) for r in chain] + [("pile", *r) for r in pile] + [(None, 1, 0, 0, 5, 5), (None, 2, 3, 3, 5, 5), (None, 3, 5, 0, 5, 5)]
+    df = spark.createDataFrame(rows, "g string, id long, x long, y long, w long, h long")
+    got = {}
+    for r in regions.greedy_nonoverlap(df, ["g"], [F.col("id")], "id", 6).orderBy("position").collect():
+        got.setdefault(r["g"], []).append(r["id"])
+    assert got == {"chain": greedy(chain, 6), "pile": greedy(pile, 6), None: [1, 3]}
+    loose = df.where("g = 'pile'").withColumn("apart", F.lit(False))
+    assert [r["id"] for r in regions.greedy_nonoverlap(loose, ["g"], [-F.col("id")], "id", 3, apart="apart").orderBy("position").collect()] == [299, 298, 297]
+
+
 def test_unique_answers(spark):
     rows = spark.createDataFrame([("q", "a", True), ("q", "b", False), ("r", "a", True), ("r", "b", True)], "q string, choice string, eligible boolean")
     found = {r["q"]: r["answer"] for r in contract.unique_answer(rows, ["q"]).collect()}

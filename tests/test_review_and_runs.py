@@ -57,8 +57,10 @@ def test_choices_need_concepts(spark):
     one = spark.createDataFrame([("t", "c", "a")], "question_type string, concept string, display string")
     with pytest.raises(Exception, match="no concept"):
         review.option_concepts(q, one).collect()
+    with pytest.raises(Exception, match="two concepts"):
+        review.option_concepts(q.withColumn("choices", F.array(F.lit("a"))), one.union(one)).collect()
     with pytest.raises(ValueError):
-        review.option_concepts(q, one.union(one)).collect()
+        review.one_concept_each(one.union(one))
 
 
 def test_missing_text_and_public_fields(spark):
