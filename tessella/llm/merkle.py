@@ -61,7 +61,8 @@ def height(n: int) -> int:
 class Forest:
     """Nodes of any trees whose siblings have not been met, and the nodes that were kept on the way."""
 
-    def __init__(self):
+    def __init__(self, span: int = SPAN):
+        self.span = span
         self.leaves: dict[str, int] = {}
         self.open: dict[tuple[str, int], dict[int, str]] = {}
         self.kept: list[tuple[str, int, int, int, str]] = []
@@ -86,7 +87,7 @@ class Forest:
                     run = [at.pop(index)] if index == last else [at.pop(index), at.pop(index + 1)]
                     parent = digest_of(*run)
                     self.open.setdefault((tree, level + 1), {})[index // ARITY] = parent
-                    if (level + 1) % SPAN == 0:
+                    if (level + 1) % self.span == 0:
                         self.kept.append((tree, n, level + 1, index // ARITY, parent))
         return self
 
@@ -108,14 +109,6 @@ def _nodes(table: pa.Table | pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(table.column(c).to_pylist() for c in ("tree", "n", "level", "index", "digest")))
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The forest of a task's leaves, whatever leaves these are."""
-    forest = Forest()
-    for batch in batches:
-        forest.add(_nodes(batch)).resolve()
-    yield from _table(forest).to_batches()
-
-
 def numbered(df: DataFrame, tree: Column, order: list[Column], digest: str) -> tuple[DataFrame, DataFrame]:
     """``df`` with tree, index (from 0 in the order of a tree) and n (rows of the tree); and rows (tree, n).
 
@@ -138,30 +131,37 @@ def numbered(df: DataFrame, tree: Column, order: list[Column], digest: str) -> t
 
 def grow(leaves: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Rows (tree, n, level, index, digest): the roots of all trees of ``leaves`` (tree, n, index, digest), and the kept nodes; and the highest level of a root."""
-    spark = leaves.sparkSession
+    spark, floor = leaves.sparkSession, SPAN
     schema = NODE + ", kept boolean"
-    found = materialize(leaves.select("tree", "n", F.lit(0).alias("level"), "index", "digest").mapInArrow(_fold, schema), "forest")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest(floor)  # of the leaves of a task, whatever leaves these are
+        for batch in batches:
+            forest.add(_nodes(batch)).resolve()
+        yield from _table(forest).to_batches()
+
+    found = materialize(leaves.select("tree", "n", F.lit(0).alias("level"), "index", "digest").mapInArrow(fold, schema), "forest")
     kept, open_nodes, span = found.where("kept").drop("kept"), found.where("not kept").drop("kept"), 0
     tallest = height(found.agg(F.max("n")).first()[0] or 1)
 
     def merged(group: pa.Table) -> pa.Table:
-        return _table(Forest().add(_nodes(group)).resolve())
+        return _table(Forest(floor).add(_nodes(group)).resolve())
 
     while span < tallest and open_nodes.count() > MAX_NODES:
-        span += SPAN
+        span += floor
         within = F.greatest(F.lit(0), F.lit(span) - F.col("level")).alias("within")
         spans = open_nodes.withColumn("within", within).withColumn("span", F.expr("shiftright(index, within)")).drop("within")
         found = materialize(spans.groupBy("tree", "span").applyInArrow(lambda group: merged(group.drop_columns(["span"])), schema), "forest")
         kept, open_nodes = kept.union(found.where("kept").drop("kept")), found.where("not kept").drop("kept")
     if span < tallest and open_nodes.head(1):
-        forests = open_nodes.rdd.mapPartitions(lambda rows: [Forest().add(map(tuple, rows)).resolve()])
+        forests = open_nodes.rdd.mapPartitions(lambda rows: [Forest(floor).add(map(tuple, rows)).resolve()])
         forest = forests.treeReduce(Forest.merge)
         kept = kept.union(spark.createDataFrame(forest.kept, NODE))
         open_nodes = materialize(spark.createDataFrame(forest.unresolved(), NODE), "roots")
     return open_nodes, kept, tallest
 
 
-def _climb(group: pa.Table, above: list[str]) -> Iterator[tuple[int, list[str]]]:
+def _climb(group: pa.Table, above: list[str], span: int) -> Iterator[tuple[int, list[str]]]:
     """The path of each node of a span: for each level up to the root the sibling's digest after its side, or nothing if there is none; ``above`` holds the levels above the span.
 
     Yields the row of the group and its path.
@@ -171,7 +171,7 @@ def _climb(group: pa.Table, above: list[str]) -> Iterator[tuple[int, list[str]]]
     order = sorted(range(len(index)), key=index.__getitem__)
     first, digests = index[order[0]], [group["digest"][i].as_py() for i in order]
     ways: list[list[str]] = [[] for _ in order]
-    for step in range(min(SPAN, height(n) - level)):
+    for step in range(min(span, height(n) - level)):
         entry = []
         for i, _ in enumerate(digests):
             place = (first >> step) + i
@@ -204,21 +204,22 @@ def _above(right: pa.Table) -> list[str]:
 
 def upper_paths(kept: DataFrame, tallest: int, tops: DataFrame) -> DataFrame:
     """Rows (tree, span, path) for every span of leaves: the path from its top to the root of its tree, and on with ``tops`` (tree, n, path)."""
-    floors = max(1, -(-tallest // SPAN))
+    span = SPAN
+    floors = max(1, -(-tallest // span))
     tall = F.when(F.col("n") <= 1, 1)
     for floor in range(1, floors + 1):
-        tall = tall.when(F.col("n") <= 1 << (SPAN * floor), floor)
+        tall = tall.when(F.col("n") <= 1 << (span * floor), floor)
     entering = tops.select("tree", F.lit(0).cast("long").alias("span"), "path", tall.alias("floors"))
     upper = entering.where(F.col("floors") == floors).drop("floors")
 
     def climb(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = list(_climb(left, _above(right))) if len(left) else []
+        rows = list(_climb(left, _above(right), span)) if len(left) else []
         columns = [pa.array([left[c][i].as_py() for i, _ in rows], t) for c, t in (("tree", pa.string()), ("index", pa.int64()))]
         return pa.Table.from_arrays([*columns, pa.array([way for _, way in rows], pa.list_(pa.string()))], names=["tree", "span", "path"])
 
     for floor in range(floors - 1, 0, -1):
-        nodes = kept.where((F.col("level") == floor * SPAN) & (F.col("n") > 1 << (SPAN * floor)))
-        here = nodes.withColumn("span", F.shiftright("index", SPAN)).groupBy("tree", "span").cogroup(upper.groupBy("tree", "span"))
+        nodes = kept.where((F.col("level") == floor * span) & (F.col("n") > 1 << (span * floor)))
+        here = nodes.withColumn("span", F.shiftright("index", span)).groupBy("tree", "span").cogroup(upper.groupBy("tree", "span"))
         found = here.applyInArrow(climb, "tree string, span long, path array<string>")
         upper = materialize(found.union(entering.where(F.col("floors") == floor).drop("floors")), "paths")
     return upper
@@ -235,8 +236,8 @@ class Manifest:
 
     def audited(self, claimed: str) -> DataFrame:
         """The leaves with ``path`` and ``folded_root``, which the digest in the column ``claimed`` and the path give."""
-        columns = [f for f in self.leaves.schema.fields]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", path array<string>, folded_root string"
+        span = SPAN
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.leaves.schema.fields) + ", path array<string>, folded_root string"
 
         def audit(left: pa.Table, right: pa.Table) -> pa.Table:
             left = left.drop_columns(["span"])
@@ -244,7 +245,7 @@ class Manifest:
             roots: list[str] = [""] * len(left)
             own, above, seen = left[claimed].to_pylist(), _above(right), {}
             with_level = left.append_column("level", pa.array([0] * len(left), pa.int32()))
-            for row, way in _climb(with_level, []) if len(left) else ():
+            for row, way in _climb(with_level, [], span) if len(left) else ():
                 top = folded(own[row], way)
                 if top not in seen:
                     seen[top] = folded(top, above)

@@ -138,7 +138,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
     of one at a border are handed on as text in pieces, as only a digest's order is
     sequential.
     """
-    schema = "owner long, q long, part int, piece int, ids string, ends_sha256 string"
+    schema, most = "owner long, q long, part int, piece int, ids string, ends_sha256 string", PIECE_BYTES
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows, node, text, size, piece, first = TaskContext.get().partitionId(), [], None, [], 0, 0, True
@@ -161,7 +161,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
                         close(False)
                         first = False
                     node, text, size, piece = (owner, q), [], 0, 0
-                elif size >= PIECE_BYTES:
+                elif size >= most:
                     rows.append((*node, part, piece, ",".join(text), None))
                     text, size, piece = [], 0, piece + 1
                 text.append(str(conv_id))
