@@ -204,3 +204,14 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in df.columns]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of whole rows, of columns of any type."""
+    plain = lambda kind: not any(x in kind.simpleString() for x in ("map<", "variant"))
+    return F.xxhash64(*(c if plain(f.dataType) else F.to_json(F.struct(c)) for c, f in zip(own_columns(df), df.schema.fields)))

@@ -233,4 +233,4 @@ def keep_identified(documents: DataFrame, key: str = "doc_id", text: str = "text
     trees = fit(documents.where(~held_out(key) & F.col(key).isNotNull()), text, lang, key)
     pred, score = free_name(documents, "lang_pred"), free_name(documents, "score")
     found = identify(documents, trees, text, pred, score)
-    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least)).select(*documents.columns)
+    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least)).drop(pred, score)

@@ -115,4 +115,4 @@ def mixed_documents(documents: DataFrame, labels: DataFrame | None = None, key:
     plan = broadcast_if_few(materialize(plan.where(F.col(names["copies"]) > 0), "copies"))
     same = documents[key].eqNullSafe(plan[names["of_key"]]) & documents[source].eqNullSafe(plan[names["of_source"]]) & (F.xxhash64(documents[text]) == plan[names["of_text"]])
     taken = documents.join(plan, same).withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]).cast("int"))))
-    return taken.select(*documents.columns)
+    return taken.drop(*names.values())

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import similar
-from tessella.llm.common import binary_views, broadcast_if_few, forget, free_name, materialize, prepare, utf8
+from tessella.llm.common import binary_views, broadcast_if_few, forget, free_name, materialize, own_columns, prepare, row_hash, utf8
 from tessella.llm.components import components
 from tessella.llm.similar import Words, alike, candidates, packed_set, slices, spread
 
@@ -218,5 +218,5 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     hashed = F.xxhash64(df[text])
     same = lambda rows: df[key].eqNullSafe(rows[names["key"]]) & (hashed == rows[names["text_hash"]])
     once = df.join(gone, same(gone), "left_anti").join(repeated, same(repeated), "left_anti")
-    again = df.join(repeated, same(repeated), "left_semi").groupBy(key, F.xxhash64(text)).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("row"))
+    again = df.join(repeated, same(repeated), "left_semi").groupBy(key, F.xxhash64(text)).agg(F.min_by(F.struct(*own_columns(df)), row_hash(df)).alias("row"))
     return once.unionByName(again.select("row.*"))

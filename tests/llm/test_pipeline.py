@@ -68,3 +68,21 @@ def test_stages_on_awkward_rows(spark):
     none = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, FOLDER).count() == 0, name
+
+
+def test_stages_on_columns_of_any_kind(spark):
+    """Maps, structs and names with dots pass through every stage, also where rows repeat."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, FOLDER, "documents").where("doc_id < 60")
+    docs = docs.unionByName(docs.where("doc_id in (3, 5)")).unionByName(docs.where("doc_id = 5").withColumn("lang", F.lit("xx")))
+    docs = docs.withColumns({"m": F.create_map(F.lit("a"), F.col("doc_id")), "s": F.struct(F.lit(1).alias("x.y")), "a.b": F.col("doc_id") * 2, "a": F.struct(F.lit("z").alias("b"))})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, FOLDER)
+        assert after.columns == docs.columns, name
+        found = after.collect()
+        assert found and all(r["a.b"] == 2 * r["doc_id"] and r["m"] == {"a": r["doc_id"]} and r["a"]["b"] == "z" for r in found), name
+        if name == "near_duplicates":
+            assert len({r["doc_id"] for r in found}) == len(found)
+        docs = spark.createDataFrame(found, docs.schema)
+    assert corpus_pipeline.tokens(spark, docs, FOLDER).count() == docs.count()
