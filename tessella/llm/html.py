@@ -8,11 +8,12 @@ longest common subsequence.  Shared lines are template and go.
 Elements break the ties that two pages leave.  Lines in an ``article`` or
 ``main`` are aligned like all others but stay, as articles quote the same lines;
 lines that differ from page to page go where their elements say that they are
-menus, headers, footers, sidebars, notices, adverts, forms or comments.  What is
-then left outside content elements stays only on pages whose content elements
-hold the minor part of the text, or that have none: see ``kept_lines``.
+menus, headers, footers, sidebars, notices, adverts, forms or comments: by names, by a list whose entries each have an author and a date, or,
+for a content element, by text that is mostly links.  Lines outside of content
+elements stay where these are cards beside a story or hold the minor part of the
+text, or where there are none: see ``kept_lines``.
 
-Only hashes and sizes of lines are shuffled.
+A page is parsed once; only hashes and sizes of its lines are compared.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ _MARKUP = re.compile(r"<(?:(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)|(?P<comment>!-
 _TAG_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?<![\w:-])([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements whose content is not markup; an end tag of the same name ends them.
 _RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
@@ -58,9 +60,11 @@ MARKS = frozenset(
     "promos promotion promotions related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription "
     "tags teaser teasers toolbar topbar widget widgets".split()
 )
+#: Names that mark a content element as a card beside the story, and names of lists that are comments if their entries repeat.
+CARDS, TALKS = frozenset("card cards preview previews tile tiles".split()), frozenset("discussion discussions feedback responses reviews talkback thread threads".split())
 BESIDE_MARKS = frozenset(
-    "area article articles aside bar block bottom box button buttons card col container content footer form global group icon icons inner item items left link links list "
-    "main module more news outer page panel policy post posts primary right row secondary section site slot sticky stories story text title top unit user users wrap wrapper zone".split()
+    "area article articles aside bar block bottom box button buttons card col community container content cta footer form global google group icon icons inline inner item items left legal link links list "
+    "main module more news outer page panel policy post posts primary reader readers right row secondary section site slot sticky stories story text thread threads title top unit user users visitor visitors wrap wrapper zone".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Bytes of the rows of one alignment, and of kept line numbers that are broadcast at most.
@@ -68,9 +72,12 @@ ROW_BYTES, MAX_BROADCAST_BYTES = 32 << 20, 16 << 20
 #: Depth of inline elements that a new paragraph looks through.
 _INLINE = 64
 
-#: Kinds of lines: marked as not the article; outside of content elements; paragraphs in a form outside of them; in one.
-#: From ``WRAPPED`` on: in the first, second ... content element that is marked, or stands in a marked element.
-MARKED, LOOSE, FORMED, CONTENT, WRAPPED = range(5)
+#: Names of elements that say who wrote an entry of a list, and when.
+_AUTHORS, _DATES = frozenset("author byline commenter user username nickname".split()), frozenset("date time timestamp datetime posted published".split())
+
+#: Kinds of lines: marked as not the article; outside of content elements; paragraphs in a form outside of them.
+#: From ``CONTENT`` on: in the first, second ... content element, two kinds each: plain, and marked or in a marked element.
+MARKED, LOOSE, FORMED, CONTENT = range(4)
 
 
 def _is_mark(name: str) -> bool:
@@ -79,18 +86,36 @@ def _is_mark(name: str) -> bool:
     return any(w in MARKS for w in own) and own[-1] != "page" and all(w in MARKS or w in BESIDE_MARKS or w.isdigit() for w in own)
 
 
-def _attributes(name: str, rest: str) -> tuple[bool, bool, bool]:
-    """Whether a tag is marked, hidden, or has the role of a content element."""
-    marked = hidden = main = False
+class _Tag(NamedTuple):
+    """What the attributes of a tag say."""
+
+    marked: bool = False
+    hidden: bool = False
+    main: bool = False  #: the role of a content element
+    talk: bool = False  #: a list that may be of comments
+    author: bool = False
+    date: bool = False
+    look: str = ""  #: its classes without numbers: entries of a list look alike
+
+
+def _attributes(name: str, rest: str) -> _Tag:
+    marked = hidden = main = talk = author = date = False
+    look = ""
     for attribute, *values in _ATTRIBUTE.findall(rest):
         attribute, value = attribute.lower(), "".join(values)
         if attribute == "class" or attribute == "id" and name not in _PROSE:
-            marked = marked or any(map(_is_mark, value.split()))
+            names = value.split()
+            marked = marked or any(map(_is_mark, names))
+            if attribute == "class":
+                words = {w.lower() for x in names for w in _WORDS.findall(x)}
+                marked = marked or name in CONTENT_ELEMENTS and bool(words & CARDS)
+                talk, author, date = talk or bool(words & TALKS), author or bool(words & _AUTHORS), date or bool(words & _DATES)
+                look = " ".join(sorted(_DIGITS.sub("", x) for x in names))
         elif attribute == "role":
             marked, main = marked or value.lower() in ROLES, main or value.lower() == "main"
         elif attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true" or attribute == "style" and "display:none" in value.replace(" ", "").lower():
             hidden = True
-    return marked, hidden, main
+    return _Tag(marked, hidden, main, talk, author, date, look)
 
 
 class _Page:
@@ -130,6 +155,33 @@ class _Element(NamedTuple):
     content: int = 0  #: number of the outermost content element, from 1
     form: bool = False
     prose: bool = False
+    list: _List | None = None  #: what its entries have been so far, if it is a block
+    entry: _List | None = None  #: the list that it is an entry of
+    look: str = ""
+
+
+class _List:
+    """The lines of an element's entries, by their looks, and how many of these name an author and a date."""
+
+    __slots__ = ("first", "talk", "lines", "signed", "author", "date")
+
+    def __init__(self, first: int, talk: bool):
+        self.first, self.talk, self.lines, self.signed, self.author, self.date = first, talk, None, None, False, False
+
+    def close_entry(self, look: str, first: int, end: int) -> None:
+        if look:
+            if self.lines is None:
+                self.lines, self.signed = {}, Counter()
+            self.lines.setdefault(look, []).append((first, end))
+            self.signed[look] += self.author and self.date
+        self.author = self.date = False
+
+    def comments(self, end: int) -> list[tuple[int, int]]:
+        """The lines that are comments: of entries that look alike and are all signed; all, if the list says that it is talk and has entries that look alike."""
+        alike = {look: own for look, own in (self.lines or {}).items() if len(own) > 1}
+        if self.talk and alike:
+            return [(self.first, end)]
+        return [lines for look, own in alike.items() if self.signed[look] == len(own) for lines in own]
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -139,6 +191,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     open_names: Counter = Counter()
     parts: list[str] = []
     held, elements, at, now = _Page(page), 0, 0, _Element()
+    linked: Counter = Counter()  # characters of each content element, all (n) and in links (-n)
 
     def flush() -> None:
         if parts:
@@ -148,7 +201,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 if now.dropped or now.marked and not now.content:
                     kind = MARKED
                 elif now.content:
-                    kind = WRAPPED + now.content - 1 if now.marked or now.form else CONTENT
+                    kind = CONTENT + 2 * (now.content - 1) + (now.marked or now.form)
                 else:
                     kind = LOOSE if not now.form else FORMED if now.prose else MARKED
                 out.append((kind, text))
@@ -156,12 +209,34 @@ def blocks(page: str) -> list[tuple[int, str]]:
     def cut(depth: int) -> None:
         nonlocal now
         while len(stack) > depth:
-            open_names[stack.pop().name] -= 1
+            gone = stack.pop()
+            open_names[gone.name] -= 1
+            if gone.list is not None:
+                for first, end in gone.list.comments(len(out)):
+                    out[first:end] = [(MARKED, text) for _, text in out[first:end]]
+                if gone.entry is not None:
+                    gone.entry.close_entry(gone.look, gone.list.first, len(out))
         now = stack[-1] if stack else _Element()
 
+    def said(text: str) -> None:
+        parts.append(text)
+        if now.content:
+            size = len(text.strip())
+            linked[now.content] += size
+            if open_names["a"] > 0:
+                linked[-now.content] += size
+
+    def signs(tag: _Tag, name: str) -> None:
+        """An author or a date, in the nearest entry of each list around it."""
+        if tag.author or tag.date or name == "time":
+            for element in stack[-_INLINE:]:
+                if element.entry is not None:
+                    element.entry.author |= tag.author
+                    element.entry.date |= tag.date or name == "time"
+
     while m := _MARKUP.search(page, at):
         if m.start() > at and not now.skipped:
-            parts.append(page[at : m.start()])
+            said(page[at : m.start()])
         name = (m["name"] or "").lower()
         if not name:
             end = page.find("-->" if m["comment"] else ">", m.end())
@@ -202,26 +277,34 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 cut(depth)
         if name in _VOID or rest.endswith("/") and name not in CONTENT_ELEMENTS and (inline or not held.closes(name, at)):
             continue
-        marked, hidden, main = _attributes(name, rest) if rest.strip() and name not in ("html", "body") else (False, False, False)
-        drops = hidden or name in DROPPED or name == "header" and not now.content
+        tag = _attributes(name, rest) if rest.strip() and name not in ("html", "body") else _Tag()
+        drops = tag.hidden or name in DROPPED or name == "header" and not now.content
         if inline:
-            if (drops or marked or now.skipped and open_names[name]) and held.closes(name, at):
-                stack.append(now._replace(name=name, skipped=True))
+            signs(tag, name)
+            skips = drops or tag.marked or now.skipped and open_names[name]
+            if (skips or name == "a") and held.closes(name, at):
+                stack.append(now._replace(name=name, skipped=now.skipped or bool(skips), list=None, entry=None))
                 open_names[name] += 1
                 now = stack[-1]
             continue
-        is_content = (name in CONTENT_ELEMENTS or main) and not now.content
+        is_content = (name in CONTENT_ELEMENTS or tag.main) and not now.content
         elements += is_content
-        inner = bool(now.content) and (marked or name in WRAPPERS)
-        stack.append(
-            _Element(name, now.dropped or drops or inner, now.skipped, now.marked or marked, now.content or (elements if is_content else 0), now.form or name in WRAPPERS, now.prose or name in _PROSE)
-        )
+        inner = bool(now.content) and (tag.marked or name in WRAPPERS)
+        above = now.list
+        stack.append(_Element(
+            name, now.dropped or drops or inner, now.skipped, now.marked or tag.marked, now.content or (elements if is_content else 0), now.form or name in WRAPPERS, now.prose or name in _PROSE,
+            _List(len(out), tag.talk), above, f"{name} {tag.look}" if (tag.look or name in _SIBLINGS) and (name not in CONTENT_ELEMENTS or above and above.talk) and name not in _PROSE else "",
+        ))
+        signs(tag, name)
         open_names[name] += 1
         now = stack[-1]
     if at < len(page) and not now.skipped:
-        parts.append(page[at:])
+        said(page[at:])
     flush()
-    return out
+    cut(0)
+    cards = {n for n in linked if n > 0 and 2 * linked[-n] > linked[n]}
+    is_card = lambda kind: kind >= CONTENT and (kind - CONTENT) // 2 + 1 in cards
+    return [(kind + (kind % 2 == CONTENT % 2) if is_card(kind) else kind, text) for kind, text in out]
 
 
 def kept_lines(kinds: list[int], sizes: list[int], gone: set[int]) -> list[int]:
@@ -229,20 +312,23 @@ def kept_lines(kinds: list[int], sizes: list[int], gone: set[int]) -> list[int]:
 
     A marked content element that holds more than all else that may stay is the
     article in a marked wrapper, and so are paragraphs of a form that do.  Lines
-    outside of content elements stay where they hold more than twice the text in
-    these.
+    outside of content elements stay where they hold more than twice the text of
+    the largest of these; if there are several, these are then cards and go.
     """
     total: Counter = Counter()
     for i, (kind, size) in enumerate(zip(kinds, sizes)):
-        total[kind] += size if kind == CONTENT or kind >= WRAPPED or i not in gone else 0
-    inside, outside = {CONTENT}, {LOOSE}
-    main = max((k for k in total if k >= WRAPPED), key=lambda k: (total[k], -k), default=None)
+        total[kind] += size if kind >= CONTENT or i not in gone else 0
+    plain = {k for k in total if k >= CONTENT and k % 2 == CONTENT % 2}
+    inside, outside = set(plain), {LOOSE}
+    main = max((k for k in total if k >= CONTENT and k not in plain), key=lambda k: (total[k], -k), default=None)
     if main is not None and 2 * total[main] > sum(total[k] for k in total if k >= CONTENT) + total[LOOSE]:
         inside.add(main)
     if total[FORMED] > total[LOOSE] + sum(total[k] for k in inside):
         outside.add(FORMED)
-    if sum(total[k] for k in outside) <= 2 * sum(total[k] for k in inside):
+    if sum(total[k] for k in outside) <= 2 * max((total[k] for k in inside), default=0):
         outside = set()
+    elif len(inside) > 1:
+        inside = set()
     return [i for i, kind in enumerate(kinds) if kind in inside or kind in outside and i not in gone]
 
 
@@ -345,20 +431,31 @@ def _beside(paths: DataFrame) -> DataFrame:
     return near.select("host", "path", other.alias("other")).where("other is not null")
 
 
-def parsed(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Rows (page_key, host, path, lines, kinds, sizes) of the distinct pages: a hash, the kind and the code points of each line."""
+def _rows_of(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """Rows (key, url, page_key, host, path, lines, kinds, sizes, alone, whole), one per page: a hash, the kind and the code points of each line, the numbers of those that the elements alone keep, and all lines as one text."""
     prepare(pages.sparkSession)
-    kind = "page_key string, host string, path string, lines array<long>, kinds array<int>, sizes array<int>"
+    kind = f"key {dict(pages.dtypes)[key]}, url string, page_key string, host string, path string, lines array<long>, kinds array<int>, sizes array<int>, alone array<int>, whole string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(page.decode("utf-8", "replace")) for page in binary_views(batch.column(3))]
-            lines = pa.array([line_hashes([t for _, t in x]) for x in found], pa.list_(pa.int64()))
-            kinds, sizes = (pa.array([[value(x) for x in own] for own in found], pa.list_(pa.int32())) for value in (lambda x: x[0], lambda x: len(x[1])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lines, kinds, sizes], names=[x.split()[0] for x in kind.split(", ")])
+            found = [blocks(page.decode("utf-8", "replace")) for page in binary_views(batch.column(5))]
+            numbers = [[[x for x, _ in own], [len(t) for _, t in own]] for own in found]
+            lines = pa.array([line_hashes([t for _, t in own]) for own in found], pa.list_(pa.int64()))
+            kinds, sizes, alone = (pa.array(x, pa.list_(pa.int32())) for x in ([k for k, _ in numbers], [n for _, n in numbers], [kept_lines(k, n, set()) for k, n in numbers]))
+            whole = pa.array(["\n".join(t for _, t in own) for own in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], lines, kinds, sizes, alone, whole], names=["key", "url", "page_key", "host", "path", "lines", "kinds", "sizes", "alone", "whole"])
+
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), page_key(url, html), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), utf8(html).alias("html"))
+    return rows.mapInArrow(run, kind)
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    return rows.select("page_key", "host", "path", "lines", "kinds", "sizes").dropDuplicates(["page_key"])
 
-    rows = pages.select(page_key(url, html), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), utf8(html).alias("html"))
-    return rows.mapInArrow(run, kind).dropDuplicates(["page_key"])
+
+def parsed(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Rows (page_key, host, path, lines, kinds, sizes) of the distinct pages: a hash, the kind and the code points of each line."""
+    return _distinct(_rows_of(pages, url, url, html))
 
 
 def differenced(rows: DataFrame) -> DataFrame:
@@ -397,22 +494,12 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     A page whose host has no other path, or only copies beside it, is not
     differenced.  Extra columns are ignored.
     """
-    differing = differenced(materialize(parsed(pages, url, html), "lines")).where("kept is not null").select("page_key", "kept")
+    rows = materialize(_rows_of(pages, key, url, html), "pages")
+    differing = differenced(_distinct(rows)).where("kept is not null").select("page_key", "kept")
     differing = materialize(differing, "differing")
     n, numbers = differing.agg(F.count("*"), F.coalesce(F.sum(F.size("kept")), F.lit(0))).first()
     differing = F.broadcast(differing) if 50 * n + 4 * numbers <= MAX_BROADCAST_BYTES else differing
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), utf8(html).alias("html"), page_key(url, html))
-    rows = rows.join(differing, "page_key", "left").select("key", "url", "html", "kept")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for page, kept in zip(binary_views(batch.column(2)), batch.column(3).to_pylist()):
-                found = blocks(page.decode("utf-8", "replace"))
-                if kept is None:
-                    kept = kept_lines([x for x, _ in found], [len(t) for _, t in found], set())
-                texts.append("\n".join(found[i][1] for i in kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
-
-    kind = dict(pages.dtypes)[key]
-    return rows.mapInArrow(run, f"key {kind}, url string, text string, n_chars long").withColumnsRenamed({"key": key, "url": url})
+    found = rows.join(differing, "page_key", "left").withColumn("cut", F.split("whole", "\n", -1)).withColumn("keep", F.coalesce("kept", "alone"))
+    text = F.array_join(F.transform("keep", lambda i: F.get("cut", i)), "\n")
+    out = found.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -513,6 +513,35 @@ def test_elements_of_a_page(page, text):
     assert "\n".join(found[i][1] for i in html.kept_lines([k for k, _ in found], [len(t) for _, t in found], set())) == text
 
 
+STORY = "".join(f"<div>{words(s, 30)}</div>" for s in range(6))
+
+
+def main_text(page):
+    found = html.blocks(page)
+    return "\n".join(found[i][1] for i in html.kept_lines([k for k, _ in found], [len(t) for _, t in found], set()))
+
+
+@pytest.mark.parametrize("card", ['<article class="card"><h3>{0}</h3><p>{1}</p></article>', '<article><a href="/{0}"><h3>{0}</h3><p>{1}</p></a></article>', "<article><h3>{0}</h3><p>{1}</p></article>"])
+def test_story_beside_cards(card):
+    cards = "".join(card.format(words(60 + i, 3), words(70 + i, 12)) for i in range(4))
+    assert main_text(f"<body><div>{STORY}</div><section>{cards}</section></body>") == "\n".join(words(s, 30) for s in range(6))
+
+
+@pytest.mark.parametrize("name", ["reader-comments", "comment-thread", "community-comments", "discussion", "responses", "google-ads", "inline-ad", "legal-notice", "subscribe-cta"])
+def test_names_of_what_is_not_the_article(name):
+    entries = '<div class="entry"><span>Ann</span><p>I disagree</p></div><div class="entry"><span>Bob</span><p>I agree</p></div>'
+    assert main_text(f'<article><p>Story one.</p><p>Story two.</p><div class="{name}"><h4>Say</h4>{entries}</div></article>') == "Story one.\nStory two."
+
+
+def test_comments_by_their_structure():
+    entry = '<li class="x{0}"><b class="user">Ann {0}</b> <time>12:0{0}</time><p>I say {0}</p></li>'
+    talk = "".join(entry.format(i) for i in range(3))
+    assert main_text(f"<article><p>Story.</p><ul>{talk}</ul><p>End.</p></article>") == "Story.\nEnd."
+    assert main_text(f"<article><p>Story.</p>{talk.replace('li', 'div')}<p>End.</p></article>") == "Story.\nEnd."
+    assert main_text('<article><section class="discussion"><h2>Discussion</h2><p>We found it.</p><p>And more.</p></section></article>') == "Discussion\nWe found it.\nAnd more."
+    assert main_text('<article><ul><li class="fact">One</li><li class="fact">Two</li></ul></article>') == "One\nTwo"
+
+
 def test_broken_pages_take_linear_time():
     for part in ('<a b="x>', "<p ", "<svg ", "<div>", "<span class=ad>", "<", "<!--", '<p class="a', "<svg/>", "<b></div>", "<div><i hidden></div>"):
         began = time.process_time()
