@@ -18,3 +18,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint."""
     need_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in the shared one, for what is written on the way."""
+    need_checkpoints(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root}/tessella-library/{spark.sparkContext.applicationId}"

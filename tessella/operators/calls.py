@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.checkpoints import cut
 from tessella.functions.policy import call_cost
+from tessella.operators.history import numbered_rows
 
 # Characters of a request, and status codes that may be asked again besides 5xx.
 MOST_CHARS, AGAIN = 120_000, (429,)
@@ -82,25 +85,88 @@ def within_budget(calls: DataFrame, by: list[str], order: list[str], budget: flo
     return out.withColumn("may_go_on", F.col("total") < budget)
 
 
-def call_within(requests: DataFrame, send: Callable[[str], dict], key: str, request: str, budget: float, spent: float = 0.0, waves: int = 10, **options) -> DataFrame:
-    """``call`` in ``waves`` by a hash of the key; once ``budget`` is spent, no further wave is sent (status 402, no attempts).
+# Failures in a row, and the share of all that is expected, that stop a batch.
+MOST_IN_A_ROW, MOST_SHARE = 2, 0.05
+#: Statuses of requests that were not sent: no money left, or too many failures before.
+UNPAID, STOPPED = 402, 503
+#: Requests of the first wave.
+FIRST_WAVE = 16
 
-    The cost of what was sent before is ``spent``.  A budget is passed by one wave at most.
+
+@dataclass
+class Meter:
+    """What calls have cost and how they have failed, and whether more may be sent.
+
+    ``expected`` is the number of calls or rollouts that the share of failures
+    counts in; without it failures stop nothing.
+    """
+
+    budget: float = float("inf")
+    expected: int | None = None
+    most_in_a_row: int = MOST_IN_A_ROW
+    most_share: float = MOST_SHARE
+    spent: float = 0.0
+    sent: int = 0
+    failures: int = 0
+    in_a_row: int = 0
+
+    def refuses(self) -> int | None:
+        """The status of what is not sent any more, or None."""
+        if self.expected is not None and (self.in_a_row >= self.most_in_a_row or self.failures > self.most_share * max(1, self.expected)):
+            return STOPPED
+        return UNPAID if self.spent >= self.budget else None
+
+    def affordable(self, wanted: int) -> int:
+        """How many of ``wanted`` requests the rest of the budget pays for at the mean cost so far; one at least."""
+        if not self.sent or not self.spent or self.budget == float("inf"):
+            return wanted
+        return max(1, min(wanted, int((self.budget - self.spent) * self.sent / self.spent)))
+
+    def count(self, sent: DataFrame) -> None:
+        """Take in a wave (number and what came back), its numbers following those before."""
+        bad = F.coalesce(F.col("status") != 200, F.lit(True))
+        cost = call_cost(F.col("prompt_tokens"), F.col("hit_tokens"), F.col("miss_tokens"), F.col("completion_tokens"))
+        told = sent.agg(F.count("*").alias("n"), F.coalesce(F.sum(cost), F.lit(0.0)).alias("cost"), F.count_if(bad).alias("failures"), F.min("number").alias("first"), F.max("number").alias("last")).first()
+        # The failures of one wave, whose size is bounded: runs are numbers that follow each other.
+        failed = sent.where(bad).withColumn("run", F.col("number") - F.row_number().over(Window.orderBy("number")))
+        runs = [(r["low"], r["n"]) for r in failed.groupBy("run").agg(F.min("number").alias("low"), F.count("*").alias("n")).collect()] if told["failures"] else []
+        joined = [n + (self.in_a_row if low == told["first"] else 0) for low, n in runs]
+        longest, ending = max(joined, default=0), next((n for n, (low, own) in zip(joined, runs) if low + own - 1 == told["last"]), 0)
+        self.spent, self.sent, self.failures = self.spent + told["cost"], self.sent + told["n"], self.failures + told["failures"]
+        self.in_a_row = longest if longest >= self.most_in_a_row else ending
+
+
+#: The most requests of a wave.
+MOST_WAVE = 100_000
+
+
+def call_in_waves(requests: DataFrame, send: Callable[[str], dict], key: str, request: str, meter: Meter, first_wave: int = FIRST_WAVE, **options) -> DataFrame:
+    """``call`` in the order of the key, wave by wave, as long as ``meter`` allows; what is not sent has no attempts and the status that says why.
+
+    A wave has at most twice as many requests as the one before, and no more than
+    the budget pays for at the mean cost so far.
     """
-    done = None
-    for wave in range(waves):
-        part = requests.where(F.pmod(F.xxhash64(key), F.lit(waves)) == wave)
-        if spent < budget:
-            out = call(part, send, key, request, **options).checkpoint()
-            cost = call_cost(F.col("prompt_tokens"), F.col("hit_tokens"), F.col("miss_tokens"), F.col("completion_tokens"))
-            spent += out.agg(F.coalesce(F.sum(cost), F.lit(0.0))).first()[0]
-        else:
-            nothing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in REPLY.split(", ")}
-            out = part.select(key, *(c.alias(n) for n, c in {**nothing, "status": F.lit(402), "attempts": F.lit(0)}.items()))
-        done = out if done is None else done.unionByName(out)
+    nothing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in REPLY.split(", ")}
+    held = cut(numbered_rows(requests.select(key, request), [key], "number"))
+    n, at, size, done = held.count(), 0, meter.affordable(first_wave), held.limit(0).select(key, *(c.alias(k) for k, c in nothing.items()))
+    while at < n:
+        status = meter.refuses()
+        if status is not None:
+            left = {**nothing, "status": F.lit(status), "attempts": F.lit(0)}
+            return done.unionByName(held.where(F.col("number") > at).select(key, *(c.alias(k) for k, c in left.items())))
+        wave = held.where((F.col("number") > at) & (F.col("number") <= at + size))
+        out = cut(call(wave, send, key, request, **options).join(wave.select(key, "number"), key))
+        meter.count(out)
+        done, at = done.unionByName(out.drop("number")), min(n, at + size)
+        size = meter.affordable(min(2 * size, MOST_WAVE))
     return done
 
 
+def call_within(requests: DataFrame, send: Callable[[str], dict], key: str, request: str, budget: float, spent: float = 0.0, **options) -> DataFrame:
+    """``call_in_waves`` until ``budget`` is spent, ``spent`` of it before."""
+    return call_in_waves(requests, send, key, request, Meter(budget, spent=spent), **options)
+
+
 def require_one_model(calls: DataFrame, by: list[str], model: str) -> DataFrame:
     """``calls`` itself, after a look at its models; a group that more than one model answered is an error."""
     found = drifted(calls, by, model).take(1)

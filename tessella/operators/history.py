@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.checkpoints import cut
+
+
+def numbered_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their numbers from 1 in ``order``, without bringing them into one task: ranges are sorted, and counted one after another."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    part = F.shiftright("at_", 33)
+    sizes = placed.groupBy(part.alias("part_")).agg(F.min("at_").alias("first_"), F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each task
+    shift = sizes.select("part_", (before - F.col("first_") + 1).alias("shift_"))
+    return placed.withColumn("part_", part).join(F.broadcast(shift), "part_").withColumn(name, F.col("at_") + F.col("shift_")).drop("at_", "part_", "shift_")
+
 
 def run_length(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """How many rows in a row up to each have had its value."""

@@ -15,11 +15,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.checkpoints import need_checkpoints
+from tessella.checkpoints import cut, need_checkpoints
 from tessella.functions.policy import INITIAL_RATIO, REPLENISH_RATIO, retrieval_count
 from tessella.functions.text import fallback_choice
 from tessella.functions.vectors import dot, unit
-from tessella.operators import decisions, evidence, focus, regions, review
+from tessella.operators import asking, decisions, evidence, focus, regions, retrieval, review
+from tessella.operators.asking import Asking
+from tessella.operators.calls import STOPPED, UNPAID, append_description
+from tessella.operators.ledger import Ledger, fingerprint
 
 KEY = ["question_id", "rollout_id"]
 # Attempts, tiles described in one, characters of a request, parents and children of a closer look, and the first line of the evidence.
@@ -33,6 +36,18 @@ INITIAL_TARGETS = (
 )
 
 
+# Why a rollout ended: its explanation, and what is said of an answer without support, plain and under a contract.
+ENDINGS = {
+    "no_additional_evidence": ("No additional patch evidence is available.", "No additional patch evidence is available.", "No additional evidence was available for contract_v1."),
+    "context_budget_exceeded": ("The accumulated evidence exceeded the fixed Executor context budget.", "Executor context budget exceeded.", "Executor context budget exceeded before contract_v1 sufficiency."),
+    "budget_exhausted": ("The action budget was exhausted before sufficient visible evidence was obtained.", "Action budget exhausted.", "Action budget exhausted without contract_v1 sufficiency."),
+}
+BUDGET_UNDER_CONTRACT = "The action budget was exhausted before unique cited contract support was obtained."
+ABSTAINED = ("The Executor abstained before a unique contract pass.", "Executor abstained without contract_v1 sufficiency.")
+#: How rollouts end whose request was not answered, or not sent.
+FAILED, NOT_ASKED = "failed", "stopped"
+
+
 def initial_query(question: Column) -> Column:
     """The text whose vector ranks the tiles for the first retrieval."""
     return F.concat(question, F.lit(" " + INITIAL_TARGETS))
@@ -45,13 +60,17 @@ class World:
     ``tiles`` has slide_id, patch_id, x, y, w, h, vector, text and clean;
     ``observations`` of sub-regions slide_id, patch_id, tissue, white, padding,
     vector and text; ``queries`` the key, attempt (0 is the first retrieval) and
-    vector; ``replies`` the key, attempt and raw.
+    vector; ``replies`` the key, attempt and raw, unless somebody is asked for
+    decisions (``decide``).  ``describe`` is asked for a text of each tile that a
+    round looks at first.
     """
 
     tiles: DataFrame
     observations: DataFrame
     queries: DataFrame
-    replies: DataFrame
+    replies: DataFrame | None = None
+    decide: Asking | None = None
+    describe: Asking | None = None
 
 
 @dataclass(frozen=True)
@@ -69,7 +88,8 @@ class State:
 
     ``tiles`` has the key, patch_id, seq (the order in which tiles were taken; null
     for one that was only inspected), magnification, pos (its place in this round,
-    or null) and described.
+    or null), described, look (whether this round asks for a text) and said (what
+    was answered so far, or null).
     """
 
     rollouts: DataFrame
@@ -92,24 +112,33 @@ def _ranked(rollouts: DataFrame, pool: DataFrame, queries: DataFrame, attempt: i
 
 
 def _take(rollouts: DataFrame, seen: DataFrame, world: World, attempt: int, ratio: float) -> DataFrame:
-    """The next tiles of each rollout by the query of ``attempt``, as rows for ``_next``."""
-    pool = rollouts.select(*KEY, "slide_id").join(world.tiles.select("slide_id", "patch_id", "vector"), "slide_id").join(seen.select(*KEY, "patch_id"), [*KEY, "patch_id"], "left_anti")
-    best = _ranked(rollouts, pool, world.queries, attempt).join(rollouts.select(*KEY, "n"), KEY)
-    return best.where(F.col("rank") <= retrieval_count(F.col("n"), ratio)).select(*KEY, "patch_id", F.col("rank").alias("pos"), F.lit(5).alias("magnification"), F.lit(True).alias("taken"), F.lit(False).alias("described"))
+    """The next tiles of each rollout by the query of ``attempt``, as rows for ``_next``.
+
+    Every different query of a slide is scored once; rollouts get ids and scores,
+    no vectors, and are ranked within score ranges (``retrieval.ranked_to``).
+    """
+    asked = rollouts.select(*KEY, "slide_id", "n").join(world.queries.where(F.col("attempt") == attempt).select(*KEY, "vector"), KEY)
+    asked = asked.withColumn("ask", F.xxhash64("slide_id", "vector"))
+    asks = asked.select("slide_id", "ask", unit(F.col("vector")).alias("asked")).dropDuplicates(["ask"])
+    scored = world.tiles.select("slide_id", "patch_id", "vector").join(asks, "slide_id").select("ask", F.col("patch_id").alias("id"), dot(F.col("vector"), F.col("asked")).alias("score"))
+    pool = asked.select(*KEY, "ask").join(scored, "ask").select(*KEY, "id", "score").join(seen.select(*KEY, F.col("patch_id").alias("id")), [*KEY, "id"], "left_anti")
+    best = retrieval.ranked_to(pool, asked.select(*KEY, "n", retrieval_count(F.col("n"), ratio).alias("k")).where("k > 0"), KEY)
+    return best.select(*KEY, F.col("id").alias("patch_id"), F.col("rank").cast("int").alias("pos"), F.lit(5).alias("magnification"), F.lit(True).alias("taken"), F.lit(False).alias("described"), F.lit(False).alias("look"))
 
 
-_ROUND = "patch_id string, pos int, magnification int, taken boolean, described boolean"
+_ROUND = "patch_id string, pos int, magnification int, taken boolean, described boolean, look boolean"
 
 
 def _next(tiles: DataFrame, new: DataFrame) -> DataFrame:
-    """The tiles after a round that ``new`` (key, patch_id, pos, magnification, taken, described) follows; those taken go after all others."""
+    """The tiles after a round that ``new`` (key, patch_id, pos, magnification, taken, described, look) follows; those taken go after all others."""
     last = tiles.groupBy(*KEY).agg(F.max("seq").alias("last"))
-    before = tiles.withColumn("described", F.col("described") | (F.coalesce("pos", F.lit(MOST_DESCRIBED + 1)) <= MOST_DESCRIBED)).drop("pos")
+    before = tiles.withColumn("described", F.col("described") | (F.coalesce("pos", F.lit(MOST_DESCRIBED + 1)) <= MOST_DESCRIBED)).drop("pos", "look")
     new = new.withColumnsRenamed({"magnification": "new_magnification", "described": "new_described"}).join(last, KEY, "left")
     out = before.join(new, [*KEY, "patch_id"], "full")
     seq = F.coalesce("seq", F.when(F.col("taken"), F.coalesce("last", F.lit(0)) + F.col("pos"))).cast("long")
-    described = F.coalesce("described", F.lit(False)) | F.coalesce("new_described", F.lit(False))
-    return out.select(*KEY, "patch_id", seq.alias("seq"), F.coalesce("magnification", "new_magnification").alias("magnification"), "pos", described.alias("described"))
+    was = F.coalesce("described", F.lit(False))
+    look = F.coalesce("look", F.lit(False)) | (F.coalesce("pos", F.lit(MOST_DESCRIBED + 1)) <= MOST_DESCRIBED) & ~was
+    return out.select(*KEY, "patch_id", seq.alias("seq"), F.coalesce("magnification", "new_magnification").alias("magnification"), "pos", (was | F.coalesce("new_described", F.lit(False))).alias("described"), look.alias("look"), "said")
 
 
 def _lines(rollouts: DataFrame, seen: DataFrame, world: World) -> DataFrame:
@@ -117,9 +146,37 @@ def _lines(rollouts: DataFrame, seen: DataFrame, world: World) -> DataFrame:
     columns = ["slide_id", "patch_id", "x", "y", "w", "h", "clean", "text"]
     known = world.tiles.select(*columns).unionByName(world.observations.select(*columns))
     out = seen.join(rollouts.select(*KEY, "slide_id"), KEY).join(known, ["slide_id", "patch_id"])
+    out = out.withColumn("text", F.when(F.col("said").isNotNull(), append_description(F.col("text"), F.col("said"))).otherwise(F.col("text")))
     return out.where(F.trim(F.coalesce("text", F.lit(""))) != "")
 
 
+def _described(state: State, world: World) -> State:
+    """The state after the tiles that this round looks at were described; equal looks at a tile are asked for once, one that a reply named (``targeted``) besides that of its round."""
+    looked = state.tiles.where("look").join(state.rollouts.select(*KEY, "slide_id"), KEY)
+    request = F.to_json(F.struct("slide_id", "patch_id", "magnification", F.col("described").alias("targeted"))).alias("request")
+    told = asking.ask(looked.select(*KEY, "patch_id", request), [*KEY, "patch_id"], world.describe, "description", parses=False)
+    new = told.where("reply is not null").select(*KEY, "patch_id", F.col("reply").alias("new"))
+    said = F.when(F.col("new").isNotNull(), append_description(F.col("said"), F.col("new"))).otherwise(F.col("said"))
+    return State(state.rollouts, cut(state.tiles.join(new, [*KEY, "patch_id"], "left").withColumn("said", said).drop("new")))
+
+
+def _decided(now: DataFrame, lines: DataFrame, line: Column, world: World) -> DataFrame:
+    """Rows (key, raw, status) for the rollouts ``now``, whose evidence fits a request."""
+    texts = evidence.ordered_join(lines.join(now.select(*KEY), KEY, "left_semi"), KEY, ["seq"], line, SEPARATOR, "evidence")  # of at most a request's characters
+    asked = now.select(*KEY, "question", "choices", "attempt").join(texts, KEY, "left")
+    said = F.concat_ws("\n", F.lit(HEADER), "evidence")
+    request = F.to_json(F.struct("question", "choices", "attempt", "rollout_id", said.alias("evidence"))).alias("request")
+    return asking.ask(asked.select(*KEY, request), KEY, world.decide, "decision", parses=True).withColumnRenamed("reply", "raw")
+
+
+#: What an evaluation says of a candidate, with its type.
+EVALUATED = {
+    "differential": "array<string>", "valid_refs": "array<string>", "supporting": "array<string>", "opposing": "array<string>", "missing": "array<string>", "candidate_evidence_found": "boolean", "ready": "boolean",
+    "strict": "boolean", "evidence_found": "boolean", "citation_valid": "boolean", "supports_answer": "boolean",
+}
+_EVALUATION = f"struct<{','.join(f'{n}:{t}' for n, t in EVALUATED.items())}>"
+
+
 def _gate(now: DataFrame, lines: DataFrame, contract: Contract) -> DataFrame:
     """``now`` after its evidence was held against the contract: what passes answers, an answer that does not pass goes on searching."""
     name = F.concat_ws("\0", *(F.col(c).cast("string") for c in KEY)).alias("question_id")
@@ -129,11 +186,12 @@ def _gate(now: DataFrame, lines: DataFrame, contract: Contract) -> DataFrame:
         F.col("all_refs").alias("refs"), F.col("differential").alias("ranked"),
     )
     found = review.evaluate(asked, lines.select(name, "patch_id", "text", "clean", "magnification", "x", "y", "w", "h"), contract.concepts, contract.relations, contract.rules)
-    found = found.select(F.col("question_id").alias("name"), "strict", "unique_visible", F.col("support_score").alias("support"), F.col("valid_refs").alias("cited"), "citation_valid", "evidence_found")
+    shown = F.struct(*(F.col(c) for c in EVALUATED)).alias("evaluation")
+    found = found.select(F.col("question_id").alias("name"), "strict", "unique_visible", F.col("support_score").alias("support"), F.col("valid_refs").alias("cited"), shown)
     out = now.withColumn("name", name).join(found, "name", "left").drop("name")
     strict = F.coalesce("strict", F.lit(False))
     stable = F.when(F.col("answer").eqNullSafe(F.col("last_answer")), F.col("stability") + 1).otherwise(1)
-    mine = F.struct(F.coalesce("support", F.lit(0.0)).alias("support"), stable.alias("stability"), F.col("attempt").alias("attempt"), F.col("answer").alias("answer"), F.coalesce("cited", F.array().cast("array<string>")).alias("refs"))
+    mine = F.struct(F.coalesce("support", F.lit(0.0)).alias("support"), stable.alias("stability"), F.col("attempt").alias("attempt"), F.col("answer").alias("answer"), F.coalesce("cited", F.array().cast("array<string>")).alias("refs"), F.col("summary"), F.col("unsupported_reason").alias("reason"), F.col("evaluation"))
     rank = lambda s: F.struct(s["support"], s["stability"])
     best = F.when(F.col("best").isNull() | (rank(mine) > rank(F.col("best"))), mine).otherwise(F.col("best"))
     lacking = ~strict & (F.col("action") == "answer")
@@ -143,7 +201,7 @@ def _gate(now: DataFrame, lines: DataFrame, contract: Contract) -> DataFrame:
         "action": F.when(strict, "answer").when(lacking, searching).otherwise(F.col("action")),
         "answer": F.when(strict, F.col("unique_visible")).otherwise(F.col("answer")), "targets": F.when(strict | lacking, F.array().cast("array<string>")).otherwise(F.col("targets")),
         "repairs": F.concat("repairs", F.filter(F.array(F.when(strict & (F.col("action") != "answer"), "deterministic_contract_passed"), F.when(lacking, "model_answer_lacked_contract_support")), lambda r: r.isNotNull())),
-    }).drop("strict", "unique_visible", "support", "cited", "citation_valid", "evidence_found")
+    }).drop("strict", "unique_visible", "support", "cited")
 
 
 def _zoom(now: DataFrame, state: State, world: World, attempt: int) -> DataFrame:
@@ -171,13 +229,17 @@ def _inspected(going: DataFrame, state: State, world: World) -> DataFrame:
     asked = going.where("step = 'inspect'")
     named = asked.select(*KEY, "slide_id", F.posexplode(F.array_distinct("targets")).alias("pos", "patch_id"))
     known = world.tiles.select("slide_id", "patch_id", "text").unionByName(world.observations.select("slide_id", "patch_id", "text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    named = named.join(known.select("slide_id", "patch_id"), ["slide_id", "patch_id"], "left_semi").select(*KEY, "patch_id", (F.col("pos") + 1).alias("pos"))
+    told = state.tiles.where("said is not null").select(*KEY, "patch_id").withColumn("told", F.lit(True))
+    held = known.select("slide_id", "patch_id").withColumn("held", F.lit(True))
+    named = named.join(held, ["slide_id", "patch_id"], "left").join(told, [*KEY, "patch_id"], "left").where("held or told").select(*KEY, "patch_id", (F.col("pos") + 1).alias("pos"))
     first = state.fresh.where("pos = 1").join(asked.join(named.select(*KEY).distinct(), KEY, "left_anti"), KEY, "left_semi").select(*KEY, "patch_id", "pos")
-    return named.unionByName(first).select(*KEY, "patch_id", "pos", F.lit(5).alias("magnification"), F.lit(False).alias("taken"), F.lit(True).alias("described"))
+    return named.unionByName(first).select(*KEY, "patch_id", "pos", F.lit(5).alias("magnification"), F.lit(False).alias("taken"), F.lit(True).alias("described"), F.lit(True).alias("look"))
 
 
 def _attempt(state: State, world: World, attempt: int, last: bool, contract: Contract | None, most_chars: int) -> tuple[State, DataFrame, DataFrame]:
     """The state after one attempt, the rollouts that ended in it, and a row for each that took part."""
+    if world.describe is not None:
+        state = _described(state, world)
     lines = _lines(state.rollouts, state.seen, world)
     line = evidence.tile_line(F.col("patch_id"), F.col("x"), F.col("y"), F.col("magnification"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("text"))
     chars = lines.groupBy(*KEY).agg((F.sum(F.length(line) + len(SEPARATOR)) + len(HEADER)).alias("chars"))
@@ -188,21 +250,27 @@ def _attempt(state: State, world: World, attempt: int, last: bool, contract: Con
     )
     now = state.rollouts.join(counts, KEY, "left").join(chars, KEY, "left")
     now = now.na.fill(0, ["n_fresh", "n_described", "n_seen", "n_taken"]).na.fill(len(HEADER), ["chars"]).withColumn("left", F.col("n") - F.col("n_taken")).withColumn("attempt", F.lit(attempt))
-    reply = world.replies.where(F.col("attempt") == attempt).select(*KEY, "raw").dropDuplicates(KEY)
-    now = decisions.normalize(now.join(reply, KEY, "left")).drop("raw")
+    fits = (F.col("n_fresh") > 0) & (F.col("chars") <= most_chars)
+    if world.decide is None:
+        reply = world.replies.where(F.col("attempt") == attempt).select(*KEY, "raw", F.lit(200).alias("status")).dropDuplicates(KEY)
+    else:
+        now = cut(now)
+        reply = _decided(now.where(fits), lines, line, world)
+    now = now.join(reply, KEY, "left").withColumn("failure", F.when(fits & F.col("raw").isNull(), F.when(F.col("status").isin(STOPPED, UNPAID), NOT_ASKED).otherwise(FAILED))).drop("status")
+    now = decisions.normalize(now).drop("raw").withColumn("evaluation", F.lit(None).cast(_EVALUATION))
     refs = now.select(*KEY, F.posexplode("refs").alias("pos", "patch_id")).join(lines.select(*KEY, "patch_id"), [*KEY, "patch_id"], "left_semi")
     refs = refs.groupBy(*KEY, "patch_id").agg(F.min("pos").alias("pos")).groupBy(*KEY)
     refs = refs.agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "patch_id"))), lambda r: r["patch_id"]), 1, decisions.MOST_REFS).alias("visible_refs"))
     now = now.withColumnRenamed("refs", "all_refs").join(refs, KEY, "left").withColumn("refs", F.coalesce("visible_refs", F.array().cast("array<string>"))).drop("visible_refs")
     if contract is not None:
-        fits = (F.col("n_fresh") > 0) & (F.col("chars") <= most_chars)
-        inside = now.where(fits)
-        gated = _gate(inside.checkpoint(), lines.join(inside.select(*KEY), KEY, "left_semi"), contract)
-        now = gated.unionByName(now.where(~fits))
+        answered = fits & F.col("failure").isNull()
+        inside = now.where(answered).checkpoint()
+        gated = _gate(inside.drop("evaluation"), lines.join(inside.select(*KEY), KEY, "left_semi"), contract)
+        now = gated.unionByName(now.where(~answered))
     action = decisions.one_focus(F.col("action"), F.col("focus"), F.col("left"))
-    step = F.when(F.col("n_fresh") == 0, "no_additional_evidence").when(F.col("chars") > most_chars, "context_budget_exceeded").otherwise(action)
+    step = F.when(F.col("n_fresh") == 0, "no_additional_evidence").when(F.col("chars") > most_chars, "context_budget_exceeded").otherwise(F.coalesce("failure", action))
     now = now.withColumn("step", step)
-    ending = F.when(F.col("step") == "answer", "answered").when(F.col("step") == "abstain", "abstained").when(F.col("step").isin("no_additional_evidence", "context_budget_exceeded"), F.col("step"))
+    ending = F.when(F.col("step") == "answer", "answered").when(F.col("step") == "abstain", "abstained").when(F.col("step").isin("no_additional_evidence", "context_budget_exceeded", FAILED, NOT_ASKED), F.col("step"))
     now = now.withColumn("ending", F.coalesce(ending, F.lit("budget_exhausted") if last else F.lit(None))).checkpoint()
 
     ended, going = now.where("ending is not null"), now.where("ending is null")
@@ -218,7 +286,7 @@ def _attempt(state: State, world: World, attempt: int, last: bool, contract: Con
         new = new.unionByName(_inspected(going, state, world))
     if "zoom" in steps:
         zoomed = _zoom(going, state, world, attempt).checkpoint()
-        new = new.unionByName(zoomed.where("chosen").select(*KEY, "patch_id", F.col("eligible_rank").alias("pos"), F.col("target").cast("int").alias("magnification"), F.lit(True).alias("taken"), F.lit(True).alias("described")))
+        new = new.unionByName(zoomed.where("chosen").select(*KEY, "patch_id", F.col("eligible_rank").alias("pos"), F.col("target").cast("int").alias("magnification"), F.lit(True).alias("taken"), F.lit(True).alias("described"), F.lit(True).alias("look")))
         rollouts = rollouts.join(zoomed.select(*KEY).distinct().withColumn("tried", F.lit(1)), KEY, "left").withColumn("focus", F.col("focus") + F.coalesce("tried", F.lit(0)))
     tiles = _next(state.tiles, new).join(_keys(going), KEY, "left_semi").checkpoint()
     return State(rollouts.select(*state.rollouts.columns), tiles), ended, told
@@ -229,47 +297,120 @@ def _keys(rows: DataFrame) -> DataFrame:
 
 
 def _outcome(ended: DataFrame, contract: Contract | None) -> DataFrame:
-    """The final answers of the rollouts in ``ended``."""
-    nothing = F.col("ending").isin("no_additional_evidence", "context_budget_exceeded")
-    none = F.array().cast("array<string>")
+    """The final answers of the rollouts in ``ended``, and why."""
+    ending, none = F.col("ending"), F.array().cast("array<string>")
+    failed, answered = ending.isin(FAILED, NOT_ASKED), ending == "answered"
+    nothing = ending.isin("no_additional_evidence", "context_budget_exceeded")
+    missing = F.trim(F.coalesce("missing_evidence", F.lit("")))
+    unexplained = F.coalesce(F.nullif(F.col("action_reason"), F.lit("")), missing)
+    of = lambda i: reduce(lambda c, e: c.when(ending == e[0], e[1][i]), ENDINGS.items(), F.when(F.lit(False), ""))
     answer = F.when(nothing, fallback_choice(F.col("choices"))).otherwise(F.col("answer"))
-    refs = F.when(nothing, none).when(F.col("ending") == "answered", F.slice("refs", 1, decisions.MOST_ANSWER_REFS)).otherwise(F.col("refs"))
+    refs = F.when(nothing, none).when(answered, F.slice("refs", 1, decisions.MOST_ANSWER_REFS)).otherwise(F.col("refs"))
+    explanation = F.when(answered, F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("action_reason"))).when(ending == "abstained", unexplained).otherwise(of(0))
+    said = F.nullif(F.col("unsupported_reason"), F.lit(""))
+    reason = F.when(answered, F.col("unsupported_reason")).when(ending == "abstained", F.coalesce(said, missing)).when(ending == "budget_exhausted", F.coalesce(said, of(1))).otherwise(of(1))
+    status = F.when(ending == "context_budget_exceeded", ending).when(failed, "executor_api_failure").when(ending == "no_additional_evidence", None).otherwise(F.col("parse_status"))
+    held, attempt = F.col("evaluation"), F.when(answered, F.col("attempt"))
+    abstain = F.when(answered, F.col("abstain_recommended")).otherwise(True)
     if contract is not None:
-        kept = (F.col("ending") == "answered") | F.col("best").isNull()
-        answer, refs = F.when(kept, answer).otherwise(F.col("best.answer")), F.when(kept, refs).otherwise(F.col("best.refs"))
-    sufficient = (F.col("ending") == "answered") & F.col("sufficient")
-    return ended.select(*KEY, F.col("attempt").alias("attempts"), "ending", answer.alias("answer"), refs.alias("refs"), sufficient.alias("sufficient"), F.col("n_seen").alias("seen"), "focus", F.concat("repairs_before", "repairs").alias("repairs"))
+        best = F.col("best")
+        first = fallback_choice(F.col("choices"))
+        detail = F.when(ending == "abstained", F.coalesce(said, F.nullif(missing, F.lit("")), F.lit(ABSTAINED[1]))).otherwise(of(2))
+        told = F.when(ending == "abstained", F.coalesce(F.nullif(F.col("action_reason"), F.lit("")), F.nullif(missing, F.lit("")), F.lit(ABSTAINED[0]))).when(ending == "budget_exhausted", BUDGET_UNDER_CONTRACT).otherwise(of(0))
+        answer, refs = F.when(answered, answer).otherwise(F.coalesce(best["answer"], first)), F.when(answered, refs).otherwise(F.coalesce(best["refs"], none))
+        explanation = F.when(answered, explanation).otherwise(F.coalesce(F.nullif(best["summary"], F.lit("")), told))
+        reason = F.when(answered, reason).otherwise(F.coalesce(F.nullif(best["reason"], F.lit("")), detail))
+        status = F.when(answered | failed, status).when(ending == "context_budget_exceeded", ending).otherwise(review.BEST_CANDIDATE)
+        held, attempt = F.when(answered, held).otherwise(best["evaluation"]), F.when(answered, attempt).otherwise(best["attempt"])
+        abstain = F.when(answered, F.lit(False)).otherwise(True)
+    sufficient = answered & F.col("sufficient")
+    unless = lambda c: F.when(~failed, c)
+    out = ended.select(
+        *KEY, F.col("attempt").alias("attempts"), "ending", unless(answer).alias("answer"), F.when(failed, none).otherwise(refs).alias("refs"), (~failed & sufficient).alias("sufficient"), F.col("n_seen").alias("seen"), "focus",
+        F.concat("repairs_before", "repairs").alias("repairs"), unless(explanation).alias("explanation"), unless(reason).alias("unsupported_reason"), unless(abstain).alias("abstain_recommended"), status.alias("parse_status"),
+        unless(attempt).alias("selected_attempt"), unless(held).alias("evaluation"),
+    )
+    return out.withColumn("shown", F.when(~failed, _public(F.col("answer"), F.col("evaluation"))) if contract is not None else F.lit(None).cast(_PUBLIC))
 
 
-def run(questions: DataFrame, world: World, contract: Contract | None = None, attempts: int = MOST_ATTEMPTS, most_chars: int = MOST_CHARS, after: Callable[[int, State], None] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Run the loop with given replies; the outcomes and the steps.
+_PUBLIC = (
+    "struct<provisional_recommendation:string,ranked_differential:array<string>,cited_patches:array<string>,supporting_evidence:array<string>,opposing_or_conflicting_evidence:array<string>,"
+    "missing_evidence:array<string>,candidate_evidence_found:boolean,ready_for_pathologist_review:boolean,strict_evidence_sufficient:boolean,review_required:boolean,review_reason:string,"
+    "contract_version:string,output_schema_version:string>"
+)
+
+
+def _public(answer: Column, held: Column) -> Column:
+    """The 13 fields that are shown of an answer."""
+    return F.struct(*review.shown_fields(answer, lambda name: held[name])).cast(_PUBLIC)
+
+
+def _manifest(questions: DataFrame, world: World, contract: Contract | None, attempts: int, most_chars: int) -> dict:
+    """What a run is started with, as digests."""
+    tables = {"questions": questions, "tiles": world.tiles, "observations": world.observations, "queries": world.queries, "replies": world.replies, "concepts": contract and contract.concepts, "relations": contract and contract.relations}
+    return {**{n: fingerprint(t) for n, t in tables.items() if t is not None}, "rules": contract and contract.rules, "attempts": attempts, "most_chars": most_chars, "asks": [world.decide is not None, world.describe is not None]}
+
+
+def run(questions: DataFrame, world: World, contract: Contract | None = None, attempts: int = MOST_ATTEMPTS, most_chars: int = MOST_CHARS, after: Callable[[int, State], None] | None = None, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run the loop; the outcomes and the steps.
 
     ``questions`` has the key, slide_id, question, question_type, tier and choices.
-    Outcomes: the key, attempts, ending, answer, refs, sufficient, seen, focus and
-    repairs.  Steps: the key, attempt, step, how many tiles were new, newly
-    described and seen, the characters of the evidence, and the ending.
+    Outcomes: the key, attempts, ending, answer, refs, sufficient, seen, focus,
+    repairs, explanation, unsupported_reason, abstain_recommended, parse_status,
+    selected_attempt, and under a contract the evaluation of the answer and the 13
+    fields that are shown of it.  Steps: the key, attempt, step, how many tiles
+    were new, newly described and seen, the characters of the evidence, and the ending.
 
     A first retrieval takes a tenth of the slide's tiles and each further one a
     twentieth of all.  Nothing new, and evidence beyond ``most_chars``, end a
-    rollout; the last attempt does so unless it answers or abstains.  With a
-    ``contract`` only what passes it is an answer, and other endings give the
-    best candidate so far.  One closer look is taken: at most two children, by
+    rollout; the last attempt does so unless it answers or abstains.  A request
+    that is not answered ends its rollout as failed, without an answer; once
+    failures stop the batch, or its money is spent, open rollouts end as stopped.
+    With a ``contract`` only what passes it is an answer, and other endings give
+    the best candidate so far.  One closer look is taken: at most two children, by
     gated rank, of the two best parents.  ``after`` sees the state after each attempt.
+
+    With a ``ledger`` (a folder that all executors share) every attempt is
+    committed there, and a run that is started again with the same tables and
+    parameters goes on after the last one.  Other tables or parameters, missing
+    tables and failed rollouts are errors then.
     """
-    need_checkpoints(questions.sparkSession)
-    n = world.tiles.groupBy("slide_id").agg(F.count("*").alias("n"))
-    best = "struct<support:double,stability:int,attempt:int,answer:string,refs:array<string>>"
-    rollouts = questions.select(*KEY, "slide_id", "question", "question_type", "tier", "choices").join(n, "slide_id", "left").na.fill(0, ["n"])
-    rollouts = rollouts.withColumns({"focus": F.lit(0), "stability": F.lit(0), "last_answer": F.lit(None).cast("string"), "best": F.lit(None).cast(best), "repairs_before": F.array().cast("array<string>")}).checkpoint()
-    nothing = rollouts.limit(0).select(*KEY, F.lit("").alias("patch_id"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("magnification"), F.lit(0).alias("pos"), F.lit(False).alias("described"))
-    state = State(rollouts, _next(nothing, _take(rollouts, nothing, world, 0, INITIAL_RATIO)).checkpoint())
-    outcomes, steps = [], []
-    for attempt in range(1, attempts + 1):
-        state, ended, told = _attempt(state, world, attempt, attempt == attempts, contract, most_chars)
-        outcomes.append(_outcome(ended, contract))
-        steps.append(told)
+    spark = questions.sparkSession
+    need_checkpoints(spark)
+    held = Ledger(spark, ledger) if ledger else None
+    if held:
+        held.begin(_manifest(questions, world, contract, attempts, most_chars))
+
+    outcomes: list[DataFrame] = []
+    steps: list[DataFrame] = []
+
+    def told(tables: dict[str, DataFrame]) -> State:
+        if "outcomes" in tables:
+            outcomes.append(tables["outcomes"])
+            steps.append(tables["steps"])
+        return State(tables["rollouts"], tables["tiles"])
+
+    def kept(attempt: int, tables: dict[str, DataFrame]) -> State:
+        return told(held.commit(attempt, tables) if held else tables)
+
+    done, state = 0, None
+    while held and (back := held.load(done)):
+        state, done = told(back), done + 1
+    if outcomes and (bad := reduce(DataFrame.unionByName, outcomes).where(F.col("ending").isin(FAILED, NOT_ASKED)).select(*KEY).head(1)):
+        raise ValueError(f"{ledger} holds failed rollouts, such as {bad[0].asDict()}; it cannot be gone on with")
+    if state is None:
+        n = world.tiles.groupBy("slide_id").agg(F.count("*").alias("n"))
+        best = f"struct<support:double,stability:int,attempt:int,answer:string,refs:array<string>,summary:string,reason:string,evaluation:{_EVALUATION}>"
+        rollouts = questions.select(*KEY, "slide_id", "question", "question_type", "tier", "choices").join(n, "slide_id", "left").na.fill(0, ["n"])
+        rollouts = rollouts.withColumns({"focus": F.lit(0), "stability": F.lit(0), "last_answer": F.lit(None).cast("string"), "best": F.lit(None).cast(best), "repairs_before": F.array().cast("array<string>")}).checkpoint()
+        empty = {"patch_id": F.lit(""), "seq": F.lit(0).cast("long"), "magnification": F.lit(0), "pos": F.lit(0), "described": F.lit(False), "look": F.lit(False), "said": F.lit(None).cast("string")}
+        nothing = rollouts.limit(0).select(*KEY, *(c.alias(k) for k, c in empty.items()))
+        state, done = kept(0, {"rollouts": rollouts, "tiles": _next(nothing, _take(rollouts, nothing, world, 0, INITIAL_RATIO)).checkpoint()}), 1
+    for attempt in range(done, attempts + 1):
+        if outcomes and state.rollouts.isEmpty():
+            break
+        state, ended, stepped = _attempt(state, world, attempt, attempt == attempts, contract, most_chars)
+        state = kept(attempt, {"rollouts": state.rollouts, "tiles": state.tiles, "outcomes": _outcome(ended, contract), "steps": stepped})
         if after:
             after(attempt, state)
-        if state.rollouts.isEmpty():
-            break
     return reduce(DataFrame.unionByName, outcomes), reduce(DataFrame.unionByName, steps)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,20 +147,25 @@ def candidate_record(evaluated: DataFrame, attempt: Column, stability: Column) -
     return evaluated.select("question_id", F.col("candidate").alias("answer"), attempt.alias("attempt"), stability.alias("stability"), "support_score", "citation_score", F.col("valid_refs").alias("refs"), "differential")
 
 
-def public_fields(results: DataFrame, contract_version: str | None = None, schema_version: str | None = None) -> DataFrame:
-    """The 13 fields that are shown of a result, and its evidence_refs; a row without an evaluation says so, and strict evidence implies the weaker layers."""
-    absent = F.col("strict").isNull()
-    strict = F.coalesce("strict", F.lit(False))
-    yes = lambda c: strict | F.coalesce(c, F.lit(False))
-    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    return results.select(
-        "question_id", F.col("candidate").alias("provisional_recommendation"), listed("differential").alias("ranked_differential"), listed("valid_refs").alias("cited_patches"),
+def shown_fields(answer: Column, of: Callable[[str], Column], contract_version: str | None = None, schema_version: str | None = None) -> list[Column]:
+    """The 13 fields that are shown of an answer, from what ``of`` gives of its evaluation; without one they say so, and strict evidence implies the weaker layers."""
+    strict = F.coalesce(of("strict"), F.lit(False))
+    yes = lambda name: strict | F.coalesce(of(name), F.lit(False))
+    listed = lambda name: F.coalesce(of(name), F.array().cast("array<string>"))
+    return [
+        answer.alias("provisional_recommendation"), listed("differential").alias("ranked_differential"), listed("valid_refs").alias("cited_patches"),
         listed("supporting").alias("supporting_evidence"), listed("opposing").alias("opposing_or_conflicting_evidence"),
-        F.when(absent, F.array(F.lit(NOT_EVALUATED))).otherwise(F.col("missing")).alias("missing_evidence"),
+        F.when(of("strict").isNull(), F.array(F.lit(NOT_EVALUATED))).otherwise(of("missing")).alias("missing_evidence"),
         yes("candidate_evidence_found").alias("candidate_evidence_found"), yes("ready").alias("ready_for_pathologist_review"), strict.alias("strict_evidence_sufficient"),
         F.lit(True).alias("review_required"), F.lit(REVIEW_REASON).alias("review_reason"), F.lit(contract_version).cast("string").alias("contract_version"),
-        F.lit(schema_version).cast("string").alias("output_schema_version"), listed("valid_refs").alias("evidence_refs"),
-    )
+        F.lit(schema_version).cast("string").alias("output_schema_version"),
+    ]
+
+
+def public_fields(results: DataFrame, contract_version: str | None = None, schema_version: str | None = None) -> DataFrame:
+    """``shown_fields`` of each result, and its evidence_refs."""
+    refs = F.coalesce("valid_refs", F.array().cast("array<string>")).alias("evidence_refs")
+    return results.select("question_id", *shown_fields(F.col("candidate"), F.col, contract_version, schema_version), refs)
 
 
 # Fixed value: how an answer that is the best candidate so far is marked.

@@ -64,7 +64,7 @@ def _step(k: int) -> str:
             JOIN embeddings AS v ON v.vec_id = (x // 250 * 3 + y // 250 * 5) % n JOIN embeddings AS u ON u.vec_id = (q * 7 + {k * 13} + r * 29) % n)) GROUP BY q, r),
     s{k} AS (SELECT d.q, d.r, d.n, {k} AS attempts, CASE step WHEN 'answer' THEN 'answered' WHEN 'abstain' THEN 'abstained' WHEN 'no_additional_evidence' THEN step {"ELSE 'budget_exhausted'" if last else ""} END AS ending,
         CASE WHEN step = 'retrieve' {"AND false" if last else ""} THEN list_concat(acc, more) ELSE acc END AS acc, len(acc) + len(kids) AS seen, CASE WHEN step = 'no_additional_evidence' THEN [] WHEN step = 'answer' THEN refs[1:5] ELSE refs END AS cited, step = 'answer' AND enough AS sufficient,
-        CASE WHEN z.new IS NOT NULL THEN list_concat(kids, list_filter(z.new, lambda t: NOT list_contains(kids, t))) ELSE kids END AS kids, focus + coalesce(z.tried, false)::INT AS focus, list_concat(fixed, fix) AS fixed, CASE WHEN step = 'no_additional_evidence' THEN 'A' ELSE 'B' END AS answer,
+        CASE WHEN z.new IS NOT NULL THEN list_concat(kids, list_filter(z.new, lambda t: NOT list_contains(kids, t))) ELSE kids END AS kids, focus + coalesce(z.tried, false)::INT AS focus, list_concat(fixed, fix) AS fixed, len(fix) > 0 AS mended, CASE WHEN step = 'no_additional_evidence' THEN 'A' ELSE 'B' END AS answer,
         CASE step WHEN 'retrieve' THEN more WHEN 'zoom' THEN coalesce(z.new, []) WHEN 'inspect' THEN CASE WHEN targets[1]::BIGINT % 9 <> 0 AND list_contains(ids, targets[1]) THEN targets ELSE fresh[1:1] END ELSE [] END AS fresh FROM d{k} AS d LEFT JOIN z{k} AS z USING (q, r))"""
 
 
@@ -76,11 +76,15 @@ _SCORE = "list_dot_product(v::DOUBLE[], list_transform(u, lambda x: x::DOUBLE /
     qs AS (SELECT item_id AS q, r, e.label AS slide, n FROM benchmark, n, (VALUES (0), (1)) AS g(r) JOIN embeddings AS e ON e.vec_id = item_id % n),
     ranks AS (SELECT q, r, a, list(lpad(t.vec_id::VARCHAR, 8, '0') ORDER BY {_SCORE.replace("v::", "t.embedding::").replace("(u,", "(u.embedding,").replace("u::", "u.embedding::")} DESC, t.vec_id) AS ids
         FROM qs, generate_series(0, {loop.MOST_ATTEMPTS}) AS g(a) JOIN embeddings AS u ON u.vec_id = (q * 7 + a * 13 + r * 29) % n JOIN embeddings AS t ON t.label = slide GROUP BY q, r, a),
-    s0 AS (SELECT q, r, n, 0 AS attempts, NULL::VARCHAR AS ending, ids[1:greatest(1, trunc(len(ids) * 0.10::DOUBLE))::BIGINT] AS acc, 0 AS seen, []::VARCHAR[] AS cited, false AS sufficient, []::VARCHAR[] AS kids, 0 AS focus, []::VARCHAR[] AS fixed, '' AS answer,
+    s0 AS (SELECT q, r, n, 0 AS attempts, NULL::VARCHAR AS ending, ids[1:greatest(1, trunc(len(ids) * 0.10::DOUBLE))::BIGINT] AS acc, 0 AS seen, []::VARCHAR[] AS cited, false AS sufficient, []::VARCHAR[] AS kids, 0 AS focus, []::VARCHAR[] AS fixed, false AS mended, '' AS answer,
         ids[1:greatest(1, trunc(len(ids) * 0.10::DOUBLE))::BIGINT] AS fresh FROM qs JOIN ranks USING (q, r) WHERE a = 0),
     {",".join(_step(k) for k in _STEPS).replace("score(v.embedding, u.embedding)", "list_cosine_similarity(v.embedding::DOUBLE[], u.embedding::DOUBLE[])")}
-    {" UNION ALL ".join(f"SELECT q AS question_id, r AS rollout_id, attempts, ending, answer, array_to_string(cited, ',') AS refs, sufficient, seen::BIGINT AS seen, focus, array_to_string(fixed, ',') AS repairs FROM s{k} WHERE ending IS NOT NULL" for k in _STEPS)}""")
+    {" UNION ALL ".join(f"SELECT q AS question_id, r AS rollout_id, attempts, ending, answer, array_to_string(cited, ',') AS refs, sufficient, seen::BIGINT AS seen, focus, array_to_string(fixed, ',') AS repairs,
+        CASE ending WHEN 'no_additional_evidence' THEN '{loop.ENDINGS['no_additional_evidence'][0]}' WHEN 'budget_exhausted' THEN '{loop.ENDINGS['budget_exhausted'][0]}' WHEN 'abstained' THEN '' END AS explanation,
+        CASE ending WHEN 'no_additional_evidence' THEN '{loop.ENDINGS['no_additional_evidence'][1]}' WHEN 'budget_exhausted' THEN '{loop.ENDINGS['budget_exhausted'][1]}' ELSE '' END AS unsupported_reason,
+        ending <> 'answered' AS abstain_recommended, CASE WHEN ending <> 'no_additional_evidence' THEN CASE WHEN mended THEN 'normalized_action_json' ELSE 'valid_action_json' END END AS parse_status FROM s{k} WHERE ending IS NOT NULL" for k in _STEPS)}""")
 def agent_replay(spark, sf_dir):
     """Replies that retrieve, look closer, inspect, answer and abstain in changing order."""
     outcomes, _ = loop.run(*world(spark, sf_dir))
-    return outcomes.withColumns({"refs": F.array_join("refs", ","), "repairs": F.array_join("repairs", ",")})
+    shown = outcomes.withColumns({"refs": F.array_join("refs", ","), "repairs": F.array_join("repairs", ",")})
+    return shown.select(*loop.KEY, "attempts", "ending", "answer", "refs", "sufficient", "seen", "focus", "repairs", "explanation", "unsupported_reason", "abstain_recommended", "parse_status")

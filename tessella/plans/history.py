@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tessella.checkpoints import shared_folder
 from tessella.functions.policy import call_cost
 from tessella.operators import history
 from tessella.plans.registry import query, table
-from tessella.streaming import trace
+from tessella.streaming import gate, trace
 
 _ORDER = ["ts", "event_id"]
 
@@ -82,3 +85,24 @@ def trace_documents(spark, sf_dir):
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
 def props_json(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def _drained(spark, events, of, name):
+    """What a stream over ``events``, written for it, gives until all of them are read."""
+    held = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    events.write.parquet(f"{held}/in")
+    stream = of(spark.readStream.schema(events.schema).parquet(f"{held}/in"))
+    trace.write_stream(stream, f"{held}/out", f"{held}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{held}/out")
+
+
+@query("""WITH p AS (SELECT *, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    g AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY user_id ORDER BY n) AS ok, sum(bad::INT) OVER (PARTITION BY user_id ORDER BY n) AS failures, min(event_type) OVER w <> max(event_type) OVER w AS drifted FROM p WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+    r AS (SELECT *, CASE WHEN bad THEN row_number() OVER (PARTITION BY user_id, ok, bad ORDER BY n) ELSE 0 END AS in_a_row FROM g),
+    s AS (SELECT *, bad AND (in_a_row >= 2 OR failures / n > 0.05) AS stop FROM r)
+    SELECT event_id, in_a_row, failures::BIGINT AS failures, drifted, stop, bool_or(stop) OVER (PARTITION BY user_id ORDER BY n) AS stopped FROM s""")
+def failure_stream(spark, sf_dir):
+    """The failure gate over the events as a stream, a user for a batch and the kind of event for a model."""
+    e = _events(spark, sf_dir).withColumn("bad", F.col("event_type") == "error")
+    out = _drained(spark, e, lambda s: gate.watched(s, "user_id", _ORDER, "bad", "event_type", "event_id"), "failures")
+    return out.select("event_id", "in_a_row", "failures", "drifted", "stop", "stopped")

@@ -45,6 +45,49 @@ def append(events: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     bucketed(events, "trace_id", buckets).write.mode("append").partitionBy("bucket").json(path)
 
 
+def append_once(events: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
+    """A stream of events written to a log in which every event stands once.
+
+    Each micro-batch goes to a folder of its own number, which is replaced as a
+    whole: a batch that is run again after a crash writes the same events to the
+    same place.  ``read_log`` reads only whole folders, since Spark marks them as
+    committed when all of their files are in place.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        bucketed(batch, "trace_id", buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_log(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
+    """The events of a log that ``append_once`` writes, from its committed batches alone."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [f.getPath() for f in fs.listStatus(root) if f.isDirectory() and f.getPath().getName().startswith("batch=")] if fs.exists(root) else []
+    whole = [str(f) for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    if not whole:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*whole).drop("batch", "bucket")
+
+
+def rotate(spark: SparkSession, path: str, stamp: str) -> str | None:
+    """Move an unfinished log out of the way, as a whole; its new place, or None if there is none.
+
+    A log is one folder, and a folder is renamed in one step.  A place that is
+    taken already is not overwritten.
+    """
+    jvm = spark.sparkContext._jvm
+    here, there = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.interrupted-{stamp}")
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(here):
+        return None
+    if fs.exists(there) or not fs.rename(here, there):
+        raise ValueError(f"{there} is there already")
+    return str(there)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream of events from a folder of JSON lines."""
     return spark.readStream.schema(EVENT).json(path)

@@ -1,10 +1,14 @@
 """The decision loop where it stops, what a contract makes of answers, and what is described."""
 
 import json
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import loop
+from tessella.operators.asking import Asking
+from tessella.operators.calls import Meter
 
 RULE = {"feature_groups": [["gland"], ["infiltrat"]], "minimum_feature_groups_per_patch": 1, "minimum_clean_evidence_patches": 2, "required_anywhere_groups": [0, 1]}
 
@@ -45,7 +49,7 @@ def test_transitions(spark):
     assert (got[0]["attempts"], got[0]["ending"], got[0]["answer"], got[0]["refs"], got[0]["seen"]) == (2, "answered", "glandular", ["t00", "t05"], 6)
     assert (got[1]["attempts"], got[1]["ending"], got[1]["focus"], got[1]["seen"]) == (4, "abstained", 1, 8)
     assert (got[2]["attempts"], got[2]["ending"], got[2]["seen"]) == (5, "budget_exhausted", 12)
-    assert (got[3]["attempts"], got[3]["ending"], got[3]["sufficient"]) == (1, "abstained", False)
+    assert (got[3]["attempts"], got[3]["ending"], got[3]["answer"], got[3]["refs"], got[3]["sufficient"], got[3]["parse_status"]) == (1, "failed", None, [], False, "executor_api_failure")
     assert got[4]["ending"] == "answered" and got[4]["refs"] == []
     order = [r["patch_id"] for r in states[1].seen.where("rollout_id = 1").orderBy("seq").collect()]
     assert order[:4] == ["t00", "t01", "t02", "t03"] and set(order[4:]) <= {f"x{1000 + 500 * c}_y{500 * r}_w500_h500_m10" for r in (0, 1) for c in (0, 1)} and len(order) == 6
@@ -77,3 +81,120 @@ def test_only_what_passes_the_contract_answers(spark):
     assert (got[0]["attempts"], got[0]["ending"], got[0]["sufficient"], got[0]["repairs"][-1]) == (1, "answered", True, "deterministic_contract_passed")
     assert (got[1]["attempts"], got[1]["ending"], got[1]["refs"]) == (2, "answered", cited) and "model_answer_lacked_contract_support" in got[1]["repairs"]
     assert (got[2]["attempts"], got[2]["ending"], got[2]["sufficient"], got[2]["answer"]) == (3, "abstained", False, "glandular")
+
+
+def sender(log, broken=(), down=()):
+    """Replies by a rule from the attempt in the request; every request that arrives is a line of ``log``."""
+
+    def send(text):
+        with open(log, "a") as f:
+            f.write(text.replace("\n", " ") + "\n")
+        asked = json.loads(text)
+        if "patch_id" in asked:
+            return {"status": 200, "reply": f"Seen at {asked['magnification']}.", "prompt_tokens": 10}
+        rollout, attempt = asked["rollout_id"], asked["attempt"]
+        if (rollout, attempt) in down:
+            raise OSError("no connection")
+        if (rollout, attempt) in broken and open(log).read().count(text.replace("\n", " ")) == 1:
+            return {"status": 200, "reply": "let me think {", "prompt_tokens": 10}
+        kind = ("retrieve", "inspect", "answer")[min(attempt - 1, 2)] if rollout % 2 else ("zoom", "retrieve", "abstain")[min(attempt - 1, 2)]
+        action = {"type": kind, "target_patches": ["t03", "t01"], "magnification": 10}
+        said = {"provisional_recommendation": "glandular", "evidence_sufficient": kind == "answer", "evidence_refs": ["t00", "t01"], "next_action": action}
+        return {"status": 200, "reply": json.dumps(said), "prompt_tokens": 10}
+
+    return send
+
+
+def requests(log):
+    return [json.loads(x) for x in open(log).read().splitlines()]
+
+
+def test_asking_in_the_loop(spark, tmp_path):
+    """No request is sent twice, a reply that does not parse is asked for again, described tiles become visible."""
+    log, cache = str(tmp_path / "log"), f"file://{tmp_path}/cache"
+    questions, tables = world(spark, [[]] * 4)
+    quick = {"sleep": lambda s: None}
+    asked = lambda log, **more: loop.World(tables.tiles, tables.observations, tables.queries, decide=Asking(sender(log, **more), cache, options=quick), describe=Asking(sender(log), cache, options=quick))
+    found, steps = loop.run(questions, asked(log, broken={(1, 1)}))
+    got = outcomes(found)
+    assert {r: (got[r]["ending"], got[r]["attempts"]) for r in got} == {0: ("abstained", 3), 1: ("answered", 3), 2: ("abstained", 3), 3: ("answered", 3)}
+    assert got[1]["refs"] == ["t00", "t01"] and got[1]["sufficient"]
+    sent = requests(log)
+    decided = [(x["rollout_id"], x["attempt"]) for x in sent if "attempt" in x]
+    assert sorted(decided) == sorted([(r, a) for r in range(4) for a in (1, 2, 3)] + [(1, 1)])
+    described = [(x["patch_id"], x["targeted"]) for x in sent if "patch_id" in x]
+    assert len(described) == len(set(described)) and {("t00", False), ("t03", False), ("t03", True)} <= set(described)  # t03 had no text of its own
+    third = next(x for x in sent if x.get("rollout_id") == 1 and x["attempt"] == 3)
+    first = next(x for x in sent if x.get("rollout_id") == 1 and x["attempt"] == 1)
+    assert "FOV=unknown] Seen at 5. Seen at 5." in third["evidence"] and "FOV=unknown] Seen at 5.\n" in first["evidence"] + "\n" and "Infiltrative glands. Seen at 5." in first["evidence"]
+    again = str(tmp_path / "again")
+    found, _ = loop.run(questions, asked(again))
+    assert {r: tuple(x) for r, x in outcomes(found).items()} == {r: tuple(x) for r, x in got.items()} and not (tmp_path / "again").exists()
+
+
+def test_failures_end_rollouts_and_stop_the_batch(spark, tmp_path):
+    questions, tables = world(spark, [[]] * 24)
+    asked = lambda log, meter, **more: loop.World(tables.tiles, tables.observations, tables.queries, decide=Asking(sender(str(tmp_path / log), **more), f"file://{tmp_path}/{log}-cache", meter, {"sleep": lambda s: None}))
+    found, _ = loop.run(questions, asked("some", Meter(expected=24), down={(7, 1)}), attempts=1)
+    got = outcomes(found)
+    assert got[7]["ending"] == "failed" and got[7]["answer"] is None and got[7]["explanation"] is None
+    assert sum(r["ending"] == "budget_exhausted" for r in got.values()) == 23
+    meter = Meter(expected=24)
+    found, _ = loop.run(questions, asked("down", meter, down={(r, 1) for r in range(24)}), attempts=1)
+    ends = [r["ending"] for r in outcomes(found).values()]
+    assert ends.count("failed") == meter.failures == 16 and ends.count("stopped") == 8
+    assert len(requests(tmp_path / "down")) == 16 * 3  # nothing after the first wave and its retries
+    meter = Meter(budget=0.0002)
+    found, _ = loop.run(questions, asked("paid", meter), attempts=1)
+    ends = [r["ending"] for r in outcomes(found).values()]
+    assert ends.count("stopped") == 4 and 0.0002 <= meter.spent < 0.00022
+
+
+def test_a_run_is_resumed(spark, tmp_path):
+    class Died(Exception):
+        pass
+
+    def dies(attempt, state):
+        if attempt == 2:
+            raise Died
+
+    script = [[reply("retrieve")] * 5, [reply("zoom", target_patches=["t01"], magnification=10), reply("inspect", target_patches=["t02"]), reply("answer", True, ["t00"])], [reply("abstain")], [reply("retrieve"), reply("answer", True, ["t00"])]]
+    questions, tables = world(spark, script)
+    whole, steps = loop.run(questions, tables)
+    path = f"file://{tmp_path}/ledger"
+    with pytest.raises(Died):
+        loop.run(questions, tables, after=dies, ledger=path)
+    ran = []
+    found, told = loop.run(questions, tables, after=lambda attempt, state: ran.append(attempt), ledger=path)
+    assert ran == [3, 4, 5]
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(found, whole) and same(told, steps)
+    again, _ = loop.run(questions, tables, after=lambda attempt, state: ran.append(attempt), ledger=path)
+    assert ran == [3, 4, 5] and same(again, whole)
+    with pytest.raises(ValueError, match="replies"):
+        loop.run(questions, world(spark, script[:3])[1], ledger=path)
+    with pytest.raises(ValueError, match="attempts"):
+        loop.run(questions, tables, attempts=3, ledger=path)
+    shutil.rmtree(next((tmp_path / "ledger").glob("attempt-002-*")) / "tiles")
+    with pytest.raises(ValueError, match="tiles of attempt 2"):
+        loop.run(questions, tables, ledger=path)
+    failed = f"file://{tmp_path}/failed"
+    questions, tables = world(spark, [[reply("retrieve")] * 5, [None]])
+    with pytest.raises(Died):
+        loop.run(questions, tables, after=dies, ledger=failed)
+    with pytest.raises(ValueError, match="failed rollouts"):
+        loop.run(questions, tables, ledger=failed)
+
+
+def test_outcomes_carry_what_is_shown(spark):
+    concepts = spark.createDataFrame([("structure", "c0", "glandular"), ("structure", "c1", "solid")], "question_type string, concept string, display string")
+    none = spark.createDataFrame([], "concept string, support string, needs_zoom boolean")
+    contract = loop.Contract(concepts, none, {"c0": RULE, "c1": {"feature_groups": [["solid growth"]], "minimum_clean_evidence_patches": 1, "required_anywhere_groups": [0]}})
+    cited = ["t00", "t01"]
+    script = [[reply("answer", True, cited)], [reply("retrieve", refs=["t00"])] * 5, [reply("abstain", refs=["zzz"])]]
+    got = outcomes(loop.run(*world(spark, script), contract=contract)[0])
+    assert got[0]["shown"]["strict_evidence_sufficient"] and got[0]["shown"]["cited_patches"] == cited and got[0]["selected_attempt"] == 1 and not got[0]["abstain_recommended"]
+    assert (got[1]["ending"], got[1]["parse_status"], got[1]["explanation"]) == ("budget_exhausted", "contract_v1_best_candidate", loop.BUDGET_UNDER_CONTRACT)
+    assert got[1]["shown"]["ready_for_pathologist_review"] and not got[1]["shown"]["strict_evidence_sufficient"] and got[1]["shown"]["supporting_evidence"] == ["t00"]
+    assert got[1]["unsupported_reason"] == loop.ENDINGS["budget_exhausted"][2] and got[1]["selected_attempt"] == 1
+    assert got[2]["explanation"] == loop.ABSTAINED[0] and got[2]["shown"]["missing_evidence"][0] == "valid_visible_citation_required"
