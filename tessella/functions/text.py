@@ -33,6 +33,15 @@ REPORT_ONLY = (
 )
 FIELDS = ("VISIBLE", "ABSENT_OR_NOT_SEEN", "UNCERTAIN", "QUALITY")
 LABEL_MARK, ORGAN_MARK = "[diagnostic label omitted]", "[organ label omitted]"
+NOT_RELIABLE = "No reliable direct morphology statement was returned."
+NOT_STATED = (
+    "\nABSENT_OR_NOT_SEEN: Not reliably stated.\nUNCERTAIN: Patch-level assessment only; diagnosis and organ identity were not assessed."
+    "\nQUALITY: Not explicitly stated by the patch observer."
+)
+UNUSABLE = (
+    "VISIBLE: No reliable morphology statement was returned.\nABSENT_OR_NOT_SEEN: Not assessed.\nUNCERTAIN: The patch-level output was an answer "
+    "label rather than visual evidence.\nQUALITY: Unusable for visual classification."
+)
 SANITIZED_TAG = "[OFFLINE_MORPHOLOGY_SANITIZED] "
 SENTENCES = r"(?<=[.!?])\s+|[\r\n]+"
 
@@ -90,20 +99,9 @@ def normalize_morphology(text: Column, version: str, labels: list[str] = ()) ->
     sentences = F.transform(sentences, lambda s: F.regexp_replace(s, r"(?i)^\s*VISIBLE\s*:\s*(?:with|showing|characterized by|composed of)\s+", "VISIBLE: "))
     sentences = F.filter(sentences, lambda s: ~s.rlike(CONCLUSION) & s.rlike(MORPHOLOGY))
     prose = F.array_join(F.transform(sentences, lambda s: F.regexp_replace(s, r"(?i)^(?:key )?features include\s*", "")), " ")
-    visible = F.when(prose != "", prose).otherwise("No reliable direct morphology statement was returned.")
-    rebuilt = F.concat(
-        F.lit("VISIBLE: "),
-        visible,
-        F.lit(
-            "\nABSENT_OR_NOT_SEEN: Not reliably stated.\nUNCERTAIN: Patch-level assessment only; diagnosis and organ identity were not assessed."
-            "\nQUALITY: Not explicitly stated by the patch observer."
-        ),
-    )
-    unusable = F.lit(
-        "VISIBLE: No reliable morphology statement was returned.\nABSENT_OR_NOT_SEEN: Not assessed.\nUNCERTAIN: The patch-level output was an answer "
-        "label rather than visual evidence.\nQUALITY: Unusable for visual classification."
-    )
-    body = F.when(bare, unusable).when(complete, lines).otherwise(rebuilt)
+    visible = F.when(prose != "", prose).otherwise(NOT_RELIABLE)
+    rebuilt = F.concat(F.lit("VISIBLE: "), visible, F.lit(NOT_STATED))
+    body = F.when(bare, F.lit(UNUSABLE)).when(complete, lines).otherwise(rebuilt)
     return F.concat(F.lit(f"[PATHO_MORPHOLOGY | {version}]\n"), body)
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
+from tessella.checkpoints import shared_folder
 from tessella.operators import loop, regions
-from tessella.plans.registry import query, table
+from tessella.operators.asking import Asking
+from tessella.plans.registry import SQL, query, table
 
 _KINDS = ("retrieve", "zoom", "inspect", "answer+", "retrieve", "answer", "abstain", "zoom", "retrieve", "inspect", "retrieve")
 _MAGNIFICATIONS = (10, 20, 15)
@@ -68,6 +73,14 @@ def _step(k: int) -> str:
         CASE step WHEN 'retrieve' THEN more WHEN 'zoom' THEN coalesce(z.new, []) WHEN 'inspect' THEN CASE WHEN targets[1]::BIGINT % 9 <> 0 AND list_contains(ids, targets[1]) THEN targets ELSE fresh[1:1] END ELSE [] END AS fresh FROM d{k} AS d LEFT JOIN z{k} AS z USING (q, r))"""
 
 
+def _ended(k: int) -> str:
+    """SQL of the outcomes of one attempt."""
+    said = lambda i: " ".join(f"WHEN '{e}' THEN '{loop.ENDINGS[e][i]}'" for e in ("no_additional_evidence", "budget_exhausted"))
+    return f"""SELECT q AS question_id, r AS rollout_id, attempts, ending, answer, array_to_string(cited, ',') AS refs, sufficient, seen::BIGINT AS seen, focus, array_to_string(fixed, ',') AS repairs,
+        CASE ending {said(0)} WHEN 'abstained' THEN '' END AS explanation, CASE ending {said(1)} ELSE '' END AS unsupported_reason, ending <> 'answered' AS abstain_recommended,
+        CASE WHEN ending <> 'no_additional_evidence' THEN CASE WHEN mended THEN 'normalized_action_json' ELSE 'valid_action_json' END END AS parse_status FROM s{k} WHERE ending IS NOT NULL"""
+
+
 _STEPS = range(1, loop.MOST_ATTEMPTS + 1)
 _SCORE = "list_dot_product(v::DOUBLE[], list_transform(u, lambda x: x::DOUBLE / sqrt(list_dot_product(u::DOUBLE[], u::DOUBLE[]))))"
 
@@ -79,12 +92,35 @@ _SCORE = "list_dot_product(v::DOUBLE[], list_transform(u, lambda x: x::DOUBLE /
     s0 AS (SELECT q, r, n, 0 AS attempts, NULL::VARCHAR AS ending, ids[1:greatest(1, trunc(len(ids) * 0.10::DOUBLE))::BIGINT] AS acc, 0 AS seen, []::VARCHAR[] AS cited, false AS sufficient, []::VARCHAR[] AS kids, 0 AS focus, []::VARCHAR[] AS fixed, false AS mended, '' AS answer,
         ids[1:greatest(1, trunc(len(ids) * 0.10::DOUBLE))::BIGINT] AS fresh FROM qs JOIN ranks USING (q, r) WHERE a = 0),
     {",".join(_step(k) for k in _STEPS).replace("score(v.embedding, u.embedding)", "list_cosine_similarity(v.embedding::DOUBLE[], u.embedding::DOUBLE[])")}
-    {" UNION ALL ".join(f"SELECT q AS question_id, r AS rollout_id, attempts, ending, answer, array_to_string(cited, ',') AS refs, sufficient, seen::BIGINT AS seen, focus, array_to_string(fixed, ',') AS repairs,
-        CASE ending WHEN 'no_additional_evidence' THEN '{loop.ENDINGS['no_additional_evidence'][0]}' WHEN 'budget_exhausted' THEN '{loop.ENDINGS['budget_exhausted'][0]}' WHEN 'abstained' THEN '' END AS explanation,
-        CASE ending WHEN 'no_additional_evidence' THEN '{loop.ENDINGS['no_additional_evidence'][1]}' WHEN 'budget_exhausted' THEN '{loop.ENDINGS['budget_exhausted'][1]}' ELSE '' END AS unsupported_reason,
-        ending <> 'answered' AS abstain_recommended, CASE WHEN ending <> 'no_additional_evidence' THEN CASE WHEN mended THEN 'normalized_action_json' ELSE 'valid_action_json' END END AS parse_status FROM s{k} WHERE ending IS NOT NULL" for k in _STEPS)}""")
+    {" UNION ALL ".join(_ended(k) for k in _STEPS)}""")
 def agent_replay(spark, sf_dir):
     """Replies that retrieve, look closer, inspect, answer and abstain in changing order."""
     outcomes, _ = loop.run(*world(spark, sf_dir))
+    return _shown(outcomes)
+
+
+def _shown(outcomes):
     shown = outcomes.withColumns({"refs": F.array_join("refs", ","), "repairs": F.array_join("repairs", ",")})
     return shown.select(*loop.KEY, "attempts", "ending", "answer", "refs", "sufficient", "seen", "focus", "repairs", "explanation", "unsupported_reason", "abstain_recommended", "parse_status")
+
+
+@query(SQL["agent_replay"])
+def agent_asked(spark, sf_dir):
+    """The same loop, but the replies are asked for: a function makes each from the request that it gets."""
+    questions, tables = world(spark, sf_dir)
+    n = table(spark, sf_dir, "embeddings").count()
+    kinds, magnifications = list(_KINDS), list(_MAGNIFICATIONS)
+
+    def send(request):
+        asked = json.loads(request)
+        q, r, k = int(asked["question"].split()[-1]), asked["rollout_id"], asked["attempt"]
+        kind = kinds[(q * 5 + r * 3 + k * k) % len(kinds)]
+        ids = lambda *of: [f"{x % n:08d}" for x in of]
+        action = {"type": kind.rstrip("+"), "target_patches": ids(q * 11 + k), "magnification": magnifications[q % 3]}
+        said = {"provisional_recommendation": "B", "evidence_sufficient": kind.endswith("+"), "evidence_refs": ids(q * 7 + k * 13, q * 3, q * 3, q + k), "next_action": action}
+        return {"status": 200, "reply": json.dumps(said), "prompt_tokens": len(request)}
+
+    named = questions.withColumn("question", F.concat(F.lit("Which structure is seen? "), "question_id"))
+    asks = loop.World(tables.tiles, tables.observations, tables.queries, decide=Asking(send, f"{shared_folder(spark)}/replies-{uuid.uuid4().hex}"))
+    outcomes, _ = loop.run(named, asks)
+    return _shown(outcomes)
