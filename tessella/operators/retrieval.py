@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.checkpoints import cut
 from tessella.functions.policy import INITIAL_RATIO, REPLENISH_RATIO, retrieval_count
 from tessella.functions.vectors import dot, unit
 
@@ -48,10 +49,10 @@ def ranked_to(scored: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
     Scores are dealt to about sqrt(n) ranges between the group's least and best.
     The ranges are counted; only the rows of those that begin above the ``k``-th
     place are ranked, each within its range, and the rows before a range are added.
-    So no task holds a group, however large ``k`` is.
+    So no task holds a group, however large ``k`` is.  Scores are written once.
     """
+    scored = cut(scored)
     ends = scored.groupBy(*by).agg(F.min("score").alias("low"), F.max("score").alias("high")).join(limits, by)
-    ends = F.broadcast(ends) if limits.count() <= MAX_BROADCAST_QUERIES else ends
     ranges = F.ceil(F.sqrt("n"))
     place = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("high") - F.col("score")) / (F.col("high") - F.col("low")) * ranges), ranges - 1)).otherwise(F.lit(0))
     dealt = scored.join(ends, by).withColumn("range_", place.cast("long"))

@@ -67,7 +67,7 @@ def retrieval_k_policy(spark, sf_dir):
 def normalized_similarity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    pairs = e.join(F.broadcast(q), F.size("embedding") == F.size("q"))
+    pairs = e.join(q, F.size("embedding") == F.size("q"))
     return pairs.select("vec_id", F.round(R.cosine(F.col("embedding"), F.col("q")), 4).alias("similarity"), F.round(norm(F.col("embedding")), 4).alias("length"))
 
 
