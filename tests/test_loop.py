@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import loop
 from tessella.operators.asking import Asking
-from tessella.operators.calls import Meter
+from tessella.operators.calls import Meter, call_in_waves
 
 RULE = {"feature_groups": [["gland"], ["infiltrat"]], "minimum_feature_groups_per_patch": 1, "minimum_clean_evidence_patches": 2, "required_anywhere_groups": [0, 1]}
 
@@ -132,22 +132,30 @@ def test_asking_in_the_loop(spark, tmp_path):
     assert {r: tuple(x) for r, x in outcomes(found).items()} == {r: tuple(x) for r, x in got.items()} and not (tmp_path / "again").exists()
 
 
-def test_failures_end_rollouts_and_stop_the_batch(spark, tmp_path):
-    questions, tables = world(spark, [[]] * 24)
-    asked = lambda log, meter, **more: loop.World(tables.tiles, tables.observations, tables.queries, decide=Asking(sender(str(tmp_path / log), **more), f"file://{tmp_path}/{log}-cache", meter, {"sleep": lambda s: None}))
-    found, _ = loop.run(questions, asked("some", Meter(expected=24), down={(7, 1)}), attempts=1)
-    got = outcomes(found)
-    assert got[7]["ending"] == "failed" and got[7]["answer"] is None and got[7]["explanation"] is None
-    assert sum(r["ending"] == "budget_exhausted" for r in got.values()) == 23
-    meter = Meter(expected=24)
-    found, _ = loop.run(questions, asked("down", meter, down={(r, 1) for r in range(24)}), attempts=1)
-    ends = [r["ending"] for r in outcomes(found).values()]
-    assert ends.count("failed") == meter.failures == 16 and ends.count("stopped") == 8
-    assert len(requests(tmp_path / "down")) == 16 * 3  # nothing after the first wave and its retries
+def test_failures_end_rollouts(spark, tmp_path):
+    questions, tables = world(spark, [[]] * 3)
+    decide = Asking(sender(str(tmp_path / "log"), down={(1, 1)}), f"file://{tmp_path}/cache", Meter(expected=100), {"sleep": lambda s: None})
+    got = outcomes(loop.run(questions, loop.World(tables.tiles, tables.observations, tables.queries, decide=decide), attempts=1)[0])
+    assert (got[1]["ending"], got[1]["answer"], got[1]["explanation"], got[1]["parse_status"]) == ("failed", None, None, "executor_api_failure")
+    assert got[0]["ending"] == got[2]["ending"] == "budget_exhausted" and decide.meter.failures == 1
+
+
+def test_failures_stop_the_batch(spark):
+    asked = spark.createDataFrame([(i, str(i)) for i in range(40)], "id long, request string")
+
+    def send(bad):
+        return lambda text: {"status": 400 if int(text) in bad else 200, "reply": "yes", "prompt_tokens": 10}
+
+    def sent(bad, meter):
+        return sorted((r["id"], r["status"]) for r in call_in_waves(asked, send(bad), "id", "request", meter).collect())
+
+    assert {s for _, s in sent({7}, Meter(expected=40))} == {200, 400}
+    for bad, first in (({3, 4}, 16), ({15, 16}, 40), ({2, 9, 14}, 16), ({20, 21}, 40)):  # in a row, across waves, by their share, in the second wave
+        meter = Meter(expected=40)
+        out = sent(bad, meter)
+        assert [s for i, s in out if i >= first] == [503] * (40 - first) and meter.refuses() == 503, bad
     meter = Meter(budget=0.0002)
-    found, _ = loop.run(questions, asked("paid", meter), attempts=1)
-    ends = [r["ending"] for r in outcomes(found).values()]
-    assert ends.count("stopped") == 4 and 0.0002 <= meter.spent < 0.00022
+    assert [s for _, s in sent(set(), meter)] == [200] * 20 + [402] * 20 and 0.0002 <= meter.spent < 0.00021
 
 
 def test_a_run_is_resumed(spark, tmp_path):
@@ -169,8 +177,6 @@ def test_a_run_is_resumed(spark, tmp_path):
     assert ran == [3, 4, 5]
     same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert same(found, whole) and same(told, steps)
-    again, _ = loop.run(questions, tables, after=lambda attempt, state: ran.append(attempt), ledger=path)
-    assert ran == [3, 4, 5] and same(again, whole)
     with pytest.raises(ValueError, match="replies"):
         loop.run(questions, world(spark, script[:3])[1], ledger=path)
     with pytest.raises(ValueError, match="attempts"):
@@ -191,8 +197,8 @@ def test_outcomes_carry_what_is_shown(spark):
     none = spark.createDataFrame([], "concept string, support string, needs_zoom boolean")
     contract = loop.Contract(concepts, none, {"c0": RULE, "c1": {"feature_groups": [["solid growth"]], "minimum_clean_evidence_patches": 1, "required_anywhere_groups": [0]}})
     cited = ["t00", "t01"]
-    script = [[reply("answer", True, cited)], [reply("retrieve", refs=["t00"])] * 5, [reply("abstain", refs=["zzz"])]]
-    got = outcomes(loop.run(*world(spark, script), contract=contract)[0])
+    script = [[reply("answer", True, cited)], [reply("retrieve", refs=["t00"])], [reply("abstain", refs=["zzz"])]]
+    got = outcomes(loop.run(*world(spark, script), contract=contract, attempts=1)[0])
     assert got[0]["shown"]["strict_evidence_sufficient"] and got[0]["shown"]["cited_patches"] == cited and got[0]["selected_attempt"] == 1 and not got[0]["abstain_recommended"]
     assert (got[1]["ending"], got[1]["parse_status"], got[1]["explanation"]) == ("budget_exhausted", "contract_v1_best_candidate", loop.BUDGET_UNDER_CONTRACT)
     assert got[1]["shown"]["ready_for_pathologist_review"] and not got[1]["shown"]["strict_evidence_sufficient"] and got[1]["shown"]["supporting_evidence"] == ["t00"]
