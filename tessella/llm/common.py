@@ -59,8 +59,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _made: dict[str, list[str]] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, compressed by ``codec`` or as the session has it, and read it back.
 
     It cuts the lineage, survives the loss of executors, and hides the
     partitioning, so that later joins shuffle both sides and adaptive execution
@@ -68,7 +68,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -494,7 +494,7 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     A page whose host has no other path, or only copies beside it, is not
     differenced.  Extra columns are ignored.
     """
-    rows = materialize(_rows_of(pages, key, url, html), "pages")
+    rows = materialize(_rows_of(pages, key, url, html), "pages", codec="zstd")
     differing = differenced(_distinct(rows)).where("kept is not null").select("page_key", "kept")
     differing = materialize(differing, "differing")
     n, numbers = differing.agg(F.count("*"), F.coalesce(F.sum(F.size("kept")), F.lit(0))).first()
