@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,4 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder of this application in the shared one, for what is written on the way."""
     need_checkpoints(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root.startswith("file:/"):
+        root = root.removeprefix("file:").replace("///", "/", 1)
+    root = root if "://" in root else "file://" + os.path.abspath(root)
     return f"{root}/tessella-library/{spark.sparkContext.applicationId}"

@@ -147,7 +147,7 @@ def feature_files(spark, sf_dir):
         import pandas as pd
         import pyarrow.fs as pafs
 
-        fs, at = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        fs, at = pafs.FileSystem.from_uri(root)
         for part in parts:
             for slide, tile, vector in part.itertuples(index=False):
                 held = io.BytesIO()
@@ -159,7 +159,7 @@ def feature_files(spark, sf_dir):
 
     e.mapInPandas(put, "n long").agg(F.sum("n")).collect()
     npy.register(spark)
-    read = spark.read.format(npy.NAME).load(root if "://" in root else f"file://{root}")
+    read = spark.read.format(npy.NAME).load(root)
     total = F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
     return read.select(F.substring("slide_id", 2, 20).cast("long").alias("slide_id"), "patch_id", F.size("features").cast("long").alias("n"), total.alias("total"))
 
