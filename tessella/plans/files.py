@@ -225,8 +225,8 @@ def region_pixels(spark, sf_dir):
     regions = rects.select((F.col("slide") % 10).cast("string").alias("slide_id"), F.col("id").alias("patch_id"), (F.col("x") % 40 - 4).alias("x"), (F.col("y") % 40 - 4).alias("y"), F.lit(8).cast("long").alias("w"), F.lit(8).cast("long").alias("h"))
     slides = regions.select("slide_id").distinct().withColumns({"slide_width": F.lit(32), "slide_height": F.lit(32), "downsamples": F.array(F.lit(1.0), F.lit(4.0))})
     read = rasters.read_regions(regions, slides, blocks, 16, 8)
-    sums = rasters.pixel_rows(read, 8, ["patch_id"]).groupBy("patch_id").agg(F.sum("red").alias("red"), F.sum("green").alias("green"))
-    return read.select("patch_id", "padding").join(sums, "patch_id").select(F.col("patch_id").alias("id"), "red", "green", F.col("padding.left").alias("pad_left"), F.col("padding.bottom").alias("pad_bottom"))
+    sums = rasters.channel_sums(read.withColumns({"pad_left": F.col("padding.left"), "pad_bottom": F.col("padding.bottom")}), 8, ["patch_id", "pad_left", "pad_bottom"])
+    return sums.select(F.col("patch_id").alias("id"), "red", "green", "pad_left", "pad_bottom")
 
 
 @query("""SELECT user_id::VARCHAR AS trace_id, count(*) AS n, count(DISTINCT event_id) AS different, min(event_id)::BIGINT AS first FROM events GROUP BY user_id""")

@@ -155,6 +155,22 @@ def test_regions_of_rasters(spark):
         rasters.read_regions(regions.withColumn("slide_id", F.lit("zz")), slides, blocks, block, output).collect()
 
 
+def test_regions_are_put_together_in_parts(spark, monkeypatch):
+    """Many regions of one block go in several parts, with one row for each, also of those that share a name."""
+    monkeypatch.setattr(rasters, "MOST_TOGETHER", 40)
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (32, 32, 4)).astype(np.uint8)
+    rows = [("s", 0, x, y, bytearray(image[y * 16 : y * 16 + 16, x * 16 : x * 16 + 16].tobytes())) for x in (0, 1) for y in (0, 1)]
+    blocks = spark.createDataFrame(rows, "slide_id string, level int, bx int, by int, pixels binary")
+    slides = spark.createDataFrame([("s", 32, 32, [1.0])], "slide_id string, slide_width long, slide_height long, downsamples array<double>")
+    wanted = [("s", f"p{i // 2}", int(x), int(y), 8, 8) for i, (x, y) in enumerate(rng.integers(-6, 30, (300, 2)))]
+    regions = spark.createDataFrame(wanted, "slide_id string, patch_id string, x long, y long, w long, h long")
+    read = rasters.read_regions(regions, slides, blocks, 16, 8)
+    got = sorted(tuple(r) for r in rasters.channel_sums(read, 8, ["patch_id"]).collect())
+    wide = np.pad(image, ((6, 6), (6, 6), (0, 0)))
+    assert got == sorted((name, *(int(c) for c in rasters.on_white(wide[y + 6 : y + 14, x + 6 : x + 14]).sum(axis=(0, 1), dtype=int))) for _, name, x, y, _, _ in wanted)
+
+
 def test_feature_files(spark, tmp_path):
     npy.register(spark)
     for slide in ("s1", "s2", "s3"):
