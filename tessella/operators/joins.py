@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 def resolve_prefix(keys: DataFrame, catalogue: DataFrame, key: str, name: str, shortest: int) -> DataFrame:
     """``keys`` with ``resolved``: the smallest catalogue name that begins with the key, or else the key itself.
 
-    Keys have at least ``shortest`` characters; that much of both sides is the
-    join key, so the prefix test runs only within equal beginnings.
+    Keys have at least ``shortest`` characters.  For each length that keys have, the
+    smallest name of every beginning of that length is found once, in a sum by
+    beginning, so names are never met with keys one by one; the work is the
+    catalogue times the number of different lengths.
     """
-    names = catalogue.select(F.col(name).alias("__name")).distinct().withColumn("__head", F.substring("__name", 1, shortest))
-    found = keys.withColumn("__head", F.substring(key, 1, shortest)).join(names, "__head").where(F.startswith("__name", F.col(key)))
-    found = found.groupBy(key).agg(F.min("__name").alias("__least"))
+    asked = keys.select(F.col(key).alias("__head")).where(F.length(key) >= shortest).distinct()
+    lengths = asked.agg(F.collect_set(F.length("__head")).alias("__lengths"))  # one short row
+    heads = catalogue.select(F.col(name).alias("__name")).join(F.broadcast(lengths)).withColumn("__length", F.explode(F.filter("__lengths", lambda n: n <= F.length("__name"))))
+    least = heads.groupBy(F.expr("substring(__name, 1, __length)").alias("__head")).agg(F.min("__name").alias("__least"))
+    found = least.join(asked, "__head", "left_semi").withColumnRenamed("__head", key)
     return keys.join(found, key, "left").withColumn("resolved", F.coalesce("__least", F.col(key))).drop("__least")
 
 

@@ -120,6 +120,16 @@ def test_retrieval_is_disjoint_from_replenishment(spark):
     assert (len(a), len(b), a & b) == (12, 6, set())
 
 
+def test_prefixes_of_one_beginning(spark):
+    """Names that all begin alike are not met with the keys one by one; keys are of any length, absent, null or a whole name."""
+    names = [f"Customer#{i:05d}" for i in range(0, 3000, 3)] + ["Customer#0\U0001f600x", "C", ""]
+    keys = [f"Customer#{i:03d}" for i in range(40)] + ["Customer#", "Customer#00003", "Customer#00004", "Customer#0\U0001f600", "Customer#00003x", None]
+    got = joins.resolve_prefix(spark.createDataFrame([(k,) for k in keys], "k string"), spark.createDataFrame([(n,) for n in [*names, None]], "n string"), "k", "n", 9)
+    want = {k: k and min((n for n in names if n.startswith(k)), default=k) for k in keys}
+    assert {r["k"]: r["resolved"] for r in got.collect()} == want
+    assert "StartsWith" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_joins(spark):
     keys = spark.createDataFrame([("ab",), ("zz",)], "k string")
     names = spark.createDataFrame([("abd",), ("abc",), ("b",)], "n string")
