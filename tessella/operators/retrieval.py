@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.checkpoints import cut
 from tessella.functions.policy import INITIAL_RATIO, REPLENISH_RATIO, retrieval_count
 from tessella.functions.vectors import dot, unit
+from tessella.shipping import ship
 
 #: Queries that are broadcast to the features; more go in blocks of their own.
 MAX_BROADCAST_QUERIES = 10_000
+#: Rows of a block of features and of a block of queries, and queries that are scored at once.
+FEATURE_BLOCK, QUERY_BLOCK, AT_ONCE = 4096, 2048, 256
 
 
 def scores(features: DataFrame, queries: DataFrame, id: str, vector: str, query_id: str, query: str) -> DataFrame:
@@ -74,6 +83,87 @@ def replenish(scored: DataFrame, available: DataFrame, seen: DataFrame, by: list
     return initial(scored.join(seen, [*by, "id"], "left_anti"), available, by, ratio, top_k)
 
 
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` (id, vector) as rows (size, ids, vectors): up to ``size`` vectors of one length, in double precision one after another."""
+    kind = dict(rows.dtypes)["id"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(n: int, some: pa.Table) -> pa.RecordBatch:
+            ids, flat = some["id"].combine_chunks(), pc.list_flatten(some["vector"]).to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([flat.tobytes()])], names=["size", "ids", "vectors"])
+
+        held: dict[int, list[pa.Table]] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            sizes = pc.list_value_length(table["vector"])
+            for n in pc.unique(sizes).to_pylist():
+                held.setdefault(n, []).append(table.filter(pc.equal(sizes, n)))
+                if sum(map(len, held[n])) >= size:
+                    whole = pa.concat_tables(held.pop(n))
+                    full = len(whole) // size * size
+                    yield from (block(n, whole.slice(k, size)) for k in range(0, full, size))
+                    if full < len(whole):
+                        held[n] = [whole.slice(full)]
+        yield from (block(n, pa.concat_tables(some)) for n, some in held.items())
+
+    return rows.mapInArrow(pack, f"size int, ids array<{kind}>, vectors binary")
+
+
+def best(features: DataFrame, queries: DataFrame, id: str, vector: str, query_id: str, query: str, k: int) -> DataFrame:
+    """Rows (query_id, id, score, rank): the ``k`` best features of every query, as ``top_k`` of ``scores`` gives them.
+
+    Every query meets every feature, in blocks.  A matrix product tells, up to
+    rounding, what reaches the ``k``-th place that a query has had in this task so
+    far; only that is scored exactly, and of a block at most ``k`` a query go on.
+    Vectors with null or non-finite components, which have no such bound, are
+    scored by ``scores``.  A task holds one block of each side.
+    """
+    ship(features.sparkSession)
+    finite = lambda c: F.forall(c, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("query"), F.coalesce(finite(unit(F.col(query))), F.lit(False)).alias("plain"))
+    rows = features.select(F.col(id).alias("id"), F.col(vector).alias("vector"), F.coalesce(finite(F.col(vector)), F.lit(False)).alias("plain"))
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    n = asked.count()
+    parts = 3 * features.sparkSession.sparkContext.defaultParallelism
+    of = _blocks(asked.where("plain").select(F.col("query_id").alias("id"), unit(F.col("query")).alias("vector")).coalesce(max(1, -(-n // QUERY_BLOCK))), QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "vectors": "queries", "size": "query_size"})
+    to = _blocks(rows.where("plain").select("id", double(F.col("vector")).alias("vector")), FEATURE_BLOCK).repartition(parts)
+    to = to.join(F.broadcast(of), F.col("size") == F.col("query_size")) if n <= MAX_BROADCAST_QUERIES else to.join(of.hint("shuffle_replicate_nl"), F.col("size") == F.col("query_size"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[bytes, np.ndarray] = {}  # the k-th score so far of each query, by the block of queries
+        for batch in batches:
+            for i in range(len(batch)):
+                size, ids, asks = batch["size"][i].as_py(), batch["ids"][i].values, batch["query_ids"][i].values
+                f, q = (np.frombuffer(batch[c][i].as_buffer(), float).reshape(len(x), size) for c, x in (("vectors", ids), ("queries", asks)))
+                order = np.empty(len(ids), np.int64)
+                order[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+                slack = 4e-16 * (size + 2) * max(1.0, float(np.sqrt((f * f).sum(axis=1)).max()))
+                before = place.setdefault(hashlib.md5(batch["queries"][i].as_buffer()).digest(), np.full(len(asks), -np.inf))
+                for a in range(0, len(asks), AT_ONCE):
+                    some = q[a : a + AT_ONCE]
+                    near = some @ f.T
+                    least = before[a : a + AT_ONCE]
+                    if len(ids) >= k and (least == -np.inf).any():
+                        least = np.maximum(least, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+                    x, y = np.nonzero(~(near < (least - 2 * slack)[:, None]))
+                    exact = np.zeros(len(x))
+                    for c in range(size):
+                        exact += f[y, c] * some[x, c]
+                    by = np.lexsort((order[y], -exact, x))
+                    x, y, exact = x[by], y[by], exact[by]
+                    start = np.searchsorted(x, np.arange(len(some)))
+                    on = np.arange(len(x)) - start[x] < k
+                    last = start + k - 1
+                    full = last < np.append(start[1:], len(x))
+                    before[a : a + AT_ONCE][full] = np.maximum(before[a : a + AT_ONCE][full], exact[last[full]])
+                    yield pa.RecordBatch.from_arrays([asks.take(pa.array(x[on] + a)), ids.take(pa.array(y[on])), pa.array(exact[on])], names=["query_id", "id", "score"])
+
+    given = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["id"]
+    met = to.select("size", "ids", "vectors", "query_ids", "queries").mapInArrow(meet, f"query_id {given[0]}, id {given[1]}, score double")
+    odd = scores(rows.where("not plain"), asked, "id", "vector", "query_id", "query").unionByName(scores(rows.where("plain"), asked.where("not plain"), "id", "vector", "query_id", "query"))
+    return top_k(met.unionByName(odd), ["query_id"], k)
+
+
 def nearest_child(scored: DataFrame, by: list[str]) -> DataFrame:
     """The best tile of each group, ties to the smaller id."""
     best = F.min_by(F.struct("id", "score"), F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))

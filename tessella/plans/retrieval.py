@@ -77,7 +77,7 @@ def multi_query_topk(spark, sf_dir):
     """Five tiles for each query; queries are the rows whose id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    best = R.top_k(R.scores(e, q, "vec_id", "embedding", "q", "qv"), ["query_id"], 5)
+    best = R.best(e, q, "vec_id", "embedding", "q", "qv", 5)
     return best.select("query_id", F.col("id").alias("vec_id"), F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

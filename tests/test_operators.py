@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,6 +121,22 @@ def test_retrieval_is_disjoint_from_replenishment(spark):
     assert (len(a), len(b), a & b) == (12, 6, set())
 
 
+def test_best_in_blocks(spark, monkeypatch):
+    """Blocks of any size, and queries sent whole or met block by block, give what ranking every pair gives: copies, ties, nulls, other lengths and non-finite components too."""
+    rng = np.random.default_rng(5)
+    made = [[float(np.float32(x)) for x in v] for v in rng.normal(size=(90, 7))]
+    rows = [(i, made[i % 90]) for i in range(240)] + [(i, made[3]) for i in range(240, 300)] + [(300, None), (301, [None] * 7), (302, [float("nan")] * 7), (303, made[4][:5]), (304, [0.0] * 7), (305, [float("inf")] + made[1][1:]), (306, made[5][:5])]
+    f = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    q = f.where("id % 5 = 0 or id > 300").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    show = lambda df: sorted(str(tuple(r)) for r in df.select("query_id", "id", "score", "rank").collect())
+    want = show(retrieval.top_k(retrieval.scores(f, q, "id", "v", "q", "qv"), ["query_id"], 5))
+    for most, blocks in ((10_000, (4096, 2048, 256)), (10_000, (32, 8, 3)), (20, (32, 8, 3))):
+        monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", most)
+        for name, value in zip(("FEATURE_BLOCK", "QUERY_BLOCK", "AT_ONCE"), blocks):
+            monkeypatch.setattr(retrieval, name, value)
+        assert show(retrieval.best(f, q, "id", "v", "q", "qv", 5)) == want
+
+
 def test_prefixes_of_one_beginning(spark):
     """Names that all begin alike are not met with the keys one by one; keys are of any length, absent, null or a whole name."""
     names = [f"Customer#{i:05d}" for i in range(0, 3000, 3)] + ["Customer#0\U0001f600x", "C", ""]
