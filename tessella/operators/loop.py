@@ -236,7 +236,7 @@ def _inspected(going: DataFrame, state: State, world: World) -> DataFrame:
     return named.unionByName(first).select(*KEY, "patch_id", "pos", F.lit(5).alias("magnification"), F.lit(False).alias("taken"), F.lit(True).alias("described"), F.lit(True).alias("look"))
 
 
-def _attempt(state: State, world: World, attempt: int, last: bool, contract: Contract | None, most_chars: int) -> tuple[State, DataFrame, DataFrame]:
+def _attempt(state: State, world: World, attempt: int, last: bool, contract: Contract | None, most_chars: int | None) -> tuple[State, DataFrame, DataFrame]:
     """The state after one attempt, the rollouts that ended in it, and a row for each that took part."""
     if world.describe is not None:
         state = _described(state, world)
@@ -250,7 +250,8 @@ def _attempt(state: State, world: World, attempt: int, last: bool, contract: Con
     )
     now = state.rollouts.join(counts, KEY, "left").join(chars, KEY, "left")
     now = now.na.fill(0, ["n_fresh", "n_described", "n_seen", "n_taken"]).na.fill(len(HEADER), ["chars"]).withColumn("left", F.col("n") - F.col("n_taken")).withColumn("attempt", F.lit(attempt))
-    fits = (F.col("n_fresh") > 0) & (F.col("chars") <= most_chars)
+    long = F.lit(False) if most_chars is None else F.col("chars") > most_chars
+    fits = (F.col("n_fresh") > 0) & ~long
     if world.decide is None:
         reply = world.replies.where(F.col("attempt") == attempt).select(*KEY, "raw", F.lit(200).alias("status")).dropDuplicates(KEY)
     else:
@@ -268,7 +269,7 @@ def _attempt(state: State, world: World, attempt: int, last: bool, contract: Con
         gated = _gate(inside.drop("evaluation"), lines.join(inside.select(*KEY), KEY, "left_semi"), contract)
         now = gated.unionByName(now.where(~answered))
     action = decisions.one_focus(F.col("action"), F.col("focus"), F.col("left"))
-    step = F.when(F.col("n_fresh") == 0, "no_additional_evidence").when(F.col("chars") > most_chars, "context_budget_exceeded").otherwise(F.coalesce("failure", action))
+    step = F.when(F.col("n_fresh") == 0, "no_additional_evidence").when(long, "context_budget_exceeded").otherwise(F.coalesce("failure", action))
     now = now.withColumn("step", step)
     ending = F.when(F.col("step") == "answer", "answered").when(F.col("step") == "abstain", "abstained").when(F.col("step").isin("no_additional_evidence", "context_budget_exceeded", FAILED, NOT_ASKED), F.col("step"))
     now = now.withColumn("ending", F.coalesce(ending, F.lit("budget_exhausted") if last else F.lit(None))).checkpoint()
@@ -345,13 +346,13 @@ def _public(answer: Column, held: Column) -> Column:
     return F.struct(*review.shown_fields(answer, lambda name: held[name])).cast(_PUBLIC)
 
 
-def _manifest(questions: DataFrame, world: World, contract: Contract | None, attempts: int, most_chars: int) -> dict:
+def _manifest(questions: DataFrame, world: World, contract: Contract | None, attempts: int, most_chars: int | None) -> dict:
     """What a run is started with, as digests."""
     tables = {"questions": questions, "tiles": world.tiles, "observations": world.observations, "queries": world.queries, "replies": world.replies, "concepts": contract and contract.concepts, "relations": contract and contract.relations}
     return {**{n: fingerprint(t) for n, t in tables.items() if t is not None}, "rules": contract and contract.rules, "attempts": attempts, "most_chars": most_chars, "asks": [world.decide is not None, world.describe is not None]}
 
 
-def run(questions: DataFrame, world: World, contract: Contract | None = None, attempts: int = MOST_ATTEMPTS, most_chars: int = MOST_CHARS, after: Callable[[int, State], None] | None = None, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
+def run(questions: DataFrame, world: World, contract: Contract | None = None, attempts: int = MOST_ATTEMPTS, most_chars: int | None = MOST_CHARS, after: Callable[[int, State], None] | None = None, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Run the loop; the outcomes and the steps.
 
     ``questions`` has the key, slide_id, question, question_type, tier and choices.
@@ -362,8 +363,8 @@ def run(questions: DataFrame, world: World, contract: Contract | None = None, at
     were new, newly described and seen, the characters of the evidence, and the ending.
 
     A first retrieval takes a tenth of the slide's tiles and each further one a
-    twentieth of all.  Nothing new, and evidence beyond ``most_chars``, end a
-    rollout; the last attempt does so unless it answers or abstains.  A request
+    twentieth of all.  Nothing new, and evidence beyond ``most_chars`` (null: of any
+    length, where replies are a table and nobody reads a request), end a rollout; the last attempt does so unless it answers or abstains.  A request
     that is not answered ends its rollout as failed, without an answer; once
     failures stop the batch, or its money is spent, open rollouts end as stopped.
     With a ``contract`` only what passes it is an answer, and other endings give
@@ -375,6 +376,8 @@ def run(questions: DataFrame, world: World, contract: Contract | None = None, at
     parameters goes on after the last one.  Other tables or parameters, missing
     tables and failed rollouts are errors then.
     """
+    if most_chars is None and world.decide is not None:
+        raise ValueError("requests that somebody reads need most_chars")
     spark = questions.sparkSession
     need_checkpoints(spark)
     held = Ledger(spark, ledger) if ledger else None

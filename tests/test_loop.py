@@ -71,6 +71,14 @@ def test_where_it_stops(spark):
     assert (out["ending"], out["attempts"], out["seen"]) == ("no_additional_evidence", 2, 1)
 
 
+def test_evidence_of_any_length(spark):
+    """A run on a table of replies without ``most_chars`` goes on over evidence that no request would hold."""
+    questions, tables = world(spark, [[reply("answer", True, ["t00"])]], texts=("x" * (loop.MOST_CHARS + 1),))
+    assert loop.run(questions, tables)[0].first()["ending"] == "context_budget_exceeded"
+    out = loop.run(questions, tables, most_chars=None)[0].first()
+    assert (out["ending"], out["attempts"], out["refs"]) == ("answered", 1, ["t00"])
+
+
 def test_only_what_passes_the_contract_answers(spark):
     concepts = spark.createDataFrame([("structure", "c0", "glandular"), ("structure", "c1", "solid")], "question_type string, concept string, display string")
     none = spark.createDataFrame([], "concept string, support string, needs_zoom boolean")
