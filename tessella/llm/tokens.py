@@ -46,8 +46,9 @@ class Encoder:
 
     If the tokenizer drops all white space before it looks at words, the ids of
     a text are the ids of its white-space-separated chunks one after another;
-    then each distinct chunk is encoded once and remembered.  Other tokenizers
-    get whole texts.
+    then each distinct chunk is encoded once and remembered.  If it also sets a
+    last full stop or comma apart, or lowers letters, chunks that differ in these
+    alone are encoded once.  Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -56,7 +57,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_chunk = drops_white_space(json.load(f))
+            spec = json.load(f)
+        self.by_chunk = drops_white_space(spec)
+        self.sets_apart, self.lowers = sets_ends_apart(spec), lowers_letters(spec)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {}
@@ -85,12 +88,17 @@ class Encoder:
         coded = chunks.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         known = self.known
-        new = [w for w in words if w not in known]
+        if self.lowers:
+            words = [w[0].lower() + w[1:] if "A" <= w[:1] <= "Z" else w for w in words]
+        last = [w[-1] if self.sets_apart and w.endswith((".", ",")) and w[-2:-1].isascii() and w[-2:-1].isalnum() else "" for w in words]
+        words = [w[:-1] if e else w for w, e in zip(words, last)]
+        new = list({w: None for w in words if w not in known})
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = words
+            new = list(dict.fromkeys(words))
         known.update(zip(new, self._ids(new)))
-        ids = [known[w] for w in words]
+        ends_with = dict(zip(".,", self._ids([".", ","])))
+        ids = [known[w] + ends_with[e] if e else known[w] for w, e in zip(words, last)]
         flat = pa.array(ids, pa.large_binary()).take(coded.indices)
         starts = flat.buffers()[1]
         offsets = np.frombuffer(starts, np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
@@ -119,6 +127,25 @@ def drops_white_space(spec: dict) -> bool:
     return rest != pattern and not any(x in rest for x in (" ", ".", "[^", "\\s", "\\S", "\\r", "\\n", "\\t", "\\P", "\\W", "\\D", "\\Z", "\\b", "\\x", "\\u", "$", "^"))
 
 
+#: A pattern that ends a piece between a letter or digit and what is neither.
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def sets_ends_apart(spec: dict) -> bool:
+    """Whether a full stop or comma that ends a chunk after an ASCII letter or digit has ids of its own, whatever is before it."""
+    pre = spec.get("pre_tokenizer") or {"type": None}
+    first = pre["pretokenizers"][0] if pre["type"] == "Sequence" else pre
+    splits = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"] == {"Regex": PIECES}
+    return splits and not any(c in x["content"] for x in spec.get("added_tokens") or [] for c in ".,")
+
+
+def lowers_letters(spec: dict) -> bool:
+    """Whether a chunk has the same ids if its first letter, of A to Z, is lowered."""
+    normal = spec.get("normalizer") or {"type": None}
+    lowered = any(x["type"] == "Lowercase" for x in normal.get("normalizers", [normal]))
+    return lowered and not any(x["content"][:1].isalpha() for x in spec.get("added_tokens") or [])
+
+
 _encoders: dict[str, Encoder] = {}
 worker_caches.append(_encoders)
 
