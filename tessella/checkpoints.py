@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
         root = root.removeprefix("file:").replace("///", "/", 1)
     root = root if "://" in root else "file://" + os.path.abspath(root)
     return f"{root}/tessella-library/{spark.sparkContext.applicationId}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as files in the shared folder.
+
+    What is planned on them starts from their size.  A checkpoint hands on the
+    estimate of its plan instead, which joins multiply: over the attempts of a loop
+    it grows to numbers whose digits alone take the planner minutes.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kept/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

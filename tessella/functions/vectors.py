@@ -17,6 +17,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length 1; null for a zero vector."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length))
+    """The vector at length 1; null for a zero vector.
+
+    The length is bound to a name, as an entry of an array: as an expression it
+    would be worked out again for every component.
+    """
+    return F.transform(F.array(norm(a)), lambda length: F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)))[0]

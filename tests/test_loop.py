@@ -1,12 +1,16 @@
 """The decision loop where it stops, what a contract makes of answers, and what is described."""
 
 import json
+import math
+import random
 import shutil
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import loop
+from tessella.functions.vectors import unit
+from tessella.operators import loop, retrieval
 from tessella.operators.asking import Asking
 from tessella.operators.calls import Meter, call_in_waves
 
@@ -212,3 +216,37 @@ def test_outcomes_carry_what_is_shown(spark):
     assert got[1]["shown"]["ready_for_pathologist_review"] and not got[1]["shown"]["strict_evidence_sufficient"] and got[1]["shown"]["supporting_evidence"] == ["t00"]
     assert got[1]["unsupported_reason"] == loop.ENDINGS["budget_exhausted"][2] and got[1]["selected_attempt"] == 1
     assert got[2]["explanation"] == loop.ABSTAINED[0] and got[2]["shown"]["missing_evidence"][0] == "valid_visible_citation_required"
+
+
+def test_nearest_of_groups(spark, monkeypatch):
+    """What leaves the blocks holds the best of each group, with ties and vectors without an order, and not much more."""
+    in_order = lambda numbers: reduce(float.__add__, numbers, 0.0)  # ``sum`` compensates
+    monkeypatch.setattr(retrieval, "FEATURE_BLOCK", 128)
+    rng = random.Random(3)
+    vectors = [(g, f"{g}{i:04d}", [rng.gauss(0, 1) for _ in range(8)]) for g, n in (("a", 900), ("b", 40), ("c", 1)) for i in range(n)]
+    vectors = [(g, i, vectors[k - 1][2] if k % 3 == 1 and vectors[k - 1][0] == g else v) for k, (g, i, v) in enumerate(vectors)]
+    odd = [("a", "nan", [math.nan] * 8), ("a", "null", None), ("a", "gap", [1.0, None] + [1.0] * 6)]
+    table = spark.createDataFrame(vectors + odd, "slide string, id string, vector array<double>").repartition(5)
+    asks = [(g, 10 * k + need, [rng.gauss(0, 1) for _ in range(8)], need) for k, (g, need) in enumerate([("a", 1), ("a", 90), ("a", 899), ("a", 5000), ("b", 4), ("c", 1), ("d", 3)])]
+    queries = spark.createDataFrame(asks, "slide string, query_id long, vector array<double>, need long").withColumn("query", unit(F.col("vector")))
+    got = {}
+    for r in retrieval.nearest(retrieval.grouped(table, "slide"), queries).collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    for slide, query_id, query, need in asks:
+        length = math.sqrt(in_order(x * x for x in query))
+        score = lambda v: in_order(x * (y / length) for x, y in zip(v, query, strict=True))  # noqa: B023, E731
+        want = sorted((-score(v), i) for g, i, v in vectors if g == slide)
+        mine = [(i, s) for i, s in got.get(query_id, []) if i[0] == slide and i[1:].isdigit()]
+        assert sorted((-s, i) for i, s in mine)[:need] == want[:need]
+        assert len(mine) <= need + len(want) / 64 + 2 * 9 and len({i for i, _ in mine}) == len(mine)
+        assert {i for i, _ in got.get(query_id, [])} - {i for i, _ in mine} == ({i for _, i, _ in odd} if slide == "a" else set())
+
+
+def test_plans_do_not_grow(spark):
+    """What the planner takes a state's size for does not multiply from attempt to attempt; a vector's length is worked out once."""
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    sizes = []
+    loop.run(*world(spark, [[reply("retrieve")] * 2]), attempts=2, after=lambda attempt, state: sizes.extend([size(state.rollouts), size(state.tiles)]))
+    assert len(sizes) == 4 and max(sizes) < 1_000_000
+    plan = spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(unit(F.col("v")).alias("u"))
+    assert plan.first()["u"] == [0.6, 0.8] and plan._jdf.queryExecution().optimizedPlan().toString().lower().count("sqrt(") == 1
